@@ -30,6 +30,7 @@ T_NUM, T_DEN = 75, 100
 FREQUENT = 300_000
 LEAST_FREQUENT = 24
 STARS = 2
+STEP = 1.06  # of size classes
 _LAST = np.int64(1 << 62)
 
 
@@ -138,6 +139,23 @@ def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.join(labels.select(F.col("node").alias("comp"), "label"), "comp", "left").withColumn("comp", F.coalesce("label", "comp")).select(nodes.columns))
 
 
+def _hopeful(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """gid of groups that share enough prefix shingles with others of one size class to be similar to one of that class at all.
+
+    Two sets of n and m share at most their common prefix shingles and the larger rest beyond the prefixes; the least
+    that they need in common is taken over the sizes of the class, so no group with a partner is left out."""
+    size_class = F.floor(F.log("n") / float(np.log(STEP))).cast("int")
+    held = shared.join(groups.select("gid", "n"), "gid").withColumn("class", size_class)
+    at = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("groups")).withColumnRenamed("class", "other")
+    reach = int(np.ceil(np.log(T_DEN / T_NUM) / np.log(STEP))) + 1
+    met = held.join(at, "key").where((F.abs(F.col("other") - F.col("class")) <= reach) & ((F.col("other") != F.col("class")) | (F.col("groups") > 1)))
+    counts = met.groupBy("gid", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+    ratio = T_NUM / T_DEN
+    lo, hi = F.greatest(F.pow(F.lit(STEP), F.col("other")) * 0.999, F.col("n") * ratio), F.least(F.pow(F.lit(STEP), F.col("other") + 1) * 1.001, F.col("n") / ratio)
+    need = lambda m: (F.col("n") + m) * T_NUM / (T_NUM + T_DEN) - F.greatest(F.col("n"), m) * ratio - 1
+    return counts.where((lo <= hi * 1.001) & (F.col("common") >= F.least(need(lo), need(hi)))).select("gid").distinct()
+
+
 def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
 
@@ -151,12 +169,16 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     nodes = cut(known.groupBy("nid").agg(F.min("doc_id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("last").alias("last")).withColumn("comp", F.col("nid")))
 
     # Prefix shingles that more than one group has.
-    keys = known.where(F.col("keys").isNotNull()).select("gid", F.explode("keys").alias("key")).distinct()
+    # Dealt by the key once: the distinct rows, the counts and the join all keep that partitioning.
+    keys = known.where(F.col("keys").isNotNull()).select("gid", F.explode("keys").alias("key")).repartition("key").distinct()
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key")
     shared = cut(keys.join(many, "key"))
 
-    # Whole sets of those that may have a partner: of groups with a shared shingle, or with several members.
-    touched = shared.select("gid").union(nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gid")).distinct()
+    # Groups that may have a partner, and the whole sets of their members.
+    groups = nodes.groupBy("gid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("members"))
+    hopeful = cut(_hopeful(shared, groups))
+    shared = cut(shared.join(hopeful, "gid", "left_semi"))
+    touched = hopeful.union(groups.where("members > 1").select("gid")).distinct()
     wanted = nodes.join(touched, "gid", "left_semi").select("rep").distinct()
     sets = cut(whole_sets(docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")))
 
