@@ -1,6 +1,351 @@
-"""All queries of the catalogue library and their SQL, by inventory name."""
+"""All queries of the catalogue library and their SQL, by inventory name. Each runs over whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from curatrix.functions import names, scalars, signals
+from curatrix.operators import browse, dedup, journal, media, rules
+from curatrix.plans import resolve
+from curatrix.streaming import stable
+from curatrix.views import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+RULES = [
+    rules.DateRule("p1", "Periodo 1", "1995-01-01", "1996-06-30", "/p/1", "modified"),
+    rules.DateRule("p2", "Periodo 2", "1997-01-01", "1998-12-31", "/p/2", "modified"),
+    rules.DateRule("c1", "Creados", "1999-01-01", "2000-06-30", "/p/3", "created"),
+    rules.DateRule("a1", "Vistos", "1998-06-01", "1999-06-30", "/p/4", "accessed"),
+    rules.DateRule("x1", "Apagado", "1990-01-01", "2030-01-01", "/p/9", "modified", False),
+]
+RULES_SQL = "rules(id, name, first, last, destination, source) AS (VALUES ('p1', 'Periodo 1', DATE '1995-01-01', DATE '1996-06-30', '/p/1', 'modified'), ('p2', 'Periodo 2', DATE '1997-01-01', DATE '1998-12-31', '/p/2', 'modified'), ('c1', 'Creados', DATE '1999-01-01', DATE '2000-06-30', '/p/3', 'created'), ('a1', 'Vistos', DATE '1998-06-01', DATE '1999-06-30', '/p/4', 'accessed'))"
+MATCHED_SQL = "hits AS (SELECT i.id AS file_id, r.*, CASE source WHEN 'created' THEN created WHEN 'modified' THEN modified ELSE accessed END AS used FROM inbox i JOIN rules r ON CASE source WHEN 'created' THEN created WHEN 'modified' THEN modified ELSE accessed END BETWEEN first AND last), one AS (SELECT file_id, count(*) AS n, min(id) AS rule_id, min(name) AS rule_name, min(destination) AS destination, min(source) AS date_source, min(used) AS date_used FROM hits GROUP BY file_id), matched AS (SELECT i.*, CASE WHEN n = 1 THEN 'matched' ELSE 'needs-review' END AS status, CASE WHEN n > 1 THEN 'MULTIPLE_RULE_MATCHES' END AS error, CASE WHEN n = 1 THEN rule_id END AS rule_id, CASE WHEN n = 1 THEN rule_name END AS rule_name, CASE WHEN n = 1 THEN destination END AS destination, CASE WHEN n = 1 THEN date_source END AS date_source, CASE WHEN n = 1 THEN date_used END AS date_used FROM inbox i LEFT JOIN one ON id = file_id)"
+PRESETS = {"main": names.Preset("main", "Main", "{period}_{date:yyyy-MM-dd}_{name} {counter:0000}", "lower", "dash"), "plain": names.Preset("plain", "Plain", "{year}{month}{day} {name}", "upper", "underscore")}
+RULE_PRESETS = {"p1": "main", "c1": "plain"}
+NAME = r"regexp_extract(path, '([^/]*)$', 1)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def simple(name: str, of: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    """A query over one view; its SQL reads that view."""
+    query(name, f"{with_views(of)} {sql}" if sql else None)(lambda s, d: f(view(s, d, of)))
+
+
+def _col(name: str):
+    return F.col(name)
+
+
+P = _col("path")
+
+# ---- scalars
+simple("p1_path_parts", "inbox", lambda v: v.select("id", scalars.file_name(P).alias("name"), scalars.stem(P).alias("stem"), scalars.extension(P).alias("extension"), scalars.parent(P).alias("parent"), scalars.depth(P).cast("int").alias("depth"), scalars.relative_path(P, F.lit("/inbox")).alias("relative")),
+       rf"SELECT id, {NAME} AS name, regexp_extract({NAME}, '^(.+)\.[^.]*$', 1) AS stem, lower(regexp_extract({NAME}, '^.+\.([^.]*)$', 1)) AS extension, '/inbox' AS parent, 2 AS depth, substr(path, 8) AS relative FROM inbox")
+simple("p2_path_key", "catalog", lambda v: v.select(scalars.path_key(F.upper(F.translate("path", "/", "\\"))).alias("key")), "SELECT lower(path) AS key FROM catalog")
+simple("p3_breadcrumbs", "catalog", lambda v: v.select("doc_id", F.explode(scalars.breadcrumbs(P, F.lit("/lib"))).alias("b")).select("doc_id", "b.name", "b.path"),
+       "SELECT doc_id, 'lib' AS name, '/lib' AS path FROM catalog UNION ALL SELECT doc_id, source, '/lib/' || source FROM catalog UNION ALL SELECT doc_id, lang, '/lib/' || source || '/' || lang FROM catalog UNION ALL SELECT doc_id, 'doc-' || doc_id || '.txt', path FROM catalog")
+simple("p4_selected_date", "inbox", lambda v: v.select("id", scalars.selected_date(F.when(F.col("id") % 3 == 0, "created").when(F.col("id") % 3 == 1, "modified").otherwise("accessed"), F.col("created"), F.col("modified"), F.col("accessed")).alias("day"), scalars.local_day((F.col("id") - 700) * 86_400_000 + 5).alias("local_day")),
+       "SELECT id, CASE id % 3 WHEN 0 THEN created WHEN 1 THEN modified ELSE accessed END AS day, CAST(DATE '1970-01-01' + CAST(id - 700 AS INT) AS DATE) AS local_day FROM inbox")
+
+
+@query("p5_detect_type", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'application/pdf' WHEN page_id % 4 = 0 THEN 'text/html' WHEN page_id % 4 = 1 THEN 'text/plain' END AS mime, CASE WHEN page_id % 4 = 3 THEN 'content' WHEN page_id % 4 = 2 THEN 'unknown' ELSE 'extension' END AS type_source FROM pages")
+def p5(s, d):
+    v = s.read.parquet(f"{d}/pages.parquet")
+    k = F.col("page_id") % 4
+    head = F.when(k == 3, F.concat(F.lit("%PDF-1.7"), "html")).otherwise(F.col("html")).cast("binary")
+    ext = F.when(k == 0, "html").when(k == 1, "ts").when(k == 2, "unknown").otherwise("jpg")
+    mime, source = scalars.detect_type(head, ext)
+    return v.select("page_id", mime.alias("mime"), source.alias("type_source"))
+
+
+simple("p6_classify_category", "inbox", lambda v: v.select("id", scalars.classify_category(F.when(F.col("id") % 3 == 0, "application/zip").when(F.col("id") % 3 == 1, "image/png"), scalars.extension(P)).alias("category")),
+       "SELECT id, CASE WHEN id % 3 = 0 THEN 'archive' WHEN id % 3 = 1 THEN 'image' WHEN id % 5 = 0 THEN 'document' WHEN id % 5 = 1 THEN 'image' WHEN id % 5 = 2 THEN 'video' WHEN id % 5 = 3 THEN 'archive' ELSE 'other' END AS category FROM inbox")
+simple("p7_media_kind", "inbox", lambda v: v.select("id", scalars.media_kind(scalars.extension(P)).alias("kind"), scalars.media_kind(scalars.extension(P), False).alias("image_only")),
+       "SELECT id, CASE id % 5 WHEN 1 THEN 'image' WHEN 2 THEN 'video' END AS kind, CASE id % 5 WHEN 1 THEN 'image' END AS image_only FROM inbox")
+simple("p8_flags", "inbox", lambda v: v.select("id", scalars.is_temporary(scalars.file_name(P)).alias("temporary"), scalars.is_hidden(F.concat(F.when(F.col("id") % 4 == 0, ".").otherwise(""), scalars.file_name(P))).alias("hidden"), scalars.is_recovery(F.concat(F.when(F.col("id") % 6 == 0, "/x/.Recovery").otherwise("/x"), P)).alias("recovery")),
+       "SELECT id, id % 5 = 4 AS temporary, id % 4 = 0 AS hidden, id % 6 = 0 AS recovery FROM inbox")
+simple("p10_validate_name", "inbox", lambda v: v.select("id", scalars.validate_name(F.when(F.col("id") % 6 == 0, "con.txt").when(F.col("id") % 6 == 1, "a:b").when(F.col("id") % 6 == 2, "end.").when(F.col("id") % 6 == 3, F.repeat(F.lit("ñ"), 241)).otherwise(scalars.file_name(P))).alias("error")),
+       "SELECT id, CASE WHEN id % 6 < 4 THEN 'INVALID_NAME' END AS error FROM inbox")
+simple("p11_fold_text", "catalog", lambda v: v.select("doc_id", F.contains(scalars.fold_text("text"), F.lit("eau")).alias("has_eau"), F.contains(scalars.fold_text("text"), F.lit("ene")).alias("has_ene")),
+       "SELECT doc_id, contains(strip_accents(lower(text)), 'eau') AS has_eau, contains(strip_accents(lower(text)), 'ene') AS has_ene FROM catalog")
+simple("p12_format_size", "inbox", lambda v: v.select("id", scalars.format_size(F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 10) * 1024)).alias("size"), scalars.format_quantity(F.col("id"), "archivo", "archivos").alias("files")),
+       "SELECT id, CASE WHEN id % 10 = 0 THEN '—' ELSE (id % 10) || ' KB' END AS size, replace(format('{:,}', id), ',', '.') || CASE WHEN id = 1 THEN ' archivo' ELSE ' archivos' END AS files FROM inbox")
+simple("p13_ticks", "inbox", lambda v: v.select("id", scalars.ticks(F.when(F.col("id") % 5 == 0, "12x").otherwise(F.concat(F.lit("1341483892800"), F.lpad(F.col("id").cast("string"), 7, "0")))).cast("string").alias("ticks")),
+       "SELECT id, CASE WHEN id % 5 <> 0 THEN '1341483892800' || lpad(CAST(id AS VARCHAR), 7, '0') END AS ticks FROM inbox")
+simple("p14_digests", "catalog", lambda v: v.select("doc_id", scalars.content_digest(F.col("text").cast("binary")).alias("digest"), (F.count(F.lit(1)).over(Window.partitionBy(scalars.sample_digest(F.col("text").cast("binary"))))).alias("same_sample")),
+       "SELECT doc_id, digest, count(*) OVER (PARTITION BY digest) AS same_sample FROM catalog")
+VOCABULARY = ["the", "de", "der", "and", "la"]
+VOCABULARY_SQL = "len(list_intersect(list_distinct(list_transform(list_slice(string_split_regex(text, '[^\\p{L}\\p{N}]'), 1, 2000), lambda x: lower(x))), ['the', 'de', 'der', 'and', 'la']))"
+simple("p15_text_signals", "catalog", lambda v: v.select("doc_id", signals.term_count(F.col("text"), VOCABULARY).cast("long").alias("terms")), f"SELECT doc_id, CAST({VOCABULARY_SQL} AS BIGINT) AS terms FROM catalog")
+
+
+def _boosted(v: DataFrame) -> DataFrame:
+    s = F.struct(F.lit(6).alias("line_count"), F.lit(30).alias("word_count"), F.lit(0.1).alias("coverage"), (F.col("id") % 3).alias("screen"), F.lit(2).alias("meme"), (F.col("id") % 2 * 2).alias("document"))
+    scores = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(x).alias("score")) for c, x in (("screenshots", 0.2), ("documents", 0.3), ("memes", 0.25), ("other", 0.9))])
+    out = v.select("id", F.explode(signals.boost_text_scores(scores, s, F.lit(600), F.lit(1200))).alias("c"))
+    return out.select("id", "c.category", F.round("c.score", 6).alias("score"))
+
+
+simple("p16_boost_scores", "media", _boosted, "SELECT id, t.category, round(t.score + CASE WHEN t.category = 'screenshots' AND id % 3 >= 1 THEN 0.04 WHEN t.category = 'documents' AND id % 2 = 1 THEN 0.035 WHEN t.category = 'memes' AND id % 3 = 0 AND id % 2 = 0 THEN 0.03 ELSE 0 END, 6) AS score FROM media, (VALUES ('screenshots', 0.2::DOUBLE), ('documents', 0.3::DOUBLE), ('memes', 0.25::DOUBLE), ('other', 0.9::DOUBLE)) t(category, score)")
+simple("p17_image_views", "inbox", lambda v: v.select("id", F.size(scalars.image_views((F.col("id") % 1000 + 1), F.lit(500))).cast("long").alias("views")),
+       "SELECT id, CAST(CASE WHEN greatest(id % 1000 + 1, 500) * 100 < least(id % 1000 + 1, 500) * 112 THEN 1 WHEN greatest(id % 1000 + 1, 500) * 100 >= least(id % 1000 + 1, 500) * 180 THEN 4 ELSE 2 END AS BIGINT) AS views FROM inbox")
+simple("p18_frame_times", "inbox", lambda v: v.select("id", F.round(scalars.frame_times(F.when(F.col("id") % 4 == 0, -1.0).otherwise(F.col("size") / 100.0))[2], 4).alias("last")),
+       "SELECT id, round(CASE WHEN id % 4 = 0 THEN 2.0::DOUBLE ELSE 0.9::DOUBLE * (size / 100.0::DOUBLE) END, 4) AS last FROM inbox")
+simple("p19_settings_key", "media", lambda v: v.select(scalars.settings_key(F.lit("m1"), F.struct((F.col("id") % 3).alias("sensitivity")), F.col("digest")).alias("key")).groupBy().agg(F.count_distinct("key").alias("keys")),
+       "SELECT count(DISTINCT (id % 3, digest)) AS keys FROM media")
+simple("p20_valid_embedding", "media", lambda v: v.select("id", scalars.valid_embedding(F.col("embedding"), 64).alias("ok"), F.round(scalars.normalize(F.transform("embedding", lambda x: x * 3))[0], 5).alias("first")),
+       "SELECT id, len(embedding) = 64 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) BETWEEN 0.98 AND 1.02 AS ok, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM media")
+
+# ---- listing and filters
+simple("s2_list_folder", "catalog", lambda v: browse.list_folder(v, "/lib/src0/en").select("path", "size"), "SELECT path, size FROM catalog WHERE source = 'src0' AND lang = 'en'")
+simple("s3_scan_report", "inbox", lambda v: browse.scan_report(v.select("path", scalars.media_kind(scalars.extension(P)).alias("kind"), (F.col("id") % 9 != 0).alias("readable")), 100),
+       "SELECT least(count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0), 100) AS kept, count(*) FILTER (id % 5 NOT IN (1, 2)) AS skipped, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 = 0) AS unreadable, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0) > 100 AS truncated FROM inbox")
+simple("f1_filter_files", "catalog", lambda v: browse.filter_files(v.withColumns({"hidden": F.col("doc_id") % 5 == 0, "category": F.lit("document")}), "document", "DÓC-1", ".TXT", False, 2000).select("path", "size"),
+       "SELECT path, size FROM catalog WHERE doc_id % 5 <> 0 AND path LIKE '%/doc-1%' AND size >= 2000")
+simple("f2_sort_files", "catalog", lambda v: browse.page(v.withColumn("is_dir", F.lit(False)), [browse.sort_key("name").asc(), F.col("path")], 0, 50).select("path"),
+       "SELECT path FROM catalog ORDER BY doc_id LIMIT 50")
+simple("f3_filter_media", "media", lambda v: browse.filter_media(v.withColumns({"labels": F.array(F.struct("category")), "kind": F.lit("image")}), category="c3", status="uncertain", query="/M/").select("id"),
+       "SELECT id FROM media WHERE label = 3 AND uncertain")
+simple("f4_visible_media", "media", lambda v: browse.visible_media(v.withColumns({"labels": F.array(F.struct("category")), "kind": F.lit("image")}), v.where("id % 5 = 0").select("id")).select("id"),
+       "SELECT id FROM media WHERE id % 5 <> 0 AND NOT protected")
+simple("f5_select_media", "media", lambda v: browse.select_media(v, v.where("label = 2").select("id"), True).select("id"), "SELECT id FROM media WHERE label = 2 AND NOT protected")
+query("f6_review_queue", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT path, status FROM matched WHERE status = 'needs-review' AND path LIKE '%order-1%'")(lambda s, d: browse.review_queue(rules.match_rules(view(s, d, "inbox"), RULES).withColumn("name", scalars.file_name(P)), "Order-1").select("path", "status"))
+
+
+def _roots(s: SparkSession, *r: str) -> DataFrame:
+    return s.createDataFrame([(x,) for x in r], "root string")
+
+
+query("f7_in_scope", f"{with_views('tree')} SELECT path, CASE WHEN NOT (r_name = 'ASIA' OR n_name = 'NATION_1') THEN 'FOLDER_NOT_AUTHORIZED' END AS error FROM tree")(lambda s, d: browse.in_scope(view(s, d, "tree").select("path"), view(s, d, "tree").where("r_name = 'ASIA' or n_name = 'NATION_1'").select(scalars.parent(P).alias("root")).distinct()))
+simple("f8_page", "media", lambda v: browse.page(v, [F.col("id")], 2).select("id"), "SELECT id FROM media ORDER BY id LIMIT 36 OFFSET 72")
+simple("f9_plan_issues", "journal", lambda v: browse.plan_issues(v.withColumns({"backup": F.col("kind") == "copy", "conflict": F.col("status") == "failed", "has_duplicates": F.col("bytes") > 40000})).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
+       "SELECT CASE WHEN bytes > 40000 THEN 'identical-content' ELSE 'name-conflict' END AS kind, count(*) AS n FROM journal WHERE kind <> 'copy' AND (status = 'failed' OR bytes > 40000) GROUP BY 1")
+query("j17_attribute_root", f"{with_views('tree')} SELECT path, CASE WHEN n_name IN ('NATION_1', 'NATION_2') THEN '/' || r_name || '/' || n_name WHEN r_name = 'ASIA' THEN '/ASIA' END AS root FROM tree")(lambda s, d: browse.attribute_root(view(s, d, "tree").select("path"), view(s, d, "tree").where("n_name in ('NATION_1', 'NATION_2')").select(scalars.parent(P).alias("root")).distinct().union(_roots(s, "/ASIA"))))
+query("j14_remap_paths", f"{with_views('tree')} SELECT DISTINCT CASE WHEN r_name = 'ASIA' THEN '/moved' || substr(path, 6) ELSE path END AS path FROM tree")(lambda s, d: browse.remap_paths(view(s, d, "tree"), s.createDataFrame([("/ASIA", "/moved"), ("/ASIA/NATION_1", "/other")], "source string, target string")))
+query("u1_managed_roots", f"{with_views('catalog')} SELECT DISTINCT root FROM (SELECT '/lib/' || source AS root FROM catalog UNION ALL SELECT '/lib/' || source || '/' || lang FROM catalog)")(lambda s, d: browse.managed_roots(view(s, d, "catalog").select(scalars.parent(scalars.parent(P))), view(s, d, "catalog").select(scalars.parent(P))))
+query("u2_collapse_roots", f"{with_views('tree')} SELECT '/' || r_name || '/' || n_name AS root FROM tree WHERE r_name <> 'ASIA' GROUP BY 1 UNION ALL SELECT '/ASIA'")(lambda s, d: browse.collapse_roots(view(s, d, "tree").select(scalars.parent(P).alias("root")).union(_roots(s, "/ASIA", "/asia"))))
+simple("u3_distinct_files", "catalog", lambda v: browse.distinct_files(v.select("path", F.col("digest").alias("identity"))).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
+       "SELECT CASE WHEN r = 1 THEN 'keep' ELSE 'skip' END AS action, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY digest ORDER BY path) AS r FROM catalog) GROUP BY 1")
+simple("u4_exclude", "media", lambda v: v.join(v.where("label < 4").select("id"), "id", "left_anti").select("id"), "SELECT id FROM media WHERE label >= 4")
+simple("u5_set_protection", "media", lambda v: media.set_protection(v.where("protected").select("digest").distinct(), v, v.where("label = 1").select("id"), True), "SELECT DISTINCT digest FROM media WHERE protected OR label = 1")
+simple("u6_set_corrections", "media", lambda v: media.set_corrections(v.where("label = 0").select("digest", F.array(F.lit("people")).alias("categories")).distinct(), v, v.where("id % 3 = 0").select("id"), ["memes", "other"]).select("digest", F.array_join("categories", ",").alias("categories")),
+       "SELECT DISTINCT digest, 'people' AS categories FROM media WHERE label = 0 AND digest NOT IN (SELECT digest FROM media WHERE id % 3 = 0) UNION ALL SELECT DISTINCT digest, 'memes,other' FROM media WHERE id % 3 = 0")
+simple("u7_clear_corrections", "media", lambda v: media.clear_corrections(v.withColumns({"baseline": F.struct(F.array("category").alias("categories"), F.col("uncertain").alias("uncertain")), "categories": F.array(F.lit("people"))})).select("id", F.col("categories")[0].alias("category"), "uncertain", "corrected", "protected"),
+       "SELECT id, category, uncertain, false AS corrected, protected FROM media")
+
+# ---- rules
+query("j1_match_rules", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT id, status, error, rule_id, destination, date_source, date_used FROM matched")(lambda s, d: rules.match_rules(view(s, d, "inbox"), RULES).select("id", "status", "error", "rule_id", "destination", "date_source", "date_used"))
+
+
+@query("j2_validate_rules", "WITH r AS (SELECT n_nationkey AS k, DATE '2000-01-01' + CAST(n_nationkey * 10 AS INT) AS f, DATE '2000-01-01' + CAST(n_nationkey * 10 + CASE WHEN n_nationkey % 5 = 0 THEN 12 ELSE 5 END AS INT) AS l FROM nation) SELECT 'r' || a.k AS id, CASE WHEN EXISTS (SELECT 1 FROM r b WHERE a.k <> b.k AND a.f <= b.l AND a.l >= b.f) THEN 'RULE_CONFLICT' END AS error FROM r a")
+def j2(s, d):
+    n = s.read.parquet(f"{d}/nation.parquet")
+    day = lambda x: F.date_add(F.lit("2000-01-01").cast("date"), x.cast("int")).cast("string")
+    k = F.col("n_nationkey")
+    return rules.validate_rules(n.select(F.concat(F.lit("r"), k).alias("id"), F.col("n_name").alias("name"), day(k * 10).alias("start_date"), day(k * 10 + F.when(k % 5 == 0, 12).otherwise(5)).alias("end_date"), F.lit(True).alias("enabled")))
+
+
+query("j3_assign_presets", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT id, CASE rule_id WHEN 'p1' THEN 'main' WHEN 'c1' THEN 'plain' ELSE 'main' END AS preset_id FROM matched")(lambda s, d: rules.assign_presets(rules.match_rules(view(s, d, "inbox"), RULES), RULE_PRESETS, "main").select("id", "preset_id"))
+simple("w1_plan_counter", "inbox", lambda v: rules.plan_counter(v.select("path")).select("path", F.col("counter").cast("long").alias("counter")), "SELECT path, row_number() OVER (ORDER BY path) AS counter FROM inbox")
+query("a5_rule_counts", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT r.id AS rule_id, count(m.id) AS files FROM rules r LEFT JOIN matched m ON m.rule_id = r.id GROUP BY 1")(lambda s, d: rules.rule_counts(rules.match_rules(view(s, d, "inbox"), RULES), RULES))
+query("a5_inbox_counts", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'matched') AS matched, 0::BIGINT AS waiting, count(*) FILTER (status <> 'matched') AS unmatched FROM matched")(lambda s, d: rules.inbox_counts(rules.match_rules(view(s, d, "inbox"), RULES)))
+_STEM = rf"regexp_extract({NAME}, '^(.+)\.[^.]*$', 1)"
+_SUFFIX = rf"regexp_extract({NAME}, '^.+(\.[^.]*)$', 1)"
+NAMED_SQL = f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL}, counted AS (SELECT *, row_number() OVER (ORDER BY path) AS counter FROM matched WHERE status = 'matched'), named AS (SELECT *, CASE WHEN rule_id = 'c1' THEN replace(upper(strftime(date_used, '%Y%m%d') || ' ' || {_STEM}), ' ', '_') ELSE replace(lower(rule_name || '_' || strftime(date_used, '%Y-%m-%d') || '_' || {_STEM} || ' ' || CASE WHEN counter < 1000 THEN lpad(CAST(counter AS VARCHAR), 4, '0') ELSE CAST(counter AS VARCHAR) END), ' ', '-') END || {_SUFFIX} AS new_name FROM counted)"
+query("p9_render_name", f"{NAMED_SQL} SELECT path, new_name FROM named")(lambda s, d: resolve.named_targets(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main").select("path", "new_name"))
+
+
+def _library(s: SparkSession, d: str) -> DataFrame:
+    """Half of the planned targets are taken already."""
+    named = resolve.named_targets(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main")
+    return named.where("id % 2 = 0").select(F.col("destination_path").alias("path"), "digest")
+
+
+@query("b1_plan_organization", f"{NAMED_SQL} SELECT counter AS seq, path AS source, destination || '/' || new_name AS destination, size, rule_id, CASE WHEN id % 2 = 0 THEN 'skip' ELSE 'move' END AS action, id % 2 = 0 AS conflict, NULL::VARCHAR AS error FROM named")
+def b1(s, d):
+    return resolve.plan_organization(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main", _library(s, d))
+
+
+query("a4_organization_totals", f"{NAMED_SQL} SELECT count(*) FILTER (id % 2 = 1) AS moves, CAST(sum(size) FILTER (id % 2 = 1) AS BIGINT) AS bytes, count(*) FILTER (id % 2 = 0) AS kept, count(*) FILTER (id % 2 = 0) AS conflicts FROM named")(lambda s, d: resolve.organization_totals(b1(s, d)))
+simple("a3_plan_summary", "journal", lambda v: resolve.plan_summary(v.select("source", "destination", F.col("kind").alias("action"), F.when(F.col("entry_kind") == "folder", "mkdir").otherwise("file").alias("kind"), (F.col("status") == "skipped").alias("backup"), (F.col("status") == "failed").alias("conflict"))),
+       "SELECT count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS files, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS renamed, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'move') AS move, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'copy') AS copy, count(*) FILTER (status = 'failed') AS conflicts, count(*) FILTER (status = 'skipped') AS backups, count(*) FILTER (entry_kind = 'folder') AS folders FROM journal")
+
+# ---- duplicates
+simple("a1_duplicate_groups", "catalog", lambda v: dedup.duplicate_groups(dedup.staged(v)).select("digest", "n", F.array_join("paths", ",").alias("paths")), "SELECT digest, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM catalog GROUP BY digest HAVING count(*) > 1")
+simple("a2_duplicate_pairs", "catalog", lambda v: dedup.duplicate_pairs(v, 4), "SELECT a.digest, a.path AS left_path, b.path AS right_path, a.n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS rn, count(*) OVER (PARTITION BY digest) AS n FROM catalog) a JOIN (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS rn FROM catalog) b ON a.digest = b.digest AND a.rn < b.rn AND (n <= 4 OR a.rn = 1 OR b.rn = a.rn + 1)")
+simple("w6_representatives", "catalog", lambda v: dedup.representatives(v), "SELECT digest, min(path) AS path, count(*) AS copies FROM catalog GROUP BY digest")
+simple("j4_find_duplicates", "catalog", lambda v: dedup.find_duplicates(v.where("source = 'src1'"), v), "SELECT a.path AS incoming_path, b.path AS library_path, a.digest FROM catalog a JOIN catalog b ON a.size = b.size AND a.digest = b.digest WHERE a.source = 'src1' AND b.source <> 'src1'")
+PAIRS_SQL = "pairs AS (SELECT a.digest, a.path AS left_path, b.path AS right_path FROM catalog a JOIN catalog b ON a.digest = b.digest AND a.path < b.path)"
+
+
+def _pairs(v: DataFrame) -> DataFrame:
+    p = dedup.duplicate_pairs(v, 1_000_000).drop("truncated")
+    return dedup.pair_signature(p.withColumns({"left_digest": F.col("digest"), "right_digest": F.col("digest")}), ("path", "digest"))
+
+
+query("j10_drop_dismissed", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path, right_path FROM pairs WHERE left_path NOT LIKE '%/en/%'")(lambda s, d: dedup.drop_dismissed(_pairs(view(s, d, "catalog")), _pairs(view(s, d, "catalog").select("digest", "path")).where("left_path like '%/en/%'")).select("left_path", "right_path"))
+query("u8_dismiss", f"{with_views('catalog')}, {PAIRS_SQL} SELECT count(*) AS signatures FROM pairs")(lambda s, d: dedup.dismiss(_pairs(view(s, d, "catalog")).where("left_path like '%/en/%'"), _pairs(view(s, d, "catalog"))).agg(F.count(F.lit(1)).alias("signatures")))
+query("b5_retire_pair", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path, right_path FROM pairs WHERE left_path <> '/lib/src0/en/doc-0.txt' AND right_path <> '/lib/src0/en/doc-0.txt'")(lambda s, d: dedup.retire_pair(_pairs(view(s, d, "catalog")), "\\LIB\\src0\\en\\doc-0.txt").select("left_path", "right_path"))
+simple("b4_plan_cleanup", "catalog", lambda v: dedup.plan_cleanup(v, dedup.representatives(v).select("digest", "path")), "SELECT digest, path, keeper, 'move' AS action, true AS backup, NULL::VARCHAR AS error FROM (SELECT digest, path, min(path) OVER (PARTITION BY digest) AS keeper FROM catalog) WHERE path <> keeper")
+
+
+@query("j11_similar_images", "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x + 1) * 127.5) AS INT)) AS p FROM embeddings), h AS (SELECT vec_id, list_sum([CASE WHEN p[(i // 8) * 8 + i % 8 + 1] > p[(i // 8) * 8 + (i % 8 + 1) % 8 + 1] THEN (CASE WHEN i = 63 THEN -9223372036854775808 ELSE (1::BIGINT << i) END)::HUGEINT ELSE 0 END FOR i IN range(64)])::BIGINT AS dhash FROM g) SELECT a.vec_id::VARCHAR AS left_digest, b.vec_id::VARCHAR AS right_digest, bit_count(xor(a.dhash, b.dhash))::INT AS phash_bits, bit_count(xor(a.dhash, b.dhash))::INT AS dhash_bits FROM h a JOIN h b ON a.vec_id::VARCHAR < b.vec_id::VARCHAR AND bit_count(xor(a.dhash, b.dhash)) <= 14")
+def j11(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet").withColumn("p", F.transform("embedding", lambda x: F.floor((x + 1) * 127.5).cast("int")))
+    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.concat(F.slice("p", y * 8 + 1, F.lit(8)), F.slice("p", y * 8 + 1, F.lit(1)))))
+    g = e.select(F.col("vec_id").cast("string").alias("digest"), wide.alias("w"))
+    h = None
+    for i in range(64):
+        a, b = F.col("w")[i // 8 * 9 + i % 8], F.col("w")[i // 8 * 9 + i % 8 + 1]
+        bit = F.shiftleft((a > b).cast("long"), i)
+        h = bit if h is None else h.bitwiseOR(bit)
+    prints = g.select("digest", h.alias("dhash"), h.alias("phash"), F.lit(1.0).alias("aspect"), F.array(F.lit(0)).alias("colors"))
+    return dedup.similar_images(prints).withColumns({"phash_bits": F.col("phash_bits").cast("int"), "dhash_bits": F.col("dhash_bits").cast("int")})
+
+
+# ---- journals
+simple("s4_read_journal", "journal", lambda v: journal.read_journal(v.select("operation_id", "sequence", F.to_json(F.struct("source", "destination", "status", F.when(F.col("kind") != "move", F.col("kind")).alias("kind"), "bytes")).alias("payload"))).select("operation_id", "sequence", "source", "status", "kind", "entry_kind", "bytes"),
+       "SELECT operation_id, sequence, source, status, kind, 'file' AS entry_kind, bytes FROM journal")
+simple("s5_journal_rows", "journal", lambda v: journal.read_journal(journal.journal_rows(v.select(F.col("sequence").alias("seq"), F.col("kind").alias("action"), "source", "destination", "bytes"), "op")).groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")),
+       "SELECT CASE WHEN kind = 'skip' THEN 'skipped' ELSE 'planned' END AS status, kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM journal GROUP BY 1, 2")
+simple("a6_operation_status", "journal", lambda v: journal.operation_status(v), "SELECT operation_id, CASE WHEN bool_or(status = 'recovery-required') THEN 'recovery-required' WHEN bool_or(status IN ('failed', 'cancelled') OR error IS NOT NULL) THEN 'partial' WHEN bool_or(status = 'undone') AND bool_and(status IN ('undone', 'skipped')) THEN 'undone' ELSE 'completed' END AS status FROM journal GROUP BY 1")
+simple("a7_batch_totals", "journal", lambda v: journal.batch_totals(v), "SELECT operation_id, count(*) AS items, CAST(coalesce(sum(bytes) FILTER (kind NOT IN ('skip', 'dates')), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(bytes) FILTER (kind NOT IN ('skip', 'dates') AND status = 'completed'), 0) AS BIGINT) AS completed_bytes, count(*) FILTER (status = 'completed') AS undoable, CASE WHEN bool_or(kind = 'move') THEN 'move' ELSE 'copy' END AS kind FROM journal GROUP BY 1")
+simple("w2_progress", "journal", lambda v: journal.progress(v), "SELECT operation_id, sequence, CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS completed, CAST(sum(CASE WHEN status = 'completed' THEN bytes ELSE 0 END) OVER w AS BIGINT) AS completed_bytes FROM journal WINDOW w AS (PARTITION BY operation_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)")
+query("w5_recent_operations", f"{with_views('journal', 'operations')} SELECT o.operation_id, o.created_at, string_agg(status, ',' ORDER BY sequence) AS statuses FROM (SELECT * FROM operations ORDER BY created_at DESC, operation_id DESC LIMIT 100) o LEFT JOIN journal j USING (operation_id) GROUP BY 1, 2")(lambda s, d: journal.recent_operations(view(s, d, "operations"), view(s, d, "journal")))
+query("j12_incomplete_operations", f"{with_views('journal', 'operations')} SELECT operation_id, created_at FROM operations WHERE operation_id IN (SELECT operation_id FROM journal WHERE status = 'planned')")(lambda s, d: journal.incomplete_operations(view(s, d, "operations"), view(s, d, "journal")))
+query("j13_pending_references", f"{with_views('journal', 'operations')} SELECT operation_id, created_at FROM operations WHERE operation_id IN (SELECT operation_id FROM journal WHERE entry_kind = 'folder' AND status IN ('completed', 'undone')) AND operation_id % 3 <> 0")(lambda s, d: journal.pending_reference_changes(view(s, d, "operations"), view(s, d, "journal").withColumn("kind", F.when(F.col("entry_kind") == "folder", "rmdir").otherwise(F.col("kind"))), view(s, d, "operations").where("operation_id % 3 = 0").select("operation_id")))
+simple("j15_detect_drift", "catalog", lambda v: (lambda w: journal.detect_drift(w, w.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("digest")))))(v.withColumns({"modified_at": F.col("doc_id"), "identity": P})),
+       "SELECT path, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'FILE_CHANGED' END AS error FROM catalog")
+query("b8_plan_undo", f"{with_views('journal')} SELECT operation_id, sequence, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC)::INT AS undo_order, CASE WHEN kind = 'copy' THEN '.recovery/' || destination ELSE source END AS undo_to, CASE WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 3 = 0 THEN 'FILE_CHANGED' END AS error FROM journal WHERE status = 'completed'")(lambda s, d: journal.plan_undo(view(s, d, "journal"), view(s, d, "journal").where("cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % 3 <> 0").select(F.col("destination").alias("path"), "digest").distinct()))
+query("b9_recover_journal", f"{with_views('journal')} SELECT operation_id, sequence, 'failed' AS status, 'INTERRUPTED_OPERATION' AS error FROM journal WHERE status = 'planned' UNION ALL SELECT operation_id, sequence, CASE WHEN entry_kind = 'folder' THEN 'recovery-required' WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN 'completed' ELSE 'recovery-required' END, CASE WHEN entry_kind <> 'folder' AND split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN NULL ELSE 'INTERRUPTED_OPERATION' END FROM journal WHERE status = 'failed'")(lambda s, d: journal.recover_journal(view(s, d, "journal").withColumn("status", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status"))), view(s, d, "journal").where("cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % 2 = 0").select(F.col("destination").alias("path"), "digest").distinct()))
+_FIX = lambda v: journal.plan_date_fix(v.select("path", F.concat(F.lit("/i/"), F.col("digest")).alias("identity"), F.when(F.col("id") % 5 == 0, "0").otherwise((F.col("id") + 10).cast("string")).alias("created_ticks"), F.when(F.col("id") % 4 == 0, (F.col("id") + 10).cast("string")).otherwise("99999999").alias("modified_ticks")))
+FIX_SQL = "fixed AS (SELECT path, id % 5 = 0 AS none, id % 5 = 0 OR id % 4 = 0 OR row_number() OVER (PARTITION BY digest ORDER BY path) > 1 AS skip, id FROM inbox)"
+query("b7_plan_date_fix", f"{with_views('inbox')}, {FIX_SQL} SELECT path, CASE WHEN skip THEN 'skip' ELSE 'dates' END AS action, CASE WHEN none THEN 'INVALID_DATE' END AS error, CASE WHEN NOT skip THEN CAST(id + 10 AS VARCHAR) END AS new_ticks FROM fixed")(lambda s, d: _FIX(view(s, d, "inbox")))
+query("a14_date_fix_counts", f"{with_views('inbox')}, {FIX_SQL} SELECT count(*) FILTER (NOT skip) AS changes, count(*) FILTER (skip) AS skipped FROM fixed")(lambda s, d: journal.date_fix_counts(_FIX(view(s, d, "inbox"))))
+# ---- media
+CATS = [f"c{k}" for k in range(8)]
+PROTO_SQL = "unit AS (SELECT category, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM media WHERE label < 8), sums AS (SELECT category, pos, sum(x) AS x FROM unit GROUP BY 1, 2), raw AS (SELECT category, list(x ORDER BY pos) AS v FROM sums GROUP BY 1), proto AS (SELECT category, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM raw)"
+
+
+def _proto(v: DataFrame) -> DataFrame:
+    return media.category_prototypes(v.where("label < 8").select("category", F.col("embedding").alias("vector")))
+
+
+def _scored(v: DataFrame) -> DataFrame:
+    return media.category_scores(v, _proto(v))
+
+
+query("a8_prototypes", f"{with_views('media')}, {PROTO_SQL} SELECT category, round(v[1], 6) AS first, round(v[64], 6) AS last FROM proto")(lambda s, d: _proto(view(s, d, "media")).select("category", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last")))
+SCORE_SQL = f"{with_views('media')}, {PROTO_SQL}, scored AS (SELECT id, p.category, greatest(least(list_inner_product(embedding::DOUBLE[], p.v), 1), 0) AS score FROM media, proto p)"
+query("a12_category_scores", f"{SCORE_SQL} SELECT id, category, round(score, 6) AS score FROM scored")(lambda s, d: _scored(view(s, d, "media")).select("id", F.explode("scores").alias("s")).select("id", "s.category", F.round("s.score", 6).alias("score")))
+query("a13_decide_labels", f"{SCORE_SQL}, ranked AS (SELECT id, list(category ORDER BY score DESC, category) AS c, list(score ORDER BY score DESC, category) AS s FROM scored GROUP BY id) SELECT id, CASE WHEN s[1] < 0.225 THEN 'other' ELSE array_to_string(list_slice(list_filter(c, lambda x, i: s[i] >= 0.225 AND s[i] >= s[1] - 0.025), 1, 3), ',') END AS categories, s[1] < 0.24 OR s[1] - s[2] < 0.018 AS uncertain FROM ranked")(lambda s, d: media.label(_scored(view(s, d, "media")).drop("uncertain", "category"), "balanced", CATS).select("id", F.array_join("categories", ",").alias("categories"), "uncertain"))
+query("a9_merge_view_scores", f"{SCORE_SQL} SELECT id // 4 AS file, category, round(CASE WHEN count(*) > 1 THEN 0.8 * max(score) FILTER (id % 4 = 0) + 0.1 * avg(score) FILTER (id % 4 > 0) + 0.1 * max(score) FILTER (id % 4 > 0) ELSE max(score) END, 6) AS score FROM scored GROUP BY 1, 2")(
+    lambda s, d: _scored(view(s, d, "media")).select((F.col("id") / 4).cast("long").alias("file"), (F.col("id") % 4).alias("view"), F.explode("scores").alias("s")).groupBy("file", F.col("s.category").alias("category")).agg(F.max(F.when(F.col("view") == 0, F.col("s.score"))).alias("w"), F.collect_list(F.when(F.col("view") > 0, F.col("s.score"))).alias("ds")).select("file", "category", F.round(signals.merge_view_scores(F.col("w"), F.col("ds")), 6).alias("score"))
+)
+query("a10_merge_view_embeddings", f"{with_views('media')}, e AS (SELECT id // 4 AS file, id % 4 AS view, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM media), m AS (SELECT file, pos, CASE WHEN count(*) > 1 THEN 0.8 * max(x) FILTER (view = 0) + 0.2 * avg(x) FILTER (view > 0) ELSE max(x) END AS x FROM e GROUP BY 1, 2), v AS (SELECT file, list(x ORDER BY pos) AS v FROM m GROUP BY 1) SELECT file, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(v[64] / sqrt(list_inner_product(v, v)), 6) AS last FROM v")(
+    lambda s, d: media.merge_view_embeddings(view(s, d, "media").select((F.col("id") / 4).cast("long").alias("id"), (F.col("id") % 4).alias("view"), F.col("embedding").cast("array<double>").alias("vector"))).select(F.col("id").alias("file"), F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+)
+query("a11_merge_video_frames")(lambda s, d: media.merge_video_frames(_scored(view(s, d, "media")).select((F.col("id") / 3).cast("long").alias("id"), (F.col("id") % 3).alias("frame"), "scores"), "balanced", CATS).select("id", F.array_join("categories", ",").alias("categories"), "uncertain"))
+simple("j6_apply_corrections", "media", lambda v: media.apply_corrections(v.withColumn("categories", F.array("category")), v.where("id % 10 = 0").select("digest", F.array(F.lit("memes")).alias("categories")).distinct()).select("id", F.array_join("categories", ",").alias("categories"), "corrected", "uncertain"),
+       "SELECT id, CASE WHEN c THEN 'memes' ELSE category END AS categories, c AS corrected, uncertain AND NOT c AS uncertain FROM (SELECT *, digest IN (SELECT digest FROM media WHERE id % 10 = 0) AS c FROM media)")
+query("j7_nearest_feedback", f"{with_views('media')}, ex AS (SELECT digest, embedding, CASE WHEN label < 5 THEN 'memes' ELSE 'people' END AS cat FROM media WHERE id % 4 = 1 AND id < 900), s AS (SELECT m.id, cat, list_inner_product(m.embedding::DOUBLE[], ex.embedding::DOUBLE[]) AS sim FROM media m, ex WHERE m.id % 4 <> 1), t AS (SELECT id, arg_max(cat, sim) AS categories, max(sim) AS similarity FROM s GROUP BY id) SELECT id, categories, round(similarity, 5) AS similarity FROM t WHERE similarity >= 0.3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = t.id AND s.cat <> t.categories AND s.sim >= t.similarity - 0.03)")(
+    lambda s, d: (lambda v: media.nearest_feedback(v.where("id % 4 <> 1"), v.where("id % 4 = 1 and id < 900").select("digest", "embedding", F.array(F.when(F.col("label") < 5, "memes").otherwise("people")).alias("categories")), 0.3, 0.03))(view(s, d, "media")).select("id", F.array_join("categories", ",").alias("categories"), F.round("similarity", 5).alias("similarity"))
+)
+simple("j8_mark_protected", "media", lambda v: media.mark_protected(v, v.where("id % 50 = 0").select("digest")).select("id", "protected"), "SELECT id, digest IN (SELECT digest FROM media WHERE id % 50 = 0) AS protected FROM media")
+simple("j8_guard_retirement", "media", lambda v: media.guard_retirement(v.where("label = 3"), v.where("id % 50 = 0").select("digest")), "SELECT CASE WHEN count(*) > 0 THEN 'MEDIA_PROTECTED' END AS error FROM media WHERE label = 3 AND digest IN (SELECT digest FROM media WHERE id % 50 = 0)")
+
+
+@query("j9_split_cached", f"{with_views('media')} SELECT count(*) FILTER (ok) AS hits, count(DISTINCT digest) FILTER (NOT ok) AS misses FROM (SELECT digest, digest IN (SELECT digest FROM media WHERE label < 5 AND id % 3 > 0) AS ok FROM media)")
+def j9(s, d):
+    v = view(s, d, "media").withColumn("profile", F.lit("p"))
+    cache = v.where("label < 5").groupBy("digest", "profile").agg(F.max("id").alias("m"), F.max(F.col("id") % 3).alias("k")).select("digest", "profile", F.array(F.struct(F.lit("c").alias("category"), F.when(F.col("k") > 0, 0.5).otherwise(2.0).alias("score"))).alias("labels"), F.lit(None).cast("array<float>").alias("embedding"))
+    hit, miss = media.split_cached(v.drop("embedding"), cache, 64)
+    return hit.agg(F.count(F.lit(1)).alias("hits")).join(miss.agg(F.count(F.lit(1)).alias("misses")))  # one row each
+
+
+simple("w3_trim_cache", "media", lambda v: media.trim_cache(v.select("id", (F.col("id") * 7 % 100).alias("updated_at")), 120).select("id"), "SELECT id FROM media ORDER BY id * 7 % 100 DESC, id DESC LIMIT 120")
+simple("w4_recent_examples", "media", lambda v: media.recent_examples(v.select("id", "embedding", F.col("id").alias("updated_at"), F.lit("m").alias("model"), F.when(F.col("id") % 2 == 0, "fast").otherwise("thorough").alias("mode")), "m", "fast", 64, 100, 300).select("id"),
+       "SELECT id FROM (SELECT id FROM media ORDER BY id DESC LIMIT 300) WHERE id % 2 = 0 ORDER BY id DESC LIMIT 100")
+simple("a14_gallery_counts", "media", lambda v: media.gallery_counts(v.withColumn("corrected", F.col("id") % 8 == 0), v.where("id % 5 = 0").select("id")),
+       "SELECT count(*) FILTER (protected) AS protected, count(*) FILTER (id % 5 = 0) AS excluded, count(*) FILTER (NOT protected AND id % 5 <> 0) AS removable, count(*) FILTER (id % 8 = 0) AS corrected FROM media")
+simple("w8_natural_key", "inbox", lambda v: v.select("path", F.rank().over(Window.partitionBy(scalars.extension(P)).orderBy(scalars.natural_key(scalars.file_name(P)))).cast("long").alias("place")),
+       "SELECT path, rank() OVER (PARTITION BY id % 5 ORDER BY id) AS place FROM inbox")
+
+# ---- plans
+simple("j5_destination_conflicts", "journal", lambda v: (lambda o: resolve.destination_conflicts(o, o.where("seq % 10 = 0").select(F.col("destination").alias("path"))).select("seq", "conflict"))(v.select((F.col("operation_id") * 1000 + F.col("sequence")).alias("seq"), F.lower("destination").alias("destination"))),
+       "SELECT seq, seq > min(seq) OVER (PARTITION BY destination) OR destination IN (SELECT destination FROM (SELECT operation_id * 1000 + sequence AS seq, destination FROM journal) WHERE seq % 10 = 0) AS conflict FROM (SELECT operation_id * 1000 + sequence AS seq, destination FROM journal)")
+simple("j16_apply_resolutions", "inbox", lambda v: resolve.apply_resolutions(v.select("id", P.alias("source")), v.where("id % 6 = 0").select(P.alias("source"), F.lit("replace").alias("policy"), F.when(F.col("id") % 12 == 0, "nonsense").otherwise("keep-both").alias("duplicate_action")), "skip", "skip").select("id", "policy", "duplicate_action", "error"),
+       "SELECT id, CASE WHEN id % 6 = 0 THEN 'replace' ELSE 'skip' END AS policy, CASE WHEN id % 12 = 0 THEN 'nonsense' WHEN id % 6 = 0 THEN 'keep-both' ELSE 'skip' END AS duplicate_action, CASE WHEN id % 12 = 0 THEN 'INVALID_TRANSFER' END AS error FROM inbox")
+simple("w7_available_name", "inbox", lambda v: resolve.available_names(v.select(F.concat(F.lit("/t/f"), (F.col("id") % 50).cast("string"), F.lit(".txt")).alias("target"), F.col("id").alias("seq")), v.where("id % 50 < 25 and id < 100").select(F.concat(F.lit("/t/f"), (F.col("id") % 50).cast("string"), F.lit(" ("), (F.floor(F.col("id") / 50) * 2 + 1).cast("string"), F.lit(").txt")).alias("path"))).select("target", "seq", "available"),
+       "SELECT '/t/f' || id % 50 || '.txt' AS target, id AS seq, '/t/f' || id % 50 || ' (' || CASE WHEN id % 50 >= 25 THEN k WHEN k = 1 THEN 2 ELSE k + 2 END || ').txt' AS available FROM (SELECT id, row_number() OVER (PARTITION BY id % 50 ORDER BY id) AS k FROM inbox)")
+
+
+@query("b2_plan_transfer", f"{with_views('tree')}, d AS (SELECT DISTINCT r_name, n_name FROM tree WHERE r_name = 'ASIA') SELECT 1 AS phase, 0 AS \"order\", path, '/new' || path AS target, 'move' AS action, NULL::VARCHAR AS error FROM tree WHERE r_name = 'ASIA' UNION ALL SELECT 0, 2, '/ASIA/' || n_name, '/new/ASIA/' || n_name, 'mkdir', NULL FROM d UNION ALL SELECT 2, -2, '/ASIA/' || n_name, '/new/ASIA/' || n_name, 'rmdir', NULL FROM d UNION ALL SELECT DISTINCT 0, 1, '/ASIA', '/new/ASIA', 'mkdir', NULL FROM d UNION ALL SELECT DISTINCT 2, -1, '/ASIA', '/new/ASIA', 'rmdir', NULL FROM d")
+def b2(s, d):
+    t = view(s, d, "tree").select("path")
+    dirs = t.select(F.explode(scalars.ancestors(P, itself=False)).alias("path")).distinct().withColumn("is_dir", F.lit(True))
+    return resolve.plan_transfer(t.withColumn("is_dir", F.lit(False)).union(dirs), s.createDataFrame([("/ASIA",), ("/ASIA/NATION_1",)], "path string"), "/new")
+
+
+@query("b3_resolve_items", f"{with_views('inbox')}, i AS (SELECT id, '/t/' || id % 700 AS base FROM inbox), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - 1 + CASE WHEN id % 700 % 3 = 0 THEN 1 ELSE 0 END AS n FROM i) SELECT id AS seq, base || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.txt' AS destination, 'move' AS action, n > 0 AS conflict FROM k")
+def b3(s, d):
+    v = view(s, d, "inbox")
+    target = F.concat(F.lit("/t/"), (F.col("id") % 700).cast("string"), F.lit(".txt"))
+    items = v.select(F.col("id").alias("seq"), P.alias("source"), target.alias("destination"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    library = v.where("id % 700 % 3 = 0").select(target.alias("path"), F.lit("other").alias("digest")).distinct()
+    return resolve.resolve_items(items, library, "keep-both").select("seq", "destination", "action", "conflict")
+
+
+simple("b6_plan_media_removal", "media", lambda v: media_removal(v), "SELECT id, path, 'move' AS action, true AS backup, 'MEDIA_PROTECTED' AS error FROM media WHERE label = 3")
+
+
+def media_removal(v: DataFrame) -> DataFrame:
+    return resolve.plan_media_removal(v, v.where("label = 3").select("id"), 1_000_000)
+
+
+simple("b6_plan_media_transfer", "media", lambda v: resolve.plan_media_transfer(v, v.where("label = 3").select("id"), "/out", v.where("id % 4 = 0").select(F.concat(F.lit("/OUT/"), "name").alias("path"))), "SELECT id AS seq, path AS source, '/out/' || name AS destination, id % 4 = 0 AS conflict, CASE WHEN id % 4 = 0 THEN 'skip' ELSE 'move' END AS action FROM media WHERE label = 3")
+
+# ---- streams
+T2_SQL = f"{with_views('observations')}, c AS (SELECT *, CASE WHEN lag(modified_at) OVER w IS DISTINCT FROM modified_at THEN 1 ELSE 0 END AS ch FROM observations WINDOW w AS (PARTITION BY path ORDER BY observed_at, modified_at)), g AS (SELECT *, sum(ch) OVER (PARTITION BY path ORDER BY observed_at, modified_at) AS segment FROM c), h AS (SELECT *, min(observed_at) OVER (PARTITION BY path, segment) AS since FROM g), k AS (SELECT *, observed_at >= since + INTERVAL 1 HOUR AND path NOT LIKE '%.part' AS counts FROM h), l AS (SELECT *, sum(CASE WHEN counts AND locked THEN 1 ELSE 0 END) OVER (PARTITION BY path, segment ORDER BY observed_at, modified_at) AS nl FROM k), m AS (SELECT path, segment, min(since) AS since, min(observed_at) FILTER (counts AND NOT locked AND nl < 2) AS ok, min(observed_at) FILTER (counts AND locked AND nl = 2) AS bad FROM l GROUP BY 1, 2)"
+query("t2_stable_files_batch", f"{T2_SQL} SELECT path, CAST(segment AS BIGINT) AS segment, since, CASE WHEN ok IS NOT NULL AND (bad IS NULL OR ok < bad) THEN 'ready' WHEN bad IS NOT NULL THEN 'failed' ELSE 'waiting' END AS status, CASE WHEN ok IS NOT NULL AND (bad IS NULL OR ok < bad) THEN ok ELSE bad END AS decided_at FROM m")(lambda s, d: stable.stable_files_batch(view(s, d, "observations"), 3600, 2))
+query("t4_retry_failed", f"{T2_SQL} SELECT path, CAST(segment AS BIGINT) AS segment, CASE WHEN ok IS NOT NULL AND (bad IS NULL OR ok < bad) THEN 'ready' ELSE 'waiting' END AS status FROM m")(lambda s, d: stable.retry_failed(stable.stable_files_batch(view(s, d, "observations"), 3600, 2).withColumns({"retries": F.lit(2), "error": F.lit("FILE_LOCKED")})).select("path", "segment", "status"))
+
+
+def _replay(s: SparkSession, d: str) -> DataFrame:
+    """The observations as a stream of files, replayed once into a table."""
+    from curatrix.operators.tables import materialized
+
+    seen = materialized(view(s, d, "observations").orderBy("observed_at"))
+    source = seen.inputFiles()[0].rsplit("/", 1)[0]
+    stream = s.readStream.schema(seen.schema).parquet(source)
+    out = stable.stable_files(stream, 3600, 2, "40 days").writeStream.format("parquet").option("path", source + "-out").option("checkpointLocation", source + "-at").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return s.read.schema(stable.STATUS).parquet(source + "-out")
+
+
+query("t1_stable_files")(_replay)
+
+
+def _organized(s: SparkSession, d: str) -> DataFrame:
+    from curatrix.operators.tables import materialized
+
+    ready = materialized(view(s, d, "inbox").withColumn("status", F.lit("ready")))
+    source = ready.inputFiles()[0].rsplit("/", 1)[0]
+    stable.organize_stream(s.readStream.schema(ready.schema).parquet(source), RULES, source + "-out", source + "-at").awaitTermination()
+    return s.read.parquet(source + "-out").select("id", "status", "rule_id")
+
+
+query("t3_organize_stream", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT id, status, rule_id FROM matched")(_organized)
