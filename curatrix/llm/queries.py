@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontaminate, jaccard, language, neighbours, packing, pii, quality, secrets, warc
+from curatrix.llm import decontaminate, jaccard, language, neighbours, packing, pii, quality, secrets, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_language(spark, sf_dir):
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark, sf_dir):
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark, sf_dir):
     return jaccard.link_components(_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_neighbours(spark, sf_dir):
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_warc, op4_quality, op5_secrets, op6_packing, op7_language, op9_jaccard, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_warc, op4_quality, op5_secrets, op6_packing, op7_language, op8_suffixes, op9_jaccard, op10_neighbours)}
 
 ORACLES: dict[str, str] = {}
