@@ -6,8 +6,8 @@ that they share bounds their overlap. Documents with the same prefix and size ar
 shingles and filtered by size and by that bound; what is left is expanded to the members and verified on whole sets.
 
 Only the components of the links are wanted, and a pair within one component needs no more work. So pairs are
-verified in rounds: members with their group's first; then, twice, each group with the one that most of its shingles
-name as their first; at last every pair that is left between different components. The last round leaves out nothing,
+verified in rounds: members with their group's first; then, a few times, each group with those that most of its
+shingles name among their few first; at last every pair that is left between different components. The last round leaves out nothing,
 so the result is exact, and a family of near copies costs a star, not all its pairs.
 
 The order only affects the work. Frequent shingles are those with the most documents (at most FREQUENT of them).
@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,11 @@ T_NUM, T_DEN = 75, 100
 FREQUENT = 300_000
 LEAST_FREQUENT = 24
 STARS = 2
+PIVOTS = 6  # of each shingle and round
+PARTNERS = 3  # of each group and round
 STEP = 1.06  # of size classes
+BROADCAST_IDS = 500_000
+BLOCK_NODES = 400
 _LAST = np.int64(1 << 62)
 
 
@@ -123,12 +128,33 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "nid long, s array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity."""
-    one = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return two.where(shared * T_DEN >= T_NUM * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity. The sets are made of the texts that the pairs name:
+    their ids are broadcast while they are at most BROADCAST_IDS, else dealt like the texts."""
+    pairs = cut(pairs.distinct())
+    named = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+    reps = cut(nodes.join(named, "nid", "left_semi").select("rep").distinct())
+    many = reps.count()
+    if not many:
+        return pairs
+    side = F.broadcast(reps) if many <= BROADCAST_IDS else reps.hint("shuffle_hash")
+    sets = cut(whole_sets(docs.join(side, F.col("doc_id") == F.col("rep"), "left_semi")))
+    # Pairs by blocks of nodes: a set goes to each block pair that names it once, however many pairs it has there.
+    blocks = max(1, many // BLOCK_NODES)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = pairs.select("a", "b", block("a").alias("p"), block("b").alias("q"))
+    needed = dealt.select("p", "q", F.explode(F.array("a", "b")).alias("nid")).distinct().join(sets, "nid").toDF("nid", "p2", "q2", "s")
+
+    def similar(key: tuple, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(held["nid"], held["s"], strict=True))
+        keep = []
+        for x, y in zip(own["a"], own["b"], strict=True):
+            u, v = known.get(x), known.get(y)
+            n = 0 if u is None or v is None else len(np.intersect1d(u, v, assume_unique=True))
+            keep.append(n > 0 and n * T_DEN >= T_NUM * (len(u) + len(v) - n))
+        return own.loc[keep, ["a", "b"]]
+
+    return dealt.groupBy("p", "q").cogroup(needed.groupBy("p2", "q2")).applyInPandas(similar, "a long, b long")
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,18 +200,14 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key")
     shared = cut(keys.join(many, "key"))
 
-    # Groups that may have a partner, and the whole sets of their members.
-    groups = nodes.groupBy("gid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("members"))
+    # Groups that may have a partner.
+    groups = nodes.groupBy("gid").agg(F.first("n").alias("n"))
     hopeful = cut(_hopeful(shared, groups))
     shared = cut(shared.join(hopeful, "gid", "left_semi"))
-    touched = hopeful.union(groups.where("members > 1").select("gid")).distinct()
-    wanted = nodes.join(touched, "gid", "left_semi").select("rep").distinct()
-    sets = cut(whole_sets(docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")))
-
     # Members with the first of their group.
     first = nodes.groupBy("gid").agg(F.min("nid").alias("a"))
     pairs = nodes.select("gid", F.col("nid").alias("b")).join(first, "gid").where("a <> b").select("a", "b")
-    nodes = _relabel(nodes, verified(pairs, sets))
+    nodes = _relabel(nodes, verified(docs, nodes, pairs))
 
     def units() -> DataFrame:
         """The shared shingles of each group and component, where a shingle is in several components."""
@@ -206,12 +228,13 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
         held = units()
         if held.isEmpty():
             break
-        by = F.struct(F.xxhash64(F.col("nid"), F.lit(turn)).alias("h"), "nid", "n", "comp")
-        stars = held.groupBy("key").agg(F.min(by).alias("star"))
-        near = held.join(stars, "key").select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("star.nid").alias("a"), F.col("star.n").alias("na"), F.col("star.comp").alias("ca"))
-        near = near.where((F.col("ca") != F.col("cb")) & (F.col("na") * T_DEN >= F.col("nb") * T_NUM) & (F.col("nb") * T_DEN >= F.col("na") * T_NUM))
-        most_named = near.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-        nodes = _relabel(nodes, verified(most_named.select("a", "b"), sets))
+        by = lambda k: F.struct(F.xxhash64(F.col("nid"), F.lit(turn * PIVOTS + k)).alias("h"), "nid", "n", "comp")
+        stars = held.groupBy("key").agg(F.array_distinct(F.array(*[F.min(by(k)) for k in range(PIVOTS)])).alias("stars"))
+        other = lambda x: (x["comp"] != F.col("comp")) & (x["n"] * T_DEN >= F.col("n") * T_NUM) & (F.col("n") * T_DEN >= x["n"] * T_NUM)
+        near = held.join(stars, "key").select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.explode(F.array_distinct(F.transform(F.filter("stars", other), lambda x: x["nid"]))).alias("a"))
+        named = near.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"), F.first("nb").alias("nb")).where(F.col("c") * 20 >= F.col("nb") * (T_DEN - T_NUM) / T_DEN)
+        best = named.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "a")), False), 1, PARTNERS).alias("best"))
+        nodes = _relabel(nodes, verified(docs, nodes, best.select(F.explode("best.a").alias("a"), "b")))
 
     # All pairs that are left between components.
     held = units()
@@ -224,7 +247,7 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     split = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
     torn = member.join(split, "gid")
     within = torn.alias("x").join(torn.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
-    nodes = _relabel(nodes, verified(pairs.union(within), sets))
+    nodes = _relabel(nodes, verified(docs, nodes, pairs.union(within)))
 
     least_id = nodes.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = nodes.select("nid", "comp").join(least_id, "comp").select("nid", "component_id")
