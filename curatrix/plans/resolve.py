@@ -155,7 +155,7 @@ def resolve_items(items: DataFrame, library: DataFrame, policy: str = "skip", du
     b = met.join(comp, met["k"] == comp["node"]).select("component", F.lit(True).alias("lib"), F.lit(None).cast("long").alias("seq"), F.col("path").alias("source"), F.lit(None).cast("string").alias("destination"), "digest", F.lit(None).cast("string").alias("policy"), F.lit(None).cast("string").alias("duplicate_action")).distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lib, own = pdf[pdf["lib"]], pdf[~pdf["lib"]].sort_values("seq")
+        lib, own = pdf[pdf["lib"]], pdf[~pdf["lib"]].astype({"seq": "int64"}).sort_values("seq")
         taken = {p.lower(): (p, d) for p, d in zip(lib["source"], lib["digest"], strict=True)}
         rows = resolve_in_order(own.to_dict("records"), taken)
         return pd.DataFrame(rows, columns=["seq", "source", "destination", "action", "backup", "conflict", "error"])

@@ -52,7 +52,8 @@ def weights(size: int, to: int) -> np.ndarray:
 
 
 def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    return np.einsum("yi,ijc,xj->yxc", weights(x.shape[0], height), x, weights(x.shape[1], width))
+    rows = np.tensordot(weights(x.shape[0], height), x, (1, 0))
+    return np.tensordot(rows, weights(x.shape[1], width), (1, 1)).transpose(0, 2, 1)
 
 
 def _cosines(n: int) -> np.ndarray:
