@@ -7,8 +7,13 @@ shingles and filtered by size and by that bound; what is left is expanded to the
 
 Only the components of the links are wanted, and a pair within one component needs no more work. So pairs are
 verified in rounds: members with their group's first; then, a few times, each group with those that most of its
-shingles name among their few first; at last every pair that is left between different components. The last round leaves out nothing,
-so the result is exact, and a family of near copies costs a star, not all its pairs.
+shingles name among their few pivots (those whose shingles are the most common, as an original's are, and some by hash); at
+last every pair that is left between different components. The last round leaves out nothing, so the result is exact, and a
+family of near copies costs a star, not all its pairs.
+
+In the last round, shingles that more than HOT groups have are joined apart. A pair with no other shingle in common must get
+its whole overlap from them, so their join keeps only sets that have enough of them, and sets outside the component that most of the shingle's
+groups are in; a pair with another one in common comes from the join of those, which is linear in the shingles.
 
 The order only affects the work. Frequent shingles are those with the most documents (at most FREQUENT of them).
 """
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.common import byte_view, cut, row_blocks, shingle_hashes, word_hashes
@@ -31,7 +36,8 @@ T_NUM, T_DEN = 75, 100
 FREQUENT = 300_000
 LEAST_FREQUENT = 24
 STARS = 2
-PIVOTS = 6  # of each shingle and round
+PIVOTS = 6  # of each shingle and round: half by score, half by hash
+HOT = 64
 PARTNERS = 3  # of each group and round
 STEP = 1.06  # of size classes
 BROADCAST_IDS = 500_000
@@ -57,7 +63,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FREQUENT) -> np.ndarray:
-    """Order keys of shingles that occur in the prefixes of many documents: at most `most`, whatever the size of the input."""
+    """Order keys of the shingles of many documents: at most `most`, whatever the size of the input."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -71,7 +77,7 @@ def frequent(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FREQUENT)
         size = 0
         for batch in batches:
             for _, s in document_sets(batch.column(0)):
-                kept.append((s[: prefix_size(len(s))] >> np.uint64(2)).astype(np.int64))
+                kept.append((s >> np.uint64(2)).astype(np.int64))
                 size += len(kept[-1])
                 if size > 4_000_000:
                     yield flush()
@@ -172,9 +178,9 @@ def _hopeful(shared: DataFrame, groups: DataFrame) -> DataFrame:
     that they need in common is taken over the sizes of the class, so no group with a partner is left out."""
     size_class = F.floor(F.log("n") / float(np.log(STEP))).cast("int")
     held = shared.join(groups.select("gid", "n"), "gid").withColumn("class", size_class)
-    at = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("groups")).withColumnRenamed("class", "other")
+    at = held.groupBy("key", "class").agg(F.count(F.lit(1)).alias("sharers")).withColumnRenamed("class", "other")
     reach = int(np.ceil(np.log(T_DEN / T_NUM) / np.log(STEP))) + 1
-    met = held.join(at, "key").where((F.abs(F.col("other") - F.col("class")) <= reach) & ((F.col("other") != F.col("class")) | (F.col("groups") > 1)))
+    met = held.join(at, "key").where((F.abs(F.col("other") - F.col("class")) <= reach) & ((F.col("other") != F.col("class")) | (F.col("sharers") > 1)))
     counts = met.groupBy("gid", "n", "other").agg(F.count(F.lit(1)).alias("common"))
     ratio = T_NUM / T_DEN
     lo, hi = F.greatest(F.pow(F.lit(STEP), F.col("other")) * 0.999, F.col("n") * ratio), F.least(F.pow(F.lit(STEP), F.col("other") + 1) * 1.001, F.col("n") / ratio)
@@ -197,7 +203,7 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     # Prefix shingles that more than one group has.
     # Dealt by the key once: the distinct rows, the counts and the join all keep that partitioning.
     keys = known.where(F.col("keys").isNotNull()).select("gid", F.explode("keys").alias("key")).repartition("key").distinct()
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key")
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
     shared = cut(keys.join(many, "key"))
 
     # Groups that may have a partner.
@@ -210,26 +216,32 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     nodes = _relabel(nodes, verified(docs, nodes, pairs))
 
     def units() -> DataFrame:
-        """The shared shingles of each group and component, where a shingle is in several components."""
+        """The shared shingles of each group and component, where a shingle is in several components; h: how many are hot."""
         unit = nodes.groupBy("gid", "comp").agg(F.min("nid").alias("nid"), F.first("n").alias("n"), F.first("last").alias("last"))
         held = shared.join(unit, "gid")
         mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return cut(held.join(mixed, "key"))
+        own = Window.partitionBy("nid")
+        heat = F.sum((F.col("groups") > HOT).cast("int")).over(own)
+        return cut(held.join(mixed, "key").select("*", heat.alias("h"), (F.sum(F.log2("groups")).over(own) / F.col("n")).alias("score")))
 
     fits = (F.col("x.n") * T_DEN >= F.col("y.n") * T_NUM) & (F.col("y.n") * T_DEN >= F.col("x.n") * T_NUM)
 
-    # The most of what two sets can share: prefix shingles in common, and the rest of the set whose prefix ends first.
-    def can(n_keys):
-        x_rest, y_rest = F.col("nx") - (F.col("nx") - F.ceil(F.col("nx") * T_NUM / T_DEN) + 1), F.col("ny") - (F.col("ny") - F.ceil(F.col("ny") * T_NUM / T_DEN) + 1)
-        rest = F.when(F.col("lx") < F.col("ly"), x_rest).when(F.col("lx") > F.col("ly"), y_rest).otherwise(F.least(x_rest, y_rest))
-        return (n_keys + rest) * (T_NUM + T_DEN) >= T_NUM * (F.col("nx") + F.col("ny"))
+    def can(n_keys: Column, nx: str = "nx", lx: str = "lx", ny: str = "ny", ly: str = "ly") -> Column:
+        """Whether two sets can be similar: at most they share n_keys prefix shingles and the rest of the set whose prefix ends first."""
+        nx, lx, ny, ly = (F.col(c) for c in (nx, lx, ny, ly))
+        x_rest, y_rest = F.ceil(nx * T_NUM / T_DEN) - 1, F.ceil(ny * T_NUM / T_DEN) - 1
+        rest = F.when(lx < ly, x_rest).when(lx > ly, y_rest).otherwise(F.least(x_rest, y_rest))
+        return (n_keys + rest) * (T_NUM + T_DEN) >= T_NUM * (nx + ny)
 
     for turn in range(STARS):
         held = units()
         if held.isEmpty():
             break
-        by = lambda k: F.struct(F.xxhash64(F.col("nid"), F.lit(turn * PIVOTS + k)).alias("h"), "nid", "n", "comp")
-        stars = held.groupBy("key").agg(F.array_distinct(F.array(*[F.min(by(k)) for k in range(PIVOTS)])).alias("stars"))
+        half = PIVOTS // 2
+        by = lambda order: F.struct(order.cast("double").alias("order"), "nid", "n", "comp")
+        chance = lambda k: F.xxhash64(F.col("nid"), F.lit(turn * PIVOTS + k))
+        first = [F.min(F.when(F.pmod(chance(0), F.lit(half)) == k, by(-F.col("score")))) for k in range(half)] + [F.min(by(chance(k))) for k in range(half, PIVOTS)]
+        stars = held.groupBy("key").agg(F.array_compact(F.array(*first)).alias("stars"))
         other = lambda x: (x["comp"] != F.col("comp")) & (x["n"] * T_DEN >= F.col("n") * T_NUM) & (F.col("n") * T_DEN >= x["n"] * T_NUM)
         near = held.join(stars, "key").select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.explode(F.array_distinct(F.transform(F.filter("stars", other), lambda x: x["nid"]))).alias("a"))
         named = near.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c"), F.first("nb").alias("nb")).where(F.col("c") * 20 >= F.col("nb") * (T_DEN - T_NUM) / T_DEN)
@@ -238,10 +250,20 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
 
     # All pairs that are left between components.
     held = units()
-    x, y = held.alias("x"), held.alias("y")
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-    counted = both.groupBy(*[F.col(f"{s}.{c}").alias(f"{t}{s}") for s in "xy" for c, t in (("gid", "g"), ("comp", "c"), ("n", "n"), ("last", "l"))]).agg(F.count(F.lit(1)).alias("shared"))
-    found = cut(counted.where(can(F.col("shared"))).select("gx", "cx", "gy", "cy"))
+    cold, hot = held.where(F.col("groups") <= HOT), held.where(F.col("groups") > HOT)
+    ends = [F.col(f"{s}.{c}").alias(f"{t}{s}") for s in "xy" for c, t in (("gid", "g"), ("comp", "c"), ("n", "n"), ("last", "l"), ("h", "h"))]
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & fits
+    either = F.least(F.col("x.h"), F.col("y.h"))
+    met = cold.alias("x").join(cold.alias("y"), apart & (F.col("x.gid") < F.col("y.gid")))
+    by_cold = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared")).where(can(F.col("shared") + F.least("hx", "hy")))
+    # Of two components at least one isn't the shingle's largest.
+    major = hot.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"))
+    hot = hot.join(major, "key")
+    minor = hot.where(F.col("comp") != F.col("major"))
+    once = (F.col("x.gid") != F.col("y.gid")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.gid") < F.col("y.gid")))
+    met = minor.alias("x").join(hot.alias("y"), apart & once & can(either, "x.n", "x.last", "y.n", "y.last"))
+    by_hot = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared")).where(can(F.col("shared")))
+    found = cut(by_cold.select("gx", "cx", "gy", "cy").union(by_hot.select("gx", "cx", "gy", "cy")))
     member = nodes.select("gid", "comp", "nid")
     pairs = found.join(member.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("nid").alias("a")), ["gx", "cx"]).join(member.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("nid").alias("b")), ["gy", "cy"]).select("a", "b")
     split = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
