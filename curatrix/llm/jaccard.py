@@ -253,17 +253,17 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     cold, hot = held.where(F.col("groups") <= HOT), held.where(F.col("groups") > HOT)
     ends = [F.col(f"{s}.{c}").alias(f"{t}{s}") for s in "xy" for c, t in (("gid", "g"), ("comp", "c"), ("n", "n"), ("last", "l"), ("h", "h"))]
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & fits
-    either = F.least(F.col("x.h"), F.col("y.h"))
     met = cold.alias("x").join(cold.alias("y"), apart & (F.col("x.gid") < F.col("y.gid")))
     by_cold = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared")).where(can(F.col("shared") + F.least("hx", "hy")))
     # Of two components at least one isn't the shingle's largest.
     major = hot.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("major"))
-    hot = hot.join(major, "key")
+    hot = hot.withColumn("rank", F.row_number().over(Window.partitionBy("nid").orderBy("key"))).join(major, "key")
     minor = hot.where(F.col("comp") != F.col("major"))
     once = (F.col("x.gid") != F.col("y.gid")) & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.gid") < F.col("y.gid")))
-    met = minor.alias("x").join(hot.alias("y"), apart & once & can(either, "x.n", "x.last", "y.n", "y.last"))
-    by_hot = met.groupBy(*ends).agg(F.count(F.lit(1)).alias("shared")).where(can(F.col("shared")))
-    found = cut(by_cold.select("gx", "cx", "gy", "cy").union(by_hot.select("gx", "cx", "gy", "cy")))
+    # At the first hot shingle that a pair shares, it can share only this and those after it in either set.
+    ahead = F.least(F.col("x.h") - F.col("x.rank"), F.col("y.h") - F.col("y.rank")) + 1
+    by_hot = minor.alias("x").join(hot.alias("y"), apart & once & can(ahead, "x.n", "x.last", "y.n", "y.last")).select(*ends)
+    found = cut(by_cold.select("gx", "cx", "gy", "cy").union(by_hot.select("gx", "cx", "gy", "cy")).distinct())
     member = nodes.select("gid", "comp", "nid")
     pairs = found.join(member.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("nid").alias("a")), ["gx", "cx"]).join(member.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("nid").alias("b")), ["gy", "cy"]).select("a", "b")
     split = nodes.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
