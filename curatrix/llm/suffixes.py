@@ -1,11 +1,13 @@
 """Removal of long repeated byte strings, by suffix groups.
 
-Every window of LENGTH bytes is assigned to its anchor: the 64-byte string in it with the least hash. Equal windows have
-equal anchors, so windows are compared only among the documents that share an anchor. For anchors of up to MOST_SHARERS
-texts, the suffixes of the texts around them are sorted by the linear grouping construction: suffixes are grouped by
-their longest Lyndon prefix, found with pointers to the next smaller suffix; the groups are put in order, and each
+Every window of LENGTH bytes is assigned to its anchor: the 64-byte string in it with the least hash. The windows of one
+anchor are parted by where the anchor stands in them; those of one part have a core of 232 bytes in common. Equal windows
+have equal cores, so windows are compared only among the stretches of text that share a core. Stretches that are equal as
+a whole are found by their hashes and need no comparison; one of each different kind goes on. For cores of up to
+MOST_SHARERS kinds, the suffixes of these stretches are sorted by the linear grouping construction: suffixes are grouped
+by their longest Lyndon prefix, found with pointers to the next smaller suffix; the groups are put in order, and each
 group's own order is emitted from that of the suffixes its pointers lead to, with no recursion or renaming. Windows that
-are equal then stand side by side. For more common anchors the windows are dealt by their hash instead, so that no task
+are equal then stand side by side. For more common cores the windows are dealt by their hash instead, so that no task
 gets a whole group.
 """
 
@@ -19,21 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import _power_tables, byte_view, cut, mix
+from curatrix.llm.common import BASE, _power_tables, byte_view, cut, mix
 
 LENGTH = 400
 GRAM = 64
+PARTS = 2
 MOST_SHARERS = 48
+BROADCAST_IDS = 500_000
 BLOCK = 1 << 20
 
 
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of the bytes before each place, and what brings the sum of a string to the same scale."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each string of so many bytes."""
-    n = len(data)
-    up, down = _power_tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
+    sums, down = _sums(data)
+    return mix((sums[size:] - sums[:-size]) * down[: len(sums) - size])
 
 
 def least_in_window(h: np.ndarray, w: int) -> np.ndarray:
@@ -46,21 +55,33 @@ def least_in_window(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(hash, first start, last start) of the windows that each anchor has, in order."""
-    out, w = [], length - gram + 1
+def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
+    """Columns core, whole, first, last: the windows that start from first to last have one anchor and are of one part;
+    the hashes of what all of that part have in common, and of the bytes from first to the end of the last window."""
+    w = length - gram + 1
     for lo in range(0, len(data) - length + 1, BLOCK):
-        h = gram_hashes(data[lo : lo + BLOCK + length - 1], gram)
+        part = data[lo : lo + BLOCK + length - 1]
+        sums, down = _sums(part)
+        h = mix((sums[gram:] - sums[:-gram]) * down[: len(sums) - gram])
         least = least_in_window(h, w)
         ends = np.flatnonzero(np.append(least[1:] != least[:-1], True))
-        i = 0
+        runs, i = [], 0
         for j in ends.tolist():
             while i <= j:  # equal hashes within reach: each has the windows up to it
                 p = i + int(h[i : i + w].argmin())
-                last = min(p, j)
-                out.append((int(least[i]), lo + i, lo + last))
-                i = last + 1
-    return out
+                runs.append((p, i, min(p, j)))
+                i = runs[-1][2] + 1
+        p, i, j = np.array(runs, np.int64).T
+        for k in range(PARTS):
+            near, far = -(-k * w // PARTS), -(-(k + 1) * w // PARTS) - 1  # from the window's start to the anchor
+            first, last = np.maximum(i, p - far), np.minimum(j, p - near)
+            has = first <= last
+            first, last, at = first[has], last[has], p[has]
+
+            def hashes(a: np.ndarray, b: np.ndarray, salt: int, sums: np.ndarray = sums, down: np.ndarray = down) -> np.ndarray:
+                return mix(mix((sums[b] - sums[a]) * down[a]) ^ (b - a + salt).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
+
+            yield np.stack([hashes(at - near, at - far + length, k << 32), hashes(first, last + length, 0), lo + first, lo + last])
 
 
 def suffix_order(s: str) -> list[int]:
@@ -122,25 +143,23 @@ def repeated_starts(texts: list[bytes], starts: list[int], length: int = LENGTH)
     return out
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
+def _stretch_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = set()
         for batch in batches:
             data, off = byte_view(batch.column(1))
-            d, a, lo, hi = [], [], [], []
+            found = [np.zeros((5, 0), np.int64)]
             for k, text in enumerate(batch.column(0).to_pylist()):
                 if off[k + 1] - off[k] < LENGTH or text in given:
                     continue
                 if len(given) < 200_000:
                     given.add(text)
-                for h, i, j in anchors(data[off[k] : off[k + 1]]):
-                    d.append(text)
-                    a.append(h - (1 << 64) if h >> 63 else h)
-                    lo.append(i)
-                    hi.append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["a", "d", "lo", "hi"])
+                for x in stretches(data[off[k] : off[k + 1]]):
+                    found.append(np.concatenate([x, np.full((1, x.shape[1]), text)]))
+            core, whole, first, last, d = np.concatenate(found, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "lo", "more"])
 
-    return docs.select("d", "text").mapInArrow(run, "a long, d long, lo long, hi long").distinct()
+    return docs.select("d", "text").mapInArrow(run, "core long, whole long, d long, lo long, more short")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -151,44 +170,36 @@ def _contexts(docs: DataFrame) -> DataFrame:
             for k, (d, told) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 x = data[off[k] : off[k + 1]]
                 for t in told:
-                    rows.append((t["a"], t["n"], d, t["lo"], t["hi"] - t["lo"] + 1, x[t["lo"] : t["hi"] + LENGTH].tobytes()))
+                    rows.append((t["core"], t["n"], t["sure"], d, t["lo"], t["more"] + 1, x[t["lo"] : t["lo"] + t["more"] + LENGTH].tobytes()))
                     if len(rows) == 20_000:
                         yield _context_batch(rows)
                         rows = []
             yield _context_batch(rows)
 
-    return docs.select("d", "text", "told").mapInArrow(run, "a long, n long, d long, lo long, starts long, context binary")
+    return docs.select("d", "text", "told").mapInArrow(run, "core long, n long, sure boolean, d long, lo long, starts long, context binary")
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = (pa.int64(),) * 5 + (pa.binary(),)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "n", "d", "lo", "starts", "context"])
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["core", "n", "sure", "d", "lo", "starts", "context"])
 
 
 def _by_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: the spans of each anchor's texts that another has too."""
+    """Rows sorted by core: the spans of each core's different stretches that another has too."""
     out: list[tuple[int, int, int]] = []
 
-    def settle(group: list[tuple]) -> None:
-        same: dict[tuple, list[tuple]] = {}
-        for r in group:
-            same.setdefault((r["context"], r["starts"]), []).append(r)
-        keys = list(same)
-        if any(len(same[k]) == 1 for k in keys) and len(keys) > 1:
-            spans = repeated_starts([k[0] for k in keys], [k[1] for k in keys])
-        else:
-            spans = [None] * len(keys)
-        for k, span in zip(keys, spans, strict=True):
-            if len(same[k]) > 1:
-                span = (0, k[1] - 1)
-            if span:
-                out.extend((r["d"], r["lo"] + span[0], r["lo"] + span[1] + LENGTH) for r in same[k])
+    def settle(group: list[dict]) -> None:
+        if all(r["sure"] for r in group):
+            return
+        for r, span in zip(group, repeated_starts([r["context"] for r in group], [r["starts"] for r in group]), strict=True):
+            if span and not r["sure"]:
+                out.append((r["d"], r["lo"] + span[0], r["lo"] + span[1] + LENGTH))
 
     group: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
-            if group and group[0]["a"] != r["a"]:
+            if group and group[0]["core"] != r["core"]:
                 settle(group)
                 group = []
             group.append(r)
@@ -226,16 +237,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     others; an empty table gives no rows, and other columns are left out."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("d", F.xxhash64("text"))
     texts = cut(rows.groupBy("d").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
-    found = cut(_anchor_rows(rows))
-    many = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    told = found.join(many, "a").groupBy("d").agg(F.collect_list(F.struct("a", "n", "lo", "hi")).alias("told")).join(texts, "d").select(F.col("d").alias("_d"), "rep", "told")
-    held = cut(_contexts(rows.join(told.hint("shuffle_hash"), (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("rep")))))
-
-    few = held.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("a").sortWithinPartitions("a").mapInArrow(_by_suffixes, "d long, first long, last long")
-    windows = cut(held.where(F.col("n") > MOST_SHARERS).select("d", "lo", "starts", "context").mapInArrow(_windows, "h long, d long, s long"))
-    twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    common = windows.join(twice, "h", "left_semi").select("d", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
-    spans = cut(few.unionByName(common).distinct())
+    found = cut(_stretch_rows(rows))
+    # Rows of one text come from each task that has a copy of it, so places are compared, not counted.
+    here = F.xxhash64("d", "lo")
+    twice = lambda df, *by: df.groupBy(*by).agg(F.min(here).alias("x"), F.max(here).alias("y"))
+    held = cut(found.join(twice(found, "core").where("x <> y").select("core"), "core", "left_semi"))
+    kinds = cut(held.groupBy("core", "whole").agg(F.min(here).alias("x"), F.max(here).alias("y"), F.min_by(F.struct("d", "lo", "more"), here).alias("one")))
+    equal = held.join(kinds.where("x <> y").select("core", "whole"), ["core", "whole"], "left_semi").select("d", F.col("lo").alias("first"), (F.col("lo") + F.col("more") + LENGTH).alias("last"))
+
+    # One stretch of each kind, where a core has several kinds and not all are known to be repeated.
+    many = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x") == F.col("y")).alias("open")).where("n > 1 and open")
+    one = kinds.join(many, "core").select("core", "n", (F.col("x") != F.col("y")).alias("sure"), "one.*")
+    told = cut(one.groupBy("d").agg(F.collect_list(F.struct("core", "n", "sure", "lo", "more")).alias("told")).join(texts, "d").select(F.col("d").alias("_d"), "rep", "told"))
+    reps = told.select("rep").where("rep is not null").distinct()
+    named = rows
+    if reps.count() <= BROADCAST_IDS and not told.where("rep is null").count():
+        named = rows.join(F.broadcast(reps), F.col("doc_id") == F.col("rep"), "left_semi")
+    kept = cut(_contexts(named.join(told.hint("shuffle_hash"), (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("rep")))))
+
+    few = kept.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("core").sortWithinPartitions("core").mapInArrow(_by_suffixes, "d long, first long, last long")
+    windows = cut(kept.where(F.col("n") > MOST_SHARERS).select("d", "lo", "starts", "context").mapInArrow(_windows, "h long, d long, s long"))
+    seen = windows.groupBy("h").agg(F.min(F.xxhash64("d", "s")).alias("x"), F.max(F.xxhash64("d", "s")).alias("y")).where("x <> y").select("h")
+    common = windows.join(seen, "h", "left_semi").select("d", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
+    spans = cut(equal.unionByName(few).unionByName(common).distinct())
     by_text = spans.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).join(texts.where("copies > 1").select("d", "copies"), "d", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
