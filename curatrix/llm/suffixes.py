@@ -7,8 +7,8 @@ a whole are found by their hashes and need no comparison; one of each different
 MOST_SHARERS kinds, the suffixes of these stretches are sorted by the linear grouping construction: suffixes are grouped
 by their longest Lyndon prefix, found with pointers to the next smaller suffix; the groups are put in order, and each
 group's own order is emitted from that of the suffixes its pointers lead to, with no recursion or renaming. Windows that
-are equal then stand side by side. For more common cores the windows are dealt by their hash instead, so that no task
-gets a whole group.
+are equal then stand side by side. More common cores' stretches are parted more finely in the same way, and only windows of
+fine parts that are shared but not equal as a whole are left; they are dealt by their hash, so that no task gets a whole group.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from curatrix.llm.common import BASE, _power_tables, byte_view, cut, mix
 
 LENGTH = 400
 GRAM = 64
-PARTS = 2
+PARTS, FINE_PARTS = 2, 32
 MOST_SHARERS = 48
 BROADCAST_IDS = 500_000
 BLOCK = 1 << 20
@@ -55,6 +55,19 @@ def least_in_window(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def parted(sums: np.ndarray, down: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, parts: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
+    """The windows from i to j, whose anchor is at p, by where it stands in them: columns as of stretches."""
+    w = length - gram + 1
+    hashes = lambda a, b, salt: mix(mix((sums[b] - sums[a]) * down[a]) ^ (b - a + salt).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
+    for k in range(parts):
+        near, far = -(-k * w // parts), -(-(k + 1) * w // parts) - 1  # from the window's start to the anchor
+        first, last = np.maximum(i, p - far), np.minimum(j, p - near)
+        has = first <= last
+        if has.any():
+            first, last, at = first[has], last[has], p[has]
+            yield np.stack([hashes(at - near, at - far + length, k << 32), hashes(first, last + length, 0), first, last])
+
+
 def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[np.ndarray]:
     """Columns core, whole, first, last: the windows that start from first to last have one anchor and are of one part;
     the hashes of what all of that part have in common, and of the bytes from first to the end of the last window."""
@@ -71,17 +84,9 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Itera
                 p = i + int(h[i : i + w].argmin())
                 runs.append((p, i, min(p, j)))
                 i = runs[-1][2] + 1
-        p, i, j = np.array(runs, np.int64).T
-        for k in range(PARTS):
-            near, far = -(-k * w // PARTS), -(-(k + 1) * w // PARTS) - 1  # from the window's start to the anchor
-            first, last = np.maximum(i, p - far), np.minimum(j, p - near)
-            has = first <= last
-            first, last, at = first[has], last[has], p[has]
-
-            def hashes(a: np.ndarray, b: np.ndarray, salt: int, sums: np.ndarray = sums, down: np.ndarray = down) -> np.ndarray:
-                return mix(mix((sums[b] - sums[a]) * down[a]) ^ (b - a + salt).astype(np.uint64) * np.uint64(BASE)).view(np.int64)
-
-            yield np.stack([hashes(at - near, at - far + length, k << 32), hashes(first, last + length, 0), lo + first, lo + last])
+        for x in parted(sums, down, *np.array(runs, np.int64).T, PARTS, length, gram):
+            x[2:] += lo
+            yield x
 
 
 def suffix_order(s: str) -> list[int]:
@@ -215,18 +220,49 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "first", "last"])
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each stretch, known by d and its start at, by finer parts."""
+    for batch in batches:
+        found = [np.zeros((6, 0), np.int64)]
+        for r in batch.to_pylist():
+            x = np.frombuffer(r["context"], np.uint8)
+            sums, down = _sums(x)
+            p = gram_hashes(x[:LENGTH], GRAM).argmin()  # all windows of a stretch have this anchor
+            for part in parted(sums, down, np.array([p]), np.array([0]), np.array([r["starts"] - 1]), FINE_PARTS):
+                part[2:] += r["lo"]
+                found.append(np.concatenate([part, [[r["d"]], [r["lo"]]]]))
+        core, whole, first, last, d, at = np.concatenate(found, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(at), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "at", "lo", "more"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the parts that each stretch is told."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            h, d, s = [], [], []
-            for r in part.to_pylist():
-                own = gram_hashes(np.frombuffer(r["context"], np.uint8), LENGTH)[: r["starts"]]
-                h.append(own.view(np.int64))
-                d.append(np.full(len(own), r["d"]))
-                s.append(r["lo"] + np.arange(len(own)))
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, d, s)], names=["h", "d", "s"])
+        h, d, s = [], [], []
+        for r in batch.to_pylist():
+            own = gram_hashes(np.frombuffer(r["context"], np.uint8), LENGTH).view(np.int64)
+            for t in r["told"]:
+                k = t["lo"] - r["lo"]
+                h.append(own[k : k + t["more"] + 1])
+                d.append(np.full(len(h[-1]), r["d"]))
+                s.append(t["lo"] + np.arange(len(h[-1])))
+        if h:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, d, s)], names=["h", "d", "s"])
+
+
+def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows core, whole, d, lo, more: the distinct kinds (core and whole) of cores that are in several places, with x <> y where
+    such a kind is in several places too; the spans of all rows of those kinds; and cores with several kinds of which some are in one place."""
+    # Rows of one text come from each task that has a copy of it, so places are compared, not counted.
+    here = F.xxhash64("d", "lo")
+    # The small sides are written first: a join of two plain shuffles can be split where one core has very many rows.
+    places = rows.groupBy("core").agg(F.min(here).alias("x"), F.max(here).alias("y")).where("x <> y").select("core")
+    held = cut(rows.join(cut(places), "core", "left_semi"))
+    other = [F.col(c) for c in rows.columns if c not in ("core", "whole")]
+    kinds = cut(held.groupBy("core", "whole").agg(F.min(here).alias("x"), F.max(here).alias("y"), F.min_by(F.struct(*other), here).alias("one")))
+    equal = held.join(kinds.where("x <> y").select("core", "whole"), ["core", "whole"], "left_semi")
+    many = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x") == F.col("y")).alias("open")).where("n > 1 and open")
+    return kinds, equal.select("d", F.col("lo").alias("first"), (F.col("lo") + F.col("more") + LENGTH).alias("last")), cut(many.select("core", "n"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -237,16 +273,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     others; an empty table gives no rows, and other columns are left out."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("d", F.xxhash64("text"))
     texts = cut(rows.groupBy("d").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
-    found = cut(_stretch_rows(rows))
-    # Rows of one text come from each task that has a copy of it, so places are compared, not counted.
-    here = F.xxhash64("d", "lo")
-    twice = lambda df, *by: df.groupBy(*by).agg(F.min(here).alias("x"), F.max(here).alias("y"))
-    held = cut(found.join(twice(found, "core").where("x <> y").select("core"), "core", "left_semi"))
-    kinds = cut(held.groupBy("core", "whole").agg(F.min(here).alias("x"), F.max(here).alias("y"), F.min_by(F.struct("d", "lo", "more"), here).alias("one")))
-    equal = held.join(kinds.where("x <> y").select("core", "whole"), ["core", "whole"], "left_semi").select("d", F.col("lo").alias("first"), (F.col("lo") + F.col("more") + LENGTH).alias("last"))
-
+    kinds, equal, many = _shared(cut(_stretch_rows(rows)))
     # One stretch of each kind, where a core has several kinds and not all are known to be repeated.
-    many = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x") == F.col("y")).alias("open")).where("n > 1 and open")
     one = kinds.join(many, "core").select("core", "n", (F.col("x") != F.col("y")).alias("sure"), "one.*")
     told = cut(one.groupBy("d").agg(F.collect_list(F.struct("core", "n", "sure", "lo", "more")).alias("told")).join(texts, "d").select(F.col("d").alias("_d"), "rep", "told"))
     reps = told.select("rep").where("rep is not null").distinct()
@@ -256,10 +284,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kept = cut(_contexts(named.join(told.hint("shuffle_hash"), (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("rep")))))
 
     few = kept.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("core").sortWithinPartitions("core").mapInArrow(_by_suffixes, "d long, first long, last long")
-    windows = cut(kept.where(F.col("n") > MOST_SHARERS).select("d", "lo", "starts", "context").mapInArrow(_windows, "h long, d long, s long"))
+    common = kept.where(F.col("n") > MOST_SHARERS).select("d", "lo", "starts", "context")
+    kinds, alike, many = _shared(cut(common.mapInArrow(_finer, "core long, whole long, d long, at long, lo long, more short")))
+    open_parts = kinds.join(many, "core").groupBy(F.col("one.d").alias("d"), F.col("one.at").alias("at")).agg(F.collect_set(F.struct("one.lo", "one.more")).alias("told"))
+    left = common.dropDuplicates(["d", "lo"]).join(open_parts.withColumnRenamed("at", "lo"), ["d", "lo"])
+    windows = cut(left.select("d", "lo", "context", "told").mapInArrow(_windows, "h long, d long, s long"))
     seen = windows.groupBy("h").agg(F.min(F.xxhash64("d", "s")).alias("x"), F.max(F.xxhash64("d", "s")).alias("y")).where("x <> y").select("h")
-    common = windows.join(seen, "h", "left_semi").select("d", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
-    spans = cut(equal.unionByName(few).unionByName(common).distinct())
+    rest = windows.join(seen, "h", "left_semi").select("d", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
+    spans = cut(equal.unionByName(few).unionByName(alike).unionByName(rest).distinct())
     by_text = spans.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).join(texts.where("copies > 1").select("d", "copies"), "d", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,9 @@ def test_jaccard(docs, odd, empty):
     assert {r["doc_id"] for r in jaccard.keep_one(odd).collect()} == {1, 3, 4, 5, 6, 7, 9, None}
 
 
-def test_suffixes(docs, odd, empty):
+@pytest.mark.parametrize("most", [suffixes.MOST_SHARERS, 1])
+def test_suffixes(docs, odd, empty, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST_SHARERS", most)
     rng = random.Random(4)
     for s in ["banana", "mississippi", "aaaab", ""] + ["".join(rng.choice("ab") for _ in range(90)) for _ in range(20)]:
         assert suffixes.suffix_order(s) == sorted(range(len(s)), key=lambda i: s[i:])
