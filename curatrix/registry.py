@@ -45,17 +45,16 @@ def simple(name: str, of: str, f: Callable[[DataFrame], DataFrame], sql: str | N
     query(name, f"{with_views(of)} {sql}" if sql else None)(lambda s, d: f(view(s, d, of)))
 
 
-def _col(name: str):
-    return F.col(name)
+def _path():
+    """Made when a query is called: a column needs a session, and this module is imported without one."""
+    return F.col("path")
 
 
-P = _col("path")
-
 # ---- scalars
-simple("p1_path_parts", "inbox", lambda v: v.select("id", scalars.file_name(P).alias("name"), scalars.stem(P).alias("stem"), scalars.extension(P).alias("extension"), scalars.parent(P).alias("parent"), scalars.depth(P).cast("int").alias("depth"), scalars.relative_path(P, F.lit("/inbox")).alias("relative")),
+simple("p1_path_parts", "inbox", lambda v: v.select("id", scalars.file_name(_path()).alias("name"), scalars.stem(_path()).alias("stem"), scalars.extension(_path()).alias("extension"), scalars.parent(_path()).alias("parent"), scalars.depth(_path()).cast("int").alias("depth"), scalars.relative_path(_path(), F.lit("/inbox")).alias("relative")),
        rf"SELECT id, {NAME} AS name, regexp_extract({NAME}, '^(.+)\.[^.]*$', 1) AS stem, lower(regexp_extract({NAME}, '^.+\.([^.]*)$', 1)) AS extension, '/inbox' AS parent, 2 AS depth, substr(path, 8) AS relative FROM inbox")
 simple("p2_path_key", "catalog", lambda v: v.select(scalars.path_key(F.upper(F.translate("path", "/", "\\"))).alias("key")), "SELECT lower(path) AS key FROM catalog")
-simple("p3_breadcrumbs", "catalog", lambda v: v.select("doc_id", F.explode(scalars.breadcrumbs(P, F.lit("/lib"))).alias("b")).select("doc_id", "b.name", "b.path"),
+simple("p3_breadcrumbs", "catalog", lambda v: v.select("doc_id", F.explode(scalars.breadcrumbs(_path(), F.lit("/lib"))).alias("b")).select("doc_id", "b.name", "b.path"),
        "SELECT doc_id, 'lib' AS name, '/lib' AS path FROM catalog UNION ALL SELECT doc_id, source, '/lib/' || source FROM catalog UNION ALL SELECT doc_id, lang, '/lib/' || source || '/' || lang FROM catalog UNION ALL SELECT doc_id, 'doc-' || doc_id || '.txt', path FROM catalog")
 simple("p4_selected_date", "inbox", lambda v: v.select("id", scalars.selected_date(F.when(F.col("id") % 3 == 0, "created").when(F.col("id") % 3 == 1, "modified").otherwise("accessed"), F.col("created"), F.col("modified"), F.col("accessed")).alias("day"), scalars.local_day((F.col("id") - 700) * 86_400_000 + 5).alias("local_day")),
        "SELECT id, CASE id % 3 WHEN 0 THEN created WHEN 1 THEN modified ELSE accessed END AS day, CAST(DATE '1970-01-01' + CAST(id - 700 AS INT) AS DATE) AS local_day FROM inbox")
@@ -71,13 +70,13 @@ def p5(s, d):
     return v.select("page_id", mime.alias("mime"), source.alias("type_source"))
 
 
-simple("p6_classify_category", "inbox", lambda v: v.select("id", scalars.classify_category(F.when(F.col("id") % 3 == 0, "application/zip").when(F.col("id") % 3 == 1, "image/png"), scalars.extension(P)).alias("category")),
+simple("p6_classify_category", "inbox", lambda v: v.select("id", scalars.classify_category(F.when(F.col("id") % 3 == 0, "application/zip").when(F.col("id") % 3 == 1, "image/png"), scalars.extension(_path())).alias("category")),
        "SELECT id, CASE WHEN id % 3 = 0 THEN 'archive' WHEN id % 3 = 1 THEN 'image' WHEN id % 5 = 0 THEN 'document' WHEN id % 5 = 1 THEN 'image' WHEN id % 5 = 2 THEN 'video' WHEN id % 5 = 3 THEN 'archive' ELSE 'other' END AS category FROM inbox")
-simple("p7_media_kind", "inbox", lambda v: v.select("id", scalars.media_kind(scalars.extension(P)).alias("kind"), scalars.media_kind(scalars.extension(P), False).alias("image_only")),
+simple("p7_media_kind", "inbox", lambda v: v.select("id", scalars.media_kind(scalars.extension(_path())).alias("kind"), scalars.media_kind(scalars.extension(_path()), False).alias("image_only")),
        "SELECT id, CASE id % 5 WHEN 1 THEN 'image' WHEN 2 THEN 'video' END AS kind, CASE id % 5 WHEN 1 THEN 'image' END AS image_only FROM inbox")
-simple("p8_flags", "inbox", lambda v: v.select("id", scalars.is_temporary(scalars.file_name(P)).alias("temporary"), scalars.is_hidden(F.concat(F.when(F.col("id") % 4 == 0, ".").otherwise(""), scalars.file_name(P))).alias("hidden"), scalars.is_recovery(F.concat(F.when(F.col("id") % 6 == 0, "/x/.Recovery").otherwise("/x"), P)).alias("recovery")),
+simple("p8_flags", "inbox", lambda v: v.select("id", scalars.is_temporary(scalars.file_name(_path())).alias("temporary"), scalars.is_hidden(F.concat(F.when(F.col("id") % 4 == 0, ".").otherwise(""), scalars.file_name(_path()))).alias("hidden"), scalars.is_recovery(F.concat(F.when(F.col("id") % 6 == 0, "/x/.Recovery").otherwise("/x"), _path())).alias("recovery")),
        "SELECT id, id % 5 = 4 AS temporary, id % 4 = 0 AS hidden, id % 6 = 0 AS recovery FROM inbox")
-simple("p10_validate_name", "inbox", lambda v: v.select("id", scalars.validate_name(F.when(F.col("id") % 6 == 0, "con.txt").when(F.col("id") % 6 == 1, "a:b").when(F.col("id") % 6 == 2, "end.").when(F.col("id") % 6 == 3, F.repeat(F.lit("ñ"), 241)).otherwise(scalars.file_name(P))).alias("error")),
+simple("p10_validate_name", "inbox", lambda v: v.select("id", scalars.validate_name(F.when(F.col("id") % 6 == 0, "con.txt").when(F.col("id") % 6 == 1, "a:b").when(F.col("id") % 6 == 2, "end.").when(F.col("id") % 6 == 3, F.repeat(F.lit("ñ"), 241)).otherwise(scalars.file_name(_path()))).alias("error")),
        "SELECT id, CASE WHEN id % 6 < 4 THEN 'INVALID_NAME' END AS error FROM inbox")
 simple("p11_fold_text", "catalog", lambda v: v.select("doc_id", F.contains(scalars.fold_text("text"), F.lit("eau")).alias("has_eau"), F.contains(scalars.fold_text("text"), F.lit("ene")).alias("has_ene")),
        "SELECT doc_id, contains(strip_accents(lower(text)), 'eau') AS has_eau, contains(strip_accents(lower(text)), 'ene') AS has_ene FROM catalog")
@@ -111,7 +110,7 @@ simple("p20_valid_embedding", "media", lambda v: v.select("id", scalars.valid_em
 
 # ---- listing and filters
 simple("s2_list_folder", "catalog", lambda v: browse.list_folder(v, "/lib/src0/en").select("path", "size"), "SELECT path, size FROM catalog WHERE source = 'src0' AND lang = 'en'")
-simple("s3_scan_report", "inbox", lambda v: browse.scan_report(v.select("path", scalars.media_kind(scalars.extension(P)).alias("kind"), (F.col("id") % 9 != 0).alias("readable")), 100),
+simple("s3_scan_report", "inbox", lambda v: browse.scan_report(v.select("path", scalars.media_kind(scalars.extension(_path())).alias("kind"), (F.col("id") % 9 != 0).alias("readable")), 100),
        "SELECT least(count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0), 100) AS kept, count(*) FILTER (id % 5 NOT IN (1, 2)) AS skipped, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 = 0) AS unreadable, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0) > 100 AS truncated FROM inbox")
 simple("f1_filter_files", "catalog", lambda v: browse.filter_files(v.withColumns({"hidden": F.col("doc_id") % 5 == 0, "category": F.lit("document")}), "document", "DÓC-1", ".TXT", False, 2000).select("path", "size"),
        "SELECT path, size FROM catalog WHERE doc_id % 5 <> 0 AND path LIKE '%/doc-1%' AND size >= 2000")
@@ -122,21 +121,21 @@ simple("f3_filter_media", "media", lambda v: browse.filter_media(v.withColumns({
 simple("f4_visible_media", "media", lambda v: browse.visible_media(v.withColumns({"labels": F.array(F.struct("category")), "kind": F.lit("image")}), v.where("id % 5 = 0").select("id")).select("id"),
        "SELECT id FROM media WHERE id % 5 <> 0 AND NOT protected")
 simple("f5_select_media", "media", lambda v: browse.select_media(v, v.where("label = 2").select("id"), True).select("id"), "SELECT id FROM media WHERE label = 2 AND NOT protected")
-query("f6_review_queue", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT path, status FROM matched WHERE status = 'needs-review' AND path LIKE '%order-1%'")(lambda s, d: browse.review_queue(rules.match_rules(view(s, d, "inbox"), RULES).withColumn("name", scalars.file_name(P)), "Order-1").select("path", "status"))
+query("f6_review_queue", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT path, status FROM matched WHERE status = 'needs-review' AND path LIKE '%order-1%'")(lambda s, d: browse.review_queue(rules.match_rules(view(s, d, "inbox"), RULES).withColumn("name", scalars.file_name(_path())), "Order-1").select("path", "status"))
 
 
 def _roots(s: SparkSession, *r: str) -> DataFrame:
     return s.createDataFrame([(x,) for x in r], "root string")
 
 
-query("f7_in_scope", f"{with_views('tree')} SELECT path, CASE WHEN NOT (r_name = 'ASIA' OR n_name = 'NATION_1') THEN 'FOLDER_NOT_AUTHORIZED' END AS error FROM tree")(lambda s, d: browse.in_scope(view(s, d, "tree").select("path"), view(s, d, "tree").where("r_name = 'ASIA' or n_name = 'NATION_1'").select(scalars.parent(P).alias("root")).distinct()))
+query("f7_in_scope", f"{with_views('tree')} SELECT path, CASE WHEN NOT (r_name = 'ASIA' OR n_name = 'NATION_1') THEN 'FOLDER_NOT_AUTHORIZED' END AS error FROM tree")(lambda s, d: browse.in_scope(view(s, d, "tree").select("path"), view(s, d, "tree").where("r_name = 'ASIA' or n_name = 'NATION_1'").select(scalars.parent(_path()).alias("root")).distinct()))
 simple("f8_page", "media", lambda v: browse.page(v, [F.col("id")], 2).select("id"), "SELECT id FROM media ORDER BY id LIMIT 36 OFFSET 72")
 simple("f9_plan_issues", "journal", lambda v: browse.plan_issues(v.withColumns({"backup": F.col("kind") == "copy", "conflict": F.col("status") == "failed", "has_duplicates": F.col("bytes") > 40000})).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
        "SELECT CASE WHEN bytes > 40000 THEN 'identical-content' ELSE 'name-conflict' END AS kind, count(*) AS n FROM journal WHERE kind <> 'copy' AND (status = 'failed' OR bytes > 40000) GROUP BY 1")
-query("j17_attribute_root", f"{with_views('tree')} SELECT path, CASE WHEN n_name IN ('NATION_1', 'NATION_2') THEN '/' || r_name || '/' || n_name WHEN r_name = 'ASIA' THEN '/ASIA' END AS root FROM tree")(lambda s, d: browse.attribute_root(view(s, d, "tree").select("path"), view(s, d, "tree").where("n_name in ('NATION_1', 'NATION_2')").select(scalars.parent(P).alias("root")).distinct().union(_roots(s, "/ASIA"))))
+query("j17_attribute_root", f"{with_views('tree')} SELECT path, CASE WHEN n_name IN ('NATION_1', 'NATION_2') THEN '/' || r_name || '/' || n_name WHEN r_name = 'ASIA' THEN '/ASIA' END AS root FROM tree")(lambda s, d: browse.attribute_root(view(s, d, "tree").select("path"), view(s, d, "tree").where("n_name in ('NATION_1', 'NATION_2')").select(scalars.parent(_path()).alias("root")).distinct().union(_roots(s, "/ASIA"))))
 query("j14_remap_paths", f"{with_views('tree')} SELECT DISTINCT CASE WHEN r_name = 'ASIA' THEN '/moved' || substr(path, 6) ELSE path END AS path FROM tree")(lambda s, d: browse.remap_paths(view(s, d, "tree"), s.createDataFrame([("/ASIA", "/moved"), ("/ASIA/NATION_1", "/other")], "source string, target string")))
-query("u1_managed_roots", f"{with_views('catalog')} SELECT DISTINCT root FROM (SELECT '/lib/' || source AS root FROM catalog UNION ALL SELECT '/lib/' || source || '/' || lang FROM catalog)")(lambda s, d: browse.managed_roots(view(s, d, "catalog").select(scalars.parent(scalars.parent(P))), view(s, d, "catalog").select(scalars.parent(P))))
-query("u2_collapse_roots", f"{with_views('tree')} SELECT '/' || r_name || '/' || n_name AS root FROM tree WHERE r_name <> 'ASIA' GROUP BY 1 UNION ALL SELECT '/ASIA'")(lambda s, d: browse.collapse_roots(view(s, d, "tree").select(scalars.parent(P).alias("root")).union(_roots(s, "/ASIA", "/asia"))))
+query("u1_managed_roots", f"{with_views('catalog')} SELECT DISTINCT root FROM (SELECT '/lib/' || source AS root FROM catalog UNION ALL SELECT '/lib/' || source || '/' || lang FROM catalog)")(lambda s, d: browse.managed_roots(view(s, d, "catalog").select(scalars.parent(scalars.parent(_path()))), view(s, d, "catalog").select(scalars.parent(_path()))))
+query("u2_collapse_roots", f"{with_views('tree')} SELECT '/' || r_name || '/' || n_name AS root FROM tree WHERE r_name <> 'ASIA' GROUP BY 1 UNION ALL SELECT '/ASIA'")(lambda s, d: browse.collapse_roots(view(s, d, "tree").select(scalars.parent(_path()).alias("root")).union(_roots(s, "/ASIA", "/asia"))))
 simple("u3_distinct_files", "catalog", lambda v: browse.distinct_files(v.select("path", F.col("digest").alias("identity"))).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
        "SELECT CASE WHEN r = 1 THEN 'keep' ELSE 'skip' END AS action, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY digest ORDER BY path) AS r FROM catalog) GROUP BY 1")
 simple("u4_exclude", "media", lambda v: v.join(v.where("label < 4").select("id"), "id", "left_anti").select("id"), "SELECT id FROM media WHERE label >= 4")
@@ -281,13 +280,13 @@ simple("w4_recent_examples", "media", lambda v: media.recent_examples(v.select("
        "SELECT id FROM (SELECT id FROM media ORDER BY id DESC LIMIT 300) WHERE id % 2 = 0 ORDER BY id DESC LIMIT 100")
 simple("a14_gallery_counts", "media", lambda v: media.gallery_counts(v.withColumn("corrected", F.col("id") % 8 == 0), v.where("id % 5 = 0").select("id")),
        "SELECT count(*) FILTER (protected) AS protected, count(*) FILTER (id % 5 = 0) AS excluded, count(*) FILTER (NOT protected AND id % 5 <> 0) AS removable, count(*) FILTER (id % 8 = 0) AS corrected FROM media")
-simple("w8_natural_key", "inbox", lambda v: v.select("path", F.rank().over(Window.partitionBy(scalars.extension(P)).orderBy(scalars.natural_key(scalars.file_name(P)))).cast("long").alias("place")),
+simple("w8_natural_key", "inbox", lambda v: v.select("path", F.rank().over(Window.partitionBy(scalars.extension(_path())).orderBy(scalars.natural_key(scalars.file_name(_path())))).cast("long").alias("place")),
        "SELECT path, rank() OVER (PARTITION BY id % 5 ORDER BY id) AS place FROM inbox")
 
 # ---- plans
 simple("j5_destination_conflicts", "journal", lambda v: (lambda o: resolve.destination_conflicts(o, o.where("seq % 10 = 0").select(F.col("destination").alias("path"))).select("seq", "conflict"))(v.select((F.col("operation_id") * 1000 + F.col("sequence")).alias("seq"), F.lower("destination").alias("destination"))),
        "SELECT seq, seq > min(seq) OVER (PARTITION BY destination) OR destination IN (SELECT destination FROM (SELECT operation_id * 1000 + sequence AS seq, destination FROM journal) WHERE seq % 10 = 0) AS conflict FROM (SELECT operation_id * 1000 + sequence AS seq, destination FROM journal)")
-simple("j16_apply_resolutions", "inbox", lambda v: resolve.apply_resolutions(v.select("id", P.alias("source")), v.where("id % 6 = 0").select(P.alias("source"), F.lit("replace").alias("policy"), F.when(F.col("id") % 12 == 0, "nonsense").otherwise("keep-both").alias("duplicate_action")), "skip", "skip").select("id", "policy", "duplicate_action", "error"),
+simple("j16_apply_resolutions", "inbox", lambda v: resolve.apply_resolutions(v.select("id", _path().alias("source")), v.where("id % 6 = 0").select(_path().alias("source"), F.lit("replace").alias("policy"), F.when(F.col("id") % 12 == 0, "nonsense").otherwise("keep-both").alias("duplicate_action")), "skip", "skip").select("id", "policy", "duplicate_action", "error"),
        "SELECT id, CASE WHEN id % 6 = 0 THEN 'replace' ELSE 'skip' END AS policy, CASE WHEN id % 12 = 0 THEN 'nonsense' WHEN id % 6 = 0 THEN 'keep-both' ELSE 'skip' END AS duplicate_action, CASE WHEN id % 12 = 0 THEN 'INVALID_TRANSFER' END AS error FROM inbox")
 simple("w7_available_name", "inbox", lambda v: resolve.available_names(v.select(F.concat(F.lit("/t/f"), (F.col("id") % 50).cast("string"), F.lit(".txt")).alias("target"), F.col("id").alias("seq")), v.where("id % 50 < 25 and id < 100").select(F.concat(F.lit("/t/f"), (F.col("id") % 50).cast("string"), F.lit(" ("), (F.floor(F.col("id") / 50) * 2 + 1).cast("string"), F.lit(").txt")).alias("path"))).select("target", "seq", "available"),
        "SELECT '/t/f' || id % 50 || '.txt' AS target, id AS seq, '/t/f' || id % 50 || ' (' || CASE WHEN id % 50 >= 25 THEN k WHEN k = 1 THEN 2 ELSE k + 2 END || ').txt' AS available FROM (SELECT id, row_number() OVER (PARTITION BY id % 50 ORDER BY id) AS k FROM inbox)")
@@ -296,7 +295,7 @@ simple("w7_available_name", "inbox", lambda v: resolve.available_names(v.select(
 @query("b2_plan_transfer", f"{with_views('tree')}, d AS (SELECT DISTINCT r_name, n_name FROM tree WHERE r_name = 'ASIA') SELECT 1 AS phase, 0 AS \"order\", path, '/new' || path AS target, 'move' AS action, NULL::VARCHAR AS error FROM tree WHERE r_name = 'ASIA' UNION ALL SELECT 0, 2, '/ASIA/' || n_name, '/new/ASIA/' || n_name, 'mkdir', NULL FROM d UNION ALL SELECT 2, -2, '/ASIA/' || n_name, '/new/ASIA/' || n_name, 'rmdir', NULL FROM d UNION ALL SELECT DISTINCT 0, 1, '/ASIA', '/new/ASIA', 'mkdir', NULL FROM d UNION ALL SELECT DISTINCT 2, -1, '/ASIA', '/new/ASIA', 'rmdir', NULL FROM d")
 def b2(s, d):
     t = view(s, d, "tree").select("path")
-    dirs = t.select(F.explode(scalars.ancestors(P, itself=False)).alias("path")).distinct().withColumn("is_dir", F.lit(True))
+    dirs = t.select(F.explode(scalars.ancestors(_path(), itself=False)).alias("path")).distinct().withColumn("is_dir", F.lit(True))
     return resolve.plan_transfer(t.withColumn("is_dir", F.lit(False)).union(dirs), s.createDataFrame([("/ASIA",), ("/ASIA/NATION_1",)], "path string"), "/new")
 
 
@@ -304,7 +303,7 @@ def b2(s, d):
 def b3(s, d):
     v = view(s, d, "inbox")
     target = F.concat(F.lit("/t/"), (F.col("id") % 700).cast("string"), F.lit(".txt"))
-    items = v.select(F.col("id").alias("seq"), P.alias("source"), target.alias("destination"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    items = v.select(F.col("id").alias("seq"), _path().alias("source"), target.alias("destination"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
     library = v.where("id % 700 % 3 = 0").select(target.alias("path"), F.lit("other").alias("digest")).distinct()
     return resolve.resolve_items(items, library, "keep-both").select("seq", "destination", "action", "conflict")
 
