@@ -226,7 +226,7 @@ simple("w2_progress", "journal", lambda v: journal.progress(v), "SELECT operatio
 query("w5_recent_operations", f"{with_views('journal', 'operations')} SELECT o.operation_id, o.created_at, string_agg(status, ',' ORDER BY sequence) AS statuses FROM (SELECT * FROM operations ORDER BY created_at DESC, operation_id DESC LIMIT 100) o LEFT JOIN journal j USING (operation_id) GROUP BY 1, 2")(lambda s, d: journal.recent_operations(view(s, d, "operations"), view(s, d, "journal")))
 query("j12_incomplete_operations", f"{with_views('journal', 'operations')} SELECT operation_id, created_at FROM operations WHERE operation_id IN (SELECT operation_id FROM journal WHERE status = 'planned')")(lambda s, d: journal.incomplete_operations(view(s, d, "operations"), view(s, d, "journal")))
 query("j13_pending_references", f"{with_views('journal', 'operations')} SELECT operation_id, created_at FROM operations WHERE operation_id IN (SELECT operation_id FROM journal WHERE entry_kind = 'folder' AND status IN ('completed', 'undone')) AND operation_id % 3 <> 0")(lambda s, d: journal.pending_reference_changes(view(s, d, "operations"), view(s, d, "journal").withColumn("kind", F.when(F.col("entry_kind") == "folder", "rmdir").otherwise(F.col("kind"))), view(s, d, "operations").where("operation_id % 3 = 0").select("operation_id")))
-simple("j15_detect_drift", "catalog", lambda v: (lambda w: journal.detect_drift(w, w.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("digest")))))(v.withColumns({"modified_at": F.col("doc_id"), "identity": P})),
+simple("j15_detect_drift", "catalog", lambda v: (lambda w: journal.detect_drift(w, w.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("digest")))))(v.withColumns({"modified_at": F.col("doc_id"), "identity": _path()})),
        "SELECT path, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'FILE_CHANGED' END AS error FROM catalog")
 query("b8_plan_undo", f"{with_views('journal')} SELECT operation_id, sequence, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC)::INT AS undo_order, CASE WHEN kind = 'copy' THEN '.recovery/' || destination ELSE source END AS undo_to, CASE WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 3 = 0 THEN 'FILE_CHANGED' END AS error FROM journal WHERE status = 'completed'")(lambda s, d: journal.plan_undo(view(s, d, "journal"), view(s, d, "journal").where("cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % 3 <> 0").select(F.col("destination").alias("path"), "digest").distinct()))
 query("b9_recover_journal", f"{with_views('journal')} SELECT operation_id, sequence, 'failed' AS status, 'INTERRUPTED_OPERATION' AS error FROM journal WHERE status = 'planned' UNION ALL SELECT operation_id, sequence, CASE WHEN entry_kind = 'folder' THEN 'recovery-required' WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN 'completed' ELSE 'recovery-required' END, CASE WHEN entry_kind <> 'folder' AND split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN NULL ELSE 'INTERRUPTED_OPERATION' END FROM journal WHERE status = 'failed'")(lambda s, d: journal.recover_journal(view(s, d, "journal").withColumn("status", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status"))), view(s, d, "journal").where("cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % 2 = 0").select(F.col("destination").alias("path"), "digest").distinct()))
