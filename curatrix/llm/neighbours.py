@@ -2,12 +2,15 @@
 
 Nearness is the largest inner product. Vectors get one more component, so that all have the same length and the nearest
 by distance is the one with the largest inner product; equal vectors are one node with its smallest ids. Shards are
-dealt by a hash of the vector; each query block visits every shard, and the shards' best are merged by query.
+dealt by a hash of the vector and each one's graph is built once, as a row of flat arrays. Queries are dealt into blocks
+of about BLOCK_ROWS; each block visits every shard: a task gets the shard's graph, then streams the block's queries over
+it in Arrow batches, so that it holds one graph and one batch. The shards' best are merged by query.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ BUILD = 64
 SEARCH = 120
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
+BLOCK_ROWS = 65_536
 
 
 class Graph:
@@ -122,6 +126,24 @@ class Graph:
             found = self._beam(q, found[:1], 1, v)
         return [i for _, i in self._beam(q, found, max(ef, k), 0)[:k]]
 
+    def __getstate__(self) -> dict:
+        """What a search needs."""
+        return {k: getattr(self, k) for k in ("x", "level", "flat", "entry")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.seen, self.mark = np.zeros(len(self.x), np.int64), 0
+
+
+def dealt(graphs: DataFrame, wanted: DataFrame, shards: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """shard, block, key, v, graph: for each shard and block of queries the graph (key and v null), then the queries."""
+    blocks = max(1, -(-wanted.count() // block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = graphs.select("shard", every(blocks).alias("block"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<double>").alias("v"), "graph")
+    # The shards' hash is that of the key alone, so the blocks' has another seed.
+    ask = wanted.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).cast("int")).select(every(shards).alias("shard"), "block", "key", "v", F.lit(None).cast("binary").alias("graph"))
+    return held.unionByName(ask).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", F.col("graph").isNull())
+
 
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, no null or non-finite component, not all zero."""
@@ -129,7 +151,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(ok, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = K, shard_rows: int = SHARD_ROWS, links: int = LINKS, build: int = BUILD, search: int = SEARCH) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = K, shard_rows: int = SHARD_ROWS, links: int = LINKS, build: int = BUILD, search: int = SEARCH, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows.
 
     Ties go to the smaller vec_id; of equal vectors the smallest ids come first. Repeated rows count once; null ids take
@@ -151,30 +173,37 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, shard_rows: int = S
     shards = max(LEAST_SHARDS, -(-sum(r["n"] for r in told) // shard_rows))
     asked = rows.where(queries).select("key", F.col("vec_id").alias("query_id")).distinct()
     wanted = asked.select("key").distinct().join(nodes, "key").select("key", "v")
-    data = nodes.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "key", "v", "ids")
-    ask = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "key", "v", F.array().cast("array<long>").alias("ids"))
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        sizes = pdf["v"].map(len)
-        for size, group in pdf.groupby(sizes):
-            base, q = group[~group["is_query"]].sort_values("key"), group[group["is_query"]]
-            if base.empty or q.empty:
-                continue
+    data = nodes.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "v", "ids")
+
+    def built(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = {}
+        for size, base in pdf.groupby(pdf["v"].map(len)):
+            base = base.sort_values("key")
             x = np.stack(base["v"].to_numpy())
-            scale = np.sqrt(most[size])
-            unit = x / scale
+            unit = x / np.sqrt(most[size])
             extra = np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))[:, None]
-            graph = Graph(np.hstack([unit, extra]), links, build)
-            held = base["ids"].to_numpy()
-            for key, v in zip(q["key"], q["v"], strict=True):
-                at = graph.search(np.append(v / np.linalg.norm(v), 0).astype(np.float32), k + 1, search)
-                scores = x[at] @ v
-                best = sorted((-s, i) for s, n in zip(scores.tolist(), at, strict=True) for i in held[n])[: k + 1]
-                out += [(key, i, -s) for s, i in best]
-        return pd.DataFrame(out, columns=["key", "vec_id", "score"])
-
-    found = data.unionByName(ask).repartition(shards, "shard").groupBy("shard").applyInPandas(within, "key string, vec_id long, score double")
+            held[size] = Graph(np.hstack([unit, extra]), links, build), x, base["ids"].to_numpy()
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [pickle.dumps(held)]})
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
+        for batch in batches:
+            out = []
+            for shard, block, key, v, graph in batch.itertuples(index=False, name=None):
+                if (shard, block) != at:
+                    at, held = (shard, block), {}
+                if graph is not None:
+                    held = pickle.loads(graph)
+                elif len(v) in held:
+                    graph, x, ids = held[len(v)]
+                    found = graph.search(np.append(v / np.linalg.norm(v), 0).astype(np.float32), k + 1, search)
+                    scores = x[found] @ v
+                    best = sorted((-s, i) for s, n in zip(scores.tolist(), found, strict=True) for i in ids[n])[: k + 1]
+                    out += [(key, i, -s) for s, i in best]
+            yield pd.DataFrame(out, columns=["key", "vec_id", "score"])
+
+    graphs = cut(data.repartition(shards, "shard").groupBy("shard").applyInPandas(built, "shard int, graph binary"))
+    found = dealt(graphs, wanted, shards, block_rows).mapInPandas(within, "key string, vec_id long, score double")
     pairs = asked.join(found, "key").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -241,6 +241,16 @@ def test_neighbours(spark, sf_dir):
     assert neighbours.nearest(odd.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_by_blocks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(300).cache()
+    rows = lambda **more: {(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.nearest(e, F.col("vec_id") % 2 == 0, k=3, **more).collect()}
+    assert rows(block_rows=16, shard_rows=30) == rows(shard_rows=30)
+    graphs = spark.createDataFrame([(s, bytearray(b"g")) for s in range(3)], "shard int, graph binary")
+    wanted = spark.range(1000).select(F.col("id").cast("string").alias("key"), F.array(F.lit(1.0)).alias("v"))
+    groups = neighbours.dealt(graphs, wanted, 3, 100).groupBy("shard", "block").agg(F.count("v").alias("n"), F.count("graph").alias("g")).collect()
+    assert len(groups) == 30 and all(r["g"] == 1 and r["n"] < 200 for r in groups) and sum(r["n"] for r in groups) == 3000
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
