@@ -90,7 +90,7 @@ def frequent(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FREQUENT)
 
 
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, n, nid (of the set), gid (of size and prefix), last (the prefix's last key), keys (the prefix; null if the task has given this group's already)."""
+    """doc_id, n, nid (of the set), gid (of size and prefix), last (the prefix's last key), keys (the prefix; null if the task has given this group's already, or the row has no id and takes no part)."""
     told = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
                 keys = keys[: prefix_size(n)]
                 nid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
                 gid = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8, salt=n.to_bytes(8, "little")).digest(), "little", signed=True)
-                new = gid not in given
+                new = ids[k] is not None and gid not in given
                 if new and len(given) < 200_000:
                     given.add(gid)
                 rows.append((ids[k], n, nid, gid, int(keys[-1]), keys if new else None))

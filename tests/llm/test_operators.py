@@ -160,6 +160,16 @@ def test_jaccard(docs, odd, empty):
     assert {r["doc_id"] for r in jaccard.keep_one(odd).collect()} == {1, 3, 4, 5, 6, 7, 9, None}
 
 
+def test_jaccard_with_null_id_copies_first(spark):
+    rng = random.Random(7)
+    base = [[str(rng.random()) for _ in range(60)] for _ in range(6)]
+    kept = {i: " ".join(w) for i, w in enumerate(base)} | {10 + i: " ".join([*w, "more", "words"]) for i, w in enumerate(base)}
+    rows = [(None, kept[i]) for i in (0, 1, 2, 13, 14)] + list(kept.items())
+    got = jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), least=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == _components(kept)
+    assert len(got) == len(rows) and all(r["component_id"] is None for r in got if r["doc_id"] is None)
+
+
 @pytest.mark.parametrize("most", [suffixes.MOST_SHARERS, 1])
 def test_suffixes(docs, odd, empty, monkeypatch, most):
     monkeypatch.setattr(suffixes, "MOST_SHARERS", most)
