@@ -175,13 +175,16 @@ def infer(unary: np.ndarray, edges: list[tuple[int, int, float]], fixed: np.ndar
 
 
 def find(text: str | None, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The fixed spans, and those that the random field adds: candidates whose label isn't `other`."""
+    """The fixed spans, and those that the random field adds: candidates whose label isn't `other`.
+
+    The field runs wherever there are candidates, with or without fixed spans. A candidate like no other node of the
+    text has no skip edge to carry a label to it, and isn't added."""
     text = text or ""
     if "@" not in text and not _DIGIT.search(text) and "at)" not in text and "at]" not in text:
         return [], []
     base = base_spans(text)
     all_nodes = nodes(text, base)
-    if all(n[2] >= 0 for n in all_nodes) or not base:
+    if all(n[2] >= 0 for n in all_nodes):
         return base, []
     fixed = np.array([n[2] for n in all_nodes])
     odds = np.array([node_features(text, a, b) for a, b, _, _ in all_nodes]) @ model["w"]
