@@ -69,15 +69,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     """doc_id, item_id, similarity, start (in words) and words of the best window, for each document and item at or over the threshold.
 
     Null and empty texts match nothing. An item of fewer than five words is compared by its whole sequence of words. A
-    document shorter than the item is one window. Repeated rows or ids count as one document; a null id is one too.
+    document shorter than the item is one window. Repeated rows or ids count as one document; a null id is one too. Items
+    go by their words; of different texts with one item_id the most similar counts, and a null item_id is one too.
     """
     docs = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    items = cut(benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0).select("item_id", "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k")).distinct())
+    told = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    told = cut(told.select("item_id", "w", F.xxhash64("w").alias("item"), F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k")))
+    items, ids = told.drop("item_id").dropDuplicates(["item"]), told.select("item", "item_id").distinct()
     ks = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five values
     if not ks:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, start int, words int")
-    each = reduce(DataFrame.unionByName, [items.where(F.col("k") == k).select("item_id", "size", "k", F.explode(shingles(F.col("w"), k)).alias("h")) for k in ks])
-    counted = cut(each.groupBy("item_id", "size", "k", "h").agg(F.count(F.lit(1)).alias("n")))
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {told.schema['item_id'].dataType.simpleString()}, similarity double, start int, words int")
+    each = reduce(DataFrame.unionByName, [items.where(F.col("k") == k).select("item", "size", "k", F.explode(shingles(F.col("w"), k)).alias("h")) for k in ks])
+    counted = cut(each.groupBy("item", "size", "k", "h").agg(F.count(F.lit(1)).alias("n")))
     known = counted.select("h", "size", "k").distinct()
     many = counted.count()
     by_hash = known.groupBy("k", "h").agg(F.collect_set("size").alias("sizes"))
@@ -104,21 +107,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
         return a.join(b, cond).select("a.*", F.explode(F.slice("b.hs", F.col("a.start") + 1, F.greatest(F.col("a.size") - F.col("a.k") + 1, F.lit(1)))).alias("h"))
 
     prints = simhash(with_shingles(starts).groupBy("doc_id", "key", "size", "k", "start"), F.col("h"))
-    item_prints = simhash(counted.withColumn("h", F.explode(F.expr("array_repeat(h, int(n))"))).groupBy("item_id", "size", "k"), F.col("h"))
+    item_prints = simhash(counted.withColumn("h", F.explode(F.expr("array_repeat(h, int(n))"))).groupBy("item", "size", "k"), F.col("h"))
 
     # 3. Pairs that agree in a block, within the radius.
     a = prints.select("*", F.explode(blocks(F.col("fp"))).alias("block"))
-    b = item_prints.select("item_id", F.col("fp").alias("item_fp"), F.col("size"), F.explode(blocks(F.col("fp"))).alias("block"))
+    b = item_prints.select("item", F.col("fp").alias("item_fp"), F.col("size"), F.explode(blocks(F.col("fp"))).alias("block"))
     near = a.join(_small(b, many), ["size", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("doc_id", "key", "size", "k", "start", "item_id").distinct()
+    near = near.select("doc_id", "key", "size", "k", "start", "item").distinct()
 
     # 4. Exact weighted similarity.
-    held = with_shingles(near).groupBy("doc_id", "key", "size", "k", "start", "item_id", "h").agg(F.count(F.lit(1)).alias("c"))
+    held = with_shingles(near).groupBy("doc_id", "key", "size", "k", "start", "item", "h").agg(F.count(F.lit(1)).alias("c"))
     n_item = F.col("size") - F.col("k") + 1
-    pairs = held.join(_small(counted.select("item_id", "h", F.col("n").alias("c2"), F.col("size").alias("size2")), many).withColumnRenamed("size2", "size"), ["item_id", "h", "size"], "left")
-    sums = pairs.groupBy("doc_id", "size", "k", "start", "item_id", "key").agg(F.sum("c").alias("n_window"), F.sum(F.least("c", F.coalesce("c2", F.lit(0)))).alias("shared"))
+    pairs = held.join(_small(counted.select("item", "h", F.col("n").alias("c2"), F.col("size").alias("size2")), many).withColumnRenamed("size2", "size"), ["item", "h", "size"], "left")
+    sums = pairs.groupBy("doc_id", "size", "k", "start", "item", "key").agg(F.sum("c").alias("n_window"), F.sum(F.least("c", F.coalesce("c2", F.lit(0)))).alias("shared"))
     scored = sums.withColumn("similarity", F.col("shared").cast("double") / (F.col("n_window") + n_item - F.col("shared"))).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by(F.struct(F.col("start"), F.col("size")), F.struct(F.col("similarity"), -F.col("start"))).alias("at"))
+    best = scored.join(_small(ids, many), "item").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max_by(F.struct(F.col("start"), F.col("size")), F.struct(F.col("similarity"), -F.col("start"), -F.col("size"))).alias("at"))
     return best.select("doc_id", "item_id", "similarity", F.col("at.start").alias("start"), F.col("at.size").alias("words"))
 
 

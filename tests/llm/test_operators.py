@@ -142,6 +142,16 @@ def test_decontaminate(spark, docs, odd, empty, sf_dir):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(odd, item.limit(0)).count() == 0
 
 
+def test_decontaminate_by_the_words_of_items(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(40)) for _ in range(6)]
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[4])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some {t} more") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(0, None): 1.0, (1, None): 1.0, (2, 7): 1.0, (3, 7): 1.0, (4, 8): 1.0, (4, 9): 1.0}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [5]
+
+
 def _components(by):
     low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets = {}
