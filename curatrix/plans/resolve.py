@@ -177,10 +177,24 @@ def named_targets(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Pr
     return named.withColumns({"destination_path": F.concat_ws("/", "destination", "new_name"), "name_error": name_error(F.col("new_name"))})
 
 
-def plan_organization(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None, library: DataFrame, policy: str = "skip") -> DataFrame:
-    """inbox (path, size, digest, dates): where each matched file goes. For the skip and keep-both policies on names, without grouping into tasks."""
+def _resolved(items: DataFrame, library: DataFrame, policy: str, duplicate_action: str, overrides: DataFrame | None) -> DataFrame:
+    """resolve_items where digests may be unknown (null, or no column): such contents equal no other's."""
+    digest = lambda df, other: F.coalesce(F.col("digest").cast("string"), other) if "digest" in df.columns else other
+    own = items.select(F.col("seq").cast("long").alias("seq"), "source", "destination", digest(items, F.concat(F.lit("?"), F.col("seq").cast("string"))).alias("digest"))
+    return resolve_items(own, library.select("path", digest(library, F.lit("?library")).alias("digest")), policy, duplicate_action, overrides)
+
+
+def plan_organization(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """inbox (path, size, digest, dates): where each matched file goes.
+
+    The skip policy alone looks at names only, without grouping into tasks. With another policy, a duplicate action or
+    overrides, contents count too and items are resolved in order (resolve_items); there are backup rows then, told by `backup`."""
     named = named_targets(inbox, rules, presets, rule_presets, default_id)
     items = named.select(F.col("counter").cast("long").alias("seq"), F.col("path").alias("source"), F.col("destination_path").alias("destination"), "digest", "size", "rule_id", "new_name", "name_error")
+    if policy != "skip" or duplicate_action is not None or overrides is not None:
+        done = _resolved(items, library, policy, duplicate_action or "skip", overrides)
+        told = items.select(F.col("seq"), F.col("size").alias("_size"), F.col("rule_id").alias("_rule"), F.col("name_error").alias("_wrong"))
+        return done.join(told, "seq").select("seq", "source", "destination", F.col("_size").alias("size"), F.col("_rule").alias("rule_id"), "action", "backup", "conflict", F.coalesce("_wrong", "error").alias("error"))
     checked = destination_conflicts(items, library)
     return checked.select("seq", "source", "destination", "size", "rule_id", F.when(F.col("conflict") & F.lit(policy == "skip"), "skip").otherwise("move").alias("action"), "conflict", F.col("name_error").alias("error"))
 
@@ -224,8 +238,12 @@ def plan_media_removal(media: DataFrame, ids: DataFrame, most: int = 1000) -> Da
     return chosen.join(F.broadcast(state)).select("id", "path", F.lit("move").alias("action"), F.lit(True).alias("backup"), error.alias("error"))  # one row of state
 
 
-def plan_media_transfer(media: DataFrame, ids: DataFrame, destination: str, library: DataFrame, policy: str = "skip") -> DataFrame:
+def plan_media_transfer(media: DataFrame, ids: DataFrame, destination: str, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """Where the selected media go; what is looked at and the backup rows are as in plan_organization."""
     if policy not in ("skip", "keep-both"):
         raise ValueError("INVALID_TRANSFER")
-    chosen = media.join(ids, "id", "left_semi").select(F.col("id").alias("seq"), F.col("path").alias("source"), F.concat(F.lit(destination + "/"), file_name(F.col("path"))).alias("destination"))
+    chosen = media.join(ids, "id", "left_semi").withColumns({"seq": F.col("id"), "source": F.col("path"), "destination": F.concat(F.lit(destination + "/"), file_name(F.col("path")))})
+    if policy != "skip" or duplicate_action is not None or overrides is not None:
+        return _resolved(chosen, library, policy, duplicate_action or "skip", overrides)
+    chosen = chosen.select("seq", "source", "destination")
     return destination_conflicts(chosen, library).withColumn("action", F.when(F.col("conflict") & F.lit(policy == "skip"), "skip").otherwise("move"))

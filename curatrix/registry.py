@@ -178,6 +178,11 @@ def b1(s, d):
     return resolve.plan_organization(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main", _library(s, d))
 
 
+@query("b1_plan_organization_keep_both", f"{NAMED_SQL} SELECT counter AS seq, path AS source, destination || '/' || CASE WHEN id % 2 = 0 THEN regexp_extract(new_name, '^(.+)\\.[^.]*$', 1) || ' (1)' || regexp_extract(new_name, '^.+(\\.[^.]*)$', 1) ELSE new_name END AS destination, size, rule_id, 'move' AS action, false AS backup, id % 2 = 0 AS conflict, NULL::VARCHAR AS error FROM named")
+def b1_keep_both(s, d):
+    return resolve.plan_organization(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main", _library(s, d), "keep-both", "keep-both")
+
+
 query("a4_organization_totals", f"{NAMED_SQL} SELECT count(*) FILTER (id % 2 = 1) AS moves, CAST(sum(size) FILTER (id % 2 = 1) AS BIGINT) AS bytes, count(*) FILTER (id % 2 = 0) AS kept, count(*) FILTER (id % 2 = 0) AS conflicts FROM named")(lambda s, d: resolve.organization_totals(b1(s, d)))
 simple("a3_plan_summary", "journal", lambda v: resolve.plan_summary(v.select("source", "destination", F.col("kind").alias("action"), F.when(F.col("entry_kind") == "folder", "mkdir").otherwise("file").alias("kind"), (F.col("status") == "skipped").alias("backup"), (F.col("status") == "failed").alias("conflict"))),
        "SELECT count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS files, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS renamed, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'move') AS move, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'copy') AS copy, count(*) FILTER (status = 'failed') AS conflicts, count(*) FILTER (status = 'skipped') AS backups, count(*) FILTER (entry_kind = 'folder') AS folders FROM journal")
@@ -316,6 +321,7 @@ def media_removal(v: DataFrame) -> DataFrame:
 
 
 simple("b6_plan_media_transfer", "media", lambda v: resolve.plan_media_transfer(v, v.where("label = 3").select("id"), "/out", v.where("id % 4 = 0").select(F.concat(F.lit("/OUT/"), "name").alias("path"))), "SELECT id AS seq, path AS source, '/out/' || name AS destination, id % 4 = 0 AS conflict, CASE WHEN id % 4 = 0 THEN 'skip' ELSE 'move' END AS action FROM media WHERE label = 3")
+simple("b6_plan_media_transfer_keep_both", "media", lambda v: resolve.plan_media_transfer(v, v.where("label = 3").select("id"), "/out", v.where("id % 4 = 0").select(F.concat(F.lit("/OUT/"), "name").alias("path")), "keep-both", "keep-both"), "SELECT id AS seq, path AS source, '/out/' || CASE WHEN id % 4 = 0 THEN id || ' (1).jpg' ELSE name END AS destination, 'move' AS action, false AS backup, id % 4 = 0 AS conflict, NULL::VARCHAR AS error FROM media WHERE label = 3")
 
 # ---- streams
 T2_SQL = f"{with_views('observations')}, c AS (SELECT *, CASE WHEN lag(modified_at) OVER w IS DISTINCT FROM modified_at THEN 1 ELSE 0 END AS ch FROM observations WINDOW w AS (PARTITION BY path ORDER BY observed_at, modified_at)), g AS (SELECT *, sum(ch) OVER (PARTITION BY path ORDER BY observed_at, modified_at) AS segment FROM c), h AS (SELECT *, min(observed_at) OVER (PARTITION BY path, segment) AS since FROM g), k AS (SELECT *, observed_at >= since + INTERVAL 1 HOUR AND path NOT LIKE '%.part' AS counts FROM h), l AS (SELECT *, sum(CASE WHEN counts AND locked THEN 1 ELSE 0 END) OVER (PARTITION BY path, segment ORDER BY observed_at, modified_at) AS nl FROM k), m AS (SELECT path, segment, min(since) AS since, min(observed_at) FILTER (counts AND NOT locked AND nl < 2) AS ok, min(observed_at) FILTER (counts AND locked AND nl = 2) AS bad FROM l GROUP BY 1, 2)"

@@ -103,3 +103,12 @@ def test_plan_in_components_equals_in_order(spark):
     got = resolve.resolve_items(df, spark.createDataFrame(library, "path string, digest string"), overrides=o).collect()
     key = lambda r: (r["seq"], r["source"], r["destination"], r["action"], r["backup"], r["conflict"], r["error"] or "")
     assert sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_media_plan_keeps_both_apart(spark):
+    media = spark.createDataFrame([(1, "/a/x.jpg", "d1"), (2, "/b/x.jpg", "d2"), (3, "/c/x.jpg", "d2"), (4, "/d/x.jpg", None), (5, "/e/y.jpg", "d9")], "id long, path string, digest string")
+    library = spark.createDataFrame([("/OUT/x (1).jpg", "d8"), ("/out/z.jpg", "d9")], "path string, digest string")
+    plan = lambda what: {r["seq"]: (r["destination"], r["action"]) for r in resolve.plan_media_transfer(media, media.select("id"), "/out", library, "keep-both", what).collect()}
+    first = {1: ("/out/x.jpg", "move"), 2: ("/out/x (2).jpg", "move")}
+    assert plan("keep-both") == first | {3: ("/out/x (3).jpg", "move"), 4: ("/out/x (4).jpg", "move"), 5: ("/out/y.jpg", "move")}
+    assert plan("skip") == first | {3: ("/out/x.jpg", "skip"), 4: ("/out/x (3).jpg", "move"), 5: ("/out/y.jpg", "skip")}
