@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from curatrix.functions.scalars import path_key
 
 MAX_FULL = 200
+BANDS = (13, 13, 13, 13, 12)  # bits of the dhash
+BANDED_ROWS = 4096
 
 
 def duplicate_groups(catalog: DataFrame) -> DataFrame:
@@ -78,21 +81,37 @@ def plan_cleanup(catalog: DataFrame, keepers: DataFrame) -> DataFrame:
     return group.join(held, "digest").where("path <> keeper").select("digest", "path", "keeper", F.lit("move").alias("action"), F.lit(True).alias("backup"), F.when((F.col("_k") != 1) | (F.col("_n") < 2), "INVALID_GROUP").alias("error"))
 
 
-def similar_images(prints: DataFrame, phash_max: int = 16, dhash_max: int = 14, aspect_max: float = 0.04, color_max: int = 24) -> DataFrame:
+def similar_images(prints: DataFrame, phash_max: int = 16, dhash_max: int = 14, aspect_max: float = 0.04, color_max: int = 24, banded_rows: int = BANDED_ROWS) -> DataFrame:
     """Pairs of look-alike digests from prints (digest, phash, dhash, aspect, colors: array<int>).
 
     Blocks lose nothing: sizes within aspect_max differ by one class at most, and so do mean colours within color_max;
-    one side is dealt to its own class, the other to it and its neighbours."""
+    one side is dealt to its own class, the other to it and its neighbours. Blocks over banded_rows are dealt by the
+    dhash's bands too: of a pair within 14 bits one of the five differs in 2 bits at most (wider limits have no bands)."""
     step = -math.log(1 - aspect_max)
     mean = F.aggregate("colors", F.lit(0), lambda a, x: a + x) / F.size("colors")
     base = prints.dropDuplicates(["digest"]).withColumns({"_a": F.floor(F.log("aspect") / step), "_c": F.floor(mean / color_max)})
     around = F.array(*[F.struct((F.col("_a") + i).alias("_a"), (F.col("_c") + j).alias("_c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    l = base.select("*", F.explode(around).alias("_b")).drop("_a", "_c").select("*", "_b.*").alias("l")
-    r = base.alias("r")
+    l = base.select("*", F.explode(around).alias("_b")).drop("_a", "_c").select("*", "_b.*").drop("_b")
+    reach = dhash_max // len(BANDS)
+    masks = [(k, sum(1 << i for i in c)) for k, w in enumerate(BANDS) for n in range(reach + 1) for c in combinations(range(w), n)] if reach <= 2 else []
+    big = base.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (banded_rows if masks else (1 << 62))).select("_a", "_c", F.lit(True).alias("_big"))
+    value = [F.shiftrightunsigned("dhash", sum(BANDS[:k])).bitwiseAND(F.lit((1 << w) - 1)).cast("int") for k, w in enumerate(BANDS)]
+    at = lambda k, v: F.struct(F.lit(k).alias("_band"), v.alias("_value"))
+
+    def dealt(side: DataFrame, by_bands: Column) -> DataFrame:
+        """Rows of big blocks under each of the bands, others once."""
+        side = side.join(F.broadcast(big), ["_a", "_c"], "left")  # at most a row per banded_rows rows
+        return side.select("*", F.explode(F.when(F.col("_big"), by_bands).otherwise(F.array(at(-1, F.lit(0))))).alias("_k")).select("*", "_k.*").drop("_k", "_big")
+
+    probes = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in masks or [(0, 0)]]), lambda x: F.struct(x["k"].alias("_band"), F.element_at(F.array(*value), x["k"] + 1).bitwiseXOR(x["m"]).alias("_value")))
+    own = F.array(*[at(k, v) for k, v in enumerate(value)])
+    l, r = dealt(l, probes).alias("l"), dealt(base, own).alias("r")
     bits = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")))
     near = (F.abs(F.col("l.aspect") - F.col("r.aspect")) / F.greatest("l.aspect", "r.aspect") <= aspect_max) & (bits("phash") <= phash_max) & (bits("dhash") <= dhash_max)
     diff = F.aggregate(F.zip_with("l.colors", "r.colors", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    return l.join(r, (F.col("l._a") == F.col("r._a")) & (F.col("l._c") == F.col("r._c")) & (F.col("l.digest") < F.col("r.digest")) & near & (diff <= color_max * F.size("l.colors"))).select(F.col("l.digest").alias("left_digest"), F.col("r.digest").alias("right_digest"), bits("phash").alias("phash_bits"), bits("dhash").alias("dhash_bits"))
+    same = (F.col("l._a") == F.col("r._a")) & (F.col("l._c") == F.col("r._c")) & (F.col("l._band") == F.col("r._band")) & (F.col("l._value") == F.col("r._value"))
+    found = l.join(r, same & (F.col("l.digest") < F.col("r.digest")) & near & (diff <= color_max * F.size("l.colors"))).select(F.col("l.digest").alias("left_digest"), F.col("r.digest").alias("right_digest"), bits("phash").alias("phash_bits"), bits("dhash").alias("dhash_bits"))
+    return found.dropDuplicates(["left_digest", "right_digest"])
 
 
 def dhash_bits(pixels: Column, width: int = 9, height: int = 8) -> Column:

@@ -112,3 +112,20 @@ def test_media_plan_keeps_both_apart(spark):
     first = {1: ("/out/x.jpg", "move"), 2: ("/out/x (2).jpg", "move")}
     assert plan("keep-both") == first | {3: ("/out/x (3).jpg", "move"), 4: ("/out/x (4).jpg", "move"), 5: ("/out/y.jpg", "move")}
     assert plan("skip") == first | {3: ("/out/x.jpg", "skip"), 4: ("/out/x (3).jpg", "move"), 5: ("/out/y.jpg", "skip")}
+
+
+def test_bands_of_a_hot_block_lose_no_pair(spark):
+    rng = random.Random(9)
+    prints = []
+    for k in range(40):
+        own = rng.getrandbits(64)
+        for n in range(3):
+            h = own
+            for i in rng.sample(range(64), rng.randrange(12)):
+                h ^= 1 << i
+            prints.append((f"{k}-{n}", h - (1 << 64) if h >> 63 else h, 1.0, [0]))
+    df = spark.createDataFrame(prints, "digest string, dhash long, aspect double, colors array<int>").withColumn("phash", F.lit(0).cast("long"))
+    want = {(a[0], b[0]) for a in prints for b in prints if a[0] < b[0] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 14}
+    for rows in (10, 1000):
+        got = [(r["left_digest"], r["right_digest"]) for r in dedup.similar_images(df, banded_rows=rows).collect()]
+        assert len(got) == len(want) and set(got) == want and want
