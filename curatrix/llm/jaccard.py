@@ -44,6 +44,7 @@ PIVOTS = 6  # of each shingle: half by score, half by hash
 HOT = 64
 PARTNERS = 3  # of each group
 BROADCAST_IDS = 500_000
+PART_KEYS = 250_000  # prefix shingles in a part
 CELLS = 512  # of a set's histogram
 LEAVES = 256  # texts dealt to one of the other side's
 _LAST = np.int64(1 << 62)
@@ -221,9 +222,14 @@ def link_components(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FR
     nodes = named.drop("nid").withColumn("comp", F.col("node"))
     links = nodes.select("node", "comp", "gid", "n", "last", "cells", "rep")
 
-    # Prefix shingles that more than one group has; dealt by the key once: the distinct rows, the counts and the join all keep that partitioning.
-    keys = known.where(F.col("keys").isNotNull()).select("gid", F.explode("keys").alias("key")).repartition("key").distinct()
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    # Prefix shingles that more than one group has. Dealt by the key once, into parts of bounded size: the smallest and largest
+    # group of each and the join keep that partitioning, and the join builds its table of the shared ones only.
+    total = known.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * (T_DEN - T_NUM) // T_DEN // PART_KEYS)
+    keys = known.where(F.col("keys").isNotNull()).select("gid", F.explode("keys").alias("key")).repartition(parts, "key")
+    several = keys.groupBy("key").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("key")
+    keys = cut(keys.join(several.hint("shuffle_hash"), "key").select("gid", "key").distinct())
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("groups"))
     # h: how many of a group's are hot, rank: how many up to this one, score: how common they are.
     own, hot = Window.partitionBy("gid"), (F.col("groups") > HOT).cast("int")
     shared = keys.join(many, "key").select("gid", "key", hot.alias("hot"), F.log2("groups").alias("weight"))
