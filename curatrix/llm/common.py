@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +14,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; only where that is unset (tests), below a local one."""
+    """A new folder name below spark.checkpoint.dir. Where that is unset: in local mode below a folder of this machine; on a cluster, an error."""
     root = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
     if not root:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = kept.get() if kept.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within hands Python batches of at most BATCH_ROWS rows, so that a task holds few texts at a time."""
+    kept = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(int(kept), BATCH_ROWS) if int(kept) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, kept)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it: later steps don't run it again, and lost executors lose nothing."""
     where = shared_folder(df.sparkSession)
-    df.write.parquet(where)
+    with small_batches(df.sparkSession):
+        df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import byte_view, cut, row_blocks, shingle_hashes, word_hashes
+from curatrix.llm.common import byte_view, cut, row_blocks, shingle_hashes, small_batches, word_hashes
 from curatrix.llm.components import components
 
 T_NUM, T_DEN = 75, 100
@@ -91,14 +91,16 @@ def frequent(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FREQUENT)
             for _, s in document_sets(batch.column(0)):
                 kept.append((s >> np.uint64(2)).astype(np.int64))
                 size += len(kept[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     size = 0
         if kept:
             yield flush()
 
     rows = docs.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r["key"] for r in rows.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
+    with small_batches(docs.sparkSession):
+        told = rows.orderBy(F.desc("n"), "key").limit(most).collect()
+    return np.sort(np.array([r["key"] for r in told], np.int64))
 
 
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
