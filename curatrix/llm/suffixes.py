@@ -3,12 +3,16 @@
 Every window of LENGTH bytes is assigned to its anchor: the 64-byte string in it with the least hash. The windows of one
 anchor are parted by where the anchor stands in them; those of one part have a core of 232 bytes in common. Equal windows
 have equal cores, so windows are compared only among the stretches of text that share a core. Stretches that are equal as
-a whole are found by their hashes and need no comparison; one of each different kind goes on. For cores of up to
-MOST_SHARERS kinds, the suffixes of these stretches are sorted by the linear grouping construction: suffixes are grouped
-by their longest Lyndon prefix, found with pointers to the next smaller suffix; the groups are put in order, and each
-group's own order is emitted from that of the suffixes its pointers lead to, with no recursion or renaming. Windows that
-are equal then stand side by side. More common cores' stretches are parted more finely in the same way, and only windows of
-fine parts that are shared but not equal as a whole are left; they are dealt by their hash, so that no task gets a whole group.
+a whole are found by their hashes and need no comparison; one of each different kind goes on, with the core, which all of a
+group have in common, as one character. For cores of up to MOST_SHARERS kinds, the suffixes of these stretches are sorted by
+the linear grouping construction: groups of suffixes are processed from the highest to the lowest, pointers to the nearest
+place before in a lower group build the groups by Lyndon prefix, and each group's order is emitted from that of the suffixes its
+pointers come from, with no recursion or renaming. Windows that are equal then stand side by side. More common cores' stretches
+are parted more finely in the same way, and only windows of fine parts that are shared but not equal as a whole are left;
+they are dealt by their core and hash, so that no task gets a whole group: the result is the same, whichever way a core goes.
+
+Texts are told apart by two 64-bit hashes. Windows are equal if their cores' 64-bit hashes are and the bytes around them
+(or a second 64-bit hash, that of the whole stretch or window) are too.
 """
 
 from __future__ import annotations
@@ -90,46 +94,66 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Itera
 
 
 def suffix_order(s: str) -> list[int]:
-    """The suffixes of s in order, by Lyndon groups. Long equal parts should end in different characters."""
+    """The suffixes of s in order, by linear grouping.
+
+    Suffixes start in groups by their first character. From the highest group to the lowest, each member's pointer goes to
+    the nearest place before it in a lower group; the places pointed to leave their group for a new one just above it, those
+    with more pointers higher, and so grow their common prefix by the group's. At the end a group holds the suffixes with
+    one longest Lyndon prefix. Its order then follows from that of the suffixes behind these prefixes, which are lower: from each
+    suffix in order, the chain of pointers from the place before it leads to the next members of their groups."""
     n = len(s)
-    smaller = [n] * n  # the next smaller suffix
-    for j in range(n - 2, -1, -1):
-        i, c = j + 1, s[j : j + 8]
-        while i < n:
-            o = s[i : i + 8]
-            if o < c or (o == c and s[i:] < s[j:]):
-                break
-            i = smaller[i]
-        smaller[j] = i
-    groups: dict[str, int] = {}
-    prefix = [groups.setdefault(s[j : smaller[j]], len(groups)) for j in range(n)]
-    sizes = [0] * len(groups)
-    for g in prefix:
-        sizes[g] += 1
-    slot, at = [0] * len(groups), 0
-    for _, g in sorted(groups.items()):
-        slot[g], at = at, at + sizes[g]
-    led: list[list[int]] = [[] for _ in range(n + 1)]  # whose pointers lead here, which follow in their groups
-    for j in range(n):
-        led[smaller[j]].append(j)
-    order = [0] * n
+    members = sorted(range(n), key=s.__getitem__)
+    place, start, size = [0] * n, [0] * n, [0] * (n + 1)  # a group is known by where it starts among the members
+    g, last = 0, None
+    for k, i in enumerate(members):
+        if s[i] != last:
+            g, last = k, s[i]
+        place[i], start[i] = k, g
+        size[g] += 1
+    smaller, top = [-1] * n, n
+    while top:
+        g = start[members[top - 1]]
+        led: dict[int, int] = {}
+        for i in sorted(members[g:top]) if top - g > 1 else members[g:top]:
+            j = i - 1
+            while j >= 0 and start[j] >= g:
+                j = smaller[j]
+            smaller[i] = j
+            if j >= 0:
+                led[j] = led.get(j, 0) + 1
+        levels: dict[int, list[int]] = {}
+        for j, c in led.items():
+            levels.setdefault(c, []).append(j)
+        for c in sorted(levels, reverse=True) if len(levels) > 1 else levels:
+            for j in levels[c]:  # to its group's end
+                h = start[j]
+                size[h] -= 1
+                end, at = h + size[h], place[j]
+                other = members[end]
+                members[at], place[other] = other, at
+                members[end], place[j] = j, end
+            for j, h in [(j, start[j] + size[start[j]]) for j in levels[c]]:
+                start[j] = h
+                size[h] += 1
+        top = g
+    order, filled, done = [0] * n, [0] * n, [False] * n
     for k in range(-1, n):
-        for j in led[order[k] if k >= 0 else n]:
-            order[slot[prefix[j]]] = j
-            slot[prefix[j]] += 1
+        j = (order[k] if k >= 0 else n) - 1
+        while j >= 0 and not done[j]:
+            h, done[j] = start[j], True
+            order[h + filled[h]] = j
+            filled[h] += 1
+            j = smaller[j]
     return order
 
 
-def repeated_starts(texts: list[bytes], starts: list[int], length: int = LENGTH) -> list[tuple[int, int] | None]:
-    """Of each of some different texts: the first and last start, below starts[k], of a string of `length` bytes that is also in another."""
-    s, first, owner = [], [], []
-    at = 0
-    for k, t in enumerate(texts):
-        first.append(at)
-        s.append(t.decode("latin-1") + chr(0x1000 + k))
-        owner += [k] * len(s[-1])
-        at += len(s[-1])
-    whole = "".join(s)
+def repeated_starts(texts: list[str], starts: list[int], length: int = LENGTH) -> list[tuple[int, int] | None]:
+    """Of each of some different texts: the first and last start, below starts[k], of a string of `length` characters that is also in another."""
+    whole = "".join(t + chr(0x1000 + k) for k, t in enumerate(texts))
+    owner = [k for k, t in enumerate(texts) for _ in range(len(t) + 1)]
+    first = [0]
+    for t in texts:
+        first.append(first[-1] + len(t) + 1)
     out: list[tuple[int, int] | None] = [None] * len(texts)
 
     def mark(p: int) -> None:
@@ -148,23 +172,32 @@ def repeated_starts(texts: list[bytes], starts: list[int], length: int = LENGTH)
     return out
 
 
+def around_core(context: bytes, length: int = LENGTH, gram: int = GRAM, parts: int = PARTS) -> tuple[str, int]:
+    """A stretch's context with its core as one character, and how many bytes that has."""
+    w = length - gram + 1
+    p = int(gram_hashes(np.frombuffer(context, np.uint8)[:length], gram).argmin())  # all windows of a stretch have this anchor
+    k = p * parts // w
+    near, far = -(-k * w // parts), -(-(k + 1) * w // parts) - 1
+    return context[: p - near].decode("latin-1") + "\u0fff" + context[p - far + length :].decode("latin-1"), near - far + length
+
+
 def _stretch_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = set()
         for batch in batches:
             data, off = byte_view(batch.column(1))
-            found = [np.zeros((5, 0), np.int64)]
-            for k, text in enumerate(batch.column(0).to_pylist()):
+            found = [np.zeros((6, 0), np.int64)]
+            for k, text in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if off[k + 1] - off[k] < LENGTH or text in given:
                     continue
                 if len(given) < 200_000:
                     given.add(text)
                 for x in stretches(data[off[k] : off[k + 1]]):
-                    found.append(np.concatenate([x, np.full((1, x.shape[1]), text)]))
-            core, whole, first, last, d = np.concatenate(found, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "lo", "more"])
+                    found.append(np.concatenate([x, np.repeat(np.array([text]).T, x.shape[1], 1)]))
+            core, whole, first, last, d, e = np.concatenate(found, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(e), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "e", "lo", "more"])
 
-    return docs.select("d", "text").mapInArrow(run, "core long, whole long, d long, lo long, more short")
+    return docs.select("d", "text", "e").mapInArrow(run, "core long, whole long, d long, e long, lo long, more short")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -172,34 +205,35 @@ def _contexts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, off = byte_view(batch.column(1))
             rows = []
-            for k, (d, told) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for k, (d, told, e) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 x = data[off[k] : off[k + 1]]
                 for t in told:
-                    rows.append((t["core"], t["n"], t["sure"], d, t["lo"], t["more"] + 1, x[t["lo"] : t["lo"] + t["more"] + LENGTH].tobytes()))
+                    rows.append((t["core"], t["n"], t["sure"], d, e, t["lo"], t["more"] + 1, x[t["lo"] : t["lo"] + t["more"] + LENGTH].tobytes()))
                     if len(rows) == 20_000:
                         yield _context_batch(rows)
                         rows = []
             yield _context_batch(rows)
 
-    return docs.select("d", "text", "told").mapInArrow(run, "core long, n long, sure boolean, d long, lo long, starts long, context binary")
+    return docs.select("d", "text", "told", "e").mapInArrow(run, "core long, n long, sure boolean, d long, e long, lo long, starts long, context binary")
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 7
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["core", "n", "sure", "d", "lo", "starts", "context"])
+    cols = list(zip(*rows, strict=True)) or [()] * 8
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["core", "n", "sure", "d", "e", "lo", "starts", "context"])
 
 
 def _by_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by core: the spans of each core's different stretches that another has too."""
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
 
     def settle(group: list[dict]) -> None:
         if all(r["sure"] for r in group):
             return
-        for r, span in zip(group, repeated_starts([r["context"] for r in group], [r["starts"] for r in group]), strict=True):
+        cores = [around_core(r["context"]) for r in group]  # of one length, as all are of one part
+        for r, span in zip(group, repeated_starts([x for x, _ in cores], [r["starts"] for r in group], LENGTH - cores[0][1] + 1), strict=True):
             if span and not r["sure"]:
-                out.append((r["d"], r["lo"] + span[0], r["lo"] + span[1] + LENGTH))
+                out.append((r["d"], r["e"], r["lo"] + span[0], r["lo"] + span[1] + LENGTH))
 
     group: list[dict] = []
     for batch in batches:
@@ -216,45 +250,45 @@ def _by_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "first", "last"])
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "e", "first", "last"])
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each stretch, known by d and its start at, by finer parts."""
     for batch in batches:
-        found = [np.zeros((6, 0), np.int64)]
+        found = [np.zeros((7, 0), np.int64)]
         for r in batch.to_pylist():
             x = np.frombuffer(r["context"], np.uint8)
             sums, down = _sums(x)
             p = gram_hashes(x[:LENGTH], GRAM).argmin()  # all windows of a stretch have this anchor
             for part in parted(sums, down, np.array([p]), np.array([0]), np.array([r["starts"] - 1]), FINE_PARTS):
                 part[2:] += r["lo"]
-                found.append(np.concatenate([part, [[r["d"]], [r["lo"]]]]))
-        core, whole, first, last, d, at = np.concatenate(found, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(at), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "at", "lo", "more"])
+                found.append(np.concatenate([part, [[r["d"]], [r["e"]], [r["lo"]]]]))
+        core, whole, first, last, d, e, at = np.concatenate(found, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(e), pa.array(at), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "e", "at", "lo", "more"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the parts that each stretch is told."""
     for batch in batches:
-        h, d, s = [], [], []
+        out = []
         for r in batch.to_pylist():
             own = gram_hashes(np.frombuffer(r["context"], np.uint8), LENGTH).view(np.int64)
             for t in r["told"]:
                 k = t["lo"] - r["lo"]
-                h.append(own[k : k + t["more"] + 1])
-                d.append(np.full(len(h[-1]), r["d"]))
-                s.append(t["lo"] + np.arange(len(h[-1])))
-        if h:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, d, s)], names=["h", "d", "s"])
+                h = own[k : k + t["more"] + 1]
+                same = [np.full(len(h), x) for x in (t["core"], r["d"], r["e"])]
+                out.append(np.stack([h, *same, t["lo"] + np.arange(len(h))]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, 1)], names=["h", "core", "d", "e", "s"])
 
 
 def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of rows core, whole, d, lo, more: the distinct kinds (core and whole) of cores that are in several places, with x <> y where
     such a kind is in several places too; the spans of all rows of those kinds; and cores with several kinds of which some are in one place."""
     # Rows of one text come from each task that has a copy of it, so places are compared, not counted.
-    here = F.xxhash64("d", "lo")
+    here = F.xxhash64("d", "e", "lo")
     # The small sides are written first: a join of two plain shuffles can be split where one core has very many rows.
     places = rows.groupBy("core").agg(F.min(here).alias("x"), F.max(here).alias("y")).where("x <> y").select("core")
     held = cut(rows.join(cut(places), "core", "left_semi"))
@@ -262,37 +296,40 @@ def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kinds = cut(held.groupBy("core", "whole").agg(F.min(here).alias("x"), F.max(here).alias("y"), F.min_by(F.struct(*other), here).alias("one")))
     equal = held.join(kinds.where("x <> y").select("core", "whole"), ["core", "whole"], "left_semi")
     many = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x") == F.col("y")).alias("open")).where("n > 1 and open")
-    return kinds, equal.select("d", F.col("lo").alias("first"), (F.col("lo") + F.col("more") + LENGTH).alias("last")), cut(many.select("core", "n"))
+    return kinds, equal.select("d", "e", F.col("lo").alias("first"), (F.col("lo") + F.col("more") + LENGTH).alias("last")), cut(many.select("core", "n"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     A byte is removed if a string of LENGTH bytes that covers it also starts elsewhere, in the same document or another;
-    a null text is empty. Rows with equal texts of that length are removed whole. Repeated and null ids are rows like
+    a null text is empty. Rows with equal texts of that length are removed whole. A very long text is read in blocks. Repeated and null ids are rows like
     others; an empty table gives no rows, and other columns are left out."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("d", F.xxhash64("text"))
-    texts = cut(rows.groupBy("d").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("d", F.xxhash64("text")).withColumn("e", F.xxhash64(F.lit(1), "text"))  # texts are told apart by both
+    texts = cut(rows.groupBy("d", "e").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")))
     kinds, equal, many = _shared(cut(_stretch_rows(rows)))
     # One stretch of each kind, where a core has several kinds and not all are known to be repeated.
     one = kinds.join(many, "core").select("core", "n", (F.col("x") != F.col("y")).alias("sure"), "one.*")
-    told = cut(one.groupBy("d").agg(F.collect_list(F.struct("core", "n", "sure", "lo", "more")).alias("told")).join(texts, "d").select(F.col("d").alias("_d"), "rep", "told"))
+    told = cut(one.groupBy("d", "e").agg(F.collect_list(F.struct("core", "n", "sure", "lo", "more")).alias("told")).join(texts, ["d", "e"]).select(F.col("d").alias("_d"), F.col("e").alias("_e"), "rep", "told"))
     reps = told.select("rep").where("rep is not null").distinct()
     named = rows
     if reps.count() <= BROADCAST_IDS and not told.where("rep is null").count():
         named = rows.join(F.broadcast(reps), F.col("doc_id") == F.col("rep"), "left_semi")
-    kept = cut(_contexts(named.join(told.hint("shuffle_hash"), (F.col("d") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("rep")))))
-
-    few = kept.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("core").sortWithinPartitions("core").mapInArrow(_by_suffixes, "d long, first long, last long")
-    common = kept.where(F.col("n") > MOST_SHARERS).select("d", "lo", "starts", "context")
-    kinds, alike, many = _shared(cut(common.mapInArrow(_finer, "core long, whole long, d long, at long, lo long, more short")))
-    open_parts = kinds.join(many, "core").groupBy(F.col("one.d").alias("d"), F.col("one.at").alias("at")).agg(F.collect_set(F.struct("one.lo", "one.more")).alias("told"))
-    left = common.dropDuplicates(["d", "lo"]).join(open_parts.withColumnRenamed("at", "lo"), ["d", "lo"])
-    windows = cut(left.select("d", "lo", "context", "told").mapInArrow(_windows, "h long, d long, s long"))
-    seen = windows.groupBy("h").agg(F.min(F.xxhash64("d", "s")).alias("x"), F.max(F.xxhash64("d", "s")).alias("y")).where("x <> y").select("h")
-    rest = windows.join(seen, "h", "left_semi").select("d", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
+    same = (F.col("d") == F.col("_d")) & (F.col("e") == F.col("_e")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    kept = cut(_contexts(named.join(told.hint("shuffle_hash"), same)))
+
+    few = kept.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("core").sortWithinPartitions("core").mapInArrow(_by_suffixes, "d long, e long, first long, last long")
+    common = kept.where(F.col("n") > MOST_SHARERS).select("d", "e", "lo", "starts", "context")
+    kinds, alike, many = _shared(cut(common.mapInArrow(_finer, "core long, whole long, d long, e long, at long, lo long, more short")))
+    open_parts = kinds.join(many, "core").groupBy(F.col("one.d").alias("d"), F.col("one.e").alias("e"), F.col("one.at").alias("at")).agg(F.collect_set(F.struct("core", "one.lo", "one.more")).alias("told"))
+    left = common.dropDuplicates(["d", "e", "lo"]).join(open_parts.withColumnRenamed("at", "lo"), ["d", "e", "lo"])
+    windows = cut(left.select("d", "e", "lo", "context", "told").mapInArrow(_windows, "h long, core long, d long, e long, s long"))
+    place = F.xxhash64("d", "e", "s")
+    seen = windows.groupBy("h", "core").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h", "core")
+    rest = windows.join(seen, ["h", "core"], "left_semi").select("d", "e", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
     spans = cut(equal.unionByName(few).unionByName(alike).unionByName(rest).distinct())
-    by_text = spans.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).join(texts.where("copies > 1").select("d", "copies"), "d", "full")
+    by_text = spans.groupBy("d", "e").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).join(texts.where("copies > 1").select("d", "e", "copies"), ["d", "e"], "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,5 +352,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    final = rows.join(by_text.hint("shuffle_hash"), "d", "left").select("doc_id", "text", "copies", "spans")
+    final = rows.join(by_text.hint("shuffle_hash"), ["d", "e"], "left").select("doc_id", "text", "copies", "spans")
     return final.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
