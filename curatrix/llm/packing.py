@@ -3,9 +3,10 @@
 Lengths are whole numbers up to the sequence length, so that a histogram of at most that many rows describes the whole
 packing problem; only it reaches the driver. There, lengths over a quarter of the sequence are rounded up within groups
 of equal cardinality, a linear programme over configurations of the few rounded sizes is solved by column generation,
-actual lengths take the places of the rounded ones, and what is left is placed best-fit, longest first. The plan is a
-list of (length, ranks from .. to, first sequence, offset): documents find their place by their rank among those of
-their length, counted in salted buckets, so that a length that a third of the rows have is no hot key.
+actual lengths take the places of the rounded ones (at the last place of a sequence, the length that fills it best), and what
+is left is placed best-fit, longest first. The plan is a list of (length, ranks from .. to, first sequence, offset), of a size
+that depends on the lengths and not on the rows: documents find their place by their rank among those of their length, counted
+in salted buckets, so that a length that a third of the rows have is no hot key.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ from pyspark.sql import functions as F
 from curatrix.llm.common import cut
 
 SEQUENCE = 2048
-GROUPS = 160
+GROUPS = (96, 48, 24, 12)
+SMALL = 4  # lengths up to this part of the sequence are small
 EOS = 0
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MOST_PLAN_ROWS = 500_000
+BROADCAST_ROWS = 500_000
 
 # White space that touches a space on both sides, or before a last space: there a cut at spaces isn't a cut between tokens.
 _ODD_SPACE = re.compile(r"\s \s|\s \Z")
 # The pattern by which the byte-level tokenizer splits texts (a fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHED = 400_000
+_CACHED = 50_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -232,39 +234,62 @@ class _Runs:
             count -= full * per + rest
 
 
-def plan(histogram: dict[int, int], capacity: int = SEQUENCE, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, end of ranks, first sequence, offset) for all pieces, and how many sequences there are."""
-    runs = _Runs(capacity)
-    runs.add(histogram.get(capacity, 0), (capacity,))
-    left = {n: c for n, c in histogram.items() if 0 < n < capacity and c}
-    large = sorted(((n, c) for n, c in left.items() if 4 * n > capacity), reverse=True)
-    if large:
-        grouped = grouped_sizes(large, groups)
-        sizes, demand = np.array([s for s, _ in grouped]), np.array([sum(c for _, c in m) for _, m in grouped], float)
-        stock = [list(reversed(m)) for _, m in grouped]  # longest first, at the end
-        used = demand.copy()
+def _packed(lengths: np.ndarray, capacity: int, groups: int) -> _Runs:
+    """Sequences for lengths[n] pieces of n tokens. Without groups there are no configurations, and all pieces are placed best-fit."""
+    runs, left = _Runs(capacity), lengths.copy()
+    runs.add(int(left[capacity]), (capacity,))
+    left[capacity] = 0
+    large = [(n, int(left[n])) for n in range(capacity - 1, capacity // SMALL, -1) if left[n]]
+    if large and groups:
+        few = len(large) <= groups  # then the sizes are the lengths themselves
+        grouped = [(n, [(n, c)]) for n, c in large] if few else grouped_sizes(large, groups)
+        sizes, demand = np.array([n for n, _ in grouped]), np.array([sum(c for _, c in m) for _, m in grouped], float)
+        below = [*sizes[1:].tolist(), capacity // SMALL]
+
+        def longest(low: int, top: int, taken: list[int]) -> int:
+            """The longest length over low, up to top, of which a piece is left; 0 if there is none."""
+            for n in (np.flatnonzero(left[low + 1 : top + 1])[::-1] + low + 1).tolist():
+                if left[n] > taken.count(n):
+                    return n
+            return 0
+
         for many, config in configurations(sizes, demand, capacity):
             slots = [j for j, c in enumerate(config) for _ in range(c)]
-            many = min([many, *(int(used[j] // config[j]) for j in set(slots))])
-            used -= many * config
-            while many:  # actual lengths take the places; sequences of equal lengths make one run
-                need = {j: slots.count(j) for j in slots}
-                step = min(many, *(max(1, stock[j][-1][1] // c) for j, c in need.items()), *(1 for j, c in need.items() if stock[j][-1][1] < c))
-                lengths = []
-                for j in slots:
-                    n, have = stock[j][-1]
-                    lengths.append(n)
-                    stock[j][-1] = (n, have - step)
-                    if have == step:
-                        stock[j].pop()
-                runs.add(step, tuple(lengths))
+            while many:  # actual lengths take the places, at the last place whatever fills the sequence best; equal sequences make one run
+                taken: list[int] = []
+                for k, j in enumerate(slots):
+                    room = capacity - sum(taken)
+                    if few:
+                        n = longest(int(sizes[j]) - 1, int(sizes[j]), taken)
+                    elif k < len(slots) - 1:
+                        n = longest(below[j], min(room, int(sizes[j])), taken)
+                    else:
+                        n = longest(0, room, taken)
+                    if not n:
+                        break
+                    taken.append(n)
+                if len(taken) < len(slots):
+                    break
+                step = min(many, *(int(left[n]) // taken.count(n) for n in taken))
+                for n in taken:
+                    left[n] -= step
+                runs.add(step, tuple(taken))
                 many -= step
-        left = {n: c for n, c in left.items() if 4 * n <= capacity}
-        for m in stock:
-            for n, c in m:
-                left[n] = left.get(n, 0) + c
-    for n in sorted(left, reverse=True):
-        runs.place(n, left[n])
+    for n in np.flatnonzero(left)[::-1].tolist():
+        runs.place(n, int(left[n]))
+    return runs
+
+
+def plan(histogram: dict[int, int], capacity: int = SEQUENCE, groups: tuple[int, ...] = GROUPS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(length, first rank, end of ranks, first sequence, offset) for all pieces, and how many sequences there are.
+
+    The numbers of groups are tried in turn and the fewest sequences win; no groups at all, which is plain best-fit, is
+    tried too, so that the plan is never worse."""
+    lengths = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        lengths[n] = c
+    tried = [_packed(lengths, capacity, g) for g in (*groups, 0)]
+    runs = min(tried, key=lambda r: sum(many for kept in r.by_gap.values() for many, _ in kept))
     rows, ranks, sequence = [], defaultdict(int), 0
     for kept in runs.by_gap.values():
         for many, lengths in kept:
@@ -277,7 +302,7 @@ def plan(histogram: dict[int, int], capacity: int = SEQUENCE, groups: int = GROU
     return rows, sequence
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | None = None, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | None = None, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """One row per piece with its place: sequence_id and offset.
 
     A null text counts as empty: one end mark. Repeated rows and equal or null ids are packed each on its own. An empty
@@ -287,8 +312,6 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | None = Non
     pieces = cut(token_pieces(docs, sequence, vocabulary))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `sequence` rows
     rows, _ = plan(histogram, sequence, groups)
-    if len(rows) > MOST_PLAN_ROWS:
-        raise ValueError(f"the plan has {len(rows)} rows")
     places = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length long, from_rank long, to_rank long, first_sequence long, offset long")
     buckets = max(16, sum(histogram.values()) // 50_000)
     salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
@@ -296,5 +319,6 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | None = Non
     before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
     within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_row", F.row_number().over(within) - 1).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_row"))
-    placed = ranked.join(F.broadcast(places), "length").where((F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank")))
+    places = F.broadcast(places) if len(rows) <= BROADCAST_ROWS else cut(places)
+    placed = ranked.join(places, "length").where((F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("_rank") - F.col("from_rank")).alias("sequence_id"), "offset")

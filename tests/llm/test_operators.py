@@ -84,23 +84,6 @@ def test_pii(docs, odd, empty):
     assert pii.detect(empty).count() == 0
 
 
-def test_pii_field_carries_labels():
-    model = {"w": np.zeros((pii.WIDTH, 5)), "skip": 4.0}
-    base, more = pii.find("call +1 (202) 555-0142 today, or 202 555 0142 later; order 1234567 stays", model)
-    assert [k for k, _, _ in base] == [3] and [(k, a) for k, a, _ in more] == [(3, 33)]
-    assert pii.redacted("call +1 (202) 555-0142 now", pii.base_spans("call +1 (202) 555-0142 now")) == "call [PHONE] now"
-
-
-def test_pii_field_runs_without_fixed_spans(spark):
-    w = np.zeros((pii.WIDTH, 5))
-    w[0, 0] = 2  # the fitted sign of the shape of an address
-    model, text = {"w": w, "skip": 4.0}, "write to jane (at) example (dot) org, I said jane (at) example (dot) org"
-    base, more = pii.find(text, model)
-    assert not base and [(k, text[a:b]) for k, a, b in more] == [(0, "jane (at) example (dot) org")] * 2
-    row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
-    assert row["text"] == "write to [EMAIL], I said [EMAIL]"
-
-
 SECRETS = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 12), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
 
 
