@@ -1,9 +1,14 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that carries their labels to similar tokens.
 
 Nodes are the spans that the patterns find (their labels are fixed) and weaker candidates: runs of digits and
-separators, and addresses with a written-out at sign. Neighbouring nodes share a chain potential; nodes with the same
-digits or the same address, however far apart, share a skip potential. Loopy message passing gives the labels. Node
-weights come from a bounded sample of rows, labelled by the patterns.
+separators, and addresses with a written-out at sign. Neighbouring nodes, of either sort, share a chain potential; nodes with
+the same digits or the same address, however far apart, share a skip potential. Loopy message passing gives each
+candidate's marginal, and one that is likelier some kind than `other` is added.
+
+Node weights and both tables of potentials are learned together, by pseudo-likelihood, from a bounded sample of rows. Their
+labels come from the patterns: a candidate counts as `other`, but for those that the patterns can't speak of (written-out
+addresses, and tokens similar to a fixed span), whose labels are left open. As labels are weak, a candidate's own log odds
+are kept within ODDS, so that what the rest of the document says can outweigh them.
 """
 
 from __future__ import annotations
@@ -20,8 +25,10 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 SAMPLE_ROWS = 3000
-CHAIN = 0.3
-ROUNDS = 12
+ODDS = 2.0
+REACH = 80  # characters between neighbours
+AGREE = 3.0  # the skip potential of like labels before anything is learned
+ROUNDS = 40
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -30,7 +37,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"\+?[0-9](?:[\x20().-]{0,3}[0-9]){6,18}(?![0-9])")
-_WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\x20?[(\[]at[)\]]\x20?([A-Za-z0-9-]{1,63})((?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]{1,63})+)")
+_WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]++)\x20?[(\[]at[)\]]\x20?([A-Za-z0-9-]++)((?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)+)")
 _CUES = {"mail": 0, "e-mail": 0, "email": 0, "ip": 1, "host": 1, "address": 1, "card": 2, "visa": 2, "phone": 3, "tel": 3, "call": 3, "fax": 3, "mobile": 3}
 
 
@@ -110,75 +117,114 @@ def node_features(text: str, a: int, b: int) -> np.ndarray:
     return x
 
 
+def allowed(s: str) -> np.ndarray:
+    """Which labels a span of text can have at all: an address has an at sign, an ip four parts up to 255, a card a check digit that holds."""
+    d = _digits(s)
+    at = "@" in s or "at)" in s or "at]" in s
+    parts = s.split(".")
+    ip = len(parts) == 4 and all(p.isdigit() and p.isascii() and int(p[-4:]) <= 255 and len(p.lstrip("0")) <= 3 for p in parts)
+    return np.array([at, ip, not at and 13 <= len(d) <= 19 and luhn(d), not at and 9 <= len(d) <= 15, True])
+
+
+def edges(all_nodes: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs of neighbours, and pairs of similar nodes of which the second is the next after the first."""
+    chain = [(k - 1, k) for k in range(1, len(all_nodes)) if all_nodes[k][0] - all_nodes[k - 1][1] < REACH]
+    last: dict[str, int] = {}
+    skip = []
+    for k, node in enumerate(all_nodes):
+        if node[3] in last:
+            skip.append((last[node[3]], k))
+        last[node[3]] = k
+    return chain, skip
+
+
+def _told(text: str) -> Iterator[tuple[int, ...]]:
+    """Of each node whose label the patterns tell: its features, its label, and those of its neighbours and of similar nodes (-1: none, or open)."""
+    all_nodes = nodes(text, base_spans(text))
+    if not all_nodes:
+        return
+    chain, skip = edges(all_nodes)
+    fixed = {key for _, _, label, key in all_nodes if label >= 0}
+    label = [v if v >= 0 else -1 if key in fixed or "@" in key else OTHER for _, _, v, key in all_nodes]
+    near = [[-1] * 4 for _ in all_nodes]
+    for k, pairs in ((0, chain), (2, skip)):
+        for i, j in pairs:
+            near[j][k], near[i][k + 1] = label[i], label[j]
+    for (a, b, _, _), y, others in zip(all_nodes, label, near, strict=True):
+        if y >= 0:
+            yield (*node_features(text, a, b).astype(int).tolist(), y, *others)
+
+
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Node weights (softmax, with the log odds kept within 2) and the skip potential, from a sample of rows chosen by a hash of the id."""
+    """Node weights, chain and skip potentials, from a sample of rows chosen by a hash of the id."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     many = max(1, docs.count())
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < min(1.0, sample_rows / many) * (1 << 20)).limit(2 * sample_rows)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, pairs = {}, [0, 0]
+        count: dict[tuple[int, ...], int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen = {}
-                for a, b, label, key in nodes(text, base_spans(text)):
-                    k = (tuple(node_features(text, a, b).astype(int).tolist()), label if label >= 0 else OTHER)
+                for k in _told(text):
                     count[k] = count.get(k, 0) + 1
-                    if label >= 0:
-                        if key in seen:
-                            pairs[seen[key] != label] += 1
-                        seen[key] = label
-        rows = [(*k, n) for k, n in count.items()] + [([-1, 0], 0, pairs[0]), ([-1, 1], 0, pairs[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([list(r[0]) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["x", "y", "n"])
-
-    told = rows.select("text").mapInArrow(sums, "x array<int>, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()  # at most one row per combination of features
-    pairs = {r["x"][1]: r["n"] for r in told if r["x"][0] == -1}
-    data = sorted((tuple(r["x"]), r["y"], r["n"]) for r in told if r["x"][0] != -1)
-    w = np.zeros((WIDTH, OTHER + 1))
+        yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in count], pa.list_(pa.int32())), pa.array(list(count.values()), pa.int64())], names=["k", "n"])
+
+    told = rows.select("text").mapInArrow(sums, "k array<int>, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # at most one row per combination of features and labels
+    return learned(sorted((tuple(r["k"]), r["n"]) for r in told))
+
+
+def learned(data: list[tuple[tuple[int, ...], int]]) -> dict:
+    """The model of such rows and their counts, by gradient ascent of the pseudo-likelihood; potentials stay near their start where nothing is told."""
+    w, start = np.zeros((WIDTH, OTHER + 1)), AGREE * np.eye(OTHER + 1)
+    chain, skip = np.zeros_like(start), start.copy()
     if data:
-        x, n = np.array([d[0] for d in data], float), np.array([d[2] for d in data], float)
-        y = np.eye(OTHER + 1)[[d[1] for d in data]]
-        for _ in range(300):
-            p = x @ w
+        k, n = np.array([d[0] for d in data]), np.array([d[1] for d in data], float)
+        x, y, share = k[:, :WIDTH].astype(float), np.eye(OTHER + 1)[k[:, WIDTH]], (n / n.sum())[:, None]
+        one = np.vstack([np.eye(OTHER + 1), np.zeros(OTHER + 1)])  # -1: the last row
+        near, alike = one[k[:, WIDTH + 1]] + one[k[:, WIDTH + 2]], one[k[:, WIDTH + 3]] + one[k[:, WIDTH + 4]]
+        for _ in range(400):
+            p = x @ w + near @ chain + alike @ skip
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w += 0.5 * (x.T @ ((y - p) * n[:, None]) / n.sum() - 1e-3 * w)
-    return {"w": w, "skip": float(np.clip(np.log((pairs.get(0, 0) + 20) / (pairs.get(1, 0) + 1)), 2.5, 5))}
-
-
-def infer(unary: np.ndarray, edges: list[tuple[int, int, float]], fixed: np.ndarray) -> np.ndarray:
-    """Beliefs by loopy message passing with attractive potentials: an edge of weight w favours equal labels by w."""
-    unary = unary.copy()
-    for i in np.flatnonzero(fixed >= 0):
-        unary[i] = -1e3
-        unary[i, fixed[i]] = 0
-    if not edges:
-        return unary
-    i, j, w = np.array([e[0] for e in edges]), np.array([e[1] for e in edges]), np.array([e[2] for e in edges])
-    src, dst, w = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w])[:, None]
+            miss = (y - p) * share
+            w += 0.5 * (x.T @ miss - 1e-3 * w)
+            for table, seen, kept in ((chain, near, 0), (skip, alike, start)):
+                step = seen.T @ miss
+                table += 0.5 * ((step + step.T) / 2 - 1e-3 * (table - kept))
+    return {"w": w, "chain": chain, "skip": skip}
+
+
+def infer(unary: np.ndarray, links: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """Log marginals by loopy message passing; each link has its table of potentials. Exact where the links make no loop."""
+    def marginals(belief: np.ndarray) -> np.ndarray:
+        belief = belief - belief.max(1, keepdims=True)
+        return belief - np.log(np.exp(belief).sum(1, keepdims=True))
+
+    if not links:
+        return marginals(unary)
+    i, j = np.array([x[0] for x in links]), np.array([x[1] for x in links])
+    table = np.array([x[2] for x in links])
+    src, dst, table = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([table, table.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
     msg = np.zeros((len(src), unary.shape[1]))
-    for _ in range(ROUNDS):
+    for _ in range(max(ROUNDS, 2)):
         belief = unary.copy()
         np.add.at(belief, dst, msg)
-        out = belief[src] - msg[back]
-        top = out.max(1, keepdims=True)
-        e = np.exp(out - top)
-        new = np.log(e.sum(1, keepdims=True) + e * np.expm1(w)) + top
+        out = (belief[src] - msg[back])[:, :, None] + table
+        top = out.max(1)
+        new = np.log(np.exp(out - top[:, None, :]).sum(1)) + top
         new -= new.max(1, keepdims=True)
-        if np.abs(new - msg).max() < 1e-4:
+        done = np.abs(new - msg).max() < 1e-6
+        msg = 0.3 * msg + 0.7 * new
+        if done:
             break
-        msg = 0.5 * msg + 0.5 * new
     belief = unary.copy()
     np.add.at(belief, dst, msg)
-    return belief
+    return marginals(belief)
 
 
 def find(text: str | None, model: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The fixed spans, and those that the random field adds: candidates whose label isn't `other`.
-
-    The field runs wherever there are candidates, with or without fixed spans. A candidate like no other node of the
-    text has no skip edge to carry a label to it, and isn't added."""
+    """The fixed spans, and those that the random field adds: candidates that are likelier some kind than all else."""
     text = text or ""
     if "@" not in text and not _DIGIT.search(text) and "at)" not in text and "at]" not in text:
         return [], []
@@ -186,20 +232,14 @@ def find(text: str | None, model: dict) -> tuple[list[tuple[int, int, int]], lis
     all_nodes = nodes(text, base)
     if all(n[2] >= 0 for n in all_nodes):
         return base, []
-    fixed = np.array([n[2] for n in all_nodes])
     odds = np.array([node_features(text, a, b) for a, b, _, _ in all_nodes]) @ model["w"]
-    odds = np.clip(odds - odds[:, [OTHER]], -2, 2)
-    odds[:, :OTHER] -= 1.0  # without support from elsewhere a candidate is other
-    last, edges = {}, []
+    odds = np.clip(odds - odds[:, [OTHER]], -ODDS, ODDS)
     for k, n in enumerate(all_nodes):
-        if k and n[0] - all_nodes[k - 1][1] < 80 and (fixed[k] < 0) == (fixed[k - 1] < 0):
-            edges.append((k - 1, k, CHAIN))
-        if n[3] in last:
-            edges.append((last[n[3]], k, model["skip"]))
-        last[n[3]] = k
-    linked = {e for a, b, w in edges if w == model["skip"] for e in (a, b)}
-    label = infer(odds, edges, fixed).argmax(1)
-    return base, [(int(label[k]), n[0], n[1]) for k, n in enumerate(all_nodes) if n[2] < 0 and label[k] != OTHER and k in linked]
+        odds[k, np.arange(OTHER + 1) != n[2] if n[2] >= 0 else ~allowed(text[n[0] : n[1]])] = -1e3
+    chain, skip = edges(all_nodes)
+    belief = infer(odds, [(i, j, model["chain"]) for i, j in chain] + [(i, j, model["skip"]) for i, j in skip])
+    label = belief.argmax(1)
+    return base, [(int(label[k]), n[0], n[1]) for k, n in enumerate(all_nodes) if n[2] < 0 and label[k] != OTHER and belief[k, label[k]] > np.log(0.5)]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
