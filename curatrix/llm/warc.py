@@ -3,8 +3,9 @@
 Reading plans one partition per archive file, takes filters on record type and header fields into the scan, parses the
 headers first and skips the payloads of records that aren't wanted: archives written here give each compressed record's
 length in its gzip header, so that the reader seeks past it; others are decompressed and dropped. Writing gives each
-task a file of its own name, and a manifest at the end lists the files that count, so that tasks run twice do no harm.
-Paths are whatever pyarrow's file systems open (local, hdfs, s3, ...).
+task a file of its own name, and each commit adds a manifest of the files that count, so that tasks run twice do no harm
+and appended archives stay together; overwriting drops the manifests before. Paths are whatever pyarrow's file systems
+open (local, hdfs, s3, ...); one without a scheme is on the session's default file system.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
@@ -25,13 +27,29 @@ SCHEMA = "record_id string, record_type string, target_uri string, refers_to str
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 LEAST_REVISIT = 100
 MANIFEST = "_manifest"
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _EXTRA = b"WL"  # the gzip header's subfield that holds the record's compressed length
 
 
 def _store(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that it has in this session."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file:///") else full
+
+
+def _manifests(store, root: str) -> list[str]:
+    from pyarrow import fs
+
+    if store.get_file_info(root).type != fs.FileType.Directory:
+        return []
+    return [i.path for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(MANIFEST)]
 
 
 def member(record: bytes, level: int = 1) -> bytes:
@@ -80,12 +98,10 @@ def records(f, wanted, payloads: bool) -> Iterator[tuple]:
             head = f.read(20)
             if len(head) < 18:
                 return
-            known = head[3] == 4 and head[12:14] == _EXTRA
-            inner = gzip.GzipFile(fileobj=_Member(f, at, struct.unpack("<I", head[16:20])[0]) if known else _From(f, at))
-            if not known:  # foreign archive: one stream of members, decompressed throughout
-                yield from _plain(inner, wanted, payloads, seek=False)
+            if head[3] != 4 or head[12:14] != _EXTRA:  # foreign archive: one stream of members, decompressed throughout
+                yield from _plain(gzip.GzipFile(fileobj=_From(f, at)), wanted, payloads, seek=False)
                 return
-            yield from _plain(inner, wanted, payloads, seek=False, once=True)
+            yield from _plain(_Member(f, at, struct.unpack("<I", head[16:20])[0]), wanted, payloads, seek=False, once=True)
             at += struct.unpack("<I", head[16:20])[0]
     else:
         f.seek(0)
@@ -102,14 +118,26 @@ class _From:
 
 
 class _Member(_From):
+    """A member decompressed as far as it is read: the first step is enough for the headers."""
+
     def __init__(self, f, at: int, size: int):
-        super().__init__(f, at)
-        self.left = size
+        super().__init__(f, at + 20)
+        self.left, self.step, self.inflate, self.held = size - 28, 2048, zlib.decompressobj(-15), b""
 
     def read(self, n: int = -1) -> bytes:
-        out = self.f.read(self.left if n < 0 else min(n, self.left))
-        self.left -= len(out)
-        return out
+        out = [self.held]
+        have = len(self.held)
+        while (n < 0 or have < n) and self.left > 0:
+            part = self.f.read(min(self.left, self.step))
+            if not part:
+                break
+            self.left, self.step = self.left - len(part), 1 << 20
+            out.append(self.inflate.decompress(part))
+            have += len(out[-1])
+        whole = b"".join(out)
+        n = have if n < 0 else n
+        self.held = whole[n:]
+        return whole[:n]
 
 
 def _plain(f, wanted, payloads: bool, seek: bool, once: bool = False) -> Iterator[tuple]:
@@ -164,13 +192,14 @@ class _Reader(DataSourceReader):
         from pyarrow import fs
 
         store, root = _store(self.path)
-        listed = f"{root}/{MANIFEST}"
-        if store.get_file_info(listed).type == fs.FileType.File:
-            with store.open_input_stream(listed) as f:
-                names = f.read().decode().split()
-        else:
+        told = _manifests(store, root)
+        if not told:  # archives that something else has written
             infos = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
             return [_File(i.path) for i in infos if i.type == fs.FileType.File and i.path.endswith((".warc", ".warc.gz"))] or [_File("")]
+        names = []
+        for listed in told:
+            with store.open_input_stream(listed) as f:
+                names += f.read().decode().split()
         return [_File(f"{root}/{n}") for n in names] or [_File("")]
 
     def read(self, partition):
@@ -179,7 +208,20 @@ class _Reader(DataSourceReader):
         store, _ = _store(self.path)
         wanted = lambda row: all(row[k] in v for k, v in self.filters)
         with store.open_input_file(partition.path) as f:
-            yield from records(f, wanted, self.payloads)
+            rows, held = [], 0
+            for row in records(f, wanted, self.payloads):
+                rows.append(row)
+                held += len(row[-1] or b"") + 1
+                if held > BATCH_BYTES or len(rows) == BATCH_ROWS:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*HEADERS, "payload_bytes", "payload"])
 
 
 class _Written(WriterCommitMessage):
@@ -190,8 +232,8 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """Rows: record_id, record_type, target_uri, refers_to, payload_digest, payload (null: empty)."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         store, root = _store(self.path)
@@ -207,8 +249,11 @@ class _Writer(DataSourceWriter):
     def commit(self, messages):
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}") as f:
             f.write("\n".join(m.name for m in messages if m and m.name).encode())
+        for listed in before:
+            store.delete_file(listed)
 
     def abort(self, messages):
         store, root = _store(self.path)
@@ -229,7 +274,7 @@ class WarcSource(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema, overwrite) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -239,7 +284,7 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payloads", str(payloads).lower()).load()
+    return spark.read.format("warc").option("path", qualified(spark, path)).option("payloads", str(payloads).lower()).load()
 
 
 def write_pages(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
@@ -253,14 +298,14 @@ def write_pages(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     out = rows.join(firsts.hint("shuffle_hash"), F.col("payload_digest") == F.col("_digest"), "left")
-    out.select(urn(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, urn(F.col("_first"))).alias("refers_to"), "payload_digest", "payload").write.format("warc").mode("append").option("path", path).save()
+    out.select(urn(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, urn(F.col("_first"))).alias("refers_to"), "payload_digest", "payload").write.format("warc").mode("append").option("path", qualified(pages.sparkSession, path)).save()
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read back.
 
     The digest of a response is taken from the payload as read; that of a revisit is in its header. An empty table gives
-    no rows; a null page_id comes back as null. Other columns are left out."""
+    no rows; a null page_id comes back as null; a very long payload is one record, held by one task at a time. Other columns are left out."""
     spark = pages.sparkSession
     path = path or shared_folder(spark)
     write_pages(pages, path)
