@@ -46,7 +46,7 @@ PARTNERS = 3  # of each group
 BROADCAST_IDS = 500_000
 PART_KEYS = 250_000  # prefix shingles in a part
 CELLS = 512  # of a set's histogram
-LEAVES = 256  # texts dealt to one of the other side's
+LEAVES = 64  # texts dealt to one of the other side's
 _LAST = np.int64(1 << 62)
 
 
