@@ -21,6 +21,7 @@ BITS = 12
 SAMPLE_ROWS = 2400
 MOST_LANGUAGES = 500
 AMBIGUOUS = 0.6
+SURE = 0.5  # of the weight of all codewords
 UNKNOWN = "und"
 _C3, _C2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -77,15 +78,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """The model, from about sample_rows rows with a language, as many of each language as there are, chosen by a hash of the id."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # The sample's bound: the MOST_LANGUAGES languages with the most rows are learned.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": []}
     per = max(8, sample_rows // len(langs))
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per / counts[k])))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).limit(2 * per * len(langs))
+    chosen = rows.where(F.col("lang").isin(langs)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).limit(2 * per * len(langs))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,12 +151,20 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """The rows whose language can be told, all columns: those predicted `und` go."""
+    """The rows whose language can be told, all columns, whatever their names. Rejected are texts that are null or have no
+    letter, and those flagged ambiguous whose nearest codeword has less than SURE of the weight of all. Where no row has
+    a language to learn from, nothing but the letters decides. Repeated rows stay, a very long text is a row like others, and
+    an empty table gives no rows."""
     model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, _ = predictions(model, batch.column(batch.schema.get_field_index("text")))
-            yield batch.filter(pa.array([x != UNKNOWN for x in names]))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            if model["langs"]:
+                names, score, close = predictions(model, texts)
+                keep = [x != UNKNOWN and not (c and v < SURE) for x, v, c in zip(names, score, close, strict=True)]
+            else:
+                keep = [has_letter(x.as_py()) for x in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,10 +40,22 @@ def test_language(docs, odd, empty):
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
     und = {r["doc_id"] for r in language.identify(odd).collect() if r["lang_pred"] == "und"}
-    assert und == {3, 4, 5} and language.keep_known(odd).count() == odd.count() - 3
+    kept = {r["doc_id"] for r in language.keep_known(odd).collect()}
+    assert und == {3, 4, 5} and {1, 2, 7, 8, 9, None} <= kept and not kept & und
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))  # nothing to learn from: the letters decide
+    assert language.keep_known(unlabelled).count() == odd.count() - 3 and {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
     assert language.identify(empty).count() == 0
 
 
+def test_language_rejects_what_fits_no_codeword(docs):
+    model = language.fit(docs)
+    told = language.identify(docs, model).where("lang_pred = 'und' or (ambiguous and score < 0.5)").select("doc_id")
+    assert {r["doc_id"] for r in docs.join(language.keep_known(docs, model).select("doc_id"), "doc_id", "left_anti").collect()} == {r["doc_id"] for r in told.collect()}
+    margins = -model["code"][:1] * 0  # says nothing of any bit
+    best, share, close = language.decode(model, margins)
+    assert close[0] and share[0] < 0.5
+
+
 def test_quality(spark, docs, odd, empty, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = quality.score(docs, labels).join(labels, "doc_id").collect()
