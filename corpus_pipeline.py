@@ -12,7 +12,7 @@ ORACLE_SQL = None  # classifiers, a random field and a tokenizer: tests/llm hold
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text or no letter) go."""
+    """Documents that language ID rejects go: no text, no letter, or too little to tell one language from another."""
     return language.keep_known(docs)
 
 
@@ -40,6 +40,11 @@ STAGES = [("language", known_language), ("near_duplicates", one_of_each), ("deco
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the table documents.
+
+    Null, empty and letterless texts leave with the first stage; rows that repeat a document or nearly so leave with the second,
+    but rows without an id or with the smallest id of their group stay; very long texts are cut by the last into pieces. An empty
+    table gives no rows, and columns beyond those of documents are carried to the last stage, whatever their names."""
     docs = spark.read.parquet(f"{sf_dir}/{TABLE}.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
