@@ -154,6 +154,12 @@ def ticks(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
 
 
+def date_change(created: Column, modified: Column) -> Column:
+    """(from, to, error) of a change of the modification date to the creation date, as exact ticks; INVALID_DATE where either isn't a number."""
+    made, changed = ticks(created), ticks(modified)
+    return F.struct(changed.alias("from"), made.alias("to"), F.when(made.isNull() | changed.isNull(), "INVALID_DATE").alias("error"))
+
+
 def content_digest(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.scalars import ancestors, extension, file_name, fold_text, natural_key, parent, path_key
+from curatrix.operators.rules import plan_counter
 
 # Display names of categories, in Spanish.
 CATEGORY_NAMES = {"folder": "Carpeta", "image": "Imagen", "video": "Video", "audio": "Audio", "document": "Documento", "spreadsheet": "Hoja de cálculo", "presentation": "Presentación", "archive": "Comprimido", "code": "Código", "executable": "Aplicación", "other": "Otro"}
 
 
-def list_folder(catalog: DataFrame, folder: str) -> DataFrame:
-    """Direct children."""
-    return catalog.where(parent(F.col("path")) == folder)
+def list_folder(catalog: DataFrame, folder: str, root: str | None = None) -> DataFrame:
+    """Direct children, with the root and the folder's parent (null at the root)."""
+    above = folder.rpartition("/")[0] if root is not None and folder.lower() != root.lower() else None
+    return catalog.where(parent(F.col("path")) == folder).withColumns({"root": F.lit(root).cast("string"), "parent": F.lit(above).cast("string")})
 
 
-def scan_report(candidates: DataFrame, max_files: int | None = None) -> DataFrame:
-    """candidates (path, kind: null if not media, readable): how many are kept, skipped, unreadable, and whether the cap cut some."""
+def scan_report(candidates: DataFrame, max_files: int | None = None, max_entries: int | None = None) -> DataFrame:
+    """candidates (path, kind: null if not media, readable): how many are kept, skipped, unreadable, and whether a cap cut some.
+
+    At most max_entries entries are looked at, in order of path."""
+    if max_entries is not None:
+        seen = plan_counter(candidates, "path", "_entry")
+        looked = scan_report(seen.where(F.col("_entry") <= max_entries), max_files)
+        more = seen.agg(F.coalesce(F.max("_entry") > max_entries, F.lit(False)).alias("_more"))
+        return looked.join(F.broadcast(more)).select("kept", "skipped", "unreadable", (F.col("truncated") | F.col("_more")).alias("truncated"))  # one row each
     totals = candidates.agg(F.count_if(F.col("kind").isNotNull() & F.col("readable")).alias("media"), F.count_if(F.col("kind").isNull()).alias("skipped"), F.count_if(F.col("kind").isNotNull() & ~F.col("readable")).alias("unreadable"))
     cap = F.lit(max_files).cast("long")
     return totals.select(F.least("media", cap).alias("kept"), "skipped", "unreadable", F.coalesce(F.col("media") > cap, F.lit(False)).alias("truncated"))
@@ -46,10 +55,19 @@ def sort_key(field: str) -> Column:
     return F.col(field)
 
 
-def sort_files(catalog: DataFrame, field: str = "name", direction: str = "asc") -> DataFrame:
+def file_order(field: str = "name", direction: str = "asc") -> list[Column]:
     """Folders first and nulls last in both directions; ties by name."""
     key = sort_key(field)
-    return catalog.orderBy(F.col("is_dir").desc(), key.asc_nulls_last() if direction == "asc" else key.desc_nulls_last(), natural_key(file_name(F.col("path"))).asc(), "path")
+    return [F.col("is_dir").desc(), key.asc_nulls_last() if direction == "asc" else key.desc_nulls_last(), natural_key(file_name(F.col("path"))).asc(), F.col("path").asc()]
+
+
+def sort_files(catalog: DataFrame, field: str = "name", direction: str = "asc") -> DataFrame:
+    return catalog.orderBy(*file_order(field, direction))
+
+
+def placed_files(catalog: DataFrame, field: str = "name", direction: str = "asc", name: str = "place") -> DataFrame:
+    """sort_files as a column: each file's place in that order, from 1."""
+    return plan_counter(catalog, file_order(field, direction), name)
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int = 36) -> DataFrame:
@@ -98,6 +116,16 @@ def select_media(media: DataFrame, ids: DataFrame, removable_only: bool = False)
     return out.where(~F.col("protected")) if removable_only else out
 
 
+def exclude(excluded: DataFrame, ids: DataFrame) -> DataFrame:
+    """The session's exclusions (id) with these ids too."""
+    return excluded.select("id").union(ids.select("id")).distinct()
+
+
+def restore(excluded: DataFrame, ids: DataFrame) -> DataFrame:
+    """The session's exclusions without these ids."""
+    return excluded.select("id").join(ids.select("id"), "id", "left_anti")
+
+
 def review_queue(inbox: DataFrame, query: str = "") -> DataFrame:
     return inbox.where(F.col("status").isin("needs-review", "failed") & F.contains(F.lower("name"), F.lit(query.strip().lower())))
 
@@ -131,6 +159,12 @@ def managed_roots(*frames: DataFrame) -> DataFrame:
     return out.where(F.col("root").isNotNull()).distinct()
 
 
+def check_roots(roots: DataFrame, most: int = 32) -> DataFrame:
+    """One row: INVALID_FOLDERS unless there are 1 to `most` different roots. No roots never mean all."""
+    many = roots.select(path_key(F.col("root")).alias("_key")).where("_key is not null").distinct()
+    return many.agg(F.when(~F.count(F.lit(1)).between(1, most), "INVALID_FOLDERS").alias("error"))
+
+
 def collapse_roots(roots: DataFrame, recursive: bool = True) -> DataFrame:
     """One root per path key; recursive: those inside another go."""
     one = roots.groupBy(path_key(F.col("root")).alias("_key")).agg(F.min("root").alias("root"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.scalars import path_key
+from curatrix.operators.rules import plan_counter
+from curatrix.operators.tables import materialized
 
 MAX_FULL = 200
 BANDS = (13, 13, 13, 13, 12)  # bits of the dhash
@@ -16,8 +18,13 @@ BANDED_ROWS = 4096
 
 
 def duplicate_groups(catalog: DataFrame) -> DataFrame:
-    """digest, n, paths (in order) of digests that more than one file has. Rows carry digests, never contents."""
-    return catalog.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("paths")).where("n > 1")
+    """digest, path, n, place: a row per file of each digest that more than one file has, with its place in order of path.
+
+    A group is rows, not an array, and its places come from range partitions, so that no group meets in one task."""
+    many = catalog.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = plan_counter(catalog.join(many, "digest").select("digest", "path", "n"), ["digest", "path"], "_at")
+    first = rows.groupBy("digest").agg(F.min("_at").alias("_first"))
+    return rows.join(first, "digest").select("digest", "path", "n", (F.col("_at") - F.col("_first") + 1).alias("place"))
 
 
 def staged(catalog: DataFrame, keys: tuple[str, ...] = ("size", "digest")) -> DataFrame:
@@ -32,15 +39,15 @@ def staged(catalog: DataFrame, keys: tuple[str, ...] = ("size", "digest")) -> Da
 
 def duplicate_pairs(catalog: DataFrame, max_full: int = MAX_FULL) -> DataFrame:
     """All pairs of groups up to max_full files; of larger ones the first file with each other, and neighbours: 2n - 3 pairs."""
-    rank = F.row_number().over(Window.partitionBy("digest").orderBy("path"))
-    ranked = catalog.select("digest", "path", rank.alias("rn")).join(catalog.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).where("n > 1"), "digest")
-    small = ranked.where(F.col("n") <= max_full)
+    rows = materialized(duplicate_groups(catalog))
+    small, big = rows.where(F.col("n") <= max_full), rows.where(F.col("n") > max_full)
+    pair = lambda truncated: [F.col("l.digest").alias("digest"), F.col("l.path").alias("left_path"), F.col("r.path").alias("right_path"), F.lit(truncated).alias("truncated")]
     l, r = small.alias("l"), small.alias("r")
-    full = l.join(r, (F.col("l.digest") == F.col("r.digest")) & (F.col("l.rn") < F.col("r.rn"))).select(F.col("l.digest").alias("digest"), F.col("l.path").alias("left_path"), F.col("r.path").alias("right_path"), F.lit(False).alias("truncated"))
-    before = F.lag("path").over(Window.partitionBy("digest").orderBy("rn"))
-    big = ranked.where(F.col("n") > max_full).withColumn("before", before)
-    star = big.where("rn > 1").select("digest", F.explode(F.array_distinct(F.array("first", "before"))).alias("left_path"), F.col("path").alias("right_path"), F.lit(True).alias("truncated"))
-    return full.unionByName(star)
+    full = l.join(r, (F.col("l.digest") == F.col("r.digest")) & (F.col("l.place") < F.col("r.place"))).select(*pair(False))
+    l, r = big.alias("l"), big.alias("r")
+    star = big.where("place = 1").alias("l").join(r, (F.col("l.digest") == F.col("r.digest")) & (F.col("r.place") > 1)).select(*pair(True))
+    near = l.join(r, (F.col("l.digest") == F.col("r.digest")) & (F.col("l.place") + 1 == F.col("r.place"))).where(F.col("l.place") > 1).select(*pair(True))
+    return full.unionByName(star).unionByName(near)
 
 
 def representatives(catalog: DataFrame) -> DataFrame:
@@ -48,15 +55,23 @@ def representatives(catalog: DataFrame) -> DataFrame:
 
 
 def find_duplicates(incoming: DataFrame, library: DataFrame) -> DataFrame:
-    """Library files with the content of an incoming file: equal size, then equal digest; the incoming paths themselves don't count."""
-    others = library.join(incoming.select(path_key(F.col("path")).alias("_key")), path_key(library["path"]) == F.col("_key"), "left_anti")
-    sized = others.join(incoming.select("size").distinct(), "size", "left_semi")
-    return incoming.select(F.col("path").alias("incoming_path"), "size", "digest").join(sized.select(F.col("path").alias("library_path"), "size", "digest"), ["size", "digest"]).select("incoming_path", "library_path", "digest")
+    """Library files with the content of an incoming file: equal size, then equal sample (where both tables have one), then
+    equal digest; the incoming paths themselves don't count. Each stage shuffles only what the one before left."""
+    others = library.withColumn("_key", path_key(F.col("path"))).join(incoming.select(path_key(F.col("path")).alias("_key")), "_key", "left_anti")
+    keys = ["size", *(["sample"] if "sample" in incoming.columns and "sample" in library.columns else [])]
+    for k in range(1, len(keys) + 1):
+        others = others.join(incoming.select(keys[:k]).distinct(), keys[:k], "left_semi")
+    keys.append("digest")
+    return incoming.select(F.col("path").alias("incoming_path"), *keys).join(others.select(F.col("path").alias("library_path"), *keys), keys).select("incoming_path", "library_path", "digest")
+
 
+SIGNED = ("path", "size", "modified_at", "digest", "identity", "created_ticks", "modified_ticks")
 
-def pair_signature(pairs: DataFrame, columns: tuple[str, ...] = ("path", "size", "digest")) -> DataFrame:
-    """pairs (left_*, right_*) with a signature that doesn't depend on the sides' order."""
-    side = lambda s: F.concat_ws("|", path_key(F.col(f"{s}_path")), *[F.col(f"{s}_{c}").cast("string") for c in columns if c != "path"])
+
+def pair_signature(pairs: DataFrame, columns: tuple[str, ...] = SIGNED) -> DataFrame:
+    """pairs (left_*, right_*) with a signature of each side's path key and the other columns, whichever side comes first. A changed file has another."""
+    told = lambda s, c: path_key(F.col(f"{s}_path")) if c == "path" else F.coalesce(F.col(f"{s}_{c}").cast("string"), F.lit(""))
+    side = lambda s: F.concat_ws("|", *[told(s, c) for c in columns])
     return pairs.withColumn("signature", F.sha2(F.concat_ws("\n", F.array_sort(F.array(side("left"), side("right")))), 256))
 
 
@@ -64,6 +79,11 @@ def drop_dismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     return pairs.join(dismissed.select("signature"), "signature", "left_anti")
 
 
+def ignored_count(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """How many of the pairs are dismissed."""
+    return pairs.join(dismissed.select("signature").distinct(), "signature", "left_semi").agg(F.count(F.lit(1)).alias("ignored"))
+
+
 def dismiss(dismissed: DataFrame, pairs: DataFrame) -> DataFrame:
     return dismissed.select("signature").union(pairs.select("signature")).distinct()
 
@@ -74,11 +94,18 @@ def retire_pair(pairs: DataFrame, retired: str) -> DataFrame:
     return pairs.where((path_key(F.col("left_path")) != key) & (path_key(F.col("right_path")) != key))
 
 
-def plan_cleanup(catalog: DataFrame, keepers: DataFrame) -> DataFrame:
-    """keepers (digest, path): a backup move for each other member; INVALID_GROUP where the keeper isn't in its group or alone."""
+def check_retirement(choices: DataFrame, catalog: DataFrame, protected: DataFrame) -> DataFrame:
+    """choices (path): MEDIA_PROTECTED where the content that would go is protected, FILE_CHANGED where the path isn't there, else null."""
+    now = catalog.select(path_key(F.col("path")).alias("_key"), "digest").join(protected.select("digest").distinct().withColumn("_p", F.lit(True)), "digest", "left")
+    held = choices.withColumn("_key", path_key(F.col("path"))).join(now.withColumn("_here", F.lit(True)), "_key", "left")
+    return held.select("path", F.when(F.col("_here").isNull(), "FILE_CHANGED").when(F.col("_p"), "MEDIA_PROTECTED").alias("error"))
+
+
+def plan_cleanup(catalog: DataFrame, keepers: DataFrame, most: int = 10_000) -> DataFrame:
+    """keepers (digest, path): a backup move for each other member; INVALID_GROUP where the keeper isn't in its group, or that has not 2 to `most` members."""
     group = catalog.join(keepers.select("digest", F.col("path").alias("keeper")), "digest")
     held = group.groupBy("digest").agg(F.count_if(F.col("path") == F.col("keeper")).alias("_k"), F.count(F.lit(1)).alias("_n"))
-    return group.join(held, "digest").where("path <> keeper").select("digest", "path", "keeper", F.lit("move").alias("action"), F.lit(True).alias("backup"), F.when((F.col("_k") != 1) | (F.col("_n") < 2), "INVALID_GROUP").alias("error"))
+    return group.join(held, "digest").where("path <> keeper").select("digest", "path", "keeper", F.lit("move").alias("action"), F.lit(True).alias("backup"), F.when((F.col("_k") != 1) | ~F.col("_n").between(2, most), "INVALID_GROUP").alias("error"))
 
 
 def similar_images(prints: DataFrame, phash_max: int = 16, dhash_max: int = 14, aspect_max: float = 0.04, color_max: int = 24, banded_rows: int = BANDED_ROWS) -> DataFrame:

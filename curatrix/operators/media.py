@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions.scalars import dot, normalize, valid_embedding
 from curatrix.functions.signals import decide_labels, ranked_scores
+from curatrix.operators.journal import detect_drift
 
 
 def category_prototypes(prompts: DataFrame) -> DataFrame:
@@ -21,13 +22,8 @@ def category_prototypes(prompts: DataFrame) -> DataFrame:
     return rows.withColumn("vector", normalize(F.col("vector")))
 
 
-MOST_PROTOTYPES = 10_000
-
-
 def category_scores(media: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """media with scores: the clamped dot product with each prototype, as one array. Prototypes are few; their number is checked."""
-    if prototypes.count() > MOST_PROTOTYPES:
-        raise ValueError("too many prototypes")
+    """media with scores: the clamped dot product with each prototype, as one array. Prototypes are few, one per category: one row holds them."""
     table = prototypes.agg(F.collect_list(F.struct("category", "vector")).alias("_p"))
     score = lambda p: F.struct(p["category"].alias("category"), F.least(F.greatest(dot(F.col("embedding"), p["vector"]), F.lit(0.0)), F.lit(1.0)).alias("score"))
     return media.join(F.broadcast(table)).withColumn("scores", F.transform("_p", score)).drop("_p")
@@ -39,11 +35,17 @@ def label(media: DataFrame, sensitivity: str = "balanced", categories=None) -> D
 
 
 def merge_video_frames(frames: DataFrame, sensitivity: str = "balanced", categories=None) -> DataFrame:
-    """frames (id, frame, scores): the best score per category, decided anew; uncertain too if frames chose differently."""
+    """frames (id, frame, scores, and perhaps embedding): the best score per category, decided anew; uncertain too if frames
+    chose differently; the embedding is the unit vector of the frames' sum."""
     each = label(frames, sensitivity, categories).select("id", "frame", F.array_join("categories", ",").alias("c"))
     differ = each.groupBy("id").agg((F.count_distinct("c") > 1).alias("_differ"))
     best = frames.select("id", F.explode("scores").alias("s")).groupBy("id", "s.category").agg(F.max("s.score").alias("score")).groupBy("id").agg(F.collect_list(F.struct("category", "score")).alias("scores"))
-    return label(best, sensitivity, categories).join(differ, "id").select("id", "categories", (F.col("uncertain") | F.col("_differ")).alias("uncertain"))
+    out = label(best, sensitivity, categories).join(differ, "id").select("id", "categories", (F.col("uncertain") | F.col("_differ")).alias("uncertain"))
+    if "embedding" not in frames.columns:
+        return out
+    sums = frames.select("id", F.posexplode("embedding").alias("pos", "x")).groupBy("id", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
+    vectors = sums.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_v"))
+    return out.join(vectors.select("id", normalize(F.col("_v")).alias("embedding")), "id", "left")
 
 
 def merge_view_embeddings(views: DataFrame) -> DataFrame:
@@ -62,22 +64,21 @@ def apply_corrections(media: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.withColumns({"categories": F.coalesce("_c", "categories"), "corrected": F.col("_c").isNotNull(), "uncertain": F.when(F.col("_c").isNotNull(), False).otherwise(F.col("uncertain"))}).drop("_c")
 
 
-MOST_EXAMPLES = 4096
+EXAMPLE_BLOCK = 4096
 
 
 def nearest_feedback(media: DataFrame, examples: DataFrame, min_similarity: float = 0.94, margin: float = 0.03) -> DataFrame:
     """id, categories and similarity of the nearest example, unless one with other categories is within the margin.
 
-    Examples are few (256 by default; at most MOST_EXAMPLES): one matrix product per Arrow batch."""
-    rows = examples.orderBy("digest").limit(MOST_EXAMPLES + 1).collect()
-    if len(rows) > MOST_EXAMPLES:
-        raise ValueError("too many examples")
+    Examples are few (recent_examples gives 256 by default): each Arrow batch is multiplied by them, EXAMPLE_BLOCK at a time."""
+    rows = examples.orderBy("digest").collect()
     schema = "id long, categories array<string>, similarity double"
     if not rows:
         return media.sparkSession.createDataFrame([], schema)
     x = np.array([r["embedding"] for r in rows], float)
     sets = [",".join(sorted(r["categories"])) for r in rows]
-    kinds = {s: k for k, s in enumerate(sorted(set(sets)))}
+    names = sorted(set(sets))
+    kinds = {s: k for k, s in enumerate(names)}
     own = np.array([kinds[s] for s in sets])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,16 +86,31 @@ def nearest_feedback(media: DataFrame, examples: DataFrame, min_similarity: floa
             pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) == x.shape[1])]
             if pdf.empty:
                 continue
-            s = np.stack(pdf["embedding"].to_numpy()).astype(float) @ x.T
-            best = s.argmax(1)
-            top = s[np.arange(len(s)), best]
-            rival = np.where(own[None, :] != own[best][:, None], s, -np.inf).max(1)
+            v = np.stack(pdf["embedding"].to_numpy()).astype(float)
+            by_set = np.full((len(v), len(kinds)), -np.inf)  # the nearest of each set of categories
+            for k in range(0, len(x), EXAMPLE_BLOCK):
+                s, mine = v @ x[k : k + EXAMPLE_BLOCK].T, own[k : k + EXAMPLE_BLOCK]
+                for c in np.unique(mine):
+                    by_set[:, c] = np.maximum(by_set[:, c], s[:, mine == c].max(1))
+            best = by_set.argmax(1)
+            top = by_set[np.arange(len(v)), best]
+            by_set[np.arange(len(v)), best] = -np.inf
+            rival = by_set.max(1)
             ok = (top >= min_similarity) & (top - rival > margin)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "categories": [sets[k].split(",") for k in best[ok]], "similarity": top[ok]})
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "categories": [names[k].split(",") for k in best[ok]], "similarity": top[ok]})
 
     return media.select("id", "embedding").mapInPandas(run, schema)
 
 
+def learned_labels(media: DataFrame, examples: DataFrame, corrections: DataFrame, min_similarity: float = 0.94, margin: float = 0.03) -> DataFrame:
+    """media (id, digest, embedding, categories, uncertain) with the user's corrections first, then what the nearest examples teach
+    (marked learned and uncertain), then the model's own."""
+    taught = nearest_feedback(media, examples, min_similarity, margin).select("id", F.col("categories").alias("_t"))
+    out = apply_corrections(media.join(taught, "id", "left"), corrections)
+    learned = ~F.col("corrected") & F.col("_t").isNotNull()
+    return out.withColumns({"categories": F.when(learned, F.col("_t")).otherwise(F.col("categories")), "uncertain": F.col("uncertain") | learned, "learned": learned}).drop("_t")
+
+
 def mark_protected(media: DataFrame, protected: DataFrame) -> DataFrame:
     return media.drop("protected").join(protected.select("digest").distinct().withColumn("protected", F.lit(True)), "digest", "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
 
@@ -104,6 +120,13 @@ def guard_retirement(items: DataFrame, protected: DataFrame) -> DataFrame:
     return mark_protected(items, protected).agg(F.when(F.coalesce(F.bool_or("protected"), F.lit(False)), "MEDIA_PROTECTED").alias("error"))
 
 
+def unchanged_or_none(result: DataFrame, before: DataFrame, chosen: DataFrame, current: DataFrame) -> DataFrame:
+    """result, or all of before if any of the chosen files (path, size, modified_at, identity, digest) has drifted from what is there now."""
+    drifted = detect_drift(chosen, current).where("error is not null").limit(1).agg((F.count(F.lit(1)) > 0).alias("_bad"))
+    both = result.withColumn("_new", F.lit(True)).unionByName(before.select(result.columns).withColumn("_new", F.lit(False)))
+    return both.join(F.broadcast(drifted)).where(F.col("_new") != F.col("_bad")).drop("_new", "_bad")  # one row of drift
+
+
 def set_protection(marks: DataFrame, media: DataFrame, ids: DataFrame, on: bool) -> DataFrame:
     chosen = media.join(ids, "id", "left_semi").select("digest").distinct()
     return marks.select("digest").union(chosen).distinct() if on else marks.join(chosen, "digest", "left_anti")

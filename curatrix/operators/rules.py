@@ -62,14 +62,15 @@ def assign_presets(files: DataFrame, rule_presets: dict[str, str], default_id: s
     return files.withColumn("preset_id", F.coalesce(F.try_element_at(table, F.col("rule_id")), F.lit(default_id)))
 
 
-def plan_counter(items: DataFrame, order: str = "path", name: str = "counter") -> DataFrame:
-    """Position in path order, without one task for all rows: range partitions, their sizes as offsets, row numbers within."""
+def plan_counter(items: DataFrame, order: str | list = "path", name: str = "counter") -> DataFrame:
+    """Position in the order (columns or sort expressions), without one task for all rows: range partitions, their sizes as offsets, row numbers within."""
     from curatrix.operators.tables import materialized
 
-    parted = materialized(items.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    order = [order] if isinstance(order, str) else order
+    parted = materialized(items.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row per partition
-    return parted.join(F.broadcast(offsets), "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")).drop("_part", "_before")
+    return parted.join(F.broadcast(offsets), "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")).drop("_part", "_before")
 
 
 def inbox_counts(inbox: DataFrame) -> DataFrame:

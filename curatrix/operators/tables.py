@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df as a written table in spark.checkpoint.dir; only where that is unset, in a local folder."""
+    """df as a written table in spark.checkpoint.dir. Where that is unset: in local mode in a folder of this machine; on a cluster, an error."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     where = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)

@@ -84,11 +84,32 @@ simple("p12_format_size", "inbox", lambda v: v.select("id", scalars.format_size(
        "SELECT id, CASE WHEN id % 10 = 0 THEN '—' ELSE (id % 10) || ' KB' END AS size, replace(format('{:,}', id), ',', '.') || CASE WHEN id = 1 THEN ' archivo' ELSE ' archivos' END AS files FROM inbox")
 simple("p13_ticks", "inbox", lambda v: v.select("id", scalars.ticks(F.when(F.col("id") % 5 == 0, "12x").otherwise(F.concat(F.lit("1341483892800"), F.lpad(F.col("id").cast("string"), 7, "0")))).cast("string").alias("ticks")),
        "SELECT id, CASE WHEN id % 5 <> 0 THEN '1341483892800' || lpad(CAST(id AS VARCHAR), 7, '0') END AS ticks FROM inbox")
+simple("p13_date_change", "inbox", lambda v: v.select("id", scalars.date_change(F.when(F.col("id") % 5 == 0, "12x").otherwise(F.col("id").cast("string")), F.when(F.col("id") % 3 == 0, None).otherwise("77")).alias("c")).select("id", F.col("c.from").cast("string").alias("from_ticks"), F.col("c.to").cast("string").alias("to_ticks"), "c.error"),
+       "SELECT id, CASE WHEN id % 3 <> 0 THEN '77' END AS from_ticks, CASE WHEN id % 5 <> 0 THEN CAST(id AS VARCHAR) END AS to_ticks, CASE WHEN id % 3 = 0 OR id % 5 = 0 THEN 'INVALID_DATE' END AS error FROM inbox")
 simple("p14_digests", "catalog", lambda v: v.select("doc_id", scalars.content_digest(F.col("text").cast("binary")).alias("digest"), (F.count(F.lit(1)).over(Window.partitionBy(scalars.sample_digest(F.col("text").cast("binary"))))).alias("same_sample")),
        "SELECT doc_id, digest, count(*) OVER (PARTITION BY digest) AS same_sample FROM catalog")
 VOCABULARY = ["the", "de", "der", "and", "la"]
 VOCABULARY_SQL = "len(list_intersect(list_distinct(list_transform(list_slice(string_split_regex(text, '[^\\p{L}\\p{N}]'), 1, 2000), lambda x: lower(x))), ['the', 'de', 'der', 'and', 'la']))"
 simple("p15_text_signals", "catalog", lambda v: v.select("doc_id", signals.term_count(F.col("text"), VOCABULARY).cast("long").alias("terms")), f"SELECT doc_id, CAST({VOCABULARY_SQL} AS BIGINT) AS terms FROM catalog")
+# The real vocabularies, with a few of their words put into the texts.
+_SAID = {"whatsapp": 2, "settings": 3, "meme": 4, "literal": 5, "factura": 6, "tax": 7}
+_SAID_SQL = "text || " + " || ".join(f"CASE WHEN doc_id % {k} = 0 THEN ' {w}' ELSE '' END" for w, k in _SAID.items())
+
+
+def _terms_sql(terms: list[str]) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"CAST(len(list_intersect(list_distinct(list_transform(list_slice(string_split_regex({_SAID_SQL}, '[^\\p{{L}}\\p{{N}}]'), 1, 2000), lambda x: lower(x))), [{listed}])) AS BIGINT)"
+
+
+def _signalled(v: DataFrame) -> DataFrame:
+    text = F.concat(F.col("text"), *[F.when(F.col("doc_id") % k == 0, f" {w}").otherwise("") for w, k in _SAID.items()])
+    cover = F.when(F.col("doc_id") % 3 == 0, float("nan")).when(F.col("doc_id") % 3 == 1, 1.5).otherwise(0.25)
+    out = v.select("doc_id", signals.text_signals(text, F.col("doc_id"), F.col("doc_id") * 3, cover).alias("s")).select("doc_id", "s.*")
+    return out.select("doc_id", "coverage", *[F.col(c).cast("long").alias(c) for c in ("line_count", "word_count", "screen", "meme", "document")])
+
+
+simple("p15_text_signals_vocabularies", "catalog", _signalled,
+       f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.25 END::DOUBLE AS coverage, least(doc_id, 500) AS line_count, least(doc_id * 3, 2000) AS word_count, {_terms_sql(signals.SCREEN_TERMS)} AS screen, {_terms_sql(signals.MEME_TERMS)} AS meme, {_terms_sql(signals.DOCUMENT_TERMS)} AS document FROM catalog")
 
 
 def _boosted(v: DataFrame) -> DataFrame:
@@ -103,19 +124,23 @@ simple("p17_image_views", "inbox", lambda v: v.select("id", F.size(scalars.image
        "SELECT id, CAST(CASE WHEN greatest(id % 1000 + 1, 500) * 100 < least(id % 1000 + 1, 500) * 112 THEN 1 WHEN greatest(id % 1000 + 1, 500) * 100 >= least(id % 1000 + 1, 500) * 180 THEN 4 ELSE 2 END AS BIGINT) AS views FROM inbox")
 simple("p18_frame_times", "inbox", lambda v: v.select("id", F.round(scalars.frame_times(F.when(F.col("id") % 4 == 0, -1.0).otherwise(F.col("size") / 100.0))[2], 4).alias("last")),
        "SELECT id, round(CASE WHEN id % 4 = 0 THEN 2.0::DOUBLE ELSE 0.9::DOUBLE * (size / 100.0::DOUBLE) END, 4) AS last FROM inbox")
-simple("p19_settings_key", "media", lambda v: v.select(scalars.settings_key(F.lit("m1"), F.struct((F.col("id") % 3).alias("sensitivity")), F.col("digest")).alias("key")).groupBy().agg(F.count_distinct("key").alias("keys")),
-       "SELECT count(DISTINCT (id % 3, digest)) AS keys FROM media")
+simple("p19_settings_key", "media", lambda v: v.select("id", F.min("id").over(Window.partitionBy(scalars.settings_key(F.lit("m1"), F.struct((F.col("id") % 3).alias("sensitivity")), F.col("digest")))).alias("first_alike")),
+       "SELECT id, min(id) OVER (PARTITION BY id % 3, digest) AS first_alike FROM media")
 simple("p20_valid_embedding", "media", lambda v: v.select("id", scalars.valid_embedding(F.col("embedding"), 64).alias("ok"), F.round(scalars.normalize(F.transform("embedding", lambda x: x * 3))[0], 5).alias("first")),
        "SELECT id, len(embedding) = 64 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) BETWEEN 0.98 AND 1.02 AS ok, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM media")
 
 # ---- listing and filters
-simple("s2_list_folder", "catalog", lambda v: browse.list_folder(v, "/lib/src0/en").select("path", "size"), "SELECT path, size FROM catalog WHERE source = 'src0' AND lang = 'en'")
+simple("s2_list_folder", "catalog", lambda v: browse.list_folder(v, "/lib/src0/en", "/lib").select("path", "size", "root", "parent"), "SELECT path, size, '/lib' AS root, '/lib/src0' AS parent FROM catalog WHERE source = 'src0' AND lang = 'en'")
+simple("s3_scan_report_entries", "inbox", lambda v: browse.scan_report(v.select("path", scalars.media_kind(scalars.extension(_path())).alias("kind"), (F.col("id") % 9 != 0).alias("readable")), 100, 1000),
+       "SELECT least(count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0), 100) AS kept, count(*) FILTER (id % 5 NOT IN (1, 2)) AS skipped, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 = 0) AS unreadable, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0) > 100 OR (SELECT count(*) FROM inbox) > 1000 AS truncated FROM (SELECT * FROM inbox ORDER BY path LIMIT 1000)")
 simple("s3_scan_report", "inbox", lambda v: browse.scan_report(v.select("path", scalars.media_kind(scalars.extension(_path())).alias("kind"), (F.col("id") % 9 != 0).alias("readable")), 100),
        "SELECT least(count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0), 100) AS kept, count(*) FILTER (id % 5 NOT IN (1, 2)) AS skipped, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 = 0) AS unreadable, count(*) FILTER (id % 5 IN (1, 2) AND id % 9 <> 0) > 100 AS truncated FROM inbox")
 simple("f1_filter_files", "catalog", lambda v: browse.filter_files(v.withColumns({"hidden": F.col("doc_id") % 5 == 0, "category": F.lit("document")}), "document", "DÓC-1", ".TXT", False, 2000).select("path", "size"),
        "SELECT path, size FROM catalog WHERE doc_id % 5 <> 0 AND path LIKE '%/doc-1%' AND size >= 2000")
-simple("f2_sort_files", "catalog", lambda v: browse.page(v.withColumn("is_dir", F.lit(False)), [browse.sort_key("name").asc(), F.col("path")], 0, 50).select("path"),
-       "SELECT path FROM catalog ORDER BY doc_id LIMIT 50")
+_ODD = lambda v: v.withColumns({"is_dir": F.col("doc_id") % 10 == 0, "size": F.when(F.col("doc_id") % 7 != 0, F.col("size"))})
+simple("f2_sort_files", "catalog", lambda v: browse.placed_files(_ODD(v), "size", "desc").select("path", F.col("place").cast("long").alias("place")),
+       "SELECT path, row_number() OVER (ORDER BY doc_id % 10 = 0 DESC, CASE WHEN doc_id % 7 <> 0 THEN size END DESC NULLS LAST, doc_id, path) AS place FROM catalog")
+simple("f2_sort_files_by_name", "catalog", lambda v: browse.placed_files(_ODD(v)).select("path", F.col("place").cast("long").alias("place")), "SELECT path, row_number() OVER (ORDER BY doc_id % 10 = 0 DESC, doc_id, path) AS place FROM catalog")
 simple("f3_filter_media", "media", lambda v: browse.filter_media(v.withColumns({"labels": F.array(F.struct("category")), "kind": F.lit("image")}), category="c3", status="uncertain", query="/M/").select("id"),
        "SELECT id FROM media WHERE label = 3 AND uncertain")
 simple("f4_visible_media", "media", lambda v: browse.visible_media(v.withColumns({"labels": F.array(F.struct("category")), "kind": F.lit("image")}), v.where("id % 5 = 0").select("id")).select("id"),
@@ -130,15 +155,29 @@ def _roots(s: SparkSession, *r: str) -> DataFrame:
 
 query("f7_in_scope", f"{with_views('tree')} SELECT path, CASE WHEN NOT (r_name = 'ASIA' OR n_name = 'NATION_1') THEN 'FOLDER_NOT_AUTHORIZED' END AS error FROM tree")(lambda s, d: browse.in_scope(view(s, d, "tree").select("path"), view(s, d, "tree").where("r_name = 'ASIA' or n_name = 'NATION_1'").select(scalars.parent(_path()).alias("root")).distinct()))
 simple("f8_page", "media", lambda v: browse.page(v, [F.col("id")], 2).select("id"), "SELECT id FROM media ORDER BY id LIMIT 36 OFFSET 72")
-simple("f9_plan_issues", "journal", lambda v: browse.plan_issues(v.withColumns({"backup": F.col("kind") == "copy", "conflict": F.col("status") == "failed", "has_duplicates": F.col("bytes") > 40000})).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
-       "SELECT CASE WHEN bytes > 40000 THEN 'identical-content' ELSE 'name-conflict' END AS kind, count(*) AS n FROM journal WHERE kind <> 'copy' AND (status = 'failed' OR bytes > 40000) GROUP BY 1")
+simple("f9_plan_issues", "journal", lambda v: browse.plan_issues(v.withColumns({"backup": F.col("kind") == "copy", "conflict": F.col("status") == "failed", "has_duplicates": F.col("bytes") > 40000})).select("operation_id", "sequence", "kind"),
+       "SELECT operation_id, sequence, CASE WHEN bytes > 40000 THEN 'identical-content' ELSE 'name-conflict' END AS kind FROM journal WHERE kind <> 'copy' AND (status = 'failed' OR bytes > 40000)")
 query("j17_attribute_root", f"{with_views('tree')} SELECT path, CASE WHEN n_name IN ('NATION_1', 'NATION_2') THEN '/' || r_name || '/' || n_name WHEN r_name = 'ASIA' THEN '/ASIA' END AS root FROM tree")(lambda s, d: browse.attribute_root(view(s, d, "tree").select("path"), view(s, d, "tree").where("n_name in ('NATION_1', 'NATION_2')").select(scalars.parent(_path()).alias("root")).distinct().union(_roots(s, "/ASIA"))))
 query("j14_remap_paths", f"{with_views('tree')} SELECT DISTINCT CASE WHEN r_name = 'ASIA' THEN '/moved' || substr(path, 6) ELSE path END AS path FROM tree")(lambda s, d: browse.remap_paths(view(s, d, "tree"), s.createDataFrame([("/ASIA", "/moved"), ("/ASIA/NATION_1", "/other")], "source string, target string")))
 query("u1_managed_roots", f"{with_views('catalog')} SELECT DISTINCT root FROM (SELECT '/lib/' || source AS root FROM catalog UNION ALL SELECT '/lib/' || source || '/' || lang FROM catalog)")(lambda s, d: browse.managed_roots(view(s, d, "catalog").select(scalars.parent(scalars.parent(_path()))), view(s, d, "catalog").select(scalars.parent(_path()))))
 query("u2_collapse_roots", f"{with_views('tree')} SELECT '/' || r_name || '/' || n_name AS root FROM tree WHERE r_name <> 'ASIA' GROUP BY 1 UNION ALL SELECT '/ASIA'")(lambda s, d: browse.collapse_roots(view(s, d, "tree").select(scalars.parent(_path()).alias("root")).union(_roots(s, "/ASIA", "/asia"))))
-simple("u3_distinct_files", "catalog", lambda v: browse.distinct_files(v.select("path", F.col("digest").alias("identity"))).groupBy("action").agg(F.count(F.lit(1)).alias("n")),
-       "SELECT CASE WHEN r = 1 THEN 'keep' ELSE 'skip' END AS action, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY digest ORDER BY path) AS r FROM catalog) GROUP BY 1")
-simple("u4_exclude", "media", lambda v: v.join(v.where("label < 4").select("id"), "id", "left_anti").select("id"), "SELECT id FROM media WHERE label >= 4")
+query("u2_check_roots", f"{with_views('catalog')} SELECT CASE WHEN count(DISTINCT source || lang) NOT BETWEEN 1 AND 32 THEN 'INVALID_FOLDERS' END AS error FROM catalog")(lambda s, d: browse.check_roots(view(s, d, "catalog").select(scalars.parent(_path()).alias("root"))))
+simple("u3_distinct_files", "catalog", lambda v: browse.distinct_files(v.select("path", F.col("digest").alias("identity"))).select("path", "action"),
+       "SELECT path, CASE WHEN row_number() OVER (PARTITION BY digest ORDER BY path) = 1 THEN 'keep' ELSE 'skip' END AS action FROM catalog")
+simple("u4_exclude", "media", lambda v: browse.exclude(v.where("label < 4").select("id"), v.where("id % 6 = 0").select("id")), "SELECT id FROM media WHERE label < 4 OR id % 6 = 0")
+simple("u4_restore", "media", lambda v: browse.restore(v.where("label < 4").select("id"), v.where("id % 6 = 0").select("id")), "SELECT id FROM media WHERE label < 4 AND id % 6 <> 0")
+_STAMPED = lambda v: v.withColumns({"size": F.col("id"), "modified_at": F.col("id"), "identity": F.col("path")})
+
+
+def _guarded(v: DataFrame, drift: bool) -> DataFrame:
+    v = _STAMPED(v)
+    before, ids = v.where("protected").select("digest").distinct(), v.where("label = 1").select("id")
+    now = v.withColumn("size", F.when(F.lit(drift) & (F.col("label") == 1), -1).otherwise(F.col("size")))
+    return media.unchanged_or_none(media.set_protection(before, v, ids, True), before, v.join(ids, "id", "left_semi"), now)
+
+
+simple("u5_set_protection_unchanged", "media", lambda v: _guarded(v, False), "SELECT DISTINCT digest FROM media WHERE protected OR label = 1")
+simple("u5_set_protection_drifted", "media", lambda v: _guarded(v, True), "SELECT DISTINCT digest FROM media WHERE protected")
 simple("u5_set_protection", "media", lambda v: media.set_protection(v.where("protected").select("digest").distinct(), v, v.where("label = 1").select("id"), True), "SELECT DISTINCT digest FROM media WHERE protected OR label = 1")
 simple("u6_set_corrections", "media", lambda v: media.set_corrections(v.where("label = 0").select("digest", F.array(F.lit("people")).alias("categories")).distinct(), v, v.where("id % 3 = 0").select("id"), ["memes", "other"]).select("digest", F.array_join("categories", ",").alias("categories")),
        "SELECT DISTINCT digest, 'people' AS categories FROM media WHERE label = 0 AND digest NOT IN (SELECT digest FROM media WHERE id % 3 = 0) UNION ALL SELECT DISTINCT digest, 'memes,other' FROM media WHERE id % 3 = 0")
@@ -188,20 +227,29 @@ simple("a3_plan_summary", "journal", lambda v: resolve.plan_summary(v.select("so
        "SELECT count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS files, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS renamed, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'move') AS move, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'copy') AS copy, count(*) FILTER (status = 'failed') AS conflicts, count(*) FILTER (status = 'skipped') AS backups, count(*) FILTER (entry_kind = 'folder') AS folders FROM journal")
 
 # ---- duplicates
-simple("a1_duplicate_groups", "catalog", lambda v: dedup.duplicate_groups(dedup.staged(v)).select("digest", "n", F.array_join("paths", ",").alias("paths")), "SELECT digest, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM catalog GROUP BY digest HAVING count(*) > 1")
-simple("a2_duplicate_pairs", "catalog", lambda v: dedup.duplicate_pairs(v, 4), "SELECT a.digest, a.path AS left_path, b.path AS right_path, a.n > 4 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS rn, count(*) OVER (PARTITION BY digest) AS n FROM catalog) a JOIN (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS rn FROM catalog) b ON a.digest = b.digest AND a.rn < b.rn AND (n <= 4 OR a.rn = 1 OR b.rn = a.rn + 1)")
+simple("a1_duplicate_groups", "catalog", dedup.duplicate_groups, "SELECT * FROM (SELECT digest, path, count(*) OVER (PARTITION BY digest) AS n, row_number() OVER (PARTITION BY digest ORDER BY path) AS place FROM catalog) WHERE n > 1")
+PAIR_RULE = "SELECT a.digest, a.path AS left_path, b.path AS right_path, a.n > {k} AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS rn, count(*) OVER (PARTITION BY digest) AS n FROM catalog) a JOIN (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY path) AS rn FROM catalog) b ON a.digest = b.digest AND a.rn < b.rn AND (n <= {k} OR a.rn = 1 OR b.rn = a.rn + 1)"
+simple("a2_duplicate_pairs", "catalog", dedup.duplicate_pairs, PAIR_RULE.format(k=200))
+simple("a2_duplicate_pairs_truncated", "catalog", lambda v: dedup.duplicate_pairs(v, 3), PAIR_RULE.format(k=3))
 simple("w6_representatives", "catalog", lambda v: dedup.representatives(v), "SELECT digest, min(path) AS path, count(*) AS copies FROM catalog GROUP BY digest")
-simple("j4_find_duplicates", "catalog", lambda v: dedup.find_duplicates(v.where("source = 'src1'"), v), "SELECT a.path AS incoming_path, b.path AS library_path, a.digest FROM catalog a JOIN catalog b ON a.size = b.size AND a.digest = b.digest WHERE a.source = 'src1' AND b.source <> 'src1'")
+simple("j4_find_duplicates", "catalog", lambda v: (lambda w: dedup.find_duplicates(w.where("source = 'src1'"), w))(v.withColumn("sample", scalars.sample_digest(F.col("text").cast("binary")))), "SELECT a.path AS incoming_path, b.path AS library_path, a.digest FROM catalog a JOIN catalog b ON a.size = b.size AND a.digest = b.digest WHERE a.source = 'src1' AND b.source <> 'src1'")
 PAIRS_SQL = "pairs AS (SELECT a.digest, a.path AS left_path, b.path AS right_path FROM catalog a JOIN catalog b ON a.digest = b.digest AND a.path < b.path)"
 
 
-def _pairs(v: DataFrame) -> DataFrame:
+def _pairs(v: DataFrame, later: int = 0) -> DataFrame:
+    """Pairs of copies with what their signature tells of both files; later: by how much the files under /en/src1 have changed."""
     p = dedup.duplicate_pairs(v, 1_000_000).drop("truncated")
-    return dedup.pair_signature(p.withColumns({"left_digest": F.col("digest"), "right_digest": F.col("digest")}), ("path", "digest"))
+    told = {f"{side}_{c}": x for side in ("left", "right") for c, x in (("digest", F.col("digest")), ("size", F.length(f"{side}_path")), ("modified_at", F.when(F.col(f"{side}_path").contains("/src1/"), later).otherwise(0)), ("identity", F.lit(None)), ("created_ticks", F.lit("1")), ("modified_ticks", F.lit("2")))}
+    return dedup.pair_signature(p.withColumns(told))
 
 
-query("j10_drop_dismissed", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path, right_path FROM pairs WHERE left_path NOT LIKE '%/en/%'")(lambda s, d: dedup.drop_dismissed(_pairs(view(s, d, "catalog")), _pairs(view(s, d, "catalog").select("digest", "path")).where("left_path like '%/en/%'")).select("left_path", "right_path"))
-query("u8_dismiss", f"{with_views('catalog')}, {PAIRS_SQL} SELECT count(*) AS signatures FROM pairs")(lambda s, d: dedup.dismiss(_pairs(view(s, d, "catalog")).where("left_path like '%/en/%'"), _pairs(view(s, d, "catalog"))).agg(F.count(F.lit(1)).alias("signatures")))
+SIGNED_SQL = "signed AS (SELECT *, sha256(CASE WHEN l < r THEN l || chr(10) || r ELSE r || chr(10) || l END) AS signature FROM (SELECT *, lower(left_path) || '|' || length(left_path) || '|0|' || digest || '||1|2' AS l, lower(right_path) || '|' || length(right_path) || '|0|' || digest || '||1|2' AS r FROM pairs))"
+query("j10_drop_dismissed", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path, right_path FROM pairs WHERE left_path NOT LIKE '%/en/%' OR left_path LIKE '%/src1/%' OR right_path LIKE '%/src1/%'")(lambda s, d: dedup.drop_dismissed(_pairs(view(s, d, "catalog"), 1), _pairs(view(s, d, "catalog")).where("left_path like '%/en/%'")).select("left_path", "right_path"))
+query("j10_ignored_count", f"{with_views('catalog')}, {PAIRS_SQL} SELECT count(*) AS ignored FROM pairs WHERE left_path LIKE '%/en/%'")(lambda s, d: dedup.ignored_count(_pairs(view(s, d, "catalog")), _pairs(view(s, d, "catalog")).where("left_path like '%/en/%'")))
+query("u8_dismiss", f"{with_views('catalog')}, {PAIRS_SQL}, {SIGNED_SQL} SELECT DISTINCT signature FROM signed")(lambda s, d: dedup.dismiss(_pairs(view(s, d, "catalog")).where("left_path like '%/en/%'"), _pairs(view(s, d, "catalog"))))
+query("b5_check_retirement", f"{with_views('catalog')} SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'FILE_CHANGED' WHEN digest IN (SELECT digest FROM catalog WHERE doc_id % 5 = 0 AND doc_id % 9 <> 0) THEN 'MEDIA_PROTECTED' END AS error FROM catalog")(
+    lambda s, d: (lambda v: dedup.check_retirement(v.select("path"), v.where("doc_id % 9 <> 0"), v.where("doc_id % 5 = 0 and doc_id % 9 <> 0").select("digest")))(view(s, d, "catalog"))
+)
 query("b5_retire_pair", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path, right_path FROM pairs WHERE left_path <> '/lib/src0/en/doc-0.txt' AND right_path <> '/lib/src0/en/doc-0.txt'")(lambda s, d: dedup.retire_pair(_pairs(view(s, d, "catalog")), "\\LIB\\src0\\en\\doc-0.txt").select("left_path", "right_path"))
 simple("b4_plan_cleanup", "catalog", lambda v: dedup.plan_cleanup(v, dedup.representatives(v).select("digest", "path")), "SELECT digest, path, keeper, 'move' AS action, true AS backup, NULL::VARCHAR AS error FROM (SELECT digest, path, min(path) OVER (PARTITION BY digest) AS keeper FROM catalog) WHERE path <> keeper")
 
@@ -223,8 +271,8 @@ def j11(s, d):
 # ---- journals
 simple("s4_read_journal", "journal", lambda v: journal.read_journal(v.select("operation_id", "sequence", F.to_json(F.struct("source", "destination", "status", F.when(F.col("kind") != "move", F.col("kind")).alias("kind"), "bytes")).alias("payload"))).select("operation_id", "sequence", "source", "status", "kind", "entry_kind", "bytes"),
        "SELECT operation_id, sequence, source, status, kind, 'file' AS entry_kind, bytes FROM journal")
-simple("s5_journal_rows", "journal", lambda v: journal.read_journal(journal.journal_rows(v.select(F.col("sequence").alias("seq"), F.col("kind").alias("action"), "source", "destination", "bytes"), "op")).groupBy("status", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")),
-       "SELECT CASE WHEN kind = 'skip' THEN 'skipped' ELSE 'planned' END AS status, kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM journal GROUP BY 1, 2")
+simple("s5_journal_rows", "journal", lambda v: journal.read_journal(journal.journal_rows(v.select((F.col("operation_id") * 1000 + F.col("sequence")).alias("seq"), F.col("kind").alias("action"), "source", "destination", "bytes"), "op")).select("operation_id", "sequence", "source", "destination", "status", "kind", "entry_kind", "bytes"),
+       "SELECT 'op' AS operation_id, operation_id * 1000 + sequence AS sequence, source, destination, CASE WHEN kind = 'skip' THEN 'skipped' ELSE 'planned' END AS status, kind, 'file' AS entry_kind, bytes FROM journal")
 simple("a6_operation_status", "journal", lambda v: journal.operation_status(v), "SELECT operation_id, CASE WHEN bool_or(status = 'recovery-required') THEN 'recovery-required' WHEN bool_or(status IN ('failed', 'cancelled') OR error IS NOT NULL) THEN 'partial' WHEN bool_or(status = 'undone') AND bool_and(status IN ('undone', 'skipped')) THEN 'undone' ELSE 'completed' END AS status FROM journal GROUP BY 1")
 simple("a7_batch_totals", "journal", lambda v: journal.batch_totals(v), "SELECT operation_id, count(*) AS items, CAST(coalesce(sum(bytes) FILTER (kind NOT IN ('skip', 'dates')), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(bytes) FILTER (kind NOT IN ('skip', 'dates') AND status = 'completed'), 0) AS BIGINT) AS completed_bytes, count(*) FILTER (status = 'completed') AS undoable, CASE WHEN bool_or(kind = 'move') THEN 'move' ELSE 'copy' END AS kind FROM journal GROUP BY 1")
 simple("w2_progress", "journal", lambda v: journal.progress(v), "SELECT operation_id, sequence, CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS completed, CAST(sum(CASE WHEN status = 'completed' THEN bytes ELSE 0 END) OVER w AS BIGINT) AS completed_bytes FROM journal WINDOW w AS (PARTITION BY operation_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)")
@@ -240,12 +288,12 @@ FIX_SQL = "fixed AS (SELECT path, id % 5 = 0 AS none, id % 5 = 0 OR id % 4 = 0 O
 query("b7_plan_date_fix", f"{with_views('inbox')}, {FIX_SQL} SELECT path, CASE WHEN skip THEN 'skip' ELSE 'dates' END AS action, CASE WHEN none THEN 'INVALID_DATE' END AS error, CASE WHEN NOT skip THEN CAST(id + 10 AS VARCHAR) END AS new_ticks FROM fixed")(lambda s, d: _FIX(view(s, d, "inbox")))
 query("a14_date_fix_counts", f"{with_views('inbox')}, {FIX_SQL} SELECT count(*) FILTER (NOT skip) AS changes, count(*) FILTER (skip) AS skipped FROM fixed")(lambda s, d: journal.date_fix_counts(_FIX(view(s, d, "inbox"))))
 # ---- media
-CATS = [f"c{k}" for k in range(8)]
-PROTO_SQL = "unit AS (SELECT category, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM media WHERE label < 8), sums AS (SELECT category, pos, sum(x) AS x FROM unit GROUP BY 1, 2), raw AS (SELECT category, list(x ORDER BY pos) AS v FROM sums GROUP BY 1), proto AS (SELECT category, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM raw)"
+CATS = [f"c{k}" for k in range(10)]
+PROTO_SQL = "unit AS (SELECT category, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM media), sums AS (SELECT category, pos, sum(x) AS x FROM unit GROUP BY 1, 2), raw AS (SELECT category, list(x ORDER BY pos) AS v FROM sums GROUP BY 1), proto AS (SELECT category, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM raw)"
 
 
 def _proto(v: DataFrame) -> DataFrame:
-    return media.category_prototypes(v.where("label < 8").select("category", F.col("embedding").alias("vector")))
+    return media.category_prototypes(v.select("category", F.col("embedding").alias("vector")))
 
 
 def _scored(v: DataFrame) -> DataFrame:
@@ -262,22 +310,36 @@ query("a9_merge_view_scores", f"{SCORE_SQL} SELECT id // 4 AS file, category, ro
 query("a10_merge_view_embeddings", f"{with_views('media')}, e AS (SELECT id // 4 AS file, id % 4 AS view, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM media), m AS (SELECT file, pos, CASE WHEN count(*) > 1 THEN 0.8 * max(x) FILTER (view = 0) + 0.2 * avg(x) FILTER (view > 0) ELSE max(x) END AS x FROM e GROUP BY 1, 2), v AS (SELECT file, list(x ORDER BY pos) AS v FROM m GROUP BY 1) SELECT file, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(v[64] / sqrt(list_inner_product(v, v)), 6) AS last FROM v")(
     lambda s, d: media.merge_view_embeddings(view(s, d, "media").select((F.col("id") / 4).cast("long").alias("id"), (F.col("id") % 4).alias("view"), F.col("embedding").cast("array<double>").alias("vector"))).select(F.col("id").alias("file"), F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
 )
-query("a11_merge_video_frames")(lambda s, d: media.merge_video_frames(_scored(view(s, d, "media")).select((F.col("id") / 3).cast("long").alias("id"), (F.col("id") % 3).alias("frame"), "scores"), "balanced", CATS).select("id", F.array_join("categories", ",").alias("categories"), "uncertain"))
+DECIDED = "CASE WHEN s[1] < 0.225 THEN 'other' ELSE array_to_string(list_slice(list_filter(c, lambda x, i: s[i] >= 0.225 AND s[i] >= s[1] - 0.025), 1, 3), ',') END"
+FRAMES_SQL = f"{SCORE_SQL}, each AS (SELECT id, {DECIDED} AS chosen FROM (SELECT id, list(category ORDER BY score DESC, category) AS c, list(score ORDER BY score DESC, category) AS s FROM scored GROUP BY id)), top AS (SELECT id // 3 AS id, category, max(score) AS score FROM scored GROUP BY 1, 2), ranked AS (SELECT id, list(category ORDER BY score DESC, category) AS c, list(score ORDER BY score DESC, category) AS s FROM top GROUP BY id), total AS (SELECT id, sqrt(sum(x * x)) AS norm, max(x) FILTER (pos = 1) AS x FROM (SELECT id // 3 AS id, pos, sum(x) AS x FROM (SELECT id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM media) GROUP BY 1, 2) GROUP BY id)"
+query("a11_merge_video_frames", f"{FRAMES_SQL} SELECT id, {DECIDED} AS categories, s[1] < 0.24 OR s[1] - s[2] < 0.018 OR id IN (SELECT id // 3 FROM each GROUP BY 1 HAVING count(DISTINCT chosen) > 1) AS uncertain, round(x / norm, 5) AS first FROM ranked JOIN total USING (id)")(
+    lambda s, d: media.merge_video_frames(_scored(view(s, d, "media")).select((F.col("id") / 3).cast("long").alias("id"), (F.col("id") % 3).alias("frame"), "scores", "embedding"), "balanced", CATS).select("id", F.array_join("categories", ",").alias("categories"), "uncertain", F.round(F.col("embedding")[0], 5).alias("first"))
+)
 simple("j6_apply_corrections", "media", lambda v: media.apply_corrections(v.withColumn("categories", F.array("category")), v.where("id % 10 = 0").select("digest", F.array(F.lit("memes")).alias("categories")).distinct()).select("id", F.array_join("categories", ",").alias("categories"), "corrected", "uncertain"),
        "SELECT id, CASE WHEN c THEN 'memes' ELSE category END AS categories, c AS corrected, uncertain AND NOT c AS uncertain FROM (SELECT *, digest IN (SELECT digest FROM media WHERE id % 10 = 0) AS c FROM media)")
-query("j7_nearest_feedback", f"{with_views('media')}, ex AS (SELECT digest, embedding, CASE WHEN label < 5 THEN 'memes' ELSE 'people' END AS cat FROM media WHERE id % 4 = 1 AND id < 900), s AS (SELECT m.id, cat, list_inner_product(m.embedding::DOUBLE[], ex.embedding::DOUBLE[]) AS sim FROM media m, ex WHERE m.id % 4 <> 1), t AS (SELECT id, arg_max(cat, sim) AS categories, max(sim) AS similarity FROM s GROUP BY id) SELECT id, categories, round(similarity, 5) AS similarity FROM t WHERE similarity >= 0.3 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = t.id AND s.cat <> t.categories AND s.sim >= t.similarity - 0.03)")(
-    lambda s, d: (lambda v: media.nearest_feedback(v.where("id % 4 <> 1"), v.where("id % 4 = 1 and id < 900").select("digest", "embedding", F.array(F.when(F.col("label") < 5, "memes").otherwise("people")).alias("categories")), 0.3, 0.03))(view(s, d, "media")).select("id", F.array_join("categories", ",").alias("categories"), F.round("similarity", 5).alias("similarity"))
-)
+# The newest examples of one model and mode teach by the production thresholds; the media are the same vectors, so that an example's own row is taught.
+EXAMPLES_SQL = "ex AS (SELECT id, embedding, CASE WHEN label < 5 THEN 'memes' ELSE 'people' END AS cat FROM (SELECT * FROM media ORDER BY id DESC LIMIT 1024) WHERE id % 2 = 0 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) BETWEEN 0.98 AND 1.02 ORDER BY id DESC LIMIT 256), s AS (SELECT m.id, cat, list_inner_product(m.embedding::DOUBLE[], ex.embedding::DOUBLE[]) AS sim FROM media m, ex), t AS (SELECT id, arg_max(cat, sim) AS categories, max(sim) AS similarity FROM s GROUP BY id), taught AS (SELECT * FROM t WHERE similarity >= 0.94 AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = t.id AND s.cat <> t.categories AND s.sim >= t.similarity - 0.03))"
+
+
+def _examples(v: DataFrame) -> DataFrame:
+    kept = v.select("id", "digest", "label", "embedding", F.col("id").alias("updated_at"), F.lit("m").alias("model"), F.when(F.col("id") % 2 == 0, "fast").otherwise("thorough").alias("mode"))
+    return media.recent_examples(kept, "m", "fast", 64).select("digest", "embedding", F.array(F.when(F.col("label") < 5, "memes").otherwise("people")).alias("categories"))
+
+
+simple("j7_nearest_feedback", "media", lambda v: media.nearest_feedback(v, _examples(v)).select("id", F.array_join("categories", ",").alias("categories"), F.round("similarity", 5).alias("similarity")))
+simple("j7_learned_labels", "media", lambda v: media.learned_labels(v.withColumn("categories", F.array("category")), _examples(v), v.where("id % 10 = 0").select("digest", F.array(F.lit("memes")).alias("categories")).distinct()).select("id", F.array_join("categories", ",").alias("categories"), "corrected", "learned", "uncertain"))
+ORACLES["j7_nearest_feedback"] = f"{with_views('media')}, {EXAMPLES_SQL} SELECT id, categories, round(similarity, 5) AS similarity FROM taught"
+ORACLES["j7_learned_labels"] = f"{with_views('media')}, {EXAMPLES_SQL}, c AS (SELECT *, digest IN (SELECT digest FROM media WHERE id % 10 = 0) AS corrected, id IN (SELECT id FROM taught) AS near FROM media) SELECT c.id, CASE WHEN corrected THEN 'memes' WHEN near THEN taught.categories ELSE category END AS categories, corrected, near AND NOT corrected AS learned, NOT corrected AND (uncertain OR near) AS uncertain FROM c LEFT JOIN taught USING (id)"
 simple("j8_mark_protected", "media", lambda v: media.mark_protected(v, v.where("id % 50 = 0").select("digest")).select("id", "protected"), "SELECT id, digest IN (SELECT digest FROM media WHERE id % 50 = 0) AS protected FROM media")
 simple("j8_guard_retirement", "media", lambda v: media.guard_retirement(v.where("label = 3"), v.where("id % 50 = 0").select("digest")), "SELECT CASE WHEN count(*) > 0 THEN 'MEDIA_PROTECTED' END AS error FROM media WHERE label = 3 AND digest IN (SELECT digest FROM media WHERE id % 50 = 0)")
 
 
-@query("j9_split_cached", f"{with_views('media')} SELECT count(*) FILTER (ok) AS hits, count(DISTINCT digest) FILTER (NOT ok) AS misses FROM (SELECT digest, digest IN (SELECT digest FROM media WHERE label < 5 AND id % 3 > 0) AS ok FROM media)")
+@query("j9_split_cached", f"{with_views('media')}, m AS (SELECT *, digest IN (SELECT digest FROM media WHERE label < 5 AND id % 3 > 0) AS ok FROM media) SELECT 'hit' AS what, digest, id FROM m WHERE ok UNION ALL SELECT DISTINCT 'miss', digest, NULL::BIGINT FROM m WHERE NOT ok")
 def j9(s, d):
     v = view(s, d, "media").withColumn("profile", F.lit("p"))
     cache = v.where("label < 5").groupBy("digest", "profile").agg(F.max("id").alias("m"), F.max(F.col("id") % 3).alias("k")).select("digest", "profile", F.array(F.struct(F.lit("c").alias("category"), F.when(F.col("k") > 0, 0.5).otherwise(2.0).alias("score"))).alias("labels"), F.lit(None).cast("array<float>").alias("embedding"))
     hit, miss = media.split_cached(v.drop("embedding"), cache, 64)
-    return hit.agg(F.count(F.lit(1)).alias("hits")).join(miss.agg(F.count(F.lit(1)).alias("misses")))  # one row each
+    return hit.select(F.lit("hit").alias("what"), "digest", "id").unionByName(miss.select(F.lit("miss").alias("what"), "digest", F.lit(None).cast("long").alias("id")))
 
 
 simple("w3_trim_cache", "media", lambda v: media.trim_cache(v.select("id", (F.col("id") * 7 % 100).alias("updated_at")), 120).select("id"), "SELECT id FROM media ORDER BY id * 7 % 100 DESC, id DESC LIMIT 120")
@@ -341,7 +403,8 @@ def _replay(s: SparkSession, d: str) -> DataFrame:
     return s.read.schema(stable.STATUS).parquet(source + "-out")
 
 
-query("t1_stable_files")(_replay)
+T1_SQL = T2_SQL.replace("AS bad FROM l", "AS bad, arg_min(nl, observed_at) FILTER (counts AND NOT locked AND nl < 2) AS before FROM l")
+query("t1_stable_files", f"{T1_SQL} SELECT path, since AS observed_at, 'detected' AS status, 0::INT AS retries, NULL::VARCHAR AS error FROM m UNION ALL SELECT path, ok, 'ready', before::INT, NULL FROM m WHERE ok IS NOT NULL AND (bad IS NULL OR ok < bad) UNION ALL SELECT path, bad, 'failed', 2, 'FILE_LOCKED' FROM m WHERE bad IS NOT NULL AND (ok IS NULL OR bad < ok)")(_replay)
 
 
 def _organized(s: SparkSession, d: str) -> DataFrame:
