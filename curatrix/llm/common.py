@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+PIECE = 1 << 18  # bytes of text worked on at a time
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -34,11 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python batches of at most BATCH_ROWS rows, as small_batches does for a while."""
+    kept = int(spark.conf.get(BATCH_SETTING))
+    spark.conf.set(BATCH_SETTING, min(kept, BATCH_ROWS) if kept > 0 else BATCH_ROWS)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """What runs within hands Python batches of at most BATCH_ROWS rows, so that a task holds few texts at a time."""
     kept = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, min(int(kept), BATCH_ROWS) if int(kept) > 0 else BATCH_ROWS)
+    bounded_batches(spark)
     try:
         yield
     finally:
@@ -69,7 +76,7 @@ def byte_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def row_blocks(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def row_blocks(off: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most so many bytes together, or one longer row alone."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -92,7 +99,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, PIECE + 1024)
         up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
@@ -124,7 +131,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):  # in pieces, so that the tables of powers stay small however long a row is
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 20), "right")))
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, "right")))
         a, b = starts[first], ends[last - 1]
         up, down = _power_tables(int(b - a))
         sums = np.zeros(b - a + 1, np.uint64)

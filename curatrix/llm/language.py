@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import byte_view, held_out, row_blocks
+from curatrix.llm.common import PIECE, byte_view, held_out, row_blocks
 
 BITS = 12
 SAMPLE_ROWS = 2400
@@ -38,8 +38,8 @@ def gram_counts(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             j = min(i + 256, b)
             out = np.zeros((j - i, 1 << BITS), np.float32)
             for k in range(i, j):
-                for lo in range(off[k], off[k + 1], 1 << 22):  # a very long row in pieces that overlap by two bytes
-                    x = data[lo : min(lo + (1 << 22) + 2, off[k + 1])].astype(np.uint32)
+                for lo in range(off[k], off[k + 1], PIECE):  # a very long row in pieces that overlap by two bytes
+                    x = data[lo : min(lo + (PIECE) + 2, off[k + 1])].astype(np.uint32)
                     if len(x) > 2:
                         out[k - i] += np.bincount(((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * _C3) >> np.uint32(32 - BITS), minlength=1 << BITS)
                     if len(x) > 1:

@@ -56,12 +56,11 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        self.special, model = [t["content"] for t in whole.get("added_tokens") or []], whole["model"]
         vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         ids = [vocab["".join(m)] for m in merges]
         letters = _byte_letters()
@@ -72,6 +71,11 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
+        """By the tokenizer itself, which is loaded when it is first needed."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def plain(self, text: str) -> bytes:

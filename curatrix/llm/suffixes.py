@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import BASE, _power_tables, byte_view, cut, mix
+from curatrix.llm.common import BASE, PIECE, _power_tables, byte_view, cut, mix
 
 LENGTH = 400
 GRAM = 64
 PARTS, FINE_PARTS = 2, 32
 MOST_SHARERS = 48
 BROADCAST_IDS = 500_000
-BLOCK = 1 << 20
+BLOCK = PIECE
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
