@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm import decontaminate, jaccard, language, packing, pii
-from curatrix.llm.common import cut
+from curatrix.llm.common import bounded_batches, cut
 
 TABLE = "documents"
 ORACLE_SQL = None  # classifiers, a random field and a tokenizer: tests/llm holds run() against brute force
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: no text, no letter, or too little to tell one language from another."""
+    """Documents that language ID rejects go: no text, no letter, or too little to tell one language from another.
+
+    The session's Arrow batches are bounded here for all stages, so that executors hold few texts at a time."""
+    bounded_batches(spark)
     return language.keep_known(docs)
 
 
