@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions.scalars import path_key, ticks
+from curatrix.functions.scalars import ancestors, path_key, ticks
 
 ITEM = "struct<source:string,destination:string,status:string,kind:string,entryKind:string,error:string,bytes:bigint>"
 OPEN = ("planned", "pending", "undo-pending")
@@ -77,14 +77,24 @@ def detect_drift(expected: DataFrame, current: DataFrame, with_content: bool = T
 
 
 def plan_undo(items: DataFrame, current: DataFrame, recovery_dir: str = ".recovery") -> DataFrame:
-    """Completed items in reverse order: where each goes back to, and what blocks it."""
+    """Completed items in reverse order: where each goes back to (dates: their old value), and what blocks it.
+
+    A folder that was made goes only if nothing is left in it once the operation's other items are undone."""
+    for c in ("old_value", "entry_kind"):
+        items = items if c in items.columns else items.withColumn(c, F.lit(None).cast("string"))
     now = current.select(path_key(F.col("path")).alias("_key"), F.col("digest").alias("_digest"))
-    back = F.when(F.col("kind") == "copy", F.concat(F.lit(recovery_dir + "/"), F.col("destination"))).otherwise(F.col("source"))
+    folder = F.coalesce(F.col("entry_kind") == "directory", F.lit(False))
+    back = F.when(F.col("kind") == "dates", F.col("old_value")).when(F.col("kind") == "copy", F.concat(F.lit(recovery_dir + "/"), F.col("destination"))).when(folder & (F.col("kind") == "mkdir"), None).otherwise(F.col("source"))
     rows = items.where("status = 'completed'").withColumn("undo_to", back)
     rows = rows.join(now, path_key(F.col("destination")) == F.col("_key"), "left").drop("_key")
     there = now.select(F.col("_key").alias("_taken")).distinct()
     rows = rows.join(there, (path_key(F.col("undo_to")) == F.col("_taken")) & (F.col("kind") != "dates"), "left")
-    error = F.when(~F.col("_digest").eqNullSafe(F.col("digest")), "FILE_CHANGED").when(F.col("_taken").isNotNull(), "DESTINATION_EXISTS")
+    made = rows.where(folder & (F.col("kind") == "mkdir")).select("operation_id", path_key(F.col("destination")).alias("_dir")).distinct()
+    inside = now.select(F.col("_key").alias("_file"), F.explode(ancestors(F.col("_key"), itself=False)).alias("_dir")).join(made, "_dir")
+    leaving = rows.select("operation_id", path_key(F.col("destination")).alias("_file")).distinct()
+    full = inside.join(leaving, ["operation_id", "_file"], "left_anti").select("operation_id", "_dir").distinct().withColumn("_full", F.lit(True))
+    rows = rows.withColumn("_dir", path_key(F.col("destination"))).join(full, ["operation_id", "_dir"], "left")
+    error = F.when(folder, F.when(F.col("_full") & (F.col("kind") == "mkdir"), "DIRECTORY_NOT_EMPTY").when(F.col("_taken").isNotNull(), "DESTINATION_EXISTS")).when(~F.col("_digest").eqNullSafe(F.col("digest")), "FILE_CHANGED").when(F.col("_taken").isNotNull(), "DESTINATION_EXISTS")
     order = F.row_number().over(Window.partitionBy("operation_id").orderBy(F.desc("sequence")))
     return rows.select("operation_id", "sequence", order.alias("undo_order"), "undo_to", error.alias("error"))
 

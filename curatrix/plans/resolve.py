@@ -209,25 +209,39 @@ def organization_totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count_if(moves).alias("moves"), F.coalesce(F.sum(F.when(moves, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(F.col("action") == "skip").alias("kept"), F.count_if("conflict").alias("conflicts"))
 
 
-def plan_transfer(tree: DataFrame, sources: DataFrame, destination: str, mode: str = "move") -> DataFrame:
+def plan_transfer(tree: DataFrame, sources: DataFrame, destination: str, mode: str = "move", policy: str = "skip", library: DataFrame | None = None) -> DataFrame:
     """tree (path, is_dir): steps for the selected sources: folders made parents first, files, emptied folders removed children first.
 
-    Sources inside another selected one go; INVALID steps are marked: FOLDER_INTO_ITSELF, SAME_DESTINATION."""
+    Sources inside another selected one go; INVALID steps are marked: FOLDER_INTO_ITSELF, SAME_DESTINATION. A folder whose target
+    is in the library (path) or claimed by a source before it is skipped with all it holds, gets a free suffix (keep-both), or
+    is a FOLDER_CONFLICT (replace). Files' conflicts are for resolve_items."""
     from curatrix.functions.scalars import ancestors, depth
     from curatrix.operators.browse import collapse_roots
 
-    top = collapse_roots(sources.select(F.col("path").alias("root"))).select(F.col("root"), path_key(F.col("root")).alias("_key"))
+    top = collapse_roots(sources.select(F.col("path").alias("root"))).select("root", path_key(F.col("root")).alias("_key"), F.concat(F.lit(destination.rstrip("/") + "/"), file_name(F.col("root"))).alias("place"))
+    top = top.withColumns({"_held": F.lit(None).cast("string")})
+    if library is not None:
+        folders = tree.where("is_dir").select(path_key(F.col("path")).alias("_key")).distinct()
+        asked = plan_counter(top.join(folders, "_key", "left_semi").select("_key", "root", "place"), "root", "seq")
+        held = destination_conflicts(asked.drop("_key").withColumn("destination", F.col("place")), library).where("conflict").select(path_key(F.col("root")).alias("_key"), "seq", F.col("place").alias("target"))
+        if policy == "keep-both":
+            taken = library.select("path").union(asked.select("place"))
+            free = held.join(available_names(held.select("target", "seq"), taken), ["target", "seq"]).select("_key", F.col("available").alias("_new"), F.col("error").alias("_why"))
+        else:
+            free = held.select("_key", F.lit(None).cast("string").alias("_new"), F.lit("skip" if policy == "skip" else "FOLDER_CONFLICT").alias("_why"))
+        top = top.drop("_held").join(free, "_key", "left").select("root", "_key", F.coalesce("_new", "place").alias("place"), F.col("_why").alias("_held"))
     within = tree.select("path", "is_dir", F.explode(ancestors(path_key(F.col("path")))).alias("_key")).join(top, "_key")
-    target = F.concat(F.lit(destination.rstrip("/") + "/"), file_name(F.col("root")), F.substring(F.col("path"), F.length("root") + 1, F.length("path")))
-    rows = within.withColumn("target", target)
-    error = F.when(F.col("is_dir") & F.lit(destination.lower() + "/").startswith(F.concat(F.lower("root"), F.lit("/"))), "FOLDER_INTO_ITSELF").when(path_key(F.col("target")) == path_key(F.col("path")), "SAME_DESTINATION")
+    rows = within.withColumn("target", F.concat("place", F.substring(F.col("path"), F.length("root") + 1, F.length("path"))))
+    error = F.when(F.col("is_dir") & F.lit(destination.lower() + "/").startswith(F.concat(F.lower("root"), F.lit("/"))), "FOLDER_INTO_ITSELF").when(path_key(F.col("target")) == path_key(F.col("path")), "SAME_DESTINATION").when(F.col("_held") != "skip", F.col("_held"))
     rows = rows.withColumn("error", error)
+    skipped = rows.where("_held = 'skip' and error is null").select(F.lit(3).alias("phase"), F.lit(0).alias("order"), "path", "target", F.lit("skip").alias("action"), "error")
+    rows = rows.where("_held is null or _held <> 'skip' or error is not null")
     made = rows.where("is_dir").select(F.lit(0).alias("phase"), depth(F.col("path")).alias("order"), "path", "target", F.lit("mkdir").alias("action"), "error")
     files = rows.where("not is_dir").select(F.lit(1).alias("phase"), F.lit(0).alias("order"), "path", "target", F.lit(mode).alias("action"), "error")
     steps = made.unionByName(files)
     if mode == "move":
         steps = steps.unionByName(rows.where("is_dir").select(F.lit(2).alias("phase"), (-depth(F.col("path"))).alias("order"), "path", "target", F.lit("rmdir").alias("action"), "error"))
-    return steps
+    return steps.unionByName(skipped)
 
 
 def plan_media_removal(media: DataFrame, ids: DataFrame, most: int = 1000) -> DataFrame:

@@ -13,13 +13,16 @@ from curatrix.functions.scalars import RECOVERY, is_recovery, path_key
 
 
 def scan_catalog(spark: SparkSession, roots: list[str], recursive: bool = True, glob: str | None = None, recovery_dir: str = RECOVERY) -> DataFrame:
-    """path, modificationTime, length, content of the files below the roots, once each; contents are read only if used."""
+    """path, modificationTime, length, content of the files below the roots, in order of path, one per path key even where roots
+    overlap; contents are read only if used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     found = reader.load(roots)
     listed = found.where(~is_recovery(F.col("path"), recovery_dir))
-    return listed.dropDuplicates(["path"]) if len(roots) > 1 else listed
+    if len(roots) > 1:
+        listed = listed.withColumn("_key", path_key(F.col("path"))).dropDuplicates(["_key"]).drop("_key")
+    return listed.orderBy("path")
 
 
 def load_prototypes(spark: SparkSession, path: str, model: str, dim: int, known: list[str], most_prompts: int = 32) -> DataFrame:
@@ -37,7 +40,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(path).select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
-def image_guard(images: DataFrame, max_pixels: int = 40_000_000, max_axis: int = 16_384, max_bytes: int = 256 << 20) -> DataFrame:
+def image_guard(images: DataFrame, max_pixels: int = 40_000_000, max_axis: int = 16_384, max_bytes: int = 256 << 20, files: DataFrame | None = None, max_file_bytes: int = 64 << 20) -> DataFrame:
+    """images with error: too many pixels or bytes, of the file too where files (path, length) tells them; undecodable."""
+    if files is not None:
+        long = files.where(F.col("length") > max_file_bytes).select("path", F.lit(True).alias("_long"))
+        out = image_guard(images, max_pixels, max_axis, max_bytes).join(long, "path", "left")
+        return out.withColumn("error", F.when(F.col("_long"), "IMAGE_TOO_LARGE").otherwise(F.col("error"))).drop("_long")
     big = (F.col("height").cast("long") * F.col("width") > max_pixels) | (F.greatest("height", "width") > max_axis) | (F.octet_length("data") > max_bytes)
     return images.withColumn("error", F.when(F.col("height") < 0, "UNSUPPORTED_IMAGE").when(big, "IMAGE_TOO_LARGE"))
 
@@ -51,9 +59,18 @@ def weights(size: int, to: int) -> np.ndarray:
     return w / w.sum(1, keepdims=True)
 
 
-def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    rows = np.tensordot(weights(x.shape[0], height), x, (1, 0))
-    return np.tensordot(rows, weights(x.shape[1], width), (1, 1)).transpose(0, 2, 1)
+def cubic_weights(size: int, to: int) -> np.ndarray:
+    """A Catmull-Rom filter that resizes an axis, as a matrix."""
+    scale = size / to
+    centre = (np.arange(to) + 0.5) * scale - 0.5
+    t = np.abs(np.arange(size)[None, :] - centre[:, None]) / max(scale, 1.0)
+    w = np.where(t < 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0))
+    return w / w.sum(1, keepdims=True)
+
+
+def resized(x: np.ndarray, height: int, width: int, kernel: Callable[[int, int], np.ndarray] = weights) -> np.ndarray:
+    rows = np.tensordot(kernel(x.shape[0], height), x, (1, 0))
+    return np.tensordot(rows, kernel(x.shape[1], width), (1, 1)).transpose(0, 2, 1)
 
 
 def _cosines(n: int) -> np.ndarray:
@@ -94,7 +111,7 @@ def fingerprint(images: DataFrame) -> DataFrame:
 
 
 def preprocess(rgb: np.ndarray, view: tuple[int, int, int] | None, size: int, mean: list[float], std: list[float]) -> np.ndarray:
-    """Channels first: a square crop, or the whole on a square of the mean colour; resized and normalised."""
+    """Channels first: a square crop, or the whole on a square of the mean colour; resized by cubics and normalised."""
     if view:
         x, y, edge = view
         rgb = rgb[y : y + edge, x : x + edge]
@@ -105,7 +122,7 @@ def preprocess(rgb: np.ndarray, view: tuple[int, int, int] | None, size: int, me
         top, left = (edge - rgb.shape[0]) // 2, (edge - rgb.shape[1]) // 2
         whole[top : top + rgb.shape[0], left : left + rgb.shape[1]] = rgb
         rgb = whole
-    return ((resized(rgb, size, size) / 255 - np.array(mean)) / np.array(std)).transpose(2, 0, 1)
+    return ((np.clip(resized(rgb, size, size, cubic_weights), 0, 255) / 255 - np.array(mean)) / np.array(std)).transpose(2, 0, 1)
 
 
 def embed(images: DataFrame, encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, mean: list[float], std: list[float]) -> DataFrame:

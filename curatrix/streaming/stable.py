@@ -22,8 +22,10 @@ def stable_files(observations: DataFrame, stable_seconds: int = STABLE_SECONDS,
 
     A new stamp restarts the timer; after stable_seconds without change a file that isn't temporary is ready at its first
     unlocked reading, and failed at its max_retries-th locked one. present = false ends the path's state, and so does the
-    watermark. Observations older than the state's last are late and dropped."""
+    watermark. Observations older than the state's last are late and dropped. A row with retry = true (an optional column) is a
+    control row: a failed path waits again from then on, with no retries counted; for others it says nothing."""
     temporary = is_temporary(file_name(F.col("path")))
+    control = F.coalesce(F.col("retry"), F.lit(False)) if "retry" in observations.columns else F.lit(False)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -32,6 +34,11 @@ def stable_files(observations: DataFrame, stable_seconds: int = STABLE_SECONDS,
         rows = pd.concat(list(frames)).sort_values("observed_at")
         held, out = (list(state.get) if state.exists else None), []
         for r in rows.itertuples():
+            if r.retry:
+                if held and held[5] and held[4] >= max_retries:
+                    held[2:] = [r.observed_at, r.observed_at, 0, False]
+                    out.append((key[0], r.observed_at, "waiting", 0, None))
+                continue
             if held and r.observed_at < held[3]:
                 continue
             if not r.present:
@@ -60,7 +67,7 @@ def stable_files(observations: DataFrame, stable_seconds: int = STABLE_SECONDS,
             state.setTimeoutTimestamp(int(pd.Timestamp(held[3]).timestamp() * 1000) + 86_400_000)
         yield pd.DataFrame(out, columns=["path", "observed_at", "status", "retries", "error"])
 
-    rows = observations.withColumn("temporary", temporary).withWatermark("observed_at", watermark)
+    rows = observations.withColumns({"temporary": temporary, "retry": control}).withWatermark("observed_at", watermark)
     return rows.groupBy("path").applyInPandasWithState(step, STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -91,6 +98,21 @@ def organize_stream(stable: DataFrame, rules, sink: str, checkpoint: str):
     return stable.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reevaluate(inbox: DataFrame, rules) -> DataFrame:
+    """inbox (status, dates, what match_rules adds) after the rules have changed: only decided or ready rows are matched anew."""
+    from curatrix.operators.rules import match_rules
+
+    decided = F.col("status").isin("matched", "needs-review", "ready")
+    added = ("error", "rule_id", "rule_name", "destination", "date_source", "date_used")
+    again = match_rules(inbox.where(decided).drop("status", *added), rules)
+    return again.select(inbox.columns).unionByName(inbox.where(~decided | F.col("status").isNull()))
+
+
+def accessed_matters(rules) -> bool:
+    """Whether a change of the accessed date alone calls for a new evaluation: only if an enabled rule uses that date."""
+    return any(r.enabled and r.date_source == "accessed" for r in rules)
+
+
 def retry_failed(state: DataFrame) -> DataFrame:
     """Failed files wait again, with no retries counted."""
     failed = F.col("status") == "failed"
