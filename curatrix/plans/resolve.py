@@ -43,13 +43,20 @@ def apply_resolutions(items: DataFrame, overrides: DataFrame, policy: str, dupli
 
 
 def available_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
-    """requests (target, seq): the k-th request of a target gets its k-th free suffixed name, from 1."""
-    fam = taken.select(family(F.col("path")).alias("_f"), F.regexp_extract(stem(F.col("path")), r" \(([0-9]+)\)$", 1).alias("_n")).where("_n <> ''").groupBy("_f").agg(F.collect_set(F.col("_n").cast("int")).alias("_used"))
+    """requests (target, seq): the k-th request of a target gets its k-th free suffixed name, from 1.
+
+    Of a family's used numbers in order, the i-th has u - i free ones below it; so the k-th free number is k and as many
+    more as there are used ones with fewer than k free below, which a running count over both in order gives."""
+    numbers = taken.select(family(F.col("path")).alias("_f"), F.regexp_extract(stem(F.col("path")), r" \(([0-9]+)\)$", 1).alias("_n")).where("_n <> ''")
+    used = numbers.select("_f", F.expr("try_cast(_n AS long)").alias("_u")).where("_u between 1 and 100000").distinct()
+    used = used.withColumn("_at", F.col("_u") - F.row_number().over(Window.partitionBy("_f").orderBy("_u")))
     rank = F.row_number().over(Window.partitionBy("target").orderBy("seq"))
-    rows = requests.withColumn("_k", rank).withColumn("_f", family(F.concat_ws("", F.col("target")))).join(fam, "_f", "left")
-    used = F.array_sort(F.coalesce("_used", F.array().cast("array<int>")))
-    # The k-th free number: k, moved up by each used number that is not above it, in order.
-    number = F.aggregate(used, F.col("_k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    rows = requests.select("target", "seq", rank.alias("_k"), family(F.col("target")).alias("_f"))
+    asked = rows.select("_f", (F.col("_k") - 1).cast("long").alias("_at"), F.lit(1).alias("_ask"), "target", "seq", "_k")
+    both = asked.unionByName(used.join(rows.select("_f").distinct(), "_f", "left_semi").select("_f", F.col("_at").cast("long"), F.lit(0).alias("_ask")), allowMissingColumns=True)
+    before = F.sum(1 - F.col("_ask")).over(Window.partitionBy("_f").orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("_number", F.col("_k") + before).where("_ask = 1")
+    number = F.col("_number")
     ext = F.regexp_extract(file_name(F.col("target")), r"^.+(\.[^.]*)$", 1)
     name = F.concat(parent(F.col("target")), F.lit("/"), stem(F.col("target")), F.lit(" ("), number.cast("string"), F.lit(")"), ext)
     return rows.select("target", "seq", F.when(number < 100_000, name).alias("available"), F.when(number >= 100_000, "DESTINATION_EXISTS").alias("error"))
@@ -164,7 +171,7 @@ def resolve_items(items: DataFrame, library: DataFrame, policy: str = "skip", du
 
 
 def named_targets(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None) -> DataFrame:
-    """Matched files with counter, new name and destination."""
+    """Matched files with counter, new name and destination. The names are written as a table: what follows reads each of them several times."""
     matched = assign_presets(match_rules(inbox, rules), rule_presets, default_id).where("status = 'matched'")
     counted = plan_counter(matched)
     name = file_name(F.col("path"))
@@ -173,7 +180,7 @@ def named_targets(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Pr
         case = F.when(F.col("preset_id") == p.id, render_name(p, name, F.col("rule_name"), F.col("date_used"), F.col("counter")))
         new = case if new is None else F.coalesce(new, case)
     new = F.when(F.col("preset_id").isNull(), name).otherwise(new) if new is not None else name
-    named = counted.withColumn("new_name", new)
+    named = materialized(counted.withColumn("new_name", new))
     return named.withColumns({"destination_path": F.concat_ws("/", "destination", "new_name"), "name_error": name_error(F.col("new_name"))})
 
 
@@ -185,11 +192,15 @@ def _resolved(items: DataFrame, library: DataFrame, policy: str, duplicate_actio
 
 
 def plan_organization(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
-    """inbox (path, size, digest, dates): where each matched file goes.
+    """inbox (path, size, digest, dates): where each matched file goes, by plan_named."""
+    return plan_named(named_targets(inbox, rules, presets, rule_presets, default_id), library, policy, duplicate_action, overrides)
+
+
+def plan_named(named: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """named (of named_targets): a plan row per file.
 
     The skip policy alone looks at names only, without grouping into tasks. With another policy, a duplicate action or
     overrides, contents count too and items are resolved in order (resolve_items); there are backup rows then, told by `backup`."""
-    named = named_targets(inbox, rules, presets, rule_presets, default_id)
     items = named.select(F.col("counter").cast("long").alias("seq"), F.col("path").alias("source"), F.col("destination_path").alias("destination"), "digest", "size", "rule_id", "new_name", "name_error")
     if policy != "skip" or duplicate_action is not None or overrides is not None:
         done = _resolved(items, library, policy, duplicate_action or "skip", overrides)

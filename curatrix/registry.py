@@ -206,20 +206,20 @@ NAMED_SQL = f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL}, counted AS (SEL
 query("p9_render_name", f"{NAMED_SQL} SELECT path, new_name FROM named")(lambda s, d: resolve.named_targets(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main").select("path", "new_name"))
 
 
-def _library(s: SparkSession, d: str) -> DataFrame:
-    """Half of the planned targets are taken already."""
+def _named(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The named files, and a library in which half of their targets are taken already."""
     named = resolve.named_targets(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main")
-    return named.where("id % 2 = 0").select(F.col("destination_path").alias("path"), "digest")
+    return named, named.where("id % 2 = 0").select(F.col("destination_path").alias("path"), "digest")
 
 
 @query("b1_plan_organization", f"{NAMED_SQL} SELECT counter AS seq, path AS source, destination || '/' || new_name AS destination, size, rule_id, CASE WHEN id % 2 = 0 THEN 'skip' ELSE 'move' END AS action, id % 2 = 0 AS conflict, NULL::VARCHAR AS error FROM named")
 def b1(s, d):
-    return resolve.plan_organization(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main", _library(s, d))
+    return resolve.plan_named(*_named(s, d))
 
 
 @query("b1_plan_organization_keep_both", f"{NAMED_SQL} SELECT counter AS seq, path AS source, destination || '/' || CASE WHEN id % 2 = 0 THEN regexp_extract(new_name, '^(.+)\\.[^.]*$', 1) || ' (1)' || regexp_extract(new_name, '^.+(\\.[^.]*)$', 1) ELSE new_name END AS destination, size, rule_id, 'move' AS action, false AS backup, id % 2 = 0 AS conflict, NULL::VARCHAR AS error FROM named")
 def b1_keep_both(s, d):
-    return resolve.plan_organization(view(s, d, "inbox"), RULES, PRESETS, RULE_PRESETS, "main", _library(s, d), "keep-both", "keep-both")
+    return resolve.plan_named(*_named(s, d), "keep-both", "keep-both")
 
 
 query("a4_organization_totals", f"{NAMED_SQL} SELECT count(*) FILTER (id % 2 = 1) AS moves, CAST(sum(size) FILTER (id % 2 = 1) AS BIGINT) AS bytes, count(*) FILTER (id % 2 = 0) AS kept, count(*) FILTER (id % 2 = 0) AS conflicts FROM named")(lambda s, d: resolve.organization_totals(b1(s, d)))
