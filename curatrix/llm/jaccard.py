@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import byte_view, cut, row_blocks, shingle_hashes, small_batches, word_hashes
+from curatrix.llm.common import byte_view, cut, lean, row_blocks, shingle_hashes, small_batches, word_hashes
 from curatrix.llm.components import components
 
 T_NUM, T_DEN = 75, 100
@@ -97,10 +97,10 @@ def frequent(docs: DataFrame, most: int = FREQUENT, least: int = LEAST_FREQUENT)
         if kept:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = docs.select("text").mapInArrow(lean(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     with small_batches(docs.sparkSession):
-        told = rows.orderBy(F.desc("n"), "key").limit(most).collect()
-    return np.sort(np.array([r["key"] for r in told], np.int64))
+        told = rows.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+    return np.sort(told.column(0).to_numpy())
 
 
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
@@ -140,7 +140,7 @@ def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
             more = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=["doc_id", "tid", "n", "nid", "gid", "last", "keys", "cells"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, n long, nid binary, gid long, last long, keys array<long>, cells binary")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, n long, nid binary, gid long, last long, keys array<long>, cells binary")
 
 
 def _enough(common, n, m):
@@ -181,7 +181,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     are read: their ids are broadcast while they are at most BROADCAST_IDS, else dealt like the texts."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"c_{x}"))
     drawn = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
-    likely = cut(drawn.mapInArrow(_may_link, "a long, b long"))
+    likely = cut(drawn.mapInArrow(lean(_may_link), "a long, b long"))
     reps = cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct().join(nodes, "node").select("node", "rep.doc_id", "rep.tid"))
     many = reps.count()
     if not many:
@@ -194,7 +194,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     leaves = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
     heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     by = leaves.unionByName(heads).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull())
-    return by.mapInArrow(_compared, "a long, b long")
+    return by.mapInArrow(lean(_compared), "a long, b long")
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import PIECE, byte_view, held_out, row_blocks
+from curatrix.llm.common import PIECE, byte_view, held_out, lean, row_blocks, small_batches
 
 BITS = 12
 SAMPLE_ROWS = 2400
@@ -63,9 +63,8 @@ def code_matrix(classes: int, seed: int = 7) -> np.ndarray:
 
 
 def fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 200, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic classifiers of all bits at once (y: +1 or -1 by row and bit), by Adam on all rows."""
-    w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Logistic classifiers of all bits at once (y: +1 or -1 by row and bit), by Adam on all rows. The last column of x is all ones."""
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         g = x.T @ (-y / (1 + np.exp(np.clip(y * (x @ w), -30, 30)))) / len(x) + decay * w
@@ -91,18 +90,23 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         for batch in batches:
             for i, block in gram_counts(batch.column(0)):
                 at = [np.flatnonzero(r) for r in block]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i : i + len(block)].cast(pa.string()), pa.array([a.astype(np.int32).tolist() for a in at], pa.list_(pa.int32())), pa.array([r[a].tolist() for r, a in zip(block, at, strict=True)], pa.list_(pa.float32()))], names=["lang", "at", "n"])
-
-    sample = sorted((r["lang"], tuple(r["at"]), tuple(r["n"])) for r in chosen.select("text", "lang").mapInArrow(sparse, "lang string, at array<int>, n array<float>").collect())
-    x = np.zeros((len(sample), 1 << BITS), np.float32)
+                places, counts = ([v.tobytes() for v in x] for x in ([a.astype(np.int16) for a in at], [r[a] for r, a in zip(block, at, strict=True)]))
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i : i + len(block)].cast(pa.string()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "at", "n"])
+
+    with small_batches(docs.sparkSession):
+        told = chosen.select("text", "lang").mapInArrow(sparse, "lang string, at binary, n binary").toArrow()
+    sample = sorted(zip(*(told.column(c).to_pylist() for c in ("lang", "at", "n")), strict=True))
+    sample = [s for k, s in enumerate(sample) if k % 5] + sample[::5]  # a fifth, at the end, tells how sure each bit is
+    many = len(sample) - len(sample[::5]) if len(sample) > 1 else len(sample)
+    x = np.zeros((len(sample), (1 << BITS) + 1), np.float32)
     for k, (_, at, n) in enumerate(sample):
-        x[k, list(at)] = n
-    x = unit(x)
+        own = np.sqrt(np.frombuffer(n, np.float32))
+        x[k, np.frombuffer(at, np.int16)] = own / max(float(np.linalg.norm(own)), 1e-9)
+    x[:, -1] = 1
     code = code_matrix(len(langs))
     y = code[[langs.index(s[0]) for s in sample]] if sample else np.zeros((0, code.shape[1]), np.float32)
-    tune = np.arange(len(x)) % 5 == 0
-    w, b = fit_bits(x[~tune], y[~tune])
-    wrong = ((x[tune] @ w + b) * y[tune] <= 0).mean(0) if tune.any() else np.zeros(code.shape[1])
+    w, b = fit_bits(x[:many], y[:many])
+    wrong = ((x[many:, :-1] @ w + b) * y[many:] <= 0).mean(0) if len(x) > many else np.zeros(code.shape[1])
     wrong = np.clip(wrong, 0.005, 0.495)
     return {"langs": langs, "code": code, "w": w, "b": b, "weight": np.log((1 - wrong) / wrong) / np.log((1 - wrong) / wrong).mean()}
 
@@ -167,4 +171,4 @@ def keep_known(docs: DataFrame, model: dict | None = None) -> DataFrame:
                 keep = [has_letter(x.as_py()) for x in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
