@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import BASE, PIECE, _power_tables, byte_view, cut, mix
+from curatrix.llm.common import BASE, PIECE, _power_tables, byte_view, cut, lean, mix, row_blocks, word_hashes
 
 LENGTH = 400
 GRAM = 64
+WORDS, WORD_GRAM = 50, 5  # of a passage that is reported, whatever its bytes
 PARTS, FINE_PARTS = 2, 32
 MOST_SHARERS = 48
 BROADCAST_IDS = 500_000
@@ -197,7 +198,7 @@ def _stretch_rows(docs: DataFrame) -> DataFrame:
             core, whole, first, last, d, e = np.concatenate(found, 1)
             yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), pa.array(d), pa.array(e), pa.array(first), pa.array((last - first).astype(np.int16))], names=["core", "whole", "d", "e", "lo", "more"])
 
-    return docs.select("d", "text", "e").mapInArrow(run, "core long, whole long, d long, e long, lo long, more short")
+    return docs.select("d", "text", "e").mapInArrow(lean(run), "core long, whole long, d long, e long, lo long, more short")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
                         rows = []
             yield _context_batch(rows)
 
-    return docs.select("d", "text", "told", "e").mapInArrow(run, "core long, n long, sure boolean, d long, e long, lo long, starts long, context binary")
+    return docs.select("d", "text", "told", "e").mapInArrow(lean(run), "core long, n long, sure boolean, d long, e long, lo long, starts long, context binary")
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -299,11 +300,39 @@ def _shared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kinds, equal.select("d", "e", F.col("lo").alias("first"), (F.col("lo") + F.col("more") + LENGTH).alias("last")), cut(many.select("core", "n"))
 
 
+def passages(rows: DataFrame) -> DataFrame:
+    """d and n of the texts (d, text) with passages of WORDS words or more that other places have too: in how many stretches.
+
+    As with bytes, windows of WORDS words are parted by anchor, and equal windows have equal cores, here of 27 words; places
+    that share a core are reported, so that no repeated passage is missed, and what is reported repeats in 27 words at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()
+        for batch in batches:
+            data, off = byte_view(batch.column(1))
+            ids, found = batch.column(0).to_pylist(), [np.zeros((3, 0), np.int64)]
+            for a, b in row_blocks(off):
+                words, first, _, _ = word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                for k in range(a, b):
+                    own = words[first[k - a] : first[k - a + 1]]
+                    if len(own) < WORDS or ids[k] in given:
+                        continue
+                    if len(given) < 200_000:
+                        given.add(ids[k])
+                    found += [np.stack([x[0], np.full(x.shape[1], ids[k]), x[2]]) for x in stretches(own, WORDS, WORD_GRAM)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], names=["core", "d", "lo"])
+
+    found = rows.select("d", "text").mapInArrow(lean(run), "core long, d long, lo long").select("core", "d", F.xxhash64("d", "lo").alias("place")).repartition("core")
+    several = found.groupBy("core").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("core")
+    return found.join(several.hint("shuffle_hash"), "core", "left_semi").groupBy("d").agg(F.count_distinct("place").alias("n"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passages of every row.
 
     A byte is removed if a string of LENGTH bytes that covers it also starts elsewhere, in the same document or another;
-    a null text is empty. Rows with equal texts of that length are removed whole. A very long text is read in blocks. Repeated and null ids are rows like
+    a null text is empty. Passages of WORDS words that repeat are often shorter than that and stay, but n_passages tells of
+    them (0: none). Rows with equal texts of that length are removed whole. A very long text is read in blocks. Repeated and null ids are rows like
     others; an empty table gives no rows, and other columns are left out."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("d", F.xxhash64("text")).withColumn("e", F.xxhash64(F.lit(1), "text"))  # texts are told apart by both
@@ -319,22 +348,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     same = (F.col("d") == F.col("_d")) & (F.col("e") == F.col("_e")) & F.col("doc_id").eqNullSafe(F.col("rep"))
     kept = cut(_contexts(named.join(told.hint("shuffle_hash"), same)))
 
-    few = kept.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("core").sortWithinPartitions("core").mapInArrow(_by_suffixes, "d long, e long, first long, last long")
+    few = kept.where(F.col("n") <= MOST_SHARERS).drop("n").repartition("core").sortWithinPartitions("core").mapInArrow(lean(_by_suffixes), "d long, e long, first long, last long")
     common = kept.where(F.col("n") > MOST_SHARERS).select("d", "e", "lo", "starts", "context")
-    kinds, alike, many = _shared(cut(common.mapInArrow(_finer, "core long, whole long, d long, e long, at long, lo long, more short")))
+    kinds, alike, many = _shared(cut(common.mapInArrow(lean(_finer), "core long, whole long, d long, e long, at long, lo long, more short")))
     open_parts = kinds.join(many, "core").groupBy(F.col("one.d").alias("d"), F.col("one.e").alias("e"), F.col("one.at").alias("at")).agg(F.collect_set(F.struct("core", "one.lo", "one.more")).alias("told"))
     left = common.dropDuplicates(["d", "e", "lo"]).join(open_parts.withColumnRenamed("at", "lo"), ["d", "e", "lo"])
-    windows = cut(left.select("d", "e", "lo", "context", "told").mapInArrow(_windows, "h long, core long, d long, e long, s long"))
+    windows = cut(left.select("d", "e", "lo", "context", "told").mapInArrow(lean(_windows), "h long, core long, d long, e long, s long"))
     place = F.xxhash64("d", "e", "s")
     seen = windows.groupBy("h", "core").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("h", "core")
     rest = windows.join(seen, ["h", "core"], "left_semi").select("d", "e", F.col("s").alias("first"), (F.col("s") + LENGTH).alias("last"))
     spans = cut(equal.unionByName(few).unionByName(alike).unionByName(rest).distinct())
     by_text = spans.groupBy("d", "e").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans")).join(texts.where("copies > 1").select("d", "e", "copies"), ["d", "e"], "full")
+    by_words = cut(passages(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, text, copies, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for i, text, copies, own, n in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 x = text.as_py().encode()
                 merged: list[list[int]] = [[0, len(x)]] if copies and len(x) >= LENGTH else []
                 for s in own or [] if not merged else []:
@@ -347,10 +377,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     kept.update(x[at:a])
                     at = b
                 kept.update(x[at:])
-                out.append((i, len(x), sum(b - a for a, b in merged), len(merged), kept.hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                n = max(n or 0, int(bool(copies) and len(x.split()) >= WORDS))
+                out.append((i, len(x), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), n))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(0).type), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    final = rows.join(by_text.hint("shuffle_hash"), ["d", "e"], "left").select("doc_id", "text", "copies", "spans")
-    return final.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    told = by_text.join(by_words, "d", "full").select(F.col("d").alias("_d"), F.col("e").alias("_e"), "copies", "spans", "n")
+    same = (F.col("d") == F.col("_d")) & (F.col("_e").isNull() | (F.col("e") == F.col("_e")))
+    final = rows.join(told.hint("shuffle_hash"), same, "left").select("doc_id", "text", "copies", "spans", "n")
+    return final.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")

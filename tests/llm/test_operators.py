@@ -209,6 +209,17 @@ def test_suffixes(docs, odd, empty, monkeypatch, most):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_fifty_words_are_reported(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 5)))
+    words = lambda n: [word() for _ in range(n)]
+    shared, short = words(53), words(20)
+    rows = [(k, " ".join(words(rng.randint(5, 200)) + (shared if k % 5 == 0 else short if k % 5 == 1 else []) + words(rng.randint(5, 200)))) for k in range(60)]
+    rows += [(100, " ".join(shared)), (101, None), (102, ""), (103, " ".join(words(30) + shared + words(9) + shared)), (104, " ".join(whole := words(60))), (105, " ".join(whole)), (None, " ".join(words(70)))]
+    got = {r["doc_id"]: r["n_passages"] for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {k for k in range(0, 60, 5)} | {100, 103, 104, 105}
+
+
 def test_warc(spark, sf_dir, tmp_path):
     rows = [(1, "u", "x" * 200), (2, None, "x" * 200), (3, "u", "é" * 40), (4, "u", "é" * 40), (5, "u", None), (6, "u", ""), (7, "u", "y\r\n\r\n" * 50), (None, "u", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
