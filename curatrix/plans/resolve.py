@@ -2,7 +2,8 @@
 
 Items are resolved in order, since each sees what earlier ones took. They only meet through equal contents and through
 names of one suffix family, so connected components of those are resolved on their own; an item that meets nothing is
-resolved without grouping."""
+resolved without grouping, and so is a family whose items all want one target and share no contents: there the order is a
+rank, and the k-th that finds the target taken gets the k-th free name."""
 
 from __future__ import annotations
 
@@ -138,6 +139,18 @@ def _components(links: DataFrame) -> DataFrame:
             return labels.toDF("node", "component")
 
 
+def _one_target(items: DataFrame, lib: DataFrame) -> DataFrame:
+    """The plan of families in which all items want the same target by the same policy (skip or keep-both) and no contents are shared."""
+    taken = lib.select(path_key(F.col("path")).alias("_key")).distinct().withColumn("_there", F.lit(True))
+    placed = plan_counter(items.withColumn("_key", path_key(F.col("destination"))), ["_key", "seq"], "_at")
+    first = placed.groupBy("_key").agg(F.min("_at").alias("_first"))
+    rows = materialized(placed.join(first, "_key").join(taken, "_key", "left").withColumn("conflict", F.col("_there").isNotNull() | (F.col("_at") > F.col("_first"))))
+    both = F.col("policy") == "keep-both"
+    free = available_names(rows.where(F.col("conflict") & both).select(F.col("destination").alias("target"), "seq"), lib)
+    rows = rows.join(free.select("seq", "available", F.col("error").alias("_why")), "seq", "left")
+    return rows.select("seq", "source", F.coalesce("available", "destination").alias("destination"), F.when(F.col("conflict") & ~both, "skip").otherwise("move").alias("action"), F.lit(False).alias("backup"), "conflict", F.col("_why").alias("error"))
+
+
 def resolve_items(items: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None) -> DataFrame:
     """items (seq, source, destination, digest) resolved against the library (path, digest), in order of seq."""
     spark = items.sparkSession
@@ -152,7 +165,18 @@ def resolve_items(items: DataFrame, library: DataFrame, policy: str = "skip", du
     alone = touch.groupBy("k").agg(F.count_distinct("seq").alias("n")).join(met.select("k").distinct().withColumn("_lib", F.lit(True)), "k", "left")
     busy = alone.where((F.col("n") > 1) | F.col("_lib").isNotNull()).select("k")
     linked = materialized(touch.join(busy, "k", "left_semi"))
-    free = items.join(linked.select("seq").distinct(), "seq", "left_anti")
+    # Families that a rank resolves.
+    shares = linked.where(F.col("k").startswith("d:")).select("seq").distinct().withColumn("_d", F.lit(True))
+    fam = items.join(linked.where(F.col("k").startswith("f:")).select("seq", "k"), "seq").join(shares, "seq", "left")
+    plain = F.col("policy").isin("skip", "keep-both") & F.col("duplicate_action").isin(*ACTIONS) & F.col("_d").isNull()
+    wants = F.concat_ws("\n", path_key(F.col("destination")), "policy")
+    even = fam.groupBy("k").agg(F.bool_and(plain).alias("_plain"), F.min(wants).alias("_lo"), F.max(wants).alias("_hi")).where("_plain and _lo = _hi").select("k")
+    replaced = met.where(F.col("k").startswith("d:")).select("path").distinct()  # a library file that another item may replace
+    even = even.join(met.join(replaced, "path", "left_semi").select("k").distinct(), "k", "left_anti")
+    ranked = materialized(fam.join(even, "k", "left_semi").select(items.columns))
+    linked = materialized(linked.join(ranked.select("seq"), "seq", "left_anti"))
+    met = materialized(met.join(even, "k", "left_anti"))
+    free = items.join(linked.select("seq").union(ranked.select("seq")).distinct(), "seq", "left_anti")
     quick = free.select("seq", "source", "destination", F.lit("move").alias("action"), F.lit(False).alias("backup"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("error"))
     # Keys that one item or one library file has together belong together.
     pair = linked.groupBy("seq").agg(F.min("k").alias("a")).join(linked, "seq").select("a", F.col("k").alias("b"))
@@ -167,6 +191,7 @@ def resolve_items(items: DataFrame, library: DataFrame, policy: str = "skip", du
         rows = resolve_in_order(own.to_dict("records"), taken)
         return pd.DataFrame(rows, columns=["seq", "source", "destination", "action", "backup", "conflict", "error"])
 
+    quick = quick.unionByName(_one_target(ranked, lib))
     return quick.unionByName(a.unionByName(b).groupBy("component").applyInPandas(run, PLAN))
 
 
