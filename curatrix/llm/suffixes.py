@@ -322,9 +322,10 @@ def passages(rows: DataFrame) -> DataFrame:
                     found += [np.stack([x[0], np.full(x.shape[1], ids[k]), x[2]]) for x in stretches(own, WORDS, WORD_GRAM)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, 1)], names=["core", "d", "lo"])
 
-    found = rows.select("d", "text").mapInArrow(lean(run), "core long, d long, lo long").select("core", "d", F.xxhash64("d", "lo").alias("place")).repartition("core")
-    several = found.groupBy("core").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("core")
-    return found.join(several.hint("shuffle_hash"), "core", "left_semi").groupBy("d").agg(F.count_distinct("place").alias("n"))
+    # Both are written, so that the texts are read once and a join of two plain shuffles can be split at a very common core.
+    found = cut(rows.select("d", "text").mapInArrow(lean(run), "core long, d long, lo long").select("core", "d", F.xxhash64("d", "lo").alias("place")))
+    several = cut(found.groupBy("core").agg(F.min("place").alias("x"), F.max("place").alias("y")).where("x <> y").select("core"))
+    return found.join(several, "core", "left_semi").groupBy("d").agg(F.count_distinct("place").alias("n"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
