@@ -106,7 +106,8 @@ def report(docs: DataFrame, ledger: Ledger, path: str = "doc_id", text: str = "t
     entry = F.struct(F.col("start"), order[F.col("rule")].alias("k"), F.concat_ws(":", names[F.col("rule")], "start", "end").alias("says"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["says"]), ",")
     counts = [F.count_if(F.col("rule") == r.key).alias(f"n_{r.name}") for r in rules if r.base]
-    by = found.groupBy("blob").agg(*counts, joined(F.collect_list(F.when(base, entry))).alias("_base"), joined(F.collect_list(entry)).alias("_spans"))
+    # Written first: a join of two plain shuffles can be split where very many versions have one blob.
+    by = cut(found.groupBy("blob").agg(*counts, joined(F.collect_list(F.when(base, entry))).alias("_base"), joined(F.collect_list(entry)).alias("_spans")))
     out = versions(docs, path, text).select("path", "blob").join(by, "blob", "left")
     zero = [F.coalesce(f"n_{r.name}", F.lit(0)).cast("long").alias(f"n_{r.name}") for r in rules if r.base]
     return out.select(F.col("path").alias(path), *zero, F.sha2(F.coalesce("_base", F.lit("")), 256).alias("base_sha256"), F.coalesce("_spans", F.lit("")).alias("spans"))
