@@ -132,12 +132,18 @@ def set_protection(marks: DataFrame, media: DataFrame, ids: DataFrame, on: bool)
     return marks.select("digest").union(chosen).distinct() if on else marks.join(chosen, "digest", "left_anti")
 
 
-def set_corrections(corrections: DataFrame, media: DataFrame, ids: DataFrame, categories: list[str] | None) -> DataFrame:
-    """Upsert by digest; None deletes. 1 to 8 distinct categories, else INVALID_MEDIA_CATEGORIES."""
+def set_corrections(corrections: DataFrame, media: DataFrame, ids: DataFrame, categories: list[str] | None, model: str | None = None, mode: str | None = None) -> DataFrame:
+    """Upsert by digest; None deletes. 1 to 8 distinct categories, else INVALID_MEDIA_CATEGORIES.
+
+    With a model, corrections teach: they have the embedding of the digest's first row (by id), its model and its mode."""
     if categories is not None and not (1 <= len(categories) <= 8 and len(set(categories)) == len(categories)):
         raise ValueError("INVALID_MEDIA_CATEGORIES")
-    chosen = media.join(ids, "id", "left_semi").select("digest").distinct()
-    kept = corrections.join(chosen, "digest", "left_anti").select("digest", "categories")
+    rows = media.join(ids, "id", "left_semi")
+    chosen = rows.select("digest").distinct()
+    taught = [] if model is None else ["embedding", "model", "mode"]
+    if taught:
+        chosen = rows.groupBy("digest").agg(F.min_by("embedding", "id").alias("embedding")).withColumns({"model": F.lit(model), "mode": F.lit(mode)})
+    kept = corrections.join(chosen, "digest", "left_anti").select("digest", "categories", *taught)
     return kept if categories is None else kept.unionByName(chosen.withColumn("categories", F.array(*map(F.lit, categories))))
 
 

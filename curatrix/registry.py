@@ -181,6 +181,8 @@ simple("u5_set_protection_drifted", "media", lambda v: _guarded(v, True), "SELEC
 simple("u5_set_protection", "media", lambda v: media.set_protection(v.where("protected").select("digest").distinct(), v, v.where("label = 1").select("id"), True), "SELECT DISTINCT digest FROM media WHERE protected OR label = 1")
 simple("u6_set_corrections", "media", lambda v: media.set_corrections(v.where("label = 0").select("digest", F.array(F.lit("people")).alias("categories")).distinct(), v, v.where("id % 3 = 0").select("id"), ["memes", "other"]).select("digest", F.array_join("categories", ",").alias("categories")),
        "SELECT DISTINCT digest, 'people' AS categories FROM media WHERE label = 0 AND digest NOT IN (SELECT digest FROM media WHERE id % 3 = 0) UNION ALL SELECT DISTINCT digest, 'memes,other' FROM media WHERE id % 3 = 0")
+simple("u6_set_corrections_taught", "media", lambda v: media.set_corrections(v.where("label = 0").groupBy("digest").agg(F.min_by("embedding", "id").alias("embedding")).withColumns({"categories": F.array(F.lit("people")), "model": F.lit("old"), "mode": F.lit("fast")}), v, v.where("id % 3 = 0").select("id"), ["memes", "other"], "new", "thorough").select("digest", F.array_join("categories", ",").alias("categories"), F.round(F.col("embedding")[0], 5).alias("first"), "model", "mode"),
+       "SELECT digest, 'people' AS categories, round(arg_min(embedding, id)[1], 5) AS first, 'old' AS model, 'fast' AS mode FROM media WHERE label = 0 AND digest NOT IN (SELECT digest FROM media WHERE id % 3 = 0) GROUP BY digest UNION ALL SELECT digest, 'memes,other', round(arg_min(embedding, id)[1], 5), 'new', 'thorough' FROM media WHERE id % 3 = 0 GROUP BY digest")
 simple("u7_clear_corrections", "media", lambda v: media.clear_corrections(v.withColumns({"baseline": F.struct(F.array("category").alias("categories"), F.col("uncertain").alias("uncertain")), "categories": F.array(F.lit("people"))})).select("id", F.col("categories")[0].alias("category"), "uncertain", "corrected", "protected"),
        "SELECT id, category, uncertain, false AS corrected, protected FROM media")
 
