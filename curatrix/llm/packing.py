@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 _ODD_SPACE = re.compile(r"\s \s|\s \Z")
 # The pattern by which the byte-level tokenizer splits texts (a fixed value).
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHED = 50_000
+_CACHED = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -119,7 +119,8 @@ def token_pieces(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | No
     """The pieces of each document: its ids and one end mark, cut into pieces of `sequence` ids, of which the first may be shorter."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(_vocabulary(vocabulary)).encode
+        held = encoder(_vocabulary(vocabulary))
+        encode = held.encode
         end = np.array([EOS], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -131,6 +132,7 @@ def token_pieces(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | No
                     rows.append((i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        held.words.clear()  # the worker may go on to other tasks
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(pieces), PIECES)
 
