@@ -159,6 +159,29 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, np.searchsorted(starts, off), starts, ends
 
 
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of UTF-8 bytes with A-Z lower-cased and one space after each word, the words' first bytes and ends therein, and where each row's words start."""
+    low = _LOWER[data]
+    word = ~_IS_SPACE[low]
+    n = len(data)
+    if not n:
+        return low, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    cuts = np.zeros(n + 1, bool)
+    cuts[off] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | cuts[1:-1]
+    starts = np.flatnonzero(first)
+    # A word's bytes move by the number of words before it, each with its one space, less the white space before it.
+    rank = np.cumsum(first)
+    kept = np.flatnonzero(word)
+    to = np.arange(len(kept)) + rank[kept] - 1
+    out = np.full(len(kept) + len(starts), 0x20, np.uint8)
+    out[to] = low[kept]
+    begin = to[first[kept]]
+    end = np.append(begin[1:] - 1, len(out) - 1) if len(starts) else begin
+    return out, begin, end, np.searchsorted(starts, off)
+
+
 SHINGLE = 5
 _LANES = [np.uint64(pow(BASE, 3 * k + 2, 1 << 64)) for k in range(SHINGLE)]
 
