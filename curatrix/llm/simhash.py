@@ -11,7 +11,7 @@ comparing about half of the bits.
 
 Only distinct fingerprints meet, one row each. A bucket of more than BUCKET of them is covered again: the positions that its
 table leaves open get vectors of their own, and by the same argument every pair within the radius meets in one of the finer
-tables. The open positions shrink by more than half each time, so that after three rounds no more fingerprints exist than a bucket
+tables. The open positions shrink by more than half each time, so that after three rounds (six open positions) no more fingerprints exist than a bucket
 may hold. So no bucket is left out, none is compared as a whole beyond BUCKET, and the result is exact.
 
 Rows: a null text counts as empty, and texts without words have the fingerprint zero, linked like any other. Repeated rows
@@ -120,7 +120,7 @@ def _dealt(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
 def near_links(prints: DataFrame, most: int = BUCKET) -> DataFrame:
     """All pairs a < b of the distinct values of prints (fingerprint) that differ in at most RADIUS bits."""
     if most < 32:
-        raise ValueError("three rounds leave up to five positions open, so a bucket must hold 32 fingerprints")
+        raise ValueError("a bucket must hold 32 fingerprints at least: covering few open positions again doesn't part them")
     rows = prints.select(F.lit(0).alias("table"), "fingerprint")
     fixed, out = [0], None
     while True:
