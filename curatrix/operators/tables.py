@@ -5,17 +5,36 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a written table in spark.checkpoint.dir. Where that is unset: in local mode in a folder of this machine; on a cluster, an error."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder name in spark.checkpoint.dir. Where that is unset: in local mode in a folder of this machine; on a cluster, an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
-    where = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df as a written table."""
+    where = new_folder(df.sparkSession)
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+class Grown:
+    """A table that a loop adds to, and reads as far as it is."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.where = spark, new_folder(spark)
+        self.schema = spark.createDataFrame([], schema).schema
+        self.add(spark.createDataFrame([], self.schema))
+
+    def add(self, df: DataFrame) -> None:
+        df.select(self.schema.names).write.mode("append").parquet(self.where)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.where)

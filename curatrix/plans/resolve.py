@@ -1,31 +1,21 @@
-"""Plans: targets, conflicts, duplicates, backups.
+"""Plans: organization of an inbox, transfers, media, with targets, conflicts, duplicates and backups.
 
-Items are resolved in order, since each sees what earlier ones took. They only meet through equal contents and through
-names of one suffix family, so connected components of those are resolved on their own; an item that meets nothing is
-resolved without grouping, and so is a family whose items all want one target and share no contents: there the order is a
-rank, and the k-th that finds the target taken gets the k-th free name."""
+How items that want the same names or have the same contents are told apart is in waves.py."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.names import Preset, name_error, render_name
-from curatrix.functions.scalars import extension, file_name, parent, path_key, stem
+from curatrix.functions.scalars import ancestors, depth, file_name, local_day, path_key
+from curatrix.operators.browse import collapse_roots
 from curatrix.operators.rules import DateRule, assign_presets, match_rules, plan_counter
 from curatrix.operators.tables import materialized
+from curatrix.plans.waves import ACTIONS, KEEPS, apply_resolutions, available_names, folder_of, resolve_items
 
-ACTIONS = ("skip", "keep-existing", "keep-both", "keep-incoming", "replace-existing")
-_SUFFIX = r" \([0-9]+\)$"
-
-
-def family(path: Column) -> Column:
-    """What a path shares with its suffixed variants."""
-    base = F.regexp_replace(stem(path), _SUFFIX, "")
-    return F.lower(F.concat_ws("/", parent(path), F.concat_ws("|", base, extension(path))))
+__all__ = ["ACTIONS", "apply_resolutions", "available_names", "destination_conflicts", "resolve_items"]
+POLICIES = ("skip", "keep-both", "replace")
 
 
 def destination_conflicts(items: DataFrame, library: DataFrame) -> DataFrame:
@@ -36,165 +26,6 @@ def destination_conflicts(items: DataFrame, library: DataFrame) -> DataFrame:
     return out.withColumn("conflict", F.col("_there").isNotNull() | (F.col("seq") > first)).drop("_key", "_there")
 
 
-def apply_resolutions(items: DataFrame, overrides: DataFrame, policy: str, duplicate_action: str) -> DataFrame:
-    """Policy and duplicate action of each item: its own override (source, policy, duplicate_action) or the batch's."""
-    o = overrides.select(F.col("source"), F.col("policy").alias("_p"), F.col("duplicate_action").alias("_d"))
-    out = items.join(o, "source", "left").withColumns({"policy": F.coalesce("_p", F.lit(policy)), "duplicate_action": F.coalesce("_d", F.lit(duplicate_action))}).drop("_p", "_d")
-    return out.withColumn("error", F.when(~F.col("duplicate_action").isin(*ACTIONS), "INVALID_TRANSFER"))
-
-
-def available_names(requests: DataFrame, taken: DataFrame) -> DataFrame:
-    """requests (target, seq): the k-th request of a target gets its k-th free suffixed name, from 1.
-
-    Of a family's used numbers in order, the i-th has u - i free ones below it; so the k-th free number is k and as many
-    more as there are used ones with fewer than k free below, which a running count over both in order gives."""
-    numbers = taken.select(family(F.col("path")).alias("_f"), F.regexp_extract(stem(F.col("path")), r" \(([0-9]+)\)$", 1).alias("_n")).where("_n <> ''")
-    used = numbers.select("_f", F.expr("try_cast(_n AS long)").alias("_u")).where("_u between 1 and 100000").distinct()
-    used = used.withColumn("_at", F.col("_u") - F.row_number().over(Window.partitionBy("_f").orderBy("_u")))
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("seq"))
-    rows = requests.select("target", "seq", rank.alias("_k"), family(F.col("target")).alias("_f"))
-    asked = rows.select("_f", (F.col("_k") - 1).cast("long").alias("_at"), F.lit(1).alias("_ask"), "target", "seq", "_k")
-    both = asked.unionByName(used.join(rows.select("_f").distinct(), "_f", "left_semi").select("_f", F.col("_at").cast("long"), F.lit(0).alias("_ask")), allowMissingColumns=True)
-    before = F.sum(1 - F.col("_ask")).over(Window.partitionBy("_f").orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumn("_number", F.col("_k") + before).where("_ask = 1")
-    number = F.col("_number")
-    ext = F.regexp_extract(file_name(F.col("target")), r"^.+(\.[^.]*)$", 1)
-    name = F.concat(parent(F.col("target")), F.lit("/"), stem(F.col("target")), F.lit(" ("), number.cast("string"), F.lit(")"), ext)
-    return rows.select("target", "seq", F.when(number < 100_000, name).alias("available"), F.when(number >= 100_000, "DESTINATION_EXISTS").alias("error"))
-
-
-def _split(path: str) -> tuple[str, str, str]:
-    folder, _, name = path.rpartition("/")
-    m = re.fullmatch(r"(.+)(\.[^.]*)", name)
-    return folder, *(m.groups() if m else (name, ""))
-
-
-def resolve_in_order(items: list[dict], taken: dict[str, tuple[str, str]], recovery_dir: str = ".recovery") -> list[dict]:
-    """items (seq, source, destination, digest, policy, duplicate_action) in order; taken: path key -> (path, digest) of the library."""
-    by_digest: dict[str, list[str]] = {}
-    for key in sorted(taken):
-        by_digest.setdefault(taken[key][1], []).append(taken[key][0])
-    incoming = {i["source"].lower() for i in items}
-    reserved, retired, planned, out = set(), set(), {}, []
-
-    def row(i: dict, **more) -> dict:
-        return {"seq": i["seq"], "source": i["source"], "destination": i["destination"], "action": "move", "backup": False, "conflict": False, "error": None} | more
-
-    for i in items:
-        target, policy, what = i["destination"], i["policy"], i["duplicate_action"]
-        own = [p for p in by_digest.get(i["digest"], []) if p.lower() not in retired and p.lower() not in incoming]
-        mine = planned.get(i["digest"], [])
-        conflict = target.lower() in taken or target.lower() in reserved
-        action, error, backups = "move", None, []
-        if what not in ACTIONS:
-            error = "INVALID_TRANSFER"
-        elif own or mine:
-            if what in ("skip", "keep-existing"):
-                action = "skip"
-            elif what == "keep-both":
-                policy = "keep-both"
-            elif mine:
-                error = "DUPLICATE_ACTION_UNAVAILABLE"
-            elif what == "replace-existing":
-                target = own[0]
-                backups.append(target)
-            else:
-                backups += own
-        if error is None and action != "skip" and (target.lower() in taken or target.lower() in reserved) and target not in backups:
-            if policy == "skip":
-                action = "skip"
-            elif policy == "keep-both":
-                folder, base, ext = _split(target)
-                free = (f"{folder}/{base} ({n}){ext}" for n in range(1, 100_000))
-                target = next((t for t in free if t.lower() not in taken and t.lower() not in reserved), target)
-                error = "DESTINATION_EXISTS" if target == i["destination"] else None
-            elif target.lower() in reserved:
-                error = "TARGET_RESERVED"
-            else:
-                backups.append(target)
-        if error is None and action != "skip":
-            for p in sorted(set(backups)):
-                if p.lower() not in retired:
-                    retired.add(p.lower())
-                    out.append(row(i, source=p, destination=f"{p.rpartition('/')[0]}/{recovery_dir}/{i['seq']}-{p.rpartition('/')[2]}", backup=True))
-            reserved.add(target.lower())
-            planned.setdefault(i["digest"], []).append(target)
-        out.append(row(i, destination=target, action=action, conflict=conflict, error=error))
-    return out
-
-
-PLAN = "seq long, source string, destination string, action string, backup boolean, conflict boolean, error string"
-
-
-def _components(links: DataFrame) -> DataFrame:
-    """node, component of links (a, b), by minimum labels over tables."""
-    edges = materialized(links.union(links.select("b", "a")).distinct().toDF("a", "b"))
-    labels = materialized(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    while True:
-        near = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        up = labels.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        new = materialized(labels.join(up, "label", "left").join(near, "a").select("a", F.least("label", "next", "near").alias("label"), (F.least("label", "next", "near") < F.col("label")).alias("moved")))
-        labels = new.select("a", "label")
-        if new.where("moved").isEmpty():
-            return labels.toDF("node", "component")
-
-
-def _one_target(items: DataFrame, lib: DataFrame) -> DataFrame:
-    """The plan of families in which all items want the same target by the same policy (skip or keep-both) and no contents are shared."""
-    taken = lib.select(path_key(F.col("path")).alias("_key")).distinct().withColumn("_there", F.lit(True))
-    placed = plan_counter(items.withColumn("_key", path_key(F.col("destination"))), ["_key", "seq"], "_at")
-    first = placed.groupBy("_key").agg(F.min("_at").alias("_first"))
-    rows = materialized(placed.join(first, "_key").join(taken, "_key", "left").withColumn("conflict", F.col("_there").isNotNull() | (F.col("_at") > F.col("_first"))))
-    both = F.col("policy") == "keep-both"
-    free = available_names(rows.where(F.col("conflict") & both).select(F.col("destination").alias("target"), "seq"), lib)
-    rows = rows.join(free.select("seq", "available", F.col("error").alias("_why")), "seq", "left")
-    return rows.select("seq", "source", F.coalesce("available", "destination").alias("destination"), F.when(F.col("conflict") & ~both, "skip").otherwise("move").alias("action"), F.lit(False).alias("backup"), "conflict", F.col("_why").alias("error"))
-
-
-def resolve_items(items: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None) -> DataFrame:
-    """items (seq, source, destination, digest) resolved against the library (path, digest), in order of seq."""
-    spark = items.sparkSession
-    empty = spark.createDataFrame([], "source string, policy string, duplicate_action string")
-    items = materialized(apply_resolutions(items, overrides if overrides is not None else empty, policy, duplicate_action).drop("error"))
-    lib = library.select("path", "digest")
-    # What an item meets: its digest, its target's family, and what lies at places it may take.
-    touch = items.select("seq", F.explode(F.array(F.concat(F.lit("d:"), "digest"), F.concat(F.lit("f:"), family(F.col("destination"))))).alias("k"))
-    used = lib.select("path", "digest", F.explode(F.array(F.concat(F.lit("d:"), "digest"), F.concat(F.lit("f:"), family(F.col("path"))))).alias("k"))
-    keys = touch.select("k").distinct()
-    met = materialized(used.join(keys, "k", "left_semi"))
-    alone = touch.groupBy("k").agg(F.count_distinct("seq").alias("n")).join(met.select("k").distinct().withColumn("_lib", F.lit(True)), "k", "left")
-    busy = alone.where((F.col("n") > 1) | F.col("_lib").isNotNull()).select("k")
-    linked = materialized(touch.join(busy, "k", "left_semi"))
-    # Families that a rank resolves.
-    shares = linked.where(F.col("k").startswith("d:")).select("seq").distinct().withColumn("_d", F.lit(True))
-    fam = items.join(linked.where(F.col("k").startswith("f:")).select("seq", "k"), "seq").join(shares, "seq", "left")
-    plain = F.col("policy").isin("skip", "keep-both") & F.col("duplicate_action").isin(*ACTIONS) & F.col("_d").isNull()
-    wants = F.concat_ws("\n", path_key(F.col("destination")), "policy")
-    even = fam.groupBy("k").agg(F.bool_and(plain).alias("_plain"), F.min(wants).alias("_lo"), F.max(wants).alias("_hi")).where("_plain and _lo = _hi").select("k")
-    replaced = met.where(F.col("k").startswith("d:")).select("path").distinct()  # a library file that another item may replace
-    even = even.join(met.join(replaced, "path", "left_semi").select("k").distinct(), "k", "left_anti")
-    ranked = materialized(fam.join(even, "k", "left_semi").select(items.columns))
-    linked = materialized(linked.join(ranked.select("seq"), "seq", "left_anti"))
-    met = materialized(met.join(even, "k", "left_anti"))
-    free = items.join(linked.select("seq").union(ranked.select("seq")).distinct(), "seq", "left_anti")
-    quick = free.select("seq", "source", "destination", F.lit("move").alias("action"), F.lit(False).alias("backup"), F.lit(False).alias("conflict"), F.lit(None).cast("string").alias("error"))
-    # Keys that one item or one library file has together belong together.
-    pair = linked.groupBy("seq").agg(F.min("k").alias("a")).join(linked, "seq").select("a", F.col("k").alias("b"))
-    held = met.groupBy("path").agg(F.min("k").alias("a")).join(met, "path").select("a", F.col("k").alias("b"))
-    comp = _components(pair.union(held))
-    a = items.join(linked.join(comp, linked["k"] == comp["node"]).select("seq", "component").distinct(), "seq").select("component", F.lit(False).alias("lib"), "seq", "source", "destination", "digest", "policy", "duplicate_action")
-    b = met.join(comp, met["k"] == comp["node"]).select("component", F.lit(True).alias("lib"), F.lit(None).cast("long").alias("seq"), F.col("path").alias("source"), F.lit(None).cast("string").alias("destination"), "digest", F.lit(None).cast("string").alias("policy"), F.lit(None).cast("string").alias("duplicate_action")).distinct()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lib, own = pdf[pdf["lib"]], pdf[~pdf["lib"]].astype({"seq": "int64"}).sort_values("seq")
-        taken = {p.lower(): (p, d) for p, d in zip(lib["source"], lib["digest"], strict=True)}
-        rows = resolve_in_order(own.to_dict("records"), taken)
-        return pd.DataFrame(rows, columns=["seq", "source", "destination", "action", "backup", "conflict", "error"])
-
-    quick = quick.unionByName(_one_target(ranked, lib))
-    return quick.unionByName(a.unionByName(b).groupBy("component").applyInPandas(run, PLAN))
-
-
 def named_targets(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None) -> DataFrame:
     """Matched files with counter, new name and destination. The names are written as a table: what follows reads each of them several times."""
     matched = assign_presets(match_rules(inbox, rules), rule_presets, default_id).where("status = 'matched'")
@@ -211,28 +42,30 @@ def named_targets(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Pr
 
 def _resolved(items: DataFrame, library: DataFrame, policy: str, duplicate_action: str, overrides: DataFrame | None) -> DataFrame:
     """resolve_items where digests may be unknown (null, or no column): such contents equal no other's."""
-    digest = lambda df, other: F.coalesce(F.col("digest").cast("string"), other) if "digest" in df.columns else other
-    own = items.select(F.col("seq").cast("long").alias("seq"), "source", "destination", digest(items, F.concat(F.lit("?"), F.col("seq").cast("string"))).alias("digest"))
-    return resolve_items(own, library.select("path", digest(library, F.lit("?library")).alias("digest")), policy, duplicate_action, overrides)
+    digest = lambda df: (F.col("digest") if "digest" in df.columns else F.lit(None)).cast("string").alias("digest")
+    return resolve_items(items.select(F.col("seq").cast("long").alias("seq"), "source", "destination", digest(items)), library.select("path", digest(library)), policy, duplicate_action, overrides)
 
 
-def plan_organization(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
+def plan_organization(inbox: DataFrame, rules: list[DateRule], presets: dict[str, Preset], rule_presets: dict[str, str], default_id: str | None, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None) -> DataFrame:
     """inbox (path, size, digest, dates): where each matched file goes, by plan_named."""
     return plan_named(named_targets(inbox, rules, presets, rule_presets, default_id), library, policy, duplicate_action, overrides)
 
 
-def plan_named(named: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
-    """named (of named_targets): a plan row per file.
+def plan_named(named: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None) -> DataFrame:
+    """named (of named_targets): a plan row per file, and the backups that its replacements need, told by `backup`.
 
-    The skip policy alone looks at names only, without grouping into tasks. With another policy, a duplicate action or
-    overrides, contents count too and items are resolved in order (resolve_items); there are backup rows then, told by `backup`."""
+    Contents always count: a file whose digest the library or an earlier item has is a duplicate, whatever its name is."""
     items = named.select(F.col("counter").cast("long").alias("seq"), F.col("path").alias("source"), F.col("destination_path").alias("destination"), "digest", "size", "rule_id", "new_name", "name_error")
-    if policy != "skip" or duplicate_action is not None or overrides is not None:
-        done = _resolved(items, library, policy, duplicate_action or "skip", overrides)
-        told = items.select(F.col("seq"), F.col("size").alias("_size"), F.col("rule_id").alias("_rule"), F.col("name_error").alias("_wrong"))
-        return done.join(told, "seq").select("seq", "source", "destination", F.col("_size").alias("size"), F.col("_rule").alias("rule_id"), "action", "backup", "conflict", F.coalesce("_wrong", "error").alias("error"))
-    checked = destination_conflicts(items, library)
-    return checked.select("seq", "source", "destination", "size", "rule_id", F.when(F.col("conflict") & F.lit(policy == "skip"), "skip").otherwise("move").alias("action"), "conflict", F.col("name_error").alias("error"))
+    done = _resolved(items, library, policy, duplicate_action, overrides)
+    told = items.select(F.col("seq"), F.col("size").alias("_size"), F.col("rule_id").alias("_rule"), F.col("name_error").alias("_wrong"))
+    return done.join(told, "seq").select("seq", "source", "destination", F.col("_size").alias("size"), F.col("_rule").alias("rule_id"), "action", "backup", "conflict", F.coalesce("_wrong", "error").alias("error"))
+
+
+def plan_header(matched: DataFrame) -> DataFrame:
+    """matched (of match_rules): how many files a plan of it has, how many no rule takes, and NO_MATCHED_FILES where it has none."""
+    hit = F.col("status") == "matched"
+    counts = matched.agg(F.count_if(hit).alias("items"), F.count_if(F.coalesce(~hit, F.lit(True))).alias("unmatched"))
+    return counts.withColumn("error", F.when(F.col("items") == 0, "NO_MATCHED_FILES"))
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
@@ -245,41 +78,66 @@ def organization_totals(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count_if(moves).alias("moves"), F.coalesce(F.sum(F.when(moves, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(F.col("action") == "skip").alias("kept"), F.count_if("conflict").alias("conflicts"))
 
 
-def plan_transfer(tree: DataFrame, sources: DataFrame, destination: str, mode: str = "move", policy: str = "skip", library: DataFrame | None = None) -> DataFrame:
+def _folder_places(tree: DataFrame, sources: DataFrame, destination: str, policy: str, library: DataFrame | None) -> DataFrame:
+    """root, _key, place and _held of each selected source that is in no other one: where it goes, or why it doesn't."""
+    top = collapse_roots(sources.select(F.col("path").alias("root"))).select("root", path_key(F.col("root")).alias("_key"), F.concat(F.lit(destination.rstrip("/") + "/"), file_name(F.col("root"))).alias("place"))
+    none = F.lit(None).cast("string")
+    if library is None:
+        return top.withColumn("_held", none)
+    folders = tree.where("is_dir").select(path_key(F.col("path")).alias("_key")).distinct()
+    asked = plan_counter(top.join(folders, "_key", "left_semi").select("_key", "root", "place"), "root", "seq")
+    held = destination_conflicts(asked.drop("_key").withColumn("destination", F.col("place")), library).where("conflict").select(path_key(F.col("root")).alias("_key"), "seq", F.col("place").alias("target"))
+    if policy == "keep-both":
+        free = held.join(available_names(held.select("target", "seq"), library.select("path").union(asked.select("place"))), ["target", "seq"]).select("_key", F.col("available").alias("_new"), F.col("error").alias("_why"))
+    else:
+        free = held.select("_key", none.alias("_new"), F.lit("skip" if policy == "skip" else "FOLDER_CONFLICT").alias("_why"))
+    return top.join(free, "_key", "left").select("root", "_key", F.coalesce("_new", "place").alias("place"), F.col("_why").alias("_held"))
+
+
+def plan_transfer(tree: DataFrame, sources: DataFrame, destination: str, mode: str = "move", policy: str = "skip", library: DataFrame | None = None, preset: Preset | None = None, period: str = "") -> DataFrame:
     """tree (path, is_dir): steps for the selected sources: folders made parents first, files, emptied folders removed children first.
 
     Sources inside another selected one go; INVALID steps are marked: FOLDER_INTO_ITSELF, SAME_DESTINATION. A folder whose target
     is in the library (path) or claimed by a source before it is skipped with all it holds, gets a free suffix (keep-both), or
-    is a FOLDER_CONFLICT (replace). Files' conflicts are for resolve_items."""
-    from curatrix.functions.scalars import ancestors, depth
-    from curatrix.operators.browse import collapse_roots
-
-    top = collapse_roots(sources.select(F.col("path").alias("root"))).select("root", path_key(F.col("root")).alias("_key"), F.concat(F.lit(destination.rstrip("/") + "/"), file_name(F.col("root"))).alias("place"))
-    top = top.withColumns({"_held": F.lit(None).cast("string")})
-    if library is not None:
-        folders = tree.where("is_dir").select(path_key(F.col("path")).alias("_key")).distinct()
-        asked = plan_counter(top.join(folders, "_key", "left_semi").select("_key", "root", "place"), "root", "seq")
-        held = destination_conflicts(asked.drop("_key").withColumn("destination", F.col("place")), library).where("conflict").select(path_key(F.col("root")).alias("_key"), "seq", F.col("place").alias("target"))
-        if policy == "keep-both":
-            taken = library.select("path").union(asked.select("place"))
-            free = held.join(available_names(held.select("target", "seq"), taken), ["target", "seq"]).select("_key", F.col("available").alias("_new"), F.col("error").alias("_why"))
-        else:
-            free = held.select("_key", F.lit(None).cast("string").alias("_new"), F.lit("skip" if policy == "skip" else "FOLDER_CONFLICT").alias("_why"))
-        top = top.drop("_held").join(free, "_key", "left").select("root", "_key", F.coalesce("_new", "place").alias("place"), F.col("_why").alias("_held"))
-    within = tree.select("path", "is_dir", F.explode(ancestors(path_key(F.col("path")))).alias("_key")).join(top, "_key")
-    rows = within.withColumn("target", F.concat("place", F.substring(F.col("path"), F.length("root") + 1, F.length("path"))))
-    error = F.when(F.col("is_dir") & F.lit(destination.lower() + "/").startswith(F.concat(F.lower("root"), F.lit("/"))), "FOLDER_INTO_ITSELF").when(path_key(F.col("target")) == path_key(F.col("path")), "SAME_DESTINATION").when(F.col("_held") != "skip", F.col("_held"))
-    rows = rows.withColumn("error", error)
-    skipped = rows.where("_held = 'skip' and error is null").select(F.lit(3).alias("phase"), F.lit(0).alias("order"), "path", "target", F.lit("skip").alias("action"), "error")
-    rows = rows.where("_held is null or _held <> 'skip' or error is not null")
-    made = rows.where("is_dir").select(F.lit(0).alias("phase"), depth(F.col("path")).alias("order"), "path", "target", F.lit("mkdir").alias("action"), "error")
-    files = rows.where("not is_dir").select(F.lit(1).alias("phase"), F.lit(0).alias("order"), "path", "target", F.lit(mode).alias("action"), "error")
-    steps = made.unionByName(files)
+    is a FOLDER_CONFLICT (replace). With a preset each file gets a new name from its own name, `period`, the day of tree's modified_at
+    (none: INVALID_DATE) and its place among the files in order of path. Files' conflicts are for resolve_transfer."""
+    top = _folder_places(tree, sources, destination, policy, library)
+    kept = ["path", "is_dir", *(["modified_at"] if preset else [])]
+    within = tree.select(*kept, F.explode(ancestors(path_key(F.col("path")))).alias("_key")).join(top, "_key")
+    rows = within.withColumn("target", F.concat("place", F.substring(F.col("path"), F.length("root") + 1, F.length("path")))).withColumn("_wrong", F.lit(None).cast("string"))
+    if preset:
+        files = plan_counter(rows.where("not is_dir and _held is null"), "path")
+        name = render_name(preset, file_name(F.col("path")), F.lit(period), local_day(F.col("modified_at")), F.col("counter"))
+        files = materialized(files.withColumn("_name", name))
+        wrong = F.when(F.col("modified_at").isNull(), "INVALID_DATE").otherwise(name_error(F.col("_name")))
+        files = files.withColumns({"target": F.concat(folder_of(F.col("target")), F.coalesce("_name", file_name(F.col("target")))), "_wrong": wrong}).drop("_name", "counter")
+        rows = rows.where("is_dir or _held is not null").unionByName(files)
+    same = F.col("target") == F.col("path") if preset else path_key(F.col("target")) == path_key(F.col("path"))
+    error = F.when(F.col("is_dir") & F.lit(destination.lower() + "/").startswith(F.concat(F.lower("root"), F.lit("/"))), "FOLDER_INTO_ITSELF").when(same, "SAME_DESTINATION").when(F.col("_held") != "skip", F.col("_held"))
+    rows = rows.withColumn("error", F.coalesce(error, "_wrong"))
+    step = lambda df, phase, order, action: df.select(F.lit(phase).alias("phase"), order.alias("order"), "path", "target", F.lit(action).alias("action"), "error")
+    zero, level = F.lit(0), depth(F.col("path"))
+    held = (F.col("_held") == "skip") & F.col("error").isNull()
+    skipped = step(rows.where(held), 3, zero, "skip")
+    rows = rows.where(F.coalesce(~held, F.lit(True)))
+    steps = step(rows.where("is_dir"), 0, level, "mkdir").unionByName(step(rows.where("not is_dir"), 1, zero, mode))
     if mode == "move":
-        steps = steps.unionByName(rows.where("is_dir").select(F.lit(2).alias("phase"), (-depth(F.col("path"))).alias("order"), "path", "target", F.lit("rmdir").alias("action"), "error"))
+        steps = steps.unionByName(step(rows.where("is_dir"), 2, -level, "rmdir"))
     return steps.unionByName(skipped)
 
 
+def resolve_transfer(steps: DataFrame, files: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None) -> DataFrame:
+    """steps (of plan_transfer) with their files resolved against the library: files (path, digest) in order of path. Backups come with
+    the files' phase. Steps with an error stay as they are."""
+    own = steps.where("phase = 1 and error is null")
+    items = materialized(plan_counter(own.select(F.col("path").alias("source"), F.col("target").alias("destination"), F.col("action").alias("_mode")).join(files.select(F.col("path").alias("source"), "digest"), "source", "left"), "source", "seq"))
+    plan = _resolved(items, library, policy, duplicate_action, overrides).join(items.select("seq", "_mode"), "seq")
+    goes = (F.col("action") == "move") & ~F.col("backup")
+    done = plan.select(F.lit(1).alias("phase"), F.lit(0).alias("order"), F.col("source").alias("path"), F.col("destination").alias("target"), F.when(goes, F.col("_mode")).otherwise(F.col("action")).alias("action"), "error", "backup", "conflict")
+    rest = steps.where("phase <> 1 or error is not null").select("*", F.lit(False).alias("backup"), F.col("phase").eqNullSafe(3).alias("conflict"))
+    return rest.unionByName(done)
+
+
 def plan_media_removal(media: DataFrame, ids: DataFrame, most: int = 1000) -> DataFrame:
     """A backup move per selected row; the whole batch is MEDIA_PROTECTED if one of it is."""
     chosen = media.join(ids, "id", "left_semi")
@@ -288,12 +146,35 @@ def plan_media_removal(media: DataFrame, ids: DataFrame, most: int = 1000) -> Da
     return chosen.join(F.broadcast(state)).select("id", "path", F.lit("move").alias("action"), F.lit(True).alias("backup"), error.alias("error"))  # one row of state
 
 
-def plan_media_transfer(media: DataFrame, ids: DataFrame, destination: str, library: DataFrame, policy: str = "skip", duplicate_action: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
-    """Where the selected media go; what is looked at and the backup rows are as in plan_organization."""
-    if policy not in ("skip", "keep-both"):
+def check_selection(ids: DataFrame, most: int = 1000) -> DataFrame:
+    """INVALID_SELECTION where the ids are none, more than `most`, or repeated; one row."""
+    counts = ids.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("id").alias("_d"))
+    return counts.select(F.when(~F.col("_n").between(1, most) | (F.col("_n") != F.col("_d")), "INVALID_SELECTION").alias("error"))
+
+
+def plan_media_transfer(media: DataFrame, ids: DataFrame, destination: str, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None, mode: str = "move", most: int = 1_000_000) -> DataFrame:
+    """Where the selected media go, or what is copied there: seq (the id), source, destination, action, backup, conflict, error.
+
+    Names stay. Copies in the library or among the media may be skipped or kept, never replaced: a batch with such an action, its own
+    or one of its overrides', or with an override for no selected path, is INVALID_TRANSFER as a whole, as a selection of more than
+    `most` rows or one with repeats is INVALID_SELECTION. A medium that is in the folder already is SAME_DESTINATION."""
+    if policy not in POLICIES or mode not in ("move", "copy") or duplicate_action not in (*KEEPS, "keep-both"):
         raise ValueError("INVALID_TRANSFER")
-    chosen = media.join(ids, "id", "left_semi").withColumns({"seq": F.col("id"), "source": F.col("path"), "destination": F.concat(F.lit(destination + "/"), file_name(F.col("path")))})
-    if policy != "skip" or duplicate_action is not None or overrides is not None:
-        return _resolved(chosen, library, policy, duplicate_action or "skip", overrides)
-    chosen = chosen.select("seq", "source", "destination")
-    return destination_conflicts(chosen, library).withColumn("action", F.when(F.col("conflict") & F.lit(policy == "skip"), "skip").otherwise("move"))
+    chosen = media.join(ids, "id", "left_semi").withColumns({"seq": F.col("id").cast("long"), "source": F.col("path"), "destination": F.concat(F.lit(destination.rstrip("/") + "/"), file_name(F.col("path")))})
+    plan = _resolved(chosen, library, policy, duplicate_action, overrides)
+    refused = check_selection(ids, most).select(F.col("error").alias("_refused"))
+    if overrides is not None:
+        safe = F.coalesce(F.col("duplicate_action").isin(*KEEPS, "keep-both"), F.lit(True))
+        odd = overrides.join(chosen.select("source", F.lit(True).alias("_own")), "source", "left").where(~safe | F.col("_own").isNull())
+        refused = refused.crossJoin(odd.agg((F.count(F.lit(1)) > 0).alias("_odd"))).select(F.coalesce("_refused", F.when(F.col("_odd"), "INVALID_TRANSFER")).alias("_refused"))  # one row each
+    here = path_key(F.col("destination")) == path_key(F.col("source"))
+    error = F.coalesce("_refused", F.when(here & ~F.col("backup"), "SAME_DESTINATION"), "error")
+    goes = (F.col("action") == "move") & ~F.col("backup")
+    plan = plan.join(F.broadcast(refused)).where(~F.col("backup") | F.col("_refused").isNull())  # one row of refusal
+    return plan.select("seq", "source", "destination", F.when(goes, mode).otherwise(F.col("action")).alias("action"), "backup", "conflict", error.alias("error"))
+
+
+def gallery_after(media: DataFrame, items: DataFrame) -> DataFrame:
+    """The media that are left after a transfer's journal items (source, kind, status): completed moves go, copied media stay."""
+    moved = items.where("status = 'completed' and kind = 'move'").select(path_key(F.col("source")).alias("_key")).distinct()
+    return media.withColumn("_key", path_key(F.col("path"))).join(moved, "_key", "left_anti").drop("_key")

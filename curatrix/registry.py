@@ -214,7 +214,12 @@ def _named(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return named, named.where("id % 2 = 0").select(F.col("destination_path").alias("path"), "digest")
 
 
-@query("b1_plan_organization", f"{NAMED_SQL} SELECT counter AS seq, path AS source, destination || '/' || new_name AS destination, size, rule_id, CASE WHEN id % 2 = 0 THEN 'skip' ELSE 'move' END AS action, id % 2 = 0 AS conflict, NULL::VARCHAR AS error FROM named")
+# Half of the targets are in the library, with the contents of the files that want them; contents are shared by files of one id modulo 900.
+FIRST_SQL = "row_number() OVER (PARTITION BY id % 900 ORDER BY counter) = 1"
+B1_SQL = f"{NAMED_SQL}, b1 AS (SELECT *, {FIRST_SQL} AS leads, destination || '/' || new_name AS target FROM named)"
+
+
+@query("b1_plan_organization", f"{B1_SQL} SELECT counter AS seq, path AS source, target AS destination, size, rule_id, CASE WHEN id % 2 = 1 AND leads THEN 'move' ELSE 'skip' END AS action, false AS backup, id % 2 = 0 AS conflict, NULL::VARCHAR AS error FROM b1")
 def b1(s, d):
     return resolve.plan_named(*_named(s, d))
 
@@ -224,7 +229,13 @@ def b1_keep_both(s, d):
     return resolve.plan_named(*_named(s, d), "keep-both", "keep-both")
 
 
-query("a4_organization_totals", f"{NAMED_SQL} SELECT count(*) FILTER (id % 2 = 1) AS moves, CAST(sum(size) FILTER (id % 2 = 1) AS BIGINT) AS bytes, count(*) FILTER (id % 2 = 0) AS kept, count(*) FILTER (id % 2 = 0) AS conflicts FROM named")(lambda s, d: resolve.organization_totals(b1(s, d)))
+@query("b1_copies", f"{B1_SQL} SELECT counter AS seq, path AS source, target AS destination, size, rule_id, 'move' AS action, false AS backup, id % 2 = 0 AS conflict, CASE WHEN NOT leads THEN 'DUPLICATE_ACTION_UNAVAILABLE' END AS error FROM b1 UNION ALL SELECT l.counter, c.target, c.destination || '/.recovery/' || l.counter || '-' || c.new_name, l.size, l.rule_id, 'move', true, false, NULL FROM b1 l JOIN b1 c ON l.leads AND l.id % 2 = 0 AND c.id % 900 = l.id % 900")
+def b1_copies(s, d):
+    return resolve.plan_named(*_named(s, d), "replace", "keep-incoming")
+
+
+query("b1_plan_header", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT count(*) FILTER (status = 'matched') AS items, count(*) FILTER (status <> 'matched') AS unmatched, NULL::VARCHAR AS error FROM matched")(lambda s, d: resolve.plan_header(rules.match_rules(view(s, d, "inbox"), RULES)))
+query("a4_organization_totals", f"{B1_SQL} SELECT count(*) FILTER (id % 2 = 1 AND leads) AS moves, CAST(sum(size) FILTER (id % 2 = 1 AND leads) AS BIGINT) AS bytes, count(*) FILTER (id % 2 = 0 OR NOT leads) AS kept, count(*) FILTER (id % 2 = 0) AS conflicts FROM b1")(lambda s, d: resolve.organization_totals(b1(s, d)))
 simple("a3_plan_summary", "journal", lambda v: resolve.plan_summary(v.select("source", "destination", F.col("kind").alias("action"), F.when(F.col("entry_kind") == "folder", "mkdir").otherwise("file").alias("kind"), (F.col("status") == "skipped").alias("backup"), (F.col("status") == "failed").alias("conflict"))),
        "SELECT count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS files, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder') AS renamed, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'move') AS move, count(*) FILTER (status <> 'skipped' AND entry_kind <> 'folder' AND kind = 'copy') AS copy, count(*) FILTER (status = 'failed') AS conflicts, count(*) FILTER (status = 'skipped') AS backups, count(*) FILTER (entry_kind = 'folder') AS folders FROM journal")
 
@@ -368,6 +379,33 @@ def b2(s, d):
     return resolve.plan_transfer(t.withColumn("is_dir", F.lit(False)).union(dirs), s.createDataFrame([("/ASIA",), ("/ASIA/NATION_1",)], "path string"), "/new")
 
 
+def _walked(s: SparkSession, d: str) -> DataFrame:
+    t = view(s, d, "tree").select("path", F.lit(False).alias("is_dir"))
+    return t.union(t.select(F.explode(scalars.ancestors(_path(), itself=False)).alias("path")).distinct().withColumn("is_dir", F.lit(True)))
+
+
+# One of two folders is there already.
+_WALK_SQL = "w AS (SELECT path, false AS is_dir, 3 AS level, r_name FROM tree UNION ALL SELECT DISTINCT '/' || r_name || '/' || n_name, true, 2, r_name FROM tree UNION ALL SELECT DISTINCT '/' || r_name, true, 1, r_name FROM tree), x AS (SELECT *, r_name = 'ASIA' AS held FROM w WHERE r_name IN ('ASIA', 'EUROPE'))"
+
+
+def _two_folders(s: SparkSession, d: str, policy: str) -> DataFrame:
+    return resolve.plan_transfer(_walked(s, d), s.createDataFrame([("/ASIA",), ("/EUROPE",)], "path string"), "/new", "copy", policy, s.createDataFrame([("/NEW/asia",), ("/new/ASIA (1)",)], "path string"))
+
+
+query("b2_plan_transfer_skip", f"{with_views('tree')}, {_WALK_SQL} SELECT CASE WHEN held THEN 3 WHEN is_dir THEN 0 ELSE 1 END AS phase, CASE WHEN is_dir AND NOT held THEN level ELSE 0 END AS \"order\", path, '/new' || path AS target, CASE WHEN held THEN 'skip' WHEN is_dir THEN 'mkdir' ELSE 'copy' END AS action, NULL::VARCHAR AS error FROM x")(lambda s, d: _two_folders(s, d, "skip"))
+query("b2_plan_transfer_keep_both", f"{with_views('tree')}, {_WALK_SQL} SELECT CASE WHEN is_dir THEN 0 ELSE 1 END AS phase, CASE WHEN is_dir THEN level ELSE 0 END AS \"order\", path, CASE WHEN held THEN '/new/ASIA (2)' || substr(path, 6) ELSE '/new' || path END AS target, CASE WHEN is_dir THEN 'mkdir' ELSE 'copy' END AS action, NULL::VARCHAR AS error FROM x")(lambda s, d: _two_folders(s, d, "keep-both"))
+
+
+@query("b2_resolve_transfer", f"{with_views('tree')}, {_WALK_SQL}, f AS (SELECT x.*, c_custkey AS k FROM x LEFT JOIN tree USING (path)) SELECT CASE WHEN is_dir THEN 0 ELSE 1 END AS phase, CASE WHEN is_dir THEN level ELSE 0 END AS \"order\", path, CASE WHEN k % 3 = 0 THEN '/new' || regexp_replace(path, '\\.dat$', ' (1).dat') ELSE '/new' || path END AS target, CASE WHEN is_dir THEN 'mkdir' WHEN k % 3 = 1 THEN 'skip' ELSE 'copy' END AS action, NULL::VARCHAR AS error, false AS backup, coalesce(k % 3 = 0, false) AS conflict FROM f")
+def b2_resolved(s, d):
+    """Of the files, a third are in the target folder under their name with other contents, a third elsewhere with the same contents."""
+    steps = resolve.plan_transfer(_walked(s, d), s.createDataFrame([("/ASIA",), ("/EUROPE",)], "path string"), "/new", "copy")
+    files = view(s, d, "tree").select("path", "c_custkey", F.sha2(_path(), 256).alias("digest"))
+    third = F.col("c_custkey") % 3
+    library = files.where(third < 2).select(F.when(third == 0, F.concat(F.lit("/new"), _path())).otherwise(F.concat(F.lit("/else"), _path())).alias("path"), F.when(third == 1, F.col("digest")).otherwise("other").alias("digest"))
+    return resolve.resolve_transfer(steps, files, library, "keep-both")
+
+
 @query("b3_resolve_items", f"{with_views('inbox')}, i AS (SELECT id, '/t/' || id % 700 AS base FROM inbox), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - 1 + CASE WHEN id % 700 % 3 = 0 THEN 1 ELSE 0 END AS n FROM i) SELECT id AS seq, base || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.txt' AS destination, 'move' AS action, n > 0 AS conflict FROM k")
 def b3(s, d):
     v = view(s, d, "inbox")
@@ -377,6 +415,21 @@ def b3(s, d):
     return resolve.resolve_items(items, library, "keep-both").select("seq", "destination", "action", "conflict")
 
 
+# A third of the files share contents only, a third names only, and a third both: of these every fifth is skipped where its contents are there.
+MIXED_SQL = "k AS (SELECT id, id % 3 AS kind, CASE id % 3 WHEN 0 THEN id % 900 WHEN 1 THEN id % 700 ELSE id % 600 END AS g, id % 5 > 0 AS both_kept FROM inbox), r AS (SELECT *, row_number() OVER (PARTITION BY kind, g ORDER BY id) AS place FROM k), n AS (SELECT *, sum(CASE WHEN place > 1 AND both_kept THEN 1 ELSE 0 END) OVER (PARTITION BY kind, g ORDER BY id) AS number, place - CASE WHEN g % 3 = 0 THEN 0 ELSE 1 END AS names FROM r)"
+
+
+@query("b3_mixed", f"{with_views('inbox')}, {MIXED_SQL} SELECT id AS seq, CASE WHEN kind = 0 THEN '/u/' || id WHEN kind = 1 THEN '/n/' || g || CASE WHEN names = 0 THEN '' ELSE ' (' || names || ')' END ELSE '/b/' || g || CASE WHEN place = 1 OR NOT both_kept THEN '' ELSE ' (' || number || ')' END END || '.txt' AS destination, CASE WHEN place > 1 AND (kind = 0 OR kind = 2 AND NOT both_kept) THEN 'skip' ELSE 'move' END AS action, CASE kind WHEN 0 THEN false WHEN 1 THEN names > 0 ELSE place > 1 END AS conflict, NULL::VARCHAR AS error FROM n")
+def b3_mixed(s, d):
+    v, kind = view(s, d, "inbox"), F.col("id") % 3
+    g = F.when(kind == 0, F.col("id") % 900).when(kind == 1, F.col("id") % 700).otherwise(F.col("id") % 600).cast("string")
+    target = F.concat(F.when(kind == 0, F.concat(F.lit("/u/"), F.col("id").cast("string"))).when(kind == 1, F.concat(F.lit("/n/"), g)).otherwise(F.concat(F.lit("/b/"), g)), F.lit(".txt"))
+    items = v.select(F.col("id").alias("seq"), _path().alias("source"), target.alias("destination"), F.when(kind == 1, F.concat(F.lit("own "), F.col("id").cast("string"))).otherwise(F.concat(kind.cast("string"), F.lit(" "), g)).alias("digest"))
+    library = v.where((kind == 1) & (F.col("id") % 700 % 3 == 0)).select(target.alias("path"), F.lit("other").alias("digest")).distinct()
+    over = v.select(_path().alias("source"), F.when(kind == 1, "keep-both").otherwise("skip").alias("policy"), F.when((kind == 2) & (F.col("id") % 5 > 0), "keep-both").otherwise("skip").alias("duplicate_action"))
+    return resolve.resolve_items(items, library, overrides=over).select("seq", "destination", "action", "conflict", "error")
+
+
 simple("b6_plan_media_removal", "media", lambda v: media_removal(v), "SELECT id, path, 'move' AS action, true AS backup, 'MEDIA_PROTECTED' AS error FROM media WHERE label = 3")
 
 
@@ -384,8 +437,25 @@ def media_removal(v: DataFrame) -> DataFrame:
     return resolve.plan_media_removal(v, v.where("label = 3").select("id"), 1_000_000)
 
 
-simple("b6_plan_media_transfer", "media", lambda v: resolve.plan_media_transfer(v, v.where("label = 3").select("id"), "/out", v.where("id % 4 = 0").select(F.concat(F.lit("/OUT/"), "name").alias("path"))), "SELECT id AS seq, path AS source, '/out/' || name AS destination, id % 4 = 0 AS conflict, CASE WHEN id % 4 = 0 THEN 'skip' ELSE 'move' END AS action FROM media WHERE label = 3")
-simple("b6_plan_media_transfer_keep_both", "media", lambda v: resolve.plan_media_transfer(v, v.where("label = 3").select("id"), "/out", v.where("id % 4 = 0").select(F.concat(F.lit("/OUT/"), "name").alias("path")), "keep-both", "keep-both"), "SELECT id AS seq, path AS source, '/out/' || CASE WHEN id % 4 = 0 THEN id || ' (1).jpg' ELSE name END AS destination, 'move' AS action, false AS backup, id % 4 = 0 AS conflict, NULL::VARCHAR AS error FROM media WHERE label = 3")
+def _out(v: DataFrame) -> DataFrame:
+    """A library that has every fourth medium in the target folder already, with its contents."""
+    return v.where("id % 4 = 0").select(F.concat(F.lit("/OUT/"), "name").alias("path"), "digest")
+
+
+def _transfer(v: DataFrame, *args, **more) -> DataFrame:
+    return resolve.plan_media_transfer(v, v.where("label = 3").select("id"), "/out", _out(v), *args, **more)
+
+
+_MEDIA_SQL = "SELECT id AS seq, path AS source, '/out/' || {name} AS destination, {action} AS action, false AS backup, id % 4 = 0 AS conflict, {error} AS error FROM media WHERE label = 3"
+_SKIPS = "CASE WHEN id % 4 > 0 AND row_number() OVER (PARTITION BY digest ORDER BY id) = 1 THEN 'move' ELSE 'skip' END"
+_SUFFIXED = "CASE WHEN id % 4 = 0 THEN id || ' (1).jpg' ELSE name END"
+simple("b6_plan_media_transfer", "media", _transfer, _MEDIA_SQL.format(name="name", action=_SKIPS, error="NULL::VARCHAR"))
+simple("b6_plan_media_transfer_keep_both", "media", lambda v: _transfer(v, "keep-both", "keep-both"), _MEDIA_SQL.format(name=_SUFFIXED, action="'move'", error="NULL::VARCHAR"))
+simple("b6_copy", "media", lambda v: _transfer(v, "keep-both", "keep-both", mode="copy"), _MEDIA_SQL.format(name=_SUFFIXED, action="'copy'", error="NULL::VARCHAR"))
+simple("b6_actions", "media", lambda v: _transfer(v, overrides=v.where("label = 3").select(F.col("path").alias("source"), F.lit(None).cast("string").alias("policy"), F.when(F.col("id") % 8 == 0, "replace-existing").otherwise("skip").alias("duplicate_action"))).select("seq", "source", "error"),
+       "SELECT id AS seq, path AS source, 'INVALID_TRANSFER' AS error FROM media WHERE label = 3")
+simple("b6_gallery_after", "media", lambda v: resolve.gallery_after(v, v.where("id % 3 < 2").select(_path().alias("source"), F.when(F.col("id") % 3 == 0, "move").otherwise("copy").alias("kind"), F.when(F.col("id") % 5 == 0, "failed").otherwise("completed").alias("status"))).select("id"),
+       "SELECT id FROM media WHERE NOT (id % 3 = 0 AND id % 5 > 0)")
 
 # ---- streams
 T2_SQL = f"{with_views('observations')}, c AS (SELECT *, CASE WHEN lag(modified_at) OVER w IS DISTINCT FROM modified_at THEN 1 ELSE 0 END AS ch FROM observations WINDOW w AS (PARTITION BY path ORDER BY observed_at, modified_at)), g AS (SELECT *, sum(ch) OVER (PARTITION BY path ORDER BY observed_at, modified_at) AS segment FROM c), h AS (SELECT *, min(observed_at) OVER (PARTITION BY path, segment) AS since FROM g), k AS (SELECT *, observed_at >= since + INTERVAL 1 HOUR AND path NOT LIKE '%.part' AS counts FROM h), l AS (SELECT *, sum(CASE WHEN counts AND locked THEN 1 ELSE 0 END) OVER (PARTITION BY path, segment ORDER BY observed_at, modified_at) AS nl FROM k), m AS (SELECT path, segment, min(since) AS since, min(observed_at) FILTER (counts AND NOT locked AND nl < 2) AS ok, min(observed_at) FILTER (counts AND locked AND nl = 2) AS bad FROM l GROUP BY 1, 2)"

@@ -93,30 +93,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream == batch and batch
 
 
-def test_plan_in_components_equals_in_order(spark):
-    rng = random.Random(1)
-    items = [{"seq": k, "source": f"/s/{k}", "destination": f"/t/{rng.randrange(12)}{rng.choice(['', ' (1)'])}.txt", "digest": f"d{rng.randrange(25)}", "policy": "keep-both", "duplicate_action": rng.choice(["skip", "keep-both", "replace-existing"])} for k in range(40)]
-    library = [(f"/t/{k}.txt", f"d{k + 20}") for k in range(0, 12, 2)] + [("/t/3 (1).txt", "d1")]
-    want = resolve.resolve_in_order(items, {p.lower(): (p, d) for p, d in library})
-    df = spark.createDataFrame([(i["seq"], i["source"], i["destination"], i["digest"]) for i in items], "seq long, source string, destination string, digest string")
-    o = spark.createDataFrame([(i["source"], i["policy"], i["duplicate_action"]) for i in items], "source string, policy string, duplicate_action string")
-    got = resolve.resolve_items(df, spark.createDataFrame(library, "path string, digest string"), overrides=o).collect()
-    key = lambda r: (r["seq"], r["source"], r["destination"], r["action"], r["backup"], r["conflict"], r["error"] or "")
-    assert sorted(map(key, got)) == sorted(map(key, want))
-
-
-def test_plan_of_hot_families_equals_in_order(spark):
-    rng = random.Random(4)
-    items = [{"seq": k, "source": f"/s/{k}", "destination": f"/t/{rng.randrange(6)}{rng.choice(['.txt', '.TXT'])}", "digest": f"d{k}" if rng.random() < 0.95 else "d0", "policy": ["keep-both", "skip"][k % 6 == 5 and k < 20], "duplicate_action": rng.choice(["skip", "replace-existing"])} for k in range(120)]
-    library = [("/t/1.txt", "x1"), ("/t/2 (1).txt", "x2"), ("/t/2 (3).txt", "d17"), ("/T/3.txt", "x3"), ("/t/3 (2).txt", "x4"), ("/t/5.txt", "x5")]
-    want = resolve.resolve_in_order(items, {p.lower(): (p, d) for p, d in library})
-    df = spark.createDataFrame([(i["seq"], i["source"], i["destination"], i["digest"]) for i in items], "seq long, source string, destination string, digest string")
-    o = spark.createDataFrame([(i["source"], i["policy"], i["duplicate_action"]) for i in items], "source string, policy string, duplicate_action string")
-    got = resolve.resolve_items(df, spark.createDataFrame(library, "path string, digest string"), overrides=o).collect()
-    key = lambda r: (r["seq"], r["source"], r["destination"].lower(), r["action"], r["backup"], r["conflict"], r["error"] or "")
-    assert sorted(map(key, got)) == sorted(map(key, want))
-
-
 def test_media_plan_keeps_both_apart(spark):
     media = spark.createDataFrame([(1, "/a/x.jpg", "d1"), (2, "/b/x.jpg", "d2"), (3, "/c/x.jpg", "d2"), (4, "/d/x.jpg", None), (5, "/e/y.jpg", "d9")], "id long, path string, digest string")
     library = spark.createDataFrame([("/OUT/x (1).jpg", "d8"), ("/out/z.jpg", "d9")], "path string, digest string")
