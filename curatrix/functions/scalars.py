@@ -25,16 +25,6 @@ OFFICE_EXTENSIONS = "docx xlsx pptx odt ods odp".split()
 IMAGE_EXTENSIONS = "jpg jpeg png gif webp bmp tif tiff ico".split()
 VIDEO_EXTENSIONS = "mp4 mov mkv avi webm m4v mpg mpeg mts m2ts 3gp wmv".split()
 TEMPORARY = "part partial crdownload download tmp".split()
-# Signatures (offset, bytes in hex, type).
-SIGNATURES = (
-    (0, "89504E470D0A1A0A", "image/png"), (0, "FFD8FF", "image/jpeg"), (0, "474946383", "image/gif"), (0, "424D", "image/bmp"),
-    (0, "49492A00", "image/tiff"), (0, "4D4D002A", "image/tiff"), (8, "57454250", "image/webp"), (0, "25504446", "application/pdf"),
-    (0, "504B0304", "application/zip"), (0, "526172211A07", "application/vnd.rar"), (0, "377ABCAF271C", "application/x-7z-compressed"),
-    (0, "1F8B08", "application/gzip"), (0, "7F454C46", "application/x-executable"), (0, "4D5A", "application/vnd.microsoft.portable-executable"),
-    (4, "66747970", "video/mp4"), (0, "1A45DFA3", "video/x-matroska"), (0, "494433", "audio/mpeg"), (0, "664C6143", "audio/x-flac"), (0, "4F676753", "audio/ogg"),
-)
-# Types guessed from extensions.
-GUESSED = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "css": "text/css", "csv": "text/csv", "json": "application/json", "xml": "text/xml", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "zip": "application/zip", "mp3": "audio/mpeg", "mp4": "video/mp4", "js": "text/javascript", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 
 
 def slashed(path: Column) -> Column:
@@ -93,25 +83,6 @@ def selected_date(source: Column, created: Column, modified: Column, accessed: C
     return F.when(source == "created", created).when(source == "modified", modified).when(source == "accessed", accessed)
 
 
-def signature_type(head: Column) -> Column:
-    digits = F.hex(F.substring(head, 1, 8192))
-    out = None
-    for at, sign, mime in SIGNATURES:
-        hit = F.substring(digits, 2 * at + 1, len(sign)) == sign
-        out = F.when(hit, mime) if out is None else out.when(hit, mime)
-    return out
-
-
-def detect_type(head: Column, ext: Column) -> tuple[Column, Column]:
-    """(mime, source): the signature first, then the extension; .ts and .tsx are text if the head is."""
-    signed = signature_type(head)
-    text = ext.isin("ts", "tsx") & (F.instr(F.hex(head), "00") == 0) & F.is_valid_utf8(head.cast("string"))
-    table = F.create_map(*[x for k, v in GUESSED.items() for x in (F.lit(k), F.lit(v))])
-    guessed = F.when(text, "text/plain").otherwise(F.try_element_at(table, ext))
-    mime = F.coalesce(signed, guessed)
-    return mime, F.when(signed.isNotNull(), "content").when(guessed.isNotNull(), "extension").otherwise("unknown")
-
-
 def classify_category(mime: Column, ext: Column) -> Column:
     """The type decides first, then the extension."""
     out = F.when(mime.startswith("image/"), "image").when(mime.startswith("video/"), "video").when(mime.startswith("audio/"), "audio").when(mime == "application/pdf", "document")

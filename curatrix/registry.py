@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions import names, scalars, signals
+from curatrix.functions import names, scalars, signals, types
 from curatrix.operators import browse, dedup, journal, media, rules
 from curatrix.plans import resolve
 from curatrix.streaming import stable
@@ -60,13 +60,32 @@ simple("p4_selected_date", "inbox", lambda v: v.select("id", scalars.selected_da
        "SELECT id, CASE id % 3 WHEN 0 THEN created WHEN 1 THEN modified ELSE accessed END AS day, CAST(DATE '1970-01-01' + CAST(id - 700 AS INT) AS DATE) AS local_day FROM inbox")
 
 
-@query("p5_detect_type", "SELECT page_id, CASE WHEN page_id % 4 = 3 THEN 'application/pdf' WHEN page_id % 4 = 0 THEN 'text/html' WHEN page_id % 4 = 1 THEN 'text/plain' END AS mime, CASE WHEN page_id % 4 = 3 THEN 'content' WHEN page_id % 4 = 2 THEN 'unknown' ELSE 'extension' END AS type_source FROM pages")
+# A head for each kind of content, then what its bytes don't tell: (bytes before the page's own, extension, type, where it is from).
+_ZIP = b"PK\x03\x04" + bytes(26)
+_OFFICE = "application/vnd.openxmlformats-officedocument"
+HEADS = [
+    (b"%PDF-1.7\n", "jpg", "application/pdf", "content"), (b"\x89PNG\r\n\x1a\n", "", "image/png", "content"), (b"\xff\xd8\xff\xe0", "", "image/jpeg", "content"), (b"GIF89a", "", "image/gif", "content"),
+    (b"II*\0", "", "image/tiff", "content"), (b"MM\0*", "", "image/tiff", "content"), (b"BM" + bytes(12) + b"\x28\0\0\0", "", "image/bmp", "content"), (b"BM is a place ", "txt", "text/plain", "extension"),
+    (b"RIFF\0\0\0\0WEBP", "", "image/webp", "content"), (b"RIFF\0\0\0\0WAVE", "", "audio/x-wav", "content"), (b"RIFF\0\0\0\0AVI ", "", "video/x-msvideo", "content"), (b"RIFF\0\0\0\0ACON", "", None, "unknown"),
+    (b"\0\0\0\x18ftypisom\0\0\0\0isommp41", "", "video/mp4", "content"), (b"\0\0\0\x18ftypheic\0\0\0\0mif1heic", "", "image/heif", "content"), (b"\0\0\0\x1cftypmif1\0\0\0\0mif1avifmiaf", "", "image/avif", "content"),
+    (b"\0\0\0\x18ftypmif1\0\0\0\0mif1heic", "", "image/heif", "content"), (b"\0\0\0\x18ftypM4A \0\0\0\0M4A isom", "mp4", "audio/m4a", "content"), (b"\0\0\0\x14ftypqt  \0\0\0\0qt  ", "", "video/quicktime", "content"),
+    (b"\0\0\0\x14ftypM4V \0\0\0\0M4V ", "", "video/x-m4v", "content"), (b"\x1a\x45\xdf\xa3\x9f\x42\x86\x81\x01\x42\x82\x84webm", "", "video/webm", "content"), (b"\x1a\x45\xdf\xa3\xa3\x42\x86\x81\x01\x42\x82\x88matroska", "", "video/x-matroska", "content"),
+    (_ZIP + b"any.txt", "", "application/zip", "content"), (_ZIP + b"[Content_Types].xml" + _ZIP + b"word/document.xml", "", f"{_OFFICE}.wordprocessingml.document", "content"), (_ZIP + b"_rels/.rels" + _ZIP + b"xl/workbook.xml", "", f"{_OFFICE}.spreadsheetml.sheet", "content"),
+    (_ZIP + b"ppt/presentation.xml", "", f"{_OFFICE}.presentationml.presentation", "content"), (_ZIP + b"mimetypeapplication/epub+zipPK", "", "application/epub+zip", "content"), (b"Rar!\x1a\x07\0", "", "application/vnd.rar", "content"),
+    (b"7z\xbc\xaf\x27\x1c", "", "application/x-7z-compressed", "content"), (b"\x1f\x8b\x08", "", "application/gzip", "content"), (b"BZh9", "", "application/x-bzip2", "content"), (b"\xfd7zXZ\0", "", "application/x-xz", "content"),
+    (b"\x7fELF", "", "application/x-executable", "content"), (b"MZ" + bytes(58) + b"\x40\0\0\0PE\0\0", "", "application/vnd.microsoft.portable-executable", "content"), (b"MZ is no program" + b" " * 44 + b"\x40\0\0\0  ", "", None, "unknown"),
+    (b"ID3\x04", "", "audio/mpeg", "content"), (b"fLaC", "", "audio/x-flac", "content"), (b"OggS", "", "audio/ogg", "content"), (bytes(257) + b"ustar", "", "application/x-tar", "content"), (b"SQLite format 3\0", "", "application/vnd.sqlite3", "content"),
+    (b"", "jpg", "text/html", "content"), (b" \n", "ts", "text/html", "content"), (b"<?xml version", "", "text/xml", "content"), (b"#!/bin/sh", "", "text/x-shellscript", "content"), (b"const a = 1 ", "ts", "text/plain", "extension"),
+    (b"a\0", "ts", "video/mp2t", "extension"), (b"words ", "html", "text/html", "extension"), (b"words ", "nothing", None, "unknown"), (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "doc", "application/x-ole-storage", "content"),
+]
+_HEADS_SQL = ", ".join(f"({k}, {'NULL' if m is None else repr(m)}, '{o}')" for k, (_, _, m, o) in enumerate(HEADS))
+
+
+@query("p5_detect_type", f"SELECT page_id, mime, type_source FROM pages JOIN (VALUES {_HEADS_SQL}) h(k, mime, type_source) ON page_id % {len(HEADS)} = k")
 def p5(s, d):
-    v = s.read.parquet(f"{d}/pages.parquet")
-    k = F.col("page_id") % 4
-    head = F.when(k == 3, F.concat(F.lit("%PDF-1.7"), "html")).otherwise(F.col("html")).cast("binary")
-    ext = F.when(k == 0, "html").when(k == 1, "ts").when(k == 2, "unknown").otherwise("jpg")
-    mime, source = scalars.detect_type(head, ext)
+    known = F.array(*[F.struct(F.unhex(F.lit(b.hex())).alias("first"), F.lit(e).alias("ext")) for b, e, _, _ in HEADS])
+    v = s.read.parquet(f"{d}/pages.parquet").withColumn("h", F.get(known, (F.col("page_id") % len(HEADS)).cast("int")))
+    mime, source = types.detect_type(F.concat("h.first", F.col("html").cast("binary")), F.col("h.ext"))
     return v.select("page_id", mime.alias("mime"), source.alias("type_source"))
 
 
@@ -294,8 +313,48 @@ query("j12_incomplete_operations", f"{with_views('journal', 'operations')} SELEC
 query("j13_pending_references", f"{with_views('journal', 'operations')} SELECT operation_id, created_at FROM operations WHERE operation_id IN (SELECT operation_id FROM journal WHERE entry_kind = 'folder' AND status IN ('completed', 'undone')) AND operation_id % 3 <> 0")(lambda s, d: journal.pending_reference_changes(view(s, d, "operations"), view(s, d, "journal").withColumn("kind", F.when(F.col("entry_kind") == "folder", "rmdir").otherwise(F.col("kind"))), view(s, d, "operations").where("operation_id % 3 = 0").select("operation_id")))
 simple("j15_detect_drift", "catalog", lambda v: (lambda w: journal.detect_drift(w, w.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 5 == 0, "x").otherwise(F.col("digest")))))(v.withColumns({"modified_at": F.col("doc_id"), "identity": _path()})),
        "SELECT path, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'FILE_CHANGED' END AS error FROM catalog")
-query("b8_plan_undo", f"{with_views('journal')} SELECT operation_id, sequence, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC)::INT AS undo_order, CASE WHEN kind = 'copy' THEN '.recovery/' || destination ELSE source END AS undo_to, CASE WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 3 = 0 THEN 'FILE_CHANGED' END AS error FROM journal WHERE status = 'completed'")(lambda s, d: journal.plan_undo(view(s, d, "journal"), view(s, d, "journal").where("cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % 3 <> 0").select(F.col("destination").alias("path"), "digest").distinct()))
-query("b9_recover_journal", f"{with_views('journal')} SELECT operation_id, sequence, 'failed' AS status, 'INTERRUPTED_OPERATION' AS error FROM journal WHERE status = 'planned' UNION ALL SELECT operation_id, sequence, CASE WHEN entry_kind = 'folder' THEN 'recovery-required' WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN 'completed' ELSE 'recovery-required' END, CASE WHEN entry_kind <> 'folder' AND split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN NULL ELSE 'INTERRUPTED_OPERATION' END FROM journal WHERE status = 'failed'")(lambda s, d: journal.recover_journal(view(s, d, "journal").withColumn("status", F.when(F.col("status") == "failed", "pending").otherwise(F.col("status"))), view(s, d, "journal").where("cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % 2 = 0").select(F.col("destination").alias("path"), "digest").distinct()))
+# A file that two items took from one place goes back with the later one; the earlier then finds the place taken.
+UNDO_SQL = f"{with_views('journal')}, c AS (SELECT *, split_part(substr(destination, 6), '-', 1)::BIGINT % 3 = 0 AS gone FROM journal WHERE status = 'completed') SELECT operation_id, sequence, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC)::INT AS undo_order, CASE WHEN kind = 'copy' THEN '.recovery/' || destination ELSE source END AS undo_to, CASE WHEN gone THEN 'FILE_CHANGED' WHEN kind <> 'copy' AND EXISTS (SELECT 1 FROM c l WHERE l.operation_id = c.operation_id AND l.source = c.source AND l.kind <> 'copy' AND l.sequence > c.sequence) THEN 'DESTINATION_EXISTS' END AS error FROM c"
+_THERE = lambda v, k: v.where(f"cast(regexp_extract(source, '([0-9]+)', 1) as bigint) % {k}").select(F.col("destination").alias("path"), "digest").distinct()
+query("b8_plan_undo", UNDO_SQL)(lambda s, d: journal.plan_undo(view(s, d, "journal"), _THERE(view(s, d, "journal"), "3 <> 0")))
+
+
+def _journalled(s: SparkSession, d: str, status) -> DataFrame:
+    """The journal view as a plan that was written twice and then brought to the given status, as a journal on disk has it."""
+    from curatrix.operators.tables import new_folder
+
+    v, where = view(s, d, "journal"), new_folder(s)
+    plan = v.select("operation_id", F.col("sequence").alias("seq"), F.col("kind").alias("action"), "source", "destination", "bytes", "digest", "entry_kind")
+    for _ in range(2):
+        journal.write_journal(plan, None, where, "lineitem")
+    ran = journal.load_journal(s, where).drop("status", "error").join(v.select("operation_id", "sequence", status.alias("status"), "error"), ["operation_id", "sequence"])
+    for _ in range(2):
+        journal.update_journal(ran, where, "lineitem", 1)
+    return journal.load_journal(s, where)
+
+
+query("b8_round_trip", UNDO_SQL)(lambda s, d: journal.plan_undo(_journalled(s, d, F.col("status")), _THERE(view(s, d, "journal"), "3 <> 0")))
+query("s5_round_trip", f"{with_views('journal')} SELECT operation_id, sequence, source, destination, status, kind, entry_kind, error, bytes, digest FROM journal")(lambda s, d: _journalled(s, d, F.col("status")).select("operation_id", "sequence", "source", "destination", "status", "kind", "entry_kind", "error", "bytes", "digest"))
+
+
+@query("b8_chains", f"{with_views('journal')} SELECT operation_id, sequence, row_number() OVER (PARTITION BY operation_id ORDER BY sequence DESC)::INT AS undo_order, '/p/' || operation_id || '-' || sequence AS undo_to, CASE WHEN operation_id % 3 = 0 THEN 'FILE_CHANGED' END AS error FROM journal")
+def b8_chains(s, d):
+    """Each operation moved one file on and on; of every third the file is gone."""
+    at = lambda k: F.concat(F.lit("/p/"), F.col("operation_id").cast("string"), F.lit("-"), k.cast("string"))
+    v = view(s, d, "journal").select("operation_id", "sequence", at(F.col("sequence")).alias("source"), at(F.col("sequence") + 1).alias("destination"), F.lit("completed").alias("status"), F.lit("move").alias("kind"), F.col("operation_id").cast("string").alias("digest"))
+    last = v.where("operation_id % 3 <> 0").groupBy("operation_id").agg(F.max_by("destination", "sequence").alias("path")).select("path", F.col("operation_id").cast("string").alias("digest"))
+    return journal.plan_undo(v, last)
+
+
+RECOVER_SQL = f"{with_views('journal')} SELECT operation_id, sequence, 'failed' AS status, 'INTERRUPTED_OPERATION' AS error FROM journal WHERE status = 'planned' UNION ALL SELECT operation_id, sequence, CASE WHEN entry_kind = 'folder' THEN 'recovery-required' WHEN split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN 'completed' ELSE 'recovery-required' END, CASE WHEN entry_kind <> 'folder' AND split_part(substr(destination, 6), '-', 1)::BIGINT % 2 = 0 THEN NULL ELSE 'INTERRUPTED_OPERATION' END FROM journal WHERE status = 'failed'"
+query("b9_recover_journal", RECOVER_SQL)(lambda s, d: journal.recover_journal(view(s, d, "journal").withColumn("status", _begun()), _THERE(view(s, d, "journal"), "2 = 0")))
+query("b9_round_trip", RECOVER_SQL)(lambda s, d: journal.recover_journal(_journalled(s, d, _begun()), _THERE(view(s, d, "journal"), "2 = 0")))
+
+
+def _begun():
+    return F.when(F.col("status") == "failed", "pending").otherwise(F.col("status"))
+
+
 _FIX = lambda v: journal.plan_date_fix(v.select("path", F.concat(F.lit("/i/"), F.col("digest")).alias("identity"), F.when(F.col("id") % 5 == 0, "0").otherwise((F.col("id") + 10).cast("string")).alias("created_ticks"), F.when(F.col("id") % 4 == 0, (F.col("id") + 10).cast("string")).otherwise("99999999").alias("modified_ticks")))
 FIX_SQL = "fixed AS (SELECT path, id % 5 = 0 AS none, id % 5 = 0 OR id % 4 = 0 OR row_number() OVER (PARTITION BY digest ORDER BY path) > 1 AS skip, id FROM inbox)"
 query("b7_plan_date_fix", f"{with_views('inbox')}, {FIX_SQL} SELECT path, CASE WHEN skip THEN 'skip' ELSE 'dates' END AS action, CASE WHEN none THEN 'INVALID_DATE' END AS error, CASE WHEN NOT skip THEN CAST(id + 10 AS VARCHAR) END AS new_ticks FROM fixed")(lambda s, d: _FIX(view(s, d, "inbox")))
