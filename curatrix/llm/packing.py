@@ -29,7 +29,7 @@ GROUPS = (96, 48, 24, 12)
 SMALL = 4  # lengths up to this part of the sequence are small
 EOS = 0
 VOCABULARY = "byte_bpe_50k.json"
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 BROADCAST_ROWS = 500_000
 
 # White space that touches a space on both sides, or before a last space: there a cut at spaces isn't a cut between tokens.
@@ -131,10 +131,10 @@ def token_pieces(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | No
                 for k, (a, b) in enumerate(zip([0, *range(first, n, sequence)], range(first, n + 1, sequence), strict=True)):
                     rows.append((i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         held.words.clear()  # the worker may go on to other tasks
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(pieces), PIECES)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(pieces), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 # ---- the packing plan, from the histogram

@@ -23,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from curatrix.llm.common import cut, shared_folder
 
+PAGE = "urn:page:"  # before a page's id, in its URL encoding
 SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 LEAST_REVISIT = 100
@@ -296,7 +297,7 @@ def write_pages(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None
     long = F.octet_length("payload") >= least
     firsts = rows.where(long).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
+    urn = lambda c: F.coalesce(F.concat(F.lit(PAGE), F.url_encode(c.cast("string"))), F.lit("urn:none"))
     out = rows.join(firsts.hint("shuffle_hash"), F.col("payload_digest") == F.col("_digest"), "left")
     out.select(urn(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, urn(F.col("_first"))).alias("refers_to"), "payload_digest", "payload").write.format("warc").mode("append").option("path", qualified(pages.sparkSession, path)).save()
 
@@ -305,11 +306,11 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, from archives written and read back.
 
     The digest of a response is taken from the payload as read; that of a revisit is in its header. An empty table gives
-    no rows; a null page_id comes back as null; a very long payload is one record, held by one task at a time. Other columns are left out."""
+    no rows; ids of any type come back as they were, a null page_id as null (its record's name is of another kind); a very long payload is one record, held by one task at a time. Other columns are left out."""
     spark = pages.sparkSession
     path = path or shared_folder(spark)
     write_pages(pages, path)
     back = read(spark, path)
-    number = lambda c: F.when(~c.endswith(":none"), F.substring_index(c, ":", -1)).cast(pages.schema["page_id"].dataType)
+    page = lambda c: F.when(c.startswith(PAGE), F.url_decode(F.substring(c, len(PAGE) + 1, 1 << 30))).cast(pages.schema["page_id"].dataType)
     response = F.col("record_type") == "response"
-    return cut(back.select(number(F.col("record_id")).alias("page_id"), F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"), F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to")))
+    return cut(back.select(page(F.col("record_id")).alias("page_id"), F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"), F.when(response, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page(F.col("refers_to")).alias("refers_to")))
