@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,9 @@ from curatrix.operators.rules import plan_counter
 from curatrix.operators.tables import materialized
 
 MAX_FULL = 200
-BANDS = (13, 13, 13, 13, 12)  # bits of the dhash
+BANDS = 5  # of the dhash's bits
 BANDED_ROWS = 4096
+MOST_REACH = 4  # bits that a band may differ in
 
 
 def duplicate_groups(catalog: DataFrame) -> DataFrame:
@@ -108,40 +110,65 @@ def plan_cleanup(catalog: DataFrame, keepers: DataFrame, most: int = 10_000) ->
     return group.join(held, "digest").where("path <> keeper").select("digest", "path", "keeper", F.lit("move").alias("action"), F.lit(True).alias("backup"), F.when((F.col("_k") != 1) | ~F.col("_n").between(2, most), "INVALID_GROUP").alias("error"))
 
 
+def bands(prints: DataFrame, n: int = BANDS) -> list[list[int]]:
+    """The dhash's bits dealt to n bands, so that each has as many of the even and of the lopsided ones: counted over the prints."""
+    bit = lambda k: F.sum(F.shiftrightunsigned("dhash", k).bitwiseAND(F.lit(1).cast("long"))).alias(str(k))
+    told = prints.agg(F.count(F.lit(1)).alias("n"), *[bit(k) for k in range(64)]).first()
+    order = sorted(range(64), key=lambda k: (abs(2 * (told[str(k)] or 0) - told["n"]), k))
+    return [sorted(order[k::n]) for k in range(n)]
+
+
 def similar_images(prints: DataFrame, phash_max: int = 16, dhash_max: int = 14, aspect_max: float = 0.04, color_max: int = 24, banded_rows: int = BANDED_ROWS) -> DataFrame:
     """Pairs of look-alike digests from prints (digest, phash, dhash, aspect, colors: array<int>).
 
-    Blocks lose nothing: sizes within aspect_max differ by one class at most, and so do mean colours within color_max;
-    one side is dealt to its own class, the other to it and its neighbours. Blocks over banded_rows are dealt by the
-    dhash's bands too: of a pair within 14 bits one of the five differs in 2 bits at most (wider limits have no bands)."""
+    Images meet as rows of an id, the two hashes and a key; shapes and colours are fetched for the pairs that are left. The keys lose
+    nothing. Sizes within aspect_max differ by one class at most, and so do mean colours within color_max; one side is dealt to its own
+    class, the other to it and its neighbours. Blocks over banded_rows are dealt by bands of the dhash too: of a pair within dhash_max
+    bits one band differs in dhash_max / BANDS at most, and both sides are dealt with half of these bits flipped, whichever they are
+    (limits over 24 bits have no bands)."""
     step = -math.log(1 - aspect_max)
     mean = F.aggregate("colors", F.lit(0), lambda a, x: a + x) / F.size("colors")
-    base = prints.dropDuplicates(["digest"]).withColumns({"_a": F.floor(F.log("aspect") / step), "_c": F.floor(mean / color_max)})
+    base = materialized(prints.dropDuplicates(["digest"]).select("digest", "phash", "dhash", "aspect", "colors", F.floor(F.log("aspect") / step).alias("_a"), F.floor(mean / color_max).alias("_c")))
+    light = materialized(base.select(F.monotonically_increasing_id().alias("id"), "digest", "phash", "dhash", "_a", "_c"))
+    reach = dhash_max // BANDS
+    big = light.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (banded_rows if reach <= MOST_REACH else (1 << 62))).select("_a", "_c", F.lit(True).alias("_big"))
+    big = materialized(big)
+    dealt_bits = [] if big.isEmpty() else bands(light)
+    at = lambda k, v: F.struct(F.lit(k).alias("_band"), v.cast("int").alias("_value"))
+    once = at(-1, F.lit(0))
+
+    def band_keys(k: int, value: Column, masks: Column) -> Column:
+        return F.transform(masks, lambda m: at(k, value.bitwiseXOR(m)))
+
+    def flipped(side: DataFrame, most: int) -> DataFrame:
+        """Rows of big blocks under each band with up to `most` bits of it flipped, others once."""
+        keys = []
+        for k, bits in enumerate(dealt_bits):
+            value = sum((F.shiftleft(F.shiftrightunsigned("dhash", b).bitwiseAND(F.lit(1).cast("long")).cast("int"), j) for j, b in enumerate(bits)), F.lit(0))
+            masks = F.array(*[F.lit(sum(1 << j for j in c)) for n in range(most + 1) for c in combinations(range(len(bits)), n)])
+            keys.append(band_keys(k, value, masks))
+        side = side.join(big, ["_a", "_c"], "left")
+        key = F.when(F.col("_big"), F.concat(*keys)).otherwise(F.array(once)) if keys else F.array(once)
+        return side.select("id", "phash", "dhash", "_a", "_c", F.explode(key).alias("_k")).select("*", "_k.*").drop("_k")
+
     around = F.array(*[F.struct((F.col("_a") + i).alias("_a"), (F.col("_c") + j).alias("_c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    l = base.select("*", F.explode(around).alias("_b")).drop("_a", "_c").select("*", "_b.*").drop("_b")
-    reach = dhash_max // len(BANDS)
-    masks = [(k, sum(1 << i for i in c)) for k, w in enumerate(BANDS) for n in range(reach + 1) for c in combinations(range(w), n)] if reach <= 2 else []
-    big = base.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (banded_rows if masks else (1 << 62))).select("_a", "_c", F.lit(True).alias("_big"))
-    value = [F.shiftrightunsigned("dhash", sum(BANDS[:k])).bitwiseAND(F.lit((1 << w) - 1)).cast("int") for k, w in enumerate(BANDS)]
-    at = lambda k, v: F.struct(F.lit(k).alias("_band"), v.alias("_value"))
-
-    def dealt(side: DataFrame, by_bands: Column) -> DataFrame:
-        """Rows of big blocks under each of the bands, others once."""
-        side = side.join(F.broadcast(big), ["_a", "_c"], "left")  # at most a row per banded_rows rows
-        return side.select("*", F.explode(F.when(F.col("_big"), by_bands).otherwise(F.array(at(-1, F.lit(0))))).alias("_k")).select("*", "_k.*").drop("_k", "_big")
-
-    probes = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in masks or [(0, 0)]]), lambda x: F.struct(x["k"].alias("_band"), F.element_at(F.array(*value), x["k"] + 1).bitwiseXOR(x["m"]).alias("_value")))
-    own = F.array(*[at(k, v) for k, v in enumerate(value)])
-    l, r = dealt(l, probes).alias("l"), dealt(base, own).alias("r")
+    near_by = light.select("id", "phash", "dhash", F.explode(around).alias("_b")).select("id", "phash", "dhash", "_b.*")
+    l, r = flipped(near_by, reach - reach // 2).alias("l"), flipped(light, reach // 2).alias("r")
     bits = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")))
-    near = (F.abs(F.col("l.aspect") - F.col("r.aspect")) / F.greatest("l.aspect", "r.aspect") <= aspect_max) & (bits("phash") <= phash_max) & (bits("dhash") <= dhash_max)
-    diff = F.aggregate(F.zip_with("l.colors", "r.colors", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    same = (F.col("l._a") == F.col("r._a")) & (F.col("l._c") == F.col("r._c")) & (F.col("l._band") == F.col("r._band")) & (F.col("l._value") == F.col("r._value"))
-    found = l.join(r, same & (F.col("l.digest") < F.col("r.digest")) & near & (diff <= color_max * F.size("l.colors"))).select(F.col("l.digest").alias("left_digest"), F.col("r.digest").alias("right_digest"), bits("phash").alias("phash_bits"), bits("dhash").alias("dhash_bits"))
-    return found.dropDuplicates(["left_digest", "right_digest"])
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("_a", "_c", "_band", "_value")]
+    met = l.join(r, reduce(Column.__and__, same) & (F.col("l.id") != F.col("r.id")) & (bits("phash") <= phash_max) & (bits("dhash") <= dhash_max))
+    pairs = met.select(F.least("l.id", "r.id").alias("_l"), F.greatest("l.id", "r.id").alias("_r")).distinct()
+    digests = light.select("id", "digest")
+    named = pairs.join(digests.toDF("_l", "a"), "_l").join(digests.toDF("_r", "b"), "_r").select(F.least("a", "b").alias("left_digest"), F.greatest("a", "b").alias("right_digest"))
+    side = lambda s: base.select(*[F.col(c).alias(f"{s}_{c}") for c in ("digest", "phash", "dhash", "aspect", "colors")])
+    whole = named.join(side("left"), "left_digest").join(side("right"), "right_digest")
+    close = F.abs(F.col("left_aspect") - F.col("right_aspect")) / F.greatest("left_aspect", "right_aspect") <= aspect_max
+    diff = F.aggregate(F.zip_with("left_colors", "right_colors", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+    told = lambda c: F.bit_count(F.col(f"left_{c}").bitwiseXOR(F.col(f"right_{c}"))).alias(f"{c}_bits")
+    return whole.where(close & (diff <= color_max * F.size("left_colors"))).select("left_digest", "right_digest", told("phash"), told("dhash"))
 
 
 def dhash_bits(pixels: Column, width: int = 9, height: int = 8) -> Column:
     """Bit y * (width - 1) + x is set where a pixel is brighter than the next, of row-major grey values."""
-    bit = lambda i: F.shiftleft((F.element_at(pixels, (F.floor(i / (width - 1)) * width + i % (width - 1) + 1).cast("int")) > F.element_at(pixels, (F.floor(i / (width - 1)) * width + i % (width - 1) + 2).cast("int"))).cast("long"), 0)
-    return F.aggregate(F.sequence(F.lit(0), F.lit((width - 1) * height - 1)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i) * F.pow(F.lit(2.0), i).cast("long")))
+    bit = lambda i: F.element_at(pixels, i // (width - 1) * width + i % (width - 1) + 1) > F.element_at(pixels, i // (width - 1) * width + i % (width - 1) + 2)
+    return reduce(Column.bitwiseOR, [F.shiftleft(bit(i).cast("long"), i) for i in range((width - 1) * height)])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import names, scalars, signals, types
@@ -286,18 +287,29 @@ query("b5_retire_pair", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path,
 simple("b4_plan_cleanup", "catalog", lambda v: dedup.plan_cleanup(v, dedup.representatives(v).select("digest", "path")), "SELECT digest, path, keeper, 'move' AS action, true AS backup, NULL::VARCHAR AS error FROM (SELECT digest, path, min(path) OVER (PARTITION BY digest) AS keeper FROM catalog) WHERE path <> keeper")
 
 
-@query("j11_similar_images", "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x + 1) * 127.5) AS INT)) AS p FROM embeddings), h AS (SELECT vec_id, list_sum([CASE WHEN p[(i // 8) * 8 + i % 8 + 1] > p[(i // 8) * 8 + (i % 8 + 1) % 8 + 1] THEN (CASE WHEN i = 63 THEN -9223372036854775808 ELSE (1::BIGINT << i) END)::HUGEINT ELSE 0 END FOR i IN range(64)])::BIGINT AS dhash FROM g) SELECT a.vec_id::VARCHAR AS left_digest, b.vec_id::VARCHAR AS right_digest, bit_count(xor(a.dhash, b.dhash))::INT AS phash_bits, bit_count(xor(a.dhash, b.dhash))::INT AS dhash_bits FROM h a JOIN h b ON a.vec_id::VARCHAR < b.vec_id::VARCHAR AND bit_count(xor(a.dhash, b.dhash)) <= 14")
-def j11(s, d):
-    e = s.read.parquet(f"{d}/embeddings.parquet").withColumn("p", F.transform("embedding", lambda x: F.floor((x + 1) * 127.5).cast("int")))
+_BITS_SQL = "list_sum([CASE WHEN {} THEN (CASE WHEN i = 63 THEN -9223372036854775808 ELSE (1::BIGINT << i) END)::HUGEINT ELSE 0 END FOR i IN range(64)])::BIGINT"
+PRINTS_SQL = f"o AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor((x + 1) * 127.5) AS INT)) AS p FROM embeddings), g AS (SELECT vec_id::VARCHAR AS digest, 1 + label * 0.03::DOUBLE AS aspect, p FROM o UNION ALL SELECT 'copy ' || vec_id, (1 + label * 0.03::DOUBLE) * CASE WHEN vec_id % 3 = 0 THEN 1.05::DOUBLE ELSE 1.01::DOUBLE END, [CASE WHEN (i - 1) % 9 = vec_id % 9 THEN (p[i] + 40) % 256 ELSE p[i] END FOR i IN range(1, 65)] FROM o), h AS (SELECT digest, aspect, list_slice(p, 1, 12) AS colors, {_BITS_SQL.format('p[i // 8 * 8 + i % 8 + 1] > p[i // 8 * 8 + (i % 8 + 1) % 8 + 1]')} AS dhash, {_BITS_SQL.format('p[i + 1] > 127')} AS phash FROM g)"
+SIMILAR_SQL = f"WITH {PRINTS_SQL} SELECT a.digest AS left_digest, b.digest AS right_digest, bit_count(xor(a.phash, b.phash))::INT AS phash_bits, bit_count(xor(a.dhash, b.dhash))::INT AS dhash_bits FROM h a JOIN h b ON a.digest < b.digest AND bit_count(xor(a.phash, b.phash)) <= 16 AND bit_count(xor(a.dhash, b.dhash)) <= 14 AND abs(a.aspect - b.aspect) / greatest(a.aspect, b.aspect) <= 0.04 AND list_sum([abs(a.colors[i] - b.colors[i]) FOR i IN range(1, 13)]) <= 24 * 12"
+
+
+def _prints(s: SparkSession, d: str) -> DataFrame:
+    """Prints of the embeddings as 8 x 8 grey images, each row's end beside its start, and of a copy of each with some points changed and another shape; the shape goes by the label."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (1 + F.col("label") * F.lit(0.03)).alias("aspect"), F.transform("embedding", lambda x: F.floor((x + 1) * 127.5).cast("int")).alias("p"))
+    other = F.transform("p", lambda x, i: F.when(i % 9 == F.col("vec_id") % 9, (x + 40) % 256).otherwise(x))
+    copies = e.select(F.concat(F.lit("copy "), F.col("vec_id").cast("string")).alias("digest"), (F.col("aspect") * F.when(F.col("vec_id") % 3 == 0, 1.05).otherwise(1.01)).alias("aspect"), other.alias("p"))
+    e = e.select(F.col("vec_id").cast("string").alias("digest"), "aspect", "p").union(copies)
     wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.concat(F.slice("p", y * 8 + 1, F.lit(8)), F.slice("p", y * 8 + 1, F.lit(1)))))
-    g = e.select(F.col("vec_id").cast("string").alias("digest"), wide.alias("w"))
-    h = None
-    for i in range(64):
-        a, b = F.col("w")[i // 8 * 9 + i % 8], F.col("w")[i // 8 * 9 + i % 8 + 1]
-        bit = F.shiftleft((a > b).cast("long"), i)
-        h = bit if h is None else h.bitwiseOR(bit)
-    prints = g.select("digest", h.alias("dhash"), h.alias("phash"), F.lit(1.0).alias("aspect"), F.array(F.lit(0)).alias("colors"))
-    return dedup.similar_images(prints).withColumns({"phash_bits": F.col("phash_bits").cast("int"), "dhash_bits": F.col("dhash_bits").cast("int")})
+    light = [F.shiftleft((F.col("p")[i] > 127).cast("long"), i) for i in range(64)]
+    return e.select("digest", dedup.dhash_bits(wide).alias("dhash"), reduce(Column.bitwiseOR, light).alias("phash"), "aspect", F.slice("p", 1, 12).alias("colors"))
+
+
+def _similar(s: SparkSession, d: str, **more) -> DataFrame:
+    found = dedup.similar_images(_prints(s, d), **more)
+    return found.withColumns({c: F.col(c).cast("int") for c in ("phash_bits", "dhash_bits")})
+
+
+query("j11_similar_images", SIMILAR_SQL)(_similar)
+query("j11_similar_images_banded", SIMILAR_SQL)(lambda s, d: _similar(s, d, banded_rows=8))
 
 
 # ---- journals

@@ -9,20 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.functions.scalars import RECOVERY, is_recovery, path_key
+from curatrix.functions.scalars import RECOVERY
+from curatrix.sources.folders import list_entries, once
 
 
 def scan_catalog(spark: SparkSession, roots: list[str], recursive: bool = True, glob: str | None = None, recovery_dir: str = RECOVERY) -> DataFrame:
-    """path, modificationTime, length, content of the files below the roots, in order of path, one per path key even where roots
-    overlap; contents are read only if used."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(roots)
-    listed = found.where(~is_recovery(F.col("path"), recovery_dir))
-    if len(roots) > 1:
-        listed = listed.withColumn("_key", path_key(F.col("path"))).dropDuplicates(["_key"]).drop("_key")
-    return listed.orderBy("path")
+    """The regular files below the roots, in order of path, one per path key even where roots overlap: path, name, extension, size (and as
+    length), created_at, modified_at, accessed_at (ms), hidden, readonly. Contents are for Spark's binaryFile; what can't be read is told by scan_totals."""
+    files = list_entries(spark, roots, recursive, glob, recovery_dir).where("kind = 'file'").where("error is null")
+    return once(files).drop("kind", "error").withColumn("length", F.col("size")).orderBy("path")
+
+
+def scan_totals(spark: SparkSession, roots: list[str], recursive: bool = True, glob: str | None = None, recovery_dir: str = RECOVERY) -> DataFrame:
+    """How many files there are below the roots, their bytes, and how many files and folders can't be read; one row."""
+    found = once(list_entries(spark, roots, recursive, glob, recovery_dir))
+    file = (F.col("kind") == "file") & F.col("error").isNull()
+    return found.agg(F.count_if(file).alias("files"), F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(F.col("error").isNotNull()).alias("unreadable"))
 
 
 def load_prototypes(spark: SparkSession, path: str, model: str, dim: int, known: list[str], most_prompts: int = 32) -> DataFrame:
@@ -35,13 +37,22 @@ def load_prototypes(spark: SparkSession, path: str, model: str, dim: int, known:
     return each.join(first, "category").select("category", "prompt", "vector", error.alias("error"))
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, height, width, channels, data (BGR bytes); undecodable ones have height -1."""
-    return spark.read.format("image").option("dropInvalid", False).load(path).select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+def read_images(spark: SparkSession, path: str, heads: DataFrame | None = None) -> DataFrame:
+    """path, height, width, channels, data (BGR bytes); undecodable ones have height -1.
+
+    With heads (of image_heads, for a folder's files) only images without an error are decoded. Where some are refused, the driver holds
+    the names of the others in that folder, since Spark's image source takes paths, not filters."""
+    where: str | list[str] = path
+    if heads is not None and not heads.where("error is not null").isEmpty():
+        where = [r["path"] for r in heads.where("error is null").select("path").collect()]
+        if not where:
+            return spark.createDataFrame([], "path string, height int, width int, channels int, data binary")
+    return spark.read.format("image").option("dropInvalid", False).load(where).select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def image_guard(images: DataFrame, max_pixels: int = 40_000_000, max_axis: int = 16_384, max_bytes: int = 256 << 20, files: DataFrame | None = None, max_file_bytes: int = 64 << 20) -> DataFrame:
-    """images with error: too many pixels or bytes, of the file too where files (path, length) tells them; undecodable."""
+    """Decoded images with error: too many pixels or bytes, of the file too where files (path, length) tells them; undecodable. A second look:
+    image_heads refuses by the header, before anything is decoded."""
     if files is not None:
         long = files.where(F.col("length") > max_file_bytes).select("path", F.lit(True).alias("_long"))
         out = image_guard(images, max_pixels, max_axis, max_bytes).join(long, "path", "left")
@@ -138,4 +149,4 @@ def embed(images: DataFrame, encoder: Callable[[], Callable[[np.ndarray], np.nda
     return images.where("height > 0").mapInPandas(run, "path string, embedding array<double>")
 
 
-__all__ = ["embed", "fingerprint", "fingerprint_of", "image_guard", "load_prototypes", "path_key", "preprocess", "read_images", "scan_catalog"]
+__all__ = ["embed", "fingerprint", "fingerprint_of", "image_guard", "load_prototypes", "preprocess", "read_images", "scan_catalog", "scan_totals"]
