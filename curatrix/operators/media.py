@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.functions.scalars import dot, normalize, valid_embedding
+from curatrix.functions.scalars import dot, normalize, squared_norm, valid_embedding
 from curatrix.functions.signals import decide_labels, ranked_scores
 from curatrix.operators.journal import detect_drift
+from curatrix.operators.tables import materialized
 
 
 def category_prototypes(prompts: DataFrame) -> DataFrame:
@@ -65,41 +64,76 @@ def apply_corrections(media: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 EXAMPLE_BLOCK = 4096
+PIVOTS = 32
+MEDIA_ROWS = 20_000  # in a task's group
+TAUGHT = "id long, set string, similarity double"
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.greatest(squared_norm(a) + squared_norm(b) - 2 * dot(a, b), F.lit(0.0)))
+
+
+def _cells(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Examples with the cell of their nearest pivot and their block in it; and one row with all cells: pivot, the distances and norms within, blocks.
+
+    Pivots are PIVOTS examples by a hash, so that row is small whatever there is."""
+    pivots = examples.select("digest", "vector").orderBy(F.xxhash64("digest"), "digest").limit(PIVOTS)
+    pivots = materialized(pivots.agg(F.array_sort(F.collect_list(F.struct("digest", "vector"))).alias("_pivots")))
+    near = F.transform("_pivots", lambda p, i: F.struct(_distance(F.col("vector"), p["vector"]).alias("far"), i.alias("cell")))
+    placed = examples.join(F.broadcast(pivots)).withColumn("_n", F.array_min(near))  # one row of pivots
+    placed = materialized(placed.select("digest", "set", "vector", F.col("_n.cell").alias("cell"), F.col("_n.far").alias("far")))
+    wide = placed.groupBy("cell").agg(F.min("far").alias("least"), F.max("far").alias("most"), F.max(squared_norm(F.col("vector"))).alias("norm"), F.ceil(F.count(F.lit(1)) / EXAMPLE_BLOCK).alias("blocks"))
+    blocks = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    dealt = placed.join(wide.select("cell", "blocks"), "cell").select("set", "vector", "cell", blocks.alias("block"))
+    told = wide.join(F.broadcast(pivots)).select(F.struct("cell", F.get("_pivots", F.col("cell"))["vector"].alias("pivot"), "least", "most", "norm", "blocks").alias("c"))
+    return dealt, told.agg(F.collect_list("c").alias("_cells"))
 
 
 def nearest_feedback(media: DataFrame, examples: DataFrame, min_similarity: float = 0.94, margin: float = 0.03) -> DataFrame:
     """id, categories and similarity of the nearest example, unless one with other categories is within the margin.
 
-    Examples are few (recent_examples gives 256 by default): each Arrow batch is multiplied by them, EXAMPLE_BLOCK at a time."""
-    rows = examples.orderBy("digest").collect()
-    schema = "id long, categories array<string>, similarity double"
-    if not rows:
-        return media.sparkSession.createDataFrame([], schema)
-    x = np.array([r["embedding"] for r in rows], float)
-    sets = [",".join(sorted(r["categories"])) for r in rows]
-    names = sorted(set(sets))
-    kinds = {s: k for k, s in enumerate(names)}
-    own = np.array([kinds[s] for s in sets])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].map(lambda v: v is not None and len(v) == x.shape[1])]
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            by_set = np.full((len(v), len(kinds)), -np.inf)  # the nearest of each set of categories
-            for k in range(0, len(x), EXAMPLE_BLOCK):
-                s, mine = v @ x[k : k + EXAMPLE_BLOCK].T, own[k : k + EXAMPLE_BLOCK]
-                for c in np.unique(mine):
-                    by_set[:, c] = np.maximum(by_set[:, c], s[:, mine == c].max(1))
-            best = by_set.argmax(1)
-            top = by_set[np.arange(len(v)), best]
-            by_set[np.arange(len(v)), best] = -np.inf
-            rival = by_set.max(1)
-            ok = (top >= min_similarity) & (top - rival > margin)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "categories": [names[k].split(",") for k in best[ok]], "similarity": top[ok]})
-
-    return media.select("id", "embedding").mapInPandas(run, schema)
+    An exact join with any number of examples: only those with a product of at least min_similarity - margin can decide. Examples are
+    dealt to the cells of a few pivots, and by distances to the pivot a medium visits only cells that may hold such ones. A task
+    multiplies a part of a cell's media with one block of its examples, and gives the best two sets of categories of each; the best two of all blocks decide."""
+    least = min_similarity - margin
+    told = materialized(examples.where(F.col("embedding").isNotNull()).select("digest", F.col("embedding").cast("array<double>").alias("vector"), F.array_join(F.array_sort("categories"), ",").alias("set")))
+    dealt, cells = _cells(told)
+    rows = media.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    salts = max(1, -(-rows.count() // MEDIA_ROWS))
+    norm = squared_norm(F.col("vector"))
+
+    def may_hold(c: Column) -> Column:
+        reach = F.sqrt(F.greatest(norm + c["norm"] - 2 * least, F.lit(0.0))) + 1e-9
+        far = _distance(F.col("vector"), c["pivot"])
+        return (F.size(c["pivot"]) == F.size("vector")) & (norm + c["norm"] >= 2 * least - 1e-9) & (far <= c["most"] + reach) & (far >= c["least"] - reach)
+
+    visits = rows.join(F.broadcast(cells)).select("id", "vector", F.explode(F.filter("_cells", may_hold)).alias("c"))  # one row of cells
+    visits = visits.select("id", "vector", F.col("c.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("c.blocks").cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("set")
+            x = np.stack(right["vector"].to_numpy()).astype(float)
+            names, first = np.unique(right["set"].to_numpy().astype(str), return_index=True)
+            for k in range(0, len(left), 1024):
+                part = left.iloc[k : k + 1024]
+                by_set = np.maximum.reduceat(np.stack(part["vector"].to_numpy()).astype(float) @ x.T, first, axis=1)
+                for _ in range(min(2, len(names))):
+                    best = by_set.argmax(1)
+                    top = by_set[np.arange(len(part)), best]
+                    by_set[np.arange(len(part)), best] = -np.inf
+                    ok = top >= least
+                    out.append(pd.DataFrame({"id": part["id"].to_numpy()[ok], "set": names[best[ok]], "similarity": top[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "set": pd.Series(dtype="str"), "similarity": pd.Series(dtype="float64")})
+
+    key = ["cell", "block", "salt"]
+    found = visits.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(run, TAUGHT)
+    best = found.groupBy("id", "set").agg(F.max("similarity").alias("similarity")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("similarity", "set")), False), 1, 2).alias("_b"))
+    top, rival = F.col("_b")[0], F.coalesce(F.get("_b", F.lit(1))["similarity"], F.lit(float("-inf")))
+    kept = best.where((top["similarity"] >= min_similarity) & (top["similarity"] - rival > margin))
+    return kept.select("id", F.split(top["set"], ",").alias("categories"), top["similarity"].alias("similarity"))
 
 
 def learned_labels(media: DataFrame, examples: DataFrame, corrections: DataFrame, min_similarity: float = 0.94, margin: float = 0.03) -> DataFrame:
