@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import names, scalars, signals, types
 from curatrix.operators import browse, dedup, journal, media, rules
 from curatrix.plans import resolve
-from curatrix.streaming import stable
+from curatrix.streaming import revisions, stable
 from curatrix.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,3 +561,19 @@ def _organized(s: SparkSession, d: str) -> DataFrame:
 
 
 query("t3_organize_stream", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT id, status, rule_id FROM matched")(_organized)
+
+
+@query("t3_revisions", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT id, status, error, rule_id, destination, date_source, date_used FROM matched")
+def t3_revisions(s, d):
+    """All files of the inbox with half of the rules, then with a revision that has them all: what is decided last equals one match with all of them."""
+    from curatrix.operators.tables import new_folder
+
+    at = lambda day: F.lit(f"2030-01-{day:02d}").cast("timestamp")
+    files = view(s, d, "inbox").select("path", F.when(F.col("id") % 3 == 0, at(4)).otherwise(at(2)).alias("observed_at"), F.lit("ready").alias("status"), "created", "modified", "accessed", F.lit(None).cast("long").alias("revision"), F.lit(None).cast("string").alias("rules"))
+    where = new_folder(s)
+    for k, rows in enumerate((revisions.revision_row(s, 1, RULES[:2], dt.datetime(2030, 1, 1)), files.where("id % 3 > 0"), revisions.revision_row(s, 2, RULES, dt.datetime(2030, 1, 3)), files.where("id % 3 = 0"), revisions.revision_row(s, 1, [], dt.datetime(2030, 1, 5)))):
+        rows.coalesce(1).write.mode("append").parquet(f"{where}/in")
+        revisions.replay(s.readStream.schema(revisions.ROWS).parquet(f"{where}/in"), f"{where}/out", f"{where}/at", 8).awaitTermination()
+    told = revisions.last_decisions(s.read.schema(revisions.OUT).parquet(f"{where}/out"))
+    ids = view(s, d, "inbox").select("id", "path")
+    return told.join(ids, "path").select("id", "status", "error", "rule_id", "destination", "date_source", F.col("date_used").cast("date").alias("date_used"))
