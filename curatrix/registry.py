@@ -141,15 +141,18 @@ def _boosted(v: DataFrame) -> DataFrame:
 
 
 simple("p16_boost_scores", "media", _boosted, "SELECT id, t.category, round(t.score + CASE WHEN t.category = 'screenshots' AND id % 3 >= 1 THEN 0.04 WHEN t.category = 'documents' AND id % 2 = 1 THEN 0.035 WHEN t.category = 'memes' AND id % 3 = 0 AND id % 2 = 0 THEN 0.03 ELSE 0 END, 6) AS score FROM media, (VALUES ('screenshots', 0.2::DOUBLE), ('documents', 0.3::DOUBLE), ('memes', 0.25::DOUBLE), ('other', 0.9::DOUBLE)) t(category, score)")
-simple("p17_image_views", "inbox", lambda v: v.select("id", F.size(scalars.image_views((F.col("id") % 1000 + 1), F.lit(500))).cast("long").alias("views")),
-       "SELECT id, CAST(CASE WHEN greatest(id % 1000 + 1, 500) * 100 < least(id % 1000 + 1, 500) * 112 THEN 1 WHEN greatest(id % 1000 + 1, 500) * 100 >= least(id % 1000 + 1, 500) * 180 THEN 4 ELSE 2 END AS BIGINT) AS views FROM inbox")
-simple("p18_frame_times", "inbox", lambda v: v.select("id", F.round(scalars.frame_times(F.when(F.col("id") % 4 == 0, -1.0).otherwise(F.col("size") / 100.0))[2], 4).alias("last")),
-       "SELECT id, round(CASE WHEN id % 4 = 0 THEN 2.0::DOUBLE ELSE 0.9::DOUBLE * (size / 100.0::DOUBLE) END, 4) AS last FROM inbox")
+simple("p17_image_views", "inbox", lambda v: v.select("id", F.posexplode(scalars.image_views((F.col("id") % 1000 + 1), F.lit(500))).alias("view", "v")).select("id", "view", "v.*"),
+       "SELECT id, view, CASE view WHEN 0 THEN NULL WHEN 1 THEN (w - edge) // 2 WHEN 2 THEN 0 ELSE w - edge END::INT AS x, CASE view WHEN 0 THEN NULL WHEN 1 THEN (500 - edge) // 2 WHEN 2 THEN 0 ELSE 500 - edge END::INT AS y, CASE WHEN view > 0 THEN edge END::INT AS edge FROM (SELECT id, w, least(w, 500) AS edge, unnest(range(CASE WHEN greatest(w, 500) * 100 < least(w, 500) * 112 THEN 1 WHEN greatest(w, 500) * 100 >= least(w, 500) * 180 THEN 4 ELSE 2 END))::INT AS view FROM (SELECT id, id % 1000 + 1 AS w FROM inbox))")
+simple("p18_frame_times", "inbox", lambda v: v.select("id", F.posexplode(scalars.frame_times(F.when(F.col("id") % 4 == 0, -1.0).when(F.col("id") % 4 == 1, None).otherwise(F.col("size") / 100.0))).alias("frame", "s")).select("id", "frame", F.round("s", 4).alias("second")),
+       "SELECT id, frame::INT AS frame, round(CASE WHEN id % 4 < 2 THEN frame::DOUBLE ELSE [0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE][frame + 1] * (size / 100.0::DOUBLE) END, 4) AS second FROM (SELECT id, size, unnest(range(3)) AS frame FROM inbox)")
 simple("p19_settings_key", "media", lambda v: v.select("id", F.min("id").over(Window.partitionBy(scalars.settings_key(F.lit("m1"), F.struct((F.col("id") % 3).alias("sensitivity")), F.col("digest")))).alias("first_alike")),
        "SELECT id, min(id) OVER (PARTITION BY id % 3, digest) AS first_alike FROM media")
 simple("p20_valid_embedding", "media", lambda v: v.select("id", scalars.valid_embedding(F.col("embedding"), 64).alias("ok"), F.round(scalars.normalize(F.transform("embedding", lambda x: x * 3))[0], 5).alias("first")),
        "SELECT id, len(embedding) = 64 AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) BETWEEN 0.98 AND 1.02 AS ok, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM media")
 
+simple("p20_normalize", "media", lambda v: v.select("id", F.posexplode(scalars.normalize(F.transform("embedding", lambda x: x * 3))).alias("pos", "x")).select("id", "pos", F.round("x", 5).alias("x")),
+       "SELECT id, (unnest(range(64)))::INT AS pos, round(unnest(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 5) AS x FROM media")
+
 # ---- listing and filters
 simple("s2_list_folder", "catalog", lambda v: browse.list_folder(v, "/lib/src0/en", "/lib").select("path", "size", "root", "parent"), "SELECT path, size, '/lib' AS root, '/lib/src0' AS parent FROM catalog WHERE source = 'src0' AND lang = 'en'")
 simple("s3_scan_report_entries", "inbox", lambda v: browse.scan_report(v.select("path", scalars.media_kind(scalars.extension(_path())).alias("kind"), (F.col("id") % 9 != 0).alias("readable")), 100, 1000),
@@ -385,21 +388,24 @@ def _scored(v: DataFrame) -> DataFrame:
     return media.category_scores(v, _proto(v))
 
 
-query("a8_prototypes", f"{with_views('media')}, {PROTO_SQL} SELECT category, round(v[1], 6) AS first, round(v[64], 6) AS last FROM proto")(lambda s, d: _proto(view(s, d, "media")).select("category", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last")))
+query("a8_prototypes", f"{with_views('media')}, {PROTO_SQL} SELECT category, (unnest(range(64)))::INT AS pos, round(unnest(v), 6) AS x FROM proto")(lambda s, d: _proto(view(s, d, "media")).select("category", F.posexplode("vector").alias("pos", "x")).select("category", "pos", F.round("x", 6).alias("x")))
 SCORE_SQL = f"{with_views('media')}, {PROTO_SQL}, scored AS (SELECT id, p.category, greatest(least(list_inner_product(embedding::DOUBLE[], p.v), 1), 0) AS score FROM media, proto p)"
 query("a12_category_scores", f"{SCORE_SQL} SELECT id, category, round(score, 6) AS score FROM scored")(lambda s, d: _scored(view(s, d, "media")).select("id", F.explode("scores").alias("s")).select("id", "s.category", F.round("s.score", 6).alias("score")))
 query("a13_decide_labels", f"{SCORE_SQL}, ranked AS (SELECT id, list(category ORDER BY score DESC, category) AS c, list(score ORDER BY score DESC, category) AS s FROM scored GROUP BY id) SELECT id, CASE WHEN s[1] < 0.225 THEN 'other' ELSE array_to_string(list_slice(list_filter(c, lambda x, i: s[i] >= 0.225 AND s[i] >= s[1] - 0.025), 1, 3), ',') END AS categories, s[1] < 0.24 OR s[1] - s[2] < 0.018 AS uncertain FROM ranked")(lambda s, d: media.label(_scored(view(s, d, "media")).drop("uncertain", "category"), "balanced", CATS).select("id", F.array_join("categories", ",").alias("categories"), "uncertain"))
 query("a9_merge_view_scores", f"{SCORE_SQL} SELECT id // 4 AS file, category, round(CASE WHEN count(*) > 1 THEN 0.8 * max(score) FILTER (id % 4 = 0) + 0.1 * avg(score) FILTER (id % 4 > 0) + 0.1 * max(score) FILTER (id % 4 > 0) ELSE max(score) END, 6) AS score FROM scored GROUP BY 1, 2")(
     lambda s, d: _scored(view(s, d, "media")).select((F.col("id") / 4).cast("long").alias("file"), (F.col("id") % 4).alias("view"), F.explode("scores").alias("s")).groupBy("file", F.col("s.category").alias("category")).agg(F.max(F.when(F.col("view") == 0, F.col("s.score"))).alias("w"), F.collect_list(F.when(F.col("view") > 0, F.col("s.score"))).alias("ds")).select("file", "category", F.round(signals.merge_view_scores(F.col("w"), F.col("ds")), 6).alias("score"))
 )
-query("a10_merge_view_embeddings", f"{with_views('media')}, e AS (SELECT id // 4 AS file, id % 4 AS view, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM media), m AS (SELECT file, pos, CASE WHEN count(*) > 1 THEN 0.8 * max(x) FILTER (view = 0) + 0.2 * avg(x) FILTER (view > 0) ELSE max(x) END AS x FROM e GROUP BY 1, 2), v AS (SELECT file, list(x ORDER BY pos) AS v FROM m GROUP BY 1) SELECT file, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(v[64] / sqrt(list_inner_product(v, v)), 6) AS last FROM v")(
-    lambda s, d: media.merge_view_embeddings(view(s, d, "media").select((F.col("id") / 4).cast("long").alias("id"), (F.col("id") % 4).alias("view"), F.col("embedding").cast("array<double>").alias("vector"))).select(F.col("id").alias("file"), F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+query("a10_merge_view_embeddings", f"{with_views('media')}, e AS (SELECT id // 4 AS file, id % 4 AS view, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM media), m AS (SELECT file, pos, CASE WHEN count(*) > 1 THEN 0.8 * max(x) FILTER (view = 0) + 0.2 * avg(x) FILTER (view > 0) ELSE max(x) END AS x FROM e GROUP BY 1, 2), v AS (SELECT file, list(x ORDER BY pos) AS v FROM m GROUP BY 1) SELECT file, (unnest(range(64)))::INT AS pos, round(unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) AS x FROM v")(
+    lambda s, d: media.merge_view_embeddings(view(s, d, "media").select((F.col("id") / 4).cast("long").alias("id"), (F.col("id") % 4).alias("view"), F.col("embedding").cast("array<double>").alias("vector"))).select(F.col("id").alias("file"), F.posexplode("vector").alias("pos", "x")).select("file", "pos", F.round("x", 6).alias("x"))
 )
 DECIDED = "CASE WHEN s[1] < 0.225 THEN 'other' ELSE array_to_string(list_slice(list_filter(c, lambda x, i: s[i] >= 0.225 AND s[i] >= s[1] - 0.025), 1, 3), ',') END"
 FRAMES_SQL = f"{SCORE_SQL}, each AS (SELECT id, {DECIDED} AS chosen FROM (SELECT id, list(category ORDER BY score DESC, category) AS c, list(score ORDER BY score DESC, category) AS s FROM scored GROUP BY id)), top AS (SELECT id // 3 AS id, category, max(score) AS score FROM scored GROUP BY 1, 2), ranked AS (SELECT id, list(category ORDER BY score DESC, category) AS c, list(score ORDER BY score DESC, category) AS s FROM top GROUP BY id), total AS (SELECT id, sqrt(sum(x * x)) AS norm, max(x) FILTER (pos = 1) AS x FROM (SELECT id // 3 AS id, pos, sum(x) AS x FROM (SELECT id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM media) GROUP BY 1, 2) GROUP BY id)"
 query("a11_merge_video_frames", f"{FRAMES_SQL} SELECT id, {DECIDED} AS categories, s[1] < 0.24 OR s[1] - s[2] < 0.018 OR id IN (SELECT id // 3 FROM each GROUP BY 1 HAVING count(DISTINCT chosen) > 1) AS uncertain, round(x / norm, 5) AS first FROM ranked JOIN total USING (id)")(
     lambda s, d: media.merge_video_frames(_scored(view(s, d, "media")).select((F.col("id") / 3).cast("long").alias("id"), (F.col("id") % 3).alias("frame"), "scores", "embedding"), "balanced", CATS).select("id", F.array_join("categories", ",").alias("categories"), "uncertain", F.round(F.col("embedding")[0], 5).alias("first"))
 )
+query("a11_merge_video_vectors", f"{with_views('media')}, e AS (SELECT id // 3 AS id, generate_subscripts(embedding, 1)::INT AS pos, unnest(embedding)::DOUBLE AS x FROM media), m AS (SELECT id, pos, sum(x) AS x FROM e GROUP BY 1, 2) SELECT id, pos - 1 AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 5) AS x FROM m")(
+    lambda s, d: media.merge_video_frames(_scored(view(s, d, "media")).select((F.col("id") / 3).cast("long").alias("id"), (F.col("id") % 3).alias("frame"), "scores", "embedding"), "balanced", CATS).select("id", F.posexplode("embedding").alias("pos", "x")).select("id", "pos", F.round("x", 5).alias("x"))
+)
 simple("j6_apply_corrections", "media", lambda v: media.apply_corrections(v.withColumn("categories", F.array("category")), v.where("id % 10 = 0").select("digest", F.array(F.lit("memes")).alias("categories")).distinct()).select("id", F.array_join("categories", ",").alias("categories"), "corrected", "uncertain"),
        "SELECT id, CASE WHEN c THEN 'memes' ELSE category END AS categories, c AS corrected, uncertain AND NOT c AS uncertain FROM (SELECT *, digest IN (SELECT digest FROM media WHERE id % 10 = 0) AS c FROM media)")
 # The newest examples of one model and mode teach by the production thresholds; the media are the same vectors, so that an example's own row is taught.
