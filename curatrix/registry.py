@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import names, scalars, signals, types
-from curatrix.operators import browse, dedup, journal, media, rules
+from curatrix.operators import browse, dedup, journal, media, rules, stores
 from curatrix.plans import resolve
+from curatrix.sources import catalog, heads
 from curatrix.streaming import revisions, stable
 from curatrix.views import view, with_views
 
@@ -210,6 +211,33 @@ simple("u6_set_corrections_taught", "media", lambda v: media.set_corrections(v.w
 simple("u7_clear_corrections", "media", lambda v: media.clear_corrections(v.withColumns({"baseline": F.struct(F.array("category").alias("categories"), F.col("uncertain").alias("uncertain")), "categories": F.array(F.lit("people"))})).select("id", F.col("categories")[0].alias("category"), "uncertain", "corrected", "protected"),
        "SELECT id, category, uncertain, false AS corrected, protected FROM media")
 
+
+# ---- sources
+
+
+@query("s1_scan_catalog", "SELECT source, lang, true AS held, 'parquet' AS extension, false AS hidden FROM documents GROUP BY source, lang")
+def s1(s, d):
+    """The documents as files in a folder tree, found again by scanning it."""
+    from curatrix.operators.tables import new_folder
+
+    where = new_folder(s)
+    s.read.parquet(f"{d}/documents.parquet").select("source", "lang", "text").repartition("source", "lang").write.partitionBy("source", "lang").parquet(where)
+    found = catalog.scan_catalog(s, [where], glob="*.parquet").withColumns({c: F.regexp_extract("path", f"/{c}=([^/]+)/", 1) for c in ("source", "lang")})
+    return found.groupBy("source", "lang", "extension", "hidden").agg((F.sum("size") > 0).alias("held"))
+
+
+# Of three: a PNG, a GIF and something else; none has more than its header.
+@query("s7_image_heads", "SELECT path, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'gif' END AS format, CASE WHEN k < 2 THEN w END AS width, CASE WHEN k < 2 THEN h END AS height, CASE WHEN k = 2 THEN 'UNSUPPORTED_IMAGE' WHEN w > 16384 OR w * h > 40000000 THEN 'IMAGE_TOO_LARGE' END AS error FROM (SELECT '/m/' || vec_id AS path, vec_id % 3 AS k, vec_id * 97 % 20000 + 1 AS w, vec_id * 131 % 9000 + 1 AS h FROM embeddings)")
+def s7(s, d):
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.col("vec_id") * 97 % 20000 + 1).alias("w"), (F.col("vec_id") * 131 % 9000 + 1).alias("h"))
+    wide = lambda c: F.lpad(F.hex(c), 8, "0")
+    little = lambda c: F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.floor(c / 256)), 2, "0"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(F.col("w")), wide(F.col("h")), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little(F.col("w")), little(F.col("h")), F.lit("0000"))
+    content = F.unhex(F.when(F.col("vec_id") % 3 == 0, png).when(F.col("vec_id") % 3 == 1, gif).otherwise(F.lit("00112233445566778899AABBCC")))
+    return heads.image_heads(e.select(F.concat(F.lit("/m/"), F.col("vec_id").cast("string")).alias("path"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))).select("path", "format", "width", "height", "error")
+
+
 # ---- rules
 query("j1_match_rules", f"{with_views('inbox')}, {RULES_SQL}, {MATCHED_SQL} SELECT id, status, error, rule_id, destination, date_source, date_used FROM matched")(lambda s, d: rules.match_rules(view(s, d, "inbox"), RULES).select("id", "status", "error", "rule_id", "destination", "date_source", "date_used"))
 
@@ -284,6 +312,24 @@ SIGNED_SQL = "signed AS (SELECT *, sha256(CASE WHEN l < r THEN l || chr(10) || r
 query("j10_drop_dismissed", f"{with_views('catalog')}, {PAIRS_SQL} SELECT left_path, right_path FROM pairs WHERE left_path NOT LIKE '%/en/%' OR left_path LIKE '%/src1/%' OR right_path LIKE '%/src1/%'")(lambda s, d: dedup.drop_dismissed(_pairs(view(s, d, "catalog"), 1), _pairs(view(s, d, "catalog")).where("left_path like '%/en/%'")).select("left_path", "right_path"))
 query("j10_ignored_count", f"{with_views('catalog')}, {PAIRS_SQL} SELECT count(*) AS ignored FROM pairs WHERE left_path LIKE '%/en/%'")(lambda s, d: dedup.ignored_count(_pairs(view(s, d, "catalog")), _pairs(view(s, d, "catalog")).where("left_path like '%/en/%'")))
 query("u8_dismiss", f"{with_views('catalog')}, {PAIRS_SQL}, {SIGNED_SQL} SELECT DISTINCT signature FROM signed")(lambda s, d: dedup.dismiss(_pairs(view(s, d, "catalog")).where("left_path like '%/en/%'"), _pairs(view(s, d, "catalog"))))
+def _stored(s: SparkSession, schema: str, *changes) -> DataFrame:
+    """A store after some changes, each a version of its own."""
+    from curatrix.operators.tables import new_folder
+
+    store = stores.Store(s, new_folder(s), schema)
+    for how in changes:
+        store.change(how)
+    return store.read()[0]
+
+
+query("u5_stored_protection", f"{with_views('media')} SELECT DISTINCT digest FROM media WHERE (protected OR label = 1) AND digest NOT IN (SELECT digest FROM media WHERE label = 2)")(
+    lambda s, d: (lambda v: _stored(s, stores.MARKS, lambda r: v.where("protected").select("digest").distinct(), lambda r: media.set_protection(r, v, v.where("label = 1").select("id"), True), lambda r: media.set_protection(r, v, v.where("label = 2").select("id"), False)))(view(s, d, "media"))
+)
+query("u8_stored_dismissals", f"{with_views('catalog')}, {PAIRS_SQL}, {SIGNED_SQL} SELECT DISTINCT signature FROM signed")(
+    lambda s, d: _stored(s, stores.DISMISSED, lambda r: dedup.dismiss(r, _pairs(view(s, d, "catalog")).where("left_path like '%/en/%'")), lambda r: dedup.dismiss(r, _pairs(view(s, d, "catalog"))))
+)
+
+
 query("b5_check_retirement", f"{with_views('catalog')} SELECT path, CASE WHEN doc_id % 9 = 0 THEN 'FILE_CHANGED' WHEN digest IN (SELECT digest FROM catalog WHERE doc_id % 5 = 0 AND doc_id % 9 <> 0) THEN 'MEDIA_PROTECTED' END AS error FROM catalog")(
     lambda s, d: (lambda v: dedup.check_retirement(v.select("path"), v.where("doc_id % 9 <> 0"), v.where("doc_id % 5 = 0 and doc_id % 9 <> 0").select("digest")))(view(s, d, "catalog"))
 )

@@ -4,6 +4,7 @@ Only the header is read, by seeking in the file; so an image that claims to be t
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -128,24 +129,35 @@ def _open(path: str):
     return store.open_input_file(where)
 
 
-def image_heads(files: DataFrame, max_pixels: int = 40_000_000, max_axis: int = 16_384, max_bytes: int = 256 << 20, max_file_bytes: int = 64 << 20) -> DataFrame:
-    """files (path, size): path, format, width, height, decoded_bytes and error: IMAGE_TOO_LARGE by the file's size (it isn't opened then), or by
-    what its header claims; UNSUPPORTED_IMAGE where it has no header that is known. No image is decoded."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path in batch.column(0).to_pylist():
-                try:
-                    with _open(path) as f:
-                        rows.append((path, *image_head(f)))
-                except OSError:
-                    rows.append((path, None, None, None, None))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "format", "width", "height", "decoded_bytes"])
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["path", "format", "width", "height", "decoded_bytes"])
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path in batch.column(0).to_pylist():
+            try:
+                with _open(path) as f:
+                    rows.append((path, *image_head(f)))
+            except OSError:
+                rows.append((path, None, None, None, None))
+        yield _told(rows)
+
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _told([(path, *image_head(io.BytesIO(content.as_py() or b""))) for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)])
+
+
+def image_heads(files: DataFrame, max_pixels: int = 40_000_000, max_axis: int = 16_384, max_bytes: int = 256 << 20, max_file_bytes: int = 64 << 20) -> DataFrame:
+    """files (path, size, perhaps content): path, format, width, height, decoded_bytes and error: IMAGE_TOO_LARGE by the file's size (it isn't
+    opened then), or by what its header claims; UNSUPPORTED_IMAGE where it has no header that is known. No image is decoded, and without a
+    column of contents no more of a file is read than its header."""
     long = F.coalesce(F.col("size") > max_file_bytes, F.lit(False))
-    heads = files.where(~long).select("path").mapInArrow(run, HEADS)
+    rows = files.where(~long)
+    heads = rows.select("path", "content").mapInArrow(_contents, HEADS) if "content" in files.columns else rows.select("path").mapInArrow(_files, HEADS)
     none = (F.col("width") == 0) | (F.col("height") == 0)
     big = none | (F.greatest("width", "height") > max_axis) | (F.col("width").cast("decimal(20,0)") * F.col("height") > max_pixels) | (F.col("decoded_bytes") > max_bytes)
     told = heads.withColumn("error", F.when(F.col("format").isNull(), "UNSUPPORTED_IMAGE").when(big, "IMAGE_TOO_LARGE"))
