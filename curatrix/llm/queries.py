@@ -144,5 +144,28 @@ WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coales
            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q)
 SELECT lang, source, part, item, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200"""
 
+# Each rule's matches with what is between them; a match starts after all that is before it, in code points.
+_SECRETS = (
+    ("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("webtoken", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+)
+
+
+def _secrets_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{kind}' AS kind, regexp_extract_all(t, {quoted(p)}) AS m, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}, {group}) AS told, {least} AS least FROM d" for k, (kind, p, group, least) in enumerate(_SECRETS))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     f AS ({found}),
+     r AS (SELECT doc_id, k, kind, least, m, unnest(m) AS own, unnest(g[1:len(m)]) AS gap, unnest(told) AS told, unnest(range(len(m))) AS i FROM f WHERE len(m) > 0),
+     p AS (SELECT *, sum(length(gap) + length(own)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM r),
+     s AS (SELECT doc_id, k, kind, stop, kind || ':' || (stop - length(own))::BIGINT || ':' || stop::BIGINT AS says, stop - length(own) AS start FROM p WHERE length(told) >= least),
+     a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(says, ',' ORDER BY start, k) FILTER (k < 3) AS base, string_agg(says, ',' ORDER BY start, k) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
 # The others are held against brute force, round trips or held-out rows in tests/llm: what they give, SQL can't tell.
-ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op9_jaccard": JACCARD_SQL, "op10_neighbours": NEIGHBOURS_SQL, "op11_merkle": _merkle_sql(), "op13_divergence": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op3_warc": WARC_SQL, "op5_secrets": _secrets_sql(), "op9_jaccard": JACCARD_SQL, "op10_neighbours": NEIGHBOURS_SQL, "op11_merkle": _merkle_sql(), "op13_divergence": DIVERGENCE_SQL}
