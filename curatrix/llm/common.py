@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,16 +55,22 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, kept)
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, which then gives the memory that it has freed back to the system: Python workers are kept for later tasks."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return wrapped
 
@@ -73,6 +80,7 @@ def cut(df: DataFrame) -> DataFrame:
     where = shared_folder(df.sparkSession)
     with small_batches(df.sparkSession):
         df.write.parquet(where)
+    give_back()  # a driver that has fitted a model holds its sample's memory else
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
