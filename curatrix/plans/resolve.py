@@ -88,7 +88,7 @@ def _folder_places(tree: DataFrame, sources: DataFrame, destination: str, policy
     asked = plan_counter(top.join(folders, "_key", "left_semi").select("_key", "root", "place"), "root", "seq")
     held = destination_conflicts(asked.drop("_key").withColumn("destination", F.col("place")), library).where("conflict").select(path_key(F.col("root")).alias("_key"), "seq", F.col("place").alias("target"))
     if policy == "keep-both":
-        free = held.join(available_names(held.select("target", "seq"), library.select("path").union(asked.select("place"))), ["target", "seq"]).select("_key", F.col("available").alias("_new"), F.col("error").alias("_why"))
+        free = held.join(available_names(held.select("target", "seq"), library.select("path").union(asked.select("place"))), ["target", "seq"]).select("_key", F.col("available").alias("_new"), none.alias("_why"))
     else:
         free = held.select("_key", none.alias("_new"), F.lit("skip" if policy == "skip" else "FOLDER_CONFLICT").alias("_why"))
     return top.join(free, "_key", "left").select("root", "_key", F.coalesce("_new", "place").alias("place"), F.col("_why").alias("_held"))

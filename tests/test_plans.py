@@ -152,3 +152,10 @@ def test_headers_and_presets_of_transfers(spark):
     library = spark.createDataFrame([("/t/a/q 1970-01-02 01.txt", "d9"), ("/t/z", "d2")], "path string, digest string")
     done = {r["path"]: (r["target"], r["action"], r["conflict"]) for r in resolve.resolve_transfer(steps, files, library, "keep-both").where("phase = 1 and error is null").collect()}
     assert done == {"/r/a/x.txt": ("/t/a/Q 1970-01-02 01 (1).txt", "copy", True), "/r/b.txt": ("/t/Q 1970-01-01 03.txt", "skip", False)}
+
+
+def test_free_names_go_on_beyond_five_digits(spark):
+    asked = spark.range(1, 100_004).select(F.lit("/t/a.txt").alias("target"), F.col("id").alias("seq"))
+    taken = spark.createDataFrame([("/t/a (99999).txt",), ("/t/a (100001).txt",)], "path string")
+    got = resolve.available_names(asked, taken).where("seq >= 99998").orderBy("seq").select("available").collect()
+    assert [r[0] for r in got] == [f"/t/a ({n}).txt" for n in (99998, 100000, 100002, 100003, 100004, 100005)]
