@@ -26,7 +26,8 @@ OPEN = ("planned", "pending", "undo-pending")
 FOLDERS = ("directory", "folder")
 STEPS = ("mkdir", "rmdir")
 LARGE_OPERATION = 10_000  # steps that one task may replay
-COMMIT = "batch string, attempt string, revision long"
+COMMIT = "batch string, attempt string, revision long, whole boolean"
+KEY = ["batch", "attempt", "revision"]
 
 
 def read_journal(items: DataFrame) -> DataFrame:
@@ -50,15 +51,38 @@ def journal_rows(plan: DataFrame, operation_id: str | None = None) -> DataFrame:
     return rows.select(own.alias("operation_id"), F.col("seq").alias("sequence"), _payload(rows).alias("payload"))
 
 
+def _last_whole(commits: DataFrame) -> DataFrame:
+    """The commits that still count: of each batch the last whole one and what came after it."""
+    whole = commits.where("whole").groupBy("batch").agg(F.max("revision").alias("_whole"))
+    return commits.join(whole, "batch", "left").where("_whole is null or revision >= _whole").drop("_whole")
+
+
+def _is_whole(spark: SparkSession, root: str, batch: str, attempt: str, revision: int) -> bool:
+    """Whether a written attempt has each of its items once, and all items of the batch's earlier revisions, which have to be there without a gap."""
+    rows = spark.read.parquet(f"{root}/items").where(F.col("batch") == batch)
+    mine = rows.where(F.col("attempt") == attempt).select("operation_id", "sequence", F.lit(1).alias("_new"))
+    if revision:
+        commits = spark.read.schema(COMMIT).json(f"{root}/commits").where((F.col("batch") == batch) & (F.col("revision") < revision))
+        if commits.count() != revision:
+            return False
+        old = rows.join(F.broadcast(_last_whole(commits).select(*KEY)), KEY, "left_semi")
+        mine = mine.unionByName(old.select("operation_id", "sequence", F.lit(0).alias("_new")))
+    return mine.groupBy("operation_id", "sequence").agg(F.sum("_new").alias("_new")).where("_new <> 1").isEmpty()
+
+
 def _commit(items: DataFrame, path: str, batch: str, revision: int) -> bool:
-    """Items (operation_id, sequence, payload) as one revision: rows first, then the record that makes them count. False, and nothing written that counts, where it is there."""
-    spark, record = items.sparkSession, f"{path.rstrip('/')}/commits/{quote(batch, safe='')}.{revision}.json"
+    """Items (operation_id, sequence, payload) as one revision: rows first, then the record that makes them count. False, and nothing written that counts, where it is there.
+
+    The record says whether the revision is whole: readers then need nothing before it."""
+    spark, root = items.sparkSession, path.rstrip("/")
+    record = f"{root}/commits/{quote(batch, safe='')}.{revision}.json"
     if recorded(spark, record):
         return False
     attempt = uuid.uuid4().hex
     rows = items.select("operation_id", F.col("sequence").cast("long").alias("sequence"), F.lit(revision).cast("long").alias("revision"), F.current_timestamp().alias("at"), "payload", F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"))
-    rows.write.mode("append").parquet(f"{path.rstrip('/')}/items")
-    return claim(spark, record, {"batch": batch, "attempt": attempt, "revision": revision})
+    rows.write.mode("append").option("compression", "zstd").parquet(f"{root}/items")
+    whole = _is_whole(spark, root, batch, attempt, revision)
+    return claim(spark, record, {"batch": batch, "attempt": attempt, "revision": revision, "whole": whole})
 
 
 def write_journal(plan: DataFrame, operation_id: str | None, path: str, batch: str | None = None) -> bool:
@@ -77,8 +101,12 @@ def update_journal(items: DataFrame, path: str, batch: str, revision: int) -> bo
 def load_journal(spark: SparkSession, path: str) -> DataFrame:
     """The last committed state of all items of a journal; what failed or repeated writers left doesn't count."""
     root = path.rstrip("/")
-    commits = spark.read.schema(COMMIT).json(f"{root}/commits")
-    rows = spark.read.parquet(f"{root}/items").join(commits, ["batch", "attempt", "revision"], "left_semi")
+    kept = _last_whole(spark.read.schema(COMMIT).json(f"{root}/commits"))
+    rows = spark.read.parquet(f"{root}/items").join(kept.select(*KEY), KEY, "left_semi")
+    # One batch, whole: each item is there once, and nothing has to be brought together.
+    told = kept.agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("whole")).first()
+    if (told["n"], told["whole"]) == (1, 1):
+        return read_journal(rows.select("operation_id", "sequence", "payload"))
     last = rows.groupBy("operation_id", "sequence").agg(F.max_by("payload", "revision").alias("payload"))
     return read_journal(last)
 

@@ -386,10 +386,11 @@ def _journalled(s: SparkSession, d: str, status) -> DataFrame:
     from curatrix.operators.tables import new_folder
 
     v, where = view(s, d, "journal"), new_folder(s)
-    plan = v.select("operation_id", F.col("sequence").alias("seq"), F.col("kind").alias("action"), "source", "destination", "bytes", "digest", "entry_kind")
+    # What the run is to make of an item is in the item from the start, in fields that it doesn't use.
+    plan = v.select("operation_id", F.col("sequence").alias("seq"), F.col("kind").alias("action"), "source", "destination", "bytes", "digest", "entry_kind", status.alias("new_value"), F.col("error").alias("old_value"))
     for _ in range(2):
         journal.write_journal(plan, None, where, "lineitem")
-    ran = journal.load_journal(s, where).drop("status", "error").join(v.select("operation_id", "sequence", status.alias("status"), "error"), ["operation_id", "sequence"])
+    ran = journal.load_journal(s, where).withColumns({"status": F.col("new_value"), "error": F.col("old_value")}).withColumns({c: F.lit(None).cast("string") for c in ("new_value", "old_value")})
     for _ in range(2):
         journal.update_journal(ran, where, "lineitem", 1)
     return journal.load_journal(s, where)

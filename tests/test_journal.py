@@ -131,3 +131,19 @@ def test_replay_and_rounds_agree_on_many_operations(spark, monkeypatch):
     monkeypatch.setattr(journal, "LARGE_OPERATION", 4)
     assert told() == replayed and rounds
     assert {r[4] for r in replayed} == {None, "FILE_CHANGED", "DESTINATION_EXISTS"}
+
+
+def test_partial_revisions_keep_the_other_items(spark, tmp_path):
+    where = f"{tmp_path}/journal"
+    plan = spark.createDataFrame([(k, "move", f"/a{k}", f"/b{k}") for k in range(4)], "seq long, action string, source string, destination string")
+    assert journal.write_journal(plan, "o", where)
+    state = lambda: {r["sequence"]: r["status"] for r in journal.load_journal(spark, where).collect()}
+    whole = lambda n: json.loads(open(f"{where}/commits/o.{n}.json").read())["whole"]
+    set_to = lambda which, status, n: journal.update_journal(journal.load_journal(spark, where).where(which).withColumn("status", F.lit(status)), where, "o", n)
+    assert set_to("sequence < 2", "pending", 1) and state() == {0: "pending", 1: "pending", 2: "planned", 3: "planned"}
+    assert set_to("true", "completed", 2) and state() == dict.fromkeys(range(4), "completed")
+    # A whole revision is read without bringing rows together; a partial one, or one after a gap, isn't whole.
+    assert "max_by" not in journal.load_journal(spark, where)._jdf.queryExecution().executedPlan().toString()
+    assert set_to("true", "undone", 4) and set_to("sequence = 3", "failed", 5) and state() == {0: "undone", 1: "undone", 2: "undone", 3: "failed"}
+    assert [whole(n) for n in (0, 1, 2, 4, 5)] == [True, False, True, False, False]
+    assert journal.write_journal(plan, "p", where) and journal.load_journal(spark, where).count() == 8
