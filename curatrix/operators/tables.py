@@ -21,7 +21,7 @@ def new_folder(spark: SparkSession) -> str:
 def materialized(df: DataFrame) -> DataFrame:
     """df as a written table."""
     where = new_folder(df.sparkSession)
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
@@ -34,7 +34,7 @@ class Grown:
         self.add(spark.createDataFrame([], self.schema))
 
     def add(self, df: DataFrame) -> None:
-        df.select(self.schema.names).write.mode("append").parquet(self.where)
+        df.select(self.schema.names).write.mode("append").option("compression", "zstd").parquet(self.where)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.where)

@@ -159,3 +159,10 @@ def test_free_names_go_on_beyond_five_digits(spark):
     taken = spark.createDataFrame([("/t/a (99999).txt",), ("/t/a (100001).txt",)], "path string")
     got = resolve.available_names(asked, taken).where("seq >= 99998").orderBy("seq").select("available").collect()
     assert [r[0] for r in got] == [f"/t/a ({n}).txt" for n in (99998, 100000, 100002, 100003, 100004, 100005)]
+
+
+def test_contents_are_carried_short(spark):
+    from curatrix.plans.waves import _contents
+
+    got = spark.createDataFrame([("ab" * 32,), ("?1",), ("AB" * 32,), ("ab" * 32,)], "digest string").select(_contents(F.col("digest"))).collect()
+    assert [len(r[0]) for r in got] == [24] * 4 and len({r[0] for r in got}) == 3
