@@ -625,8 +625,8 @@ def t3_revisions(s, d):
     files = view(s, d, "inbox").select("path", F.when(F.col("id") % 3 == 0, at(4)).otherwise(at(2)).alias("observed_at"), F.lit("ready").alias("status"), "created", "modified", "accessed", F.lit(None).cast("long").alias("revision"), F.lit(None).cast("string").alias("rules"))
     where = new_folder(s)
     for k, rows in enumerate((revisions.revision_row(s, 1, RULES[:2], dt.datetime(2030, 1, 1)), files.where("id % 3 > 0"), revisions.revision_row(s, 2, RULES, dt.datetime(2030, 1, 3)), files.where("id % 3 = 0"), revisions.revision_row(s, 1, [], dt.datetime(2030, 1, 5)))):
-        rows.coalesce(1).write.mode("append").parquet(f"{where}/in")
-        revisions.replay(s.readStream.schema(revisions.ROWS).parquet(f"{where}/in"), f"{where}/out", f"{where}/at", 8).awaitTermination()
+        rows.write.mode("append").parquet(f"{where}/in")
+        revisions.replay(s.readStream.schema(revisions.ROWS).parquet(f"{where}/in"), f"{where}/out", f"{where}/at").awaitTermination()
     told = revisions.last_decisions(s.read.schema(revisions.OUT).parquet(f"{where}/out"))
     ids = view(s, d, "inbox").select("id", "path")
     return told.join(ids, "path").select("id", "status", "error", "rule_id", "destination", "date_source", F.col("date_used").cast("date").alias("date_used"))
