@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from curatrix.functions.scalars import stem, validate_name
+from curatrix.functions.scalars import once, stem, validate_name
 
 DATES = {"yyyy-MM-dd": "yyyy-MM-dd", "yyyyMMdd": "yyyyMMdd", "yyyy-MM": "yyyy-MM", "dd-MM-yyyy": "dd-MM-yyyy"}
 CASES = ("original", "lower", "upper", "title")
@@ -100,7 +100,7 @@ def render_name(preset: Preset, name: Column, period: Column, day: Column, count
     if preset.space_replacement != "keep":
         out = F.translate(out, " ", "-" if preset.space_replacement == "dash" else "_")
     own = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
-    return F.when(out != "", F.concat(out, own))
+    return once(out, lambda made: F.when(made != "", F.concat(made, own)))
 
 
 def name_error(new_name: Column) -> Column:

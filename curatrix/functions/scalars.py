@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,13 @@ VIDEO_EXTENSIONS = "mp4 mov mkv avi webm m4v mpg mpeg mts m2ts 3gp wmv".split()
 TEMPORARY = "part partial crdownload download tmp".split()
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def slashed(path: Column) -> Column:
-    return F.translate(path, "\\", "/")
+    return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
 def path_key(path: Column) -> Column:
@@ -41,8 +48,7 @@ def file_name(path: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """The name up to its last dot; a name whose only dot leads is all stem."""
-    n = file_name(path)
-    return F.when(n.rlike(r"^.+\.[^.]*$"), F.regexp_extract(n, r"^(.+)\.[^.]*$", 1)).otherwise(n)
+    return F.regexp_replace(file_name(path), r"^(.+)\.[^.]*$", "$1")
 
 
 def extension(path: Column) -> Column:
@@ -64,9 +70,13 @@ def relative_path(path: Column, root: Column) -> Column:
 
 def ancestors(path: Column, itself: bool = True) -> Column:
     """The path's prefixes by component, outermost first: for equi-joins in place of prefix joins."""
-    parts = F.array_remove(F.split(slashed(path), "/"), "")
-    n = F.size(parts) - (0 if itself else 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def prefixes(parts: Column) -> Column:
+        n = F.size(parts) - (0 if itself else 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(none)
+
+    return once(F.array_remove(F.split(slashed(path), "/"), ""), prefixes)
 
 
 def breadcrumbs(path: Column, root: Column) -> Column:

@@ -63,14 +63,16 @@ def assign_presets(files: DataFrame, rule_presets: dict[str, str], default_id: s
 
 
 def plan_counter(items: DataFrame, order: str | list = "path", name: str = "counter") -> DataFrame:
-    """Position in the order (columns or sort expressions), without one task for all rows: range partitions, their sizes as offsets, row numbers within."""
+    """Position in the order (columns or sort expressions), without one task for all rows: range partitions, written in order with each row's place in its own, and their sizes as offsets."""
     from curatrix.operators.tables import materialized
 
     order = [order] if isinstance(order, str) else order
-    parted = materialized(items.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    # monotonically_increasing_id: the partition's number above 33 bits, the row's place in it below.
+    parted = items.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    parted = materialized(parted.withColumns({"_part": F.shiftright("_row", 33), "_row": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row per partition
-    return parted.join(F.broadcast(offsets), "_part").withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")).drop("_part", "_before")
+    return parted.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_row") + 1 + F.col("_before")).drop("_part", "_row", "_before")
 
 
 def inbox_counts(inbox: DataFrame) -> DataFrame:

@@ -176,3 +176,29 @@ def test_a_suffixed_name_may_end_like_another(spark):
     assert {r["path"]: tuple(r["s"]) if r["s"] else None for r in got} == names
     asked = spark.createDataFrame([("/t/a.b (2)", 1)], "target string, seq long")
     assert resolve.available_names(asked, spark.createDataFrame([("/t/a (1).b (2)",)], "path string")).first()["available"] == "/t/a (2).b (2)"
+
+
+def test_names_are_made_once_a_row(spark):
+    from curatrix.functions.names import render_name
+    from curatrix.functions.scalars import ancestors
+
+    made = render_name(Preset("p", "P", "{period} {name} {counter:00}", "lower", "dash"), F.col("name"), F.lit("Q"), F.lit(None).cast("date"), F.lit(7))
+    assert str(made).count("Q") == 1 and str(ancestors(F.col("path"))).count("split") == 1
+    got = spark.createDataFrame([("A\\b.c.TXT",), (".x",), ("no",), (None,)], "name string").select(made.alias("n")).collect()
+    assert [r["n"] for r in got] == ["q-b.c-07.TXT", "q-.x-07", "q-no-07", None]
+
+
+def test_places_need_no_second_shuffle_of_the_rows(spark):
+    from curatrix.operators.rules import plan_counter
+
+    got = plan_counter(spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("at").alias("_at")), "k", "n")
+    assert "Window [row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("n <> k + 1").isEmpty() and got.count() == 5000
+
+
+def test_plans_without_overrides_join_none(spark, monkeypatch):
+    from curatrix.plans import waves
+
+    monkeypatch.setattr(waves, "apply_resolutions", None)
+    items = spark.createDataFrame([(1, "/a", "/t/a", "d"), (2, "/b", "/t/b", "d")], "seq long, source string, destination string, digest string")
+    assert sorted(r["action"] for r in waves.resolve_items(items, spark.createDataFrame([], "path string, digest string")).collect()) == ["move", "skip"]
