@@ -98,7 +98,7 @@ def render_name(preset: Preset, name: Column, period: Column, day: Column, count
         out = F.regexp_replace(out, r"\s+", " ")
     out = F.regexp_replace(F.trim(out), r"\.+$", "")
     if preset.space_replacement != "keep":
-        out = F.translate(out, " ", "-" if preset.space_replacement == "dash" else "_")
+        out = F.replace(out, F.lit(" "), F.lit("-" if preset.space_replacement == "dash" else "_"))
     own = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
     return once(out, lambda made: F.when(made != "", F.concat(made, own)))
 

@@ -213,5 +213,5 @@ def utf16_length(text: Column) -> Column:
 def validate_name(name: Column) -> Column:
     """INVALID_NAME, or null where the name can be a file's on all systems."""
     base = F.upper(F.substring_index(name, ".", 1))
-    bad = (name == "") | name.isin(".", "..") | (utf16_length(name) > 240) | name.rlike(r"[ .]$") | name.rlike(r"[\x00-\x1f\x7f<>:\"/\\|?*]") | base.rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$")
+    bad = (name == "") | name.isin(".", "..") | (utf16_length(name) > 240) | name.rlike(r"[ .]$|[\x00-\x1f\x7f<>:\"/\\|?*]") | (F.length(base) <= 5) & base.rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$")
     return F.when(bad | name.isNull(), "INVALID_NAME")

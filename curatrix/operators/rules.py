@@ -26,10 +26,19 @@ class DateRule:
 RULE_SCHEMA = "id string, name string, start_date string, end_date string, destination string, date_source string, enabled boolean"
 
 
-def rule_hits(rules: list[DateRule], created: Column, modified: Column, accessed: Column) -> Column:
-    """The enabled rules whose own date source falls within their inclusive days, as an array: no join, no shuffle."""
-    table = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.start_date).cast("date").alias("first"), F.lit(r.end_date).cast("date").alias("last"), F.lit(r.destination).alias("destination"), F.lit(r.date_source).alias("source")) for r in rules if r.enabled])
-    return F.filter(table, lambda r: F.coalesce(selected_date(r["source"], created, modified, accessed).between(r["first"], r["last"]), F.lit(False)))
+def _sum(terms: list[Column]) -> Column:
+    """Their sum, halves first: as deep as the logarithm of their number."""
+    half = len(terms) // 2
+    return _sum(terms[:half]) + _sum(terms[half:]) if half else terms[0]
+
+
+def rule_hit(rules: list[DateRule], created: Column, modified: Column, accessed: Column) -> tuple[Column, Column]:
+    """How many enabled rules have their own date source within their inclusive days, and the first of them: no join, no shuffle, a comparison of days for each rule."""
+    days = {"created": created, "modified": modified, "accessed": accessed}
+    on = [r for r in rules if r.enabled]
+    within = [F.coalesce(days[r.date_source].between(F.lit(r.start_date).cast("date"), F.lit(r.end_date).cast("date")), F.lit(False)) if r.date_source in days else F.lit(False) for r in on]
+    table = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.name).alias("name"), F.lit(r.destination).alias("destination"), F.lit(r.date_source).alias("source")) for r in on])
+    return _sum([w.cast("int") for w in within]), F.get(table, F.coalesce(*[F.when(w, k) for k, w in enumerate(within)]))
 
 
 def match_rules(files: DataFrame, rules: list[DateRule]) -> DataFrame:
@@ -37,11 +46,11 @@ def match_rules(files: DataFrame, rules: list[DateRule]) -> DataFrame:
     if not any(r.enabled for r in rules):
         none = F.lit(None).cast("string")
         return files.select("*", F.lit("needs-review").alias("status"), none.alias("error"), none.alias("rule_id"), none.alias("rule_name"), none.alias("destination"), none.alias("date_source"), F.lit(None).cast("date").alias("date_used"))
-    hits = files.withColumn("_hits", rule_hits(rules, F.col("created"), F.col("modified"), F.col("accessed")))
-    one = F.size("_hits") == 1
-    hit = F.col("_hits")[0]
-    out = hits.withColumns({"status": F.when(one, "matched").otherwise("needs-review"), "error": F.when(F.size("_hits") > 1, "MULTIPLE_RULE_MATCHES"), "rule_id": F.when(one, hit["id"]), "rule_name": F.when(one, hit["name"]), "destination": F.when(one, hit["destination"]), "date_source": F.when(one, hit["source"])})
-    return out.withColumn("date_used", selected_date(F.col("date_source"), F.col("created"), F.col("modified"), F.col("accessed"))).drop("_hits")
+    number, first = rule_hit(rules, F.col("created"), F.col("modified"), F.col("accessed"))
+    hits = files.withColumns({"_hits": number, "_hit": first})
+    one, hit = F.col("_hits") == 1, F.col("_hit")
+    out = hits.withColumns({"status": F.when(one, "matched").otherwise("needs-review"), "error": F.when(F.col("_hits") > 1, "MULTIPLE_RULE_MATCHES"), "rule_id": F.when(one, hit["id"]), "rule_name": F.when(one, hit["name"]), "destination": F.when(one, hit["destination"]), "date_source": F.when(one, hit["source"])})
+    return out.withColumn("date_used", selected_date(F.col("date_source"), F.col("created"), F.col("modified"), F.col("accessed"))).drop("_hits", "_hit")
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:

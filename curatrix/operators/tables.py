@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -30,11 +32,35 @@ class Grown:
 
     def __init__(self, spark: SparkSession, schema: str) -> None:
         self.spark, self.where = spark, new_folder(spark)
-        self.schema = spark.createDataFrame([], schema).schema
-        self.add(spark.createDataFrame([], self.schema))
+        self.schema = StructType.fromDDL(schema)
+        self.add(spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]))  # no Python worker is started for no rows
 
     def add(self, df: DataFrame) -> None:
         df.select(self.schema.names).write.mode("append").option("compression", "zstd").parquet(self.where)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.where)
+
+
+class Ended:
+    """A table of rows that a loop is done with. Each turn parts its rows in one write: those that are done stay where they were written."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.where, self.turn = spark, new_folder(spark), 0
+        self.schema = StructType.fromDDL(schema)
+
+    def part(self, df: DataFrame) -> DataFrame:
+        """The rows of df (with the column done) that aren't done, as a table."""
+        self.turn += 1
+        df.write.partitionBy("done").option("compression", "zstd").parquet(self._folder())
+        return self.spark.read.schema(df.schema).parquet(self._folder()).where("not done").drop("done")
+
+    def add(self, df: DataFrame) -> None:
+        """More rows that are done, of the same turn."""
+        df.select(self.schema.names).write.mode("append").option("compression", "zstd").parquet(f"{self._folder()}/done=true")
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema, StructField("turn", IntegerType()), StructField("done", BooleanType())])).parquet(self.where).where("done").select(self.schema.names)
+
+    def _folder(self) -> str:
+        return f"{self.where}/turn={self.turn}"

@@ -202,3 +202,34 @@ def test_plans_without_overrides_join_none(spark, monkeypatch):
     monkeypatch.setattr(waves, "apply_resolutions", None)
     items = spark.createDataFrame([(1, "/a", "/t/a", "d"), (2, "/b", "/t/b", "d")], "seq long, source string, destination string, digest string")
     assert sorted(r["action"] for r in waves.resolve_items(items, spark.createDataFrame([], "path string, digest string")).collect()) == ["move", "skip"]
+
+
+def test_copies_wait_without_being_carried(spark, monkeypatch):
+    """Of 1,000 items with the same contents one can be decided first: a wave writes no table of the others, and where no name is asked for no suffixes are read."""
+    from curatrix.plans import waves
+
+    items = spark.range(1000).select(F.col("id").alias("seq"), F.concat(F.lit("/s/"), "id").alias("source"), F.concat(F.lit("/t/"), "id").alias("destination"), F.lit("same").alias("digest"))
+    ready, table, sizes, inside = waves._ready, waves.materialized, [], []
+
+    def counted(df):
+        out = table(df)
+        if inside:
+            sizes.append(out.count())
+        return out
+
+    def watched(rows):
+        inside.append(1)
+        try:
+            return ready(rows)
+        finally:
+            inside.pop()
+
+    def never(taken):
+        raise AssertionError("suffixes are read")
+
+    monkeypatch.setattr(waves, "materialized", counted)
+    monkeypatch.setattr(waves, "_ready", watched)
+    monkeypatch.setattr(waves, "numbered", never)
+    got = waves.resolve_items(items, spark.createDataFrame([], "path string, digest string")).collect()
+    assert sorted(r["seq"] for r in got if r["action"] == "move") == [0] and len(got) == 1000
+    assert sizes and max(sizes) <= 1
