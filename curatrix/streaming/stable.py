@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,9 @@ from curatrix.functions.scalars import file_name, is_temporary
 STABLE_SECONDS = 3
 MAX_RETRIES = 8
 STATUS = "path string, observed_at timestamp, status string, retries int, error string"
-STATE = "size long, modified_at long, since timestamp, last timestamp, retries int, done boolean"
+BUCKETS = 1024  # of paths: a call of the stream's step costs some 15 ms, whatever it is given
+READ = ["path", "at", "size", "modified_at", "locked", "present", "temporary", "retry"]
+STATE = "files string"  # as JSON, by path: size, modified_at, since, last, retries, done
 
 
 def stable_files(observations: DataFrame, stable_seconds: int = STABLE_SECONDS, max_retries: int = MAX_RETRIES, watermark: str = "10 minutes") -> DataFrame:
@@ -23,52 +26,69 @@ def stable_files(observations: DataFrame, stable_seconds: int = STABLE_SECONDS,
     A new stamp restarts the timer; after stable_seconds without change a file that isn't temporary is ready at its first
     unlocked reading, and failed at its max_retries-th locked one. present = false ends the path's state, and so does the
     watermark. Observations older than the state's last are late and dropped. A row with retry = true (an optional column) is a
-    control row: a failed path waits again from then on, with no retries counted; for others it says nothing."""
+    control row: a failed path waits again from then on, with no retries counted; for others it says nothing.
+
+    Paths are dealt to BUCKETS, whose state holds them: a batch costs its rows and the buckets that these are in."""
     temporary = is_temporary(file_name(F.col("path")))
     control = F.coalesce(F.col("retry"), F.lit(False)) if "retry" in observations.columns else F.lit(False)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        files = json.loads(state.get[0]) if state.exists else {}
+        seen, out = set(), []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values("at", kind="stable")
+            for path, *r in zip(*[rows[c].tolist() for c in READ], strict=True):
+                seen.add(path)
+                held = follow(files.get(path), path, *r, out)
+                if held is None:
+                    files.pop(path, None)
+                else:
+                    files[path] = held
+        now = state.getCurrentWatermarkMs()
+        for path in [p for p, held in files.items() if p not in seen and ends(held) < now]:
+            del files[path]
+        if files:
+            state.update((json.dumps(files),))
+            state.setTimeoutTimestamp(max(now, min(ends(held) for held in files.values())))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("observed_at")
-        held, out = (list(state.get) if state.exists else None), []
-        for r in rows.itertuples():
-            if r.retry:
-                if held and held[5] and held[4] >= max_retries:
-                    held[2:] = [r.observed_at, r.observed_at, 0, False]
-                    out.append((key[0], r.observed_at, "waiting", 0, None))
-                continue
-            if held and r.observed_at < held[3]:
-                continue
-            if not r.present:
-                held = None
-                continue
-            if held is None or (held[0], held[1]) != (r.size, r.modified_at):
-                held = [r.size, r.modified_at, r.observed_at, r.observed_at, 0, False]
-                out.append((key[0], r.observed_at, "detected", 0, None))
-                continue
-            held[3] = r.observed_at
-            if held[5] or r.temporary or (r.observed_at - held[2]).total_seconds() < stable_seconds:
-                continue
-            if not r.locked:
-                held[5] = True
-                out.append((key[0], r.observed_at, "ready", held[4], None))
-            else:
-                held[4] += 1
-                if held[4] >= max_retries:
-                    held[5] = True
-                    out.append((key[0], r.observed_at, "failed", held[4], "FILE_LOCKED"))
-        if held is None:
-            if state.exists:
-                state.remove()
+        yield pd.DataFrame(out, columns=["path", "at", "status", "retries", "error"])
+
+    def ends(held: list) -> int:
+        return held[3] // 1000 + 86_400_000
+
+    def follow(held: list | None, path: str, at: int, size: str, modified_at: str, locked: bool, present: bool, temporary: bool, retry: bool, out: list) -> list | None:
+        """A path's state (size, modified_at, since, last, retries, done) after an observation; what it changes is added to out."""
+        if retry:
+            if held and held[5] and held[4] >= max_retries:
+                held = [*held[:2], at, at, 0, False]
+                out.append((path, at, "waiting", 0, None))
+            return held
+        if held and at < held[3]:
+            return held
+        if not present:
+            return None
+        if held is None or held[:2] != [size, modified_at]:
+            out.append((path, at, "detected", 0, None))
+            return [size, modified_at, at, at, 0, False]
+        held[3] = at
+        if held[5] or temporary or at - held[2] < stable_seconds * 1_000_000:
+            return held
+        if not locked:
+            held[5] = True
+            out.append((path, at, "ready", held[4], None))
         else:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(int(pd.Timestamp(held[3]).timestamp() * 1000) + 86_400_000)
-        yield pd.DataFrame(out, columns=["path", "observed_at", "status", "retries", "error"])
-
-    rows = observations.withColumns({"temporary": temporary, "retry": control}).withWatermark("observed_at", watermark)
-    return rows.groupBy("path").applyInPandasWithState(step, STATUS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+            held[4] += 1
+            if held[4] >= max_retries:
+                held[5] = True
+                out.append((path, at, "failed", held[4], "FILE_LOCKED"))
+        return held
+
+    bucket = F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    stamp = [F.col(c).cast("string").alias(c) for c in ("size", "modified_at")]
+    rows = observations.withWatermark("observed_at", watermark).select(bucket, "path", "observed_at", F.unix_micros("observed_at").alias("at"), *stamp, "locked", "present", temporary.alias("temporary"), control.alias("retry"))
+    told = rows.groupBy("bucket").applyInPandasWithState(step, "path string, at long, status string, retries int, error string", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select("path", F.timestamp_micros("at").alias("observed_at"), "status", "retries", "error")
 
 
 def stable_files_batch(observations: DataFrame, stable_seconds: int = STABLE_SECONDS, max_retries: int = MAX_RETRIES) -> DataFrame:
