@@ -101,7 +101,7 @@ def plan_transfer(tree: DataFrame, sources: DataFrame, destination: str, mode: s
     is in the library (path) or claimed by a source before it is skipped with all it holds, gets a free suffix (keep-both), or
     is a FOLDER_CONFLICT (replace). With a preset each file gets a new name from its own name, `period`, the day of tree's modified_at
     (none: INVALID_DATE) and its place among the files in order of path. Files' conflicts are for resolve_transfer."""
-    top = _folder_places(tree, sources, destination, policy, library)
+    top = materialized(_folder_places(tree, sources, destination, policy, library))
     kept = ["path", "is_dir", *(["modified_at"] if preset else [])]
     within = tree.select(*kept, F.explode(ancestors(path_key(F.col("path")))).alias("_key")).join(top, "_key")
     rows = within.withColumn("target", F.concat("place", F.substring(F.col("path"), F.length("root") + 1, F.length("path")))).withColumn("_wrong", F.lit(None).cast("string"))
@@ -129,6 +129,7 @@ def plan_transfer(tree: DataFrame, sources: DataFrame, destination: str, mode: s
 def resolve_transfer(steps: DataFrame, files: DataFrame, library: DataFrame, policy: str = "skip", duplicate_action: str = "skip", overrides: DataFrame | None = None) -> DataFrame:
     """steps (of plan_transfer) with their files resolved against the library: files (path, digest) in order of path. Backups come with
     the files' phase. Steps with an error stay as they are."""
+    steps = materialized(steps)
     own = steps.where("phase = 1 and error is null")
     items = materialized(plan_counter(own.select(F.col("path").alias("source"), F.col("target").alias("destination"), F.col("action").alias("_mode")).join(files.select(F.col("path").alias("source"), "digest"), "source", "left"), "source", "seq"))
     plan = _resolved(items, library, policy, duplicate_action, overrides).join(items.select("seq", "_mode"), "seq")
