@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,12 @@ MAX_FULL = 200
 BANDS = 5  # of the dhash's bits
 BANDED_ROWS = 4096
 MOST_REACH = 4  # bits that a band may differ in
+PART_ROWS = 1 << 18  # of a block, that meet another part's in one task
+PLAIN_ROWS = 1 << 15  # the same, where limits are too wide for bands
+AT_ONCE = 1 << 17  # hashes that are compared at once, and pairs in a batch
+CELL_PAIRS = 1 << 13  # from here on the rows of a value are compared apart
+MET = "_l long, _r long, phash_bits int, dhash_bits int"
+Places = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def duplicate_groups(catalog: DataFrame) -> DataFrame:
@@ -118,54 +127,118 @@ def bands(prints: DataFrame, n: int = BANDS) -> list[list[int]]:
     return [sorted(order[k::n]) for k in range(n)]
 
 
+def _near(left: np.ndarray, right: np.ndarray, most: int) -> Places:
+    """Places of left and right hashes that differ in `most` bits at most, some at a time."""
+    step = max(1, AT_ONCE // max(1, len(right)))
+    for k in range(0, len(left) if len(right) else 0, step):
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(left[k : k + step, None] ^ right[None]) <= most), len(right))
+        yield i + k, j
+
+
+def _near_by_band(left: np.ndarray, right: np.ndarray, most: int, bits: list[int], reach: int) -> Places:
+    """The same of those that differ in `reach` bits of the band at most: a row meets the runs of rows whose values are so near to its own."""
+    value = lambda h: sum((h >> np.uint64(b) & np.uint64(1)).astype(np.int64) << j for j, b in enumerate(bits))
+    runs = lambda start, n: np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    lv, rv = value(left), value(right)
+    lo, ro = np.argsort(lv, kind="stable"), np.argsort(rv, kind="stable")
+    left, right = left[lo], right[ro]
+    values, first, size = np.unique(lv[lo], return_index=True, return_counts=True)
+    masks = np.array([sum(1 << j for j in c) for n in range(reach + 1) for c in combinations(range(len(bits)), n)])
+    ends = np.searchsorted(rv[ro], np.arange((1 << len(bits)) + 1)).astype(np.int32)
+    start = ends[values[:, None] ^ masks]
+    n = ends[(values[:, None] ^ masks) + 1] - start
+    met = n.sum(1)
+    apart = size * met >= CELL_PAIRS
+    for k in np.flatnonzero(apart):
+        at = runs(start[k], n[k])
+        for i, j in _near(left[first[k] : first[k] + size[k]], right[at], most):
+            yield lo[first[k] + i], ro[at[j]]
+    which = np.repeat(np.arange(len(values)), size)
+    rows = np.flatnonzero(~apart[which])
+    which = which[rows]
+    batch = np.cumsum(met[which] + len(masks)) // AT_ONCE
+    for r in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(batch)) + 1):
+        at = runs(start[which[r]].ravel(), n[which[r]].ravel())
+        i = np.repeat(rows[r], met[which[r]])
+        ok = np.flatnonzero(np.bitwise_count(left[i] ^ right[at]) <= most)
+        yield lo[i[ok]], ro[at[ok]]
+
+
+def _batched(near: Places) -> Places:
+    out, held = [], 0
+    for i, j in near:
+        if len(i):
+            out.append((i, j))
+            held += len(i)
+        if held >= AT_ONCE:
+            yield np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+            out, held = [], 0
+    if out:
+        yield np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _tiles(light: DataFrame, banded_rows: int, n_bands: int) -> DataFrame:
+    """What has to meet: la, lc, li (a part of a block), ra, rc, ri (one of the same block or of a neighbour), the band (-1: none) and a
+    number. Each pair of parts is there once, in every band where one of the blocks has over banded_rows rows."""
+    parts = F.ceil(F.col("_n") / (PART_ROWS if n_bands else PLAIN_ROWS)).cast("int")
+    blocks = materialized(light.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", parts))
+    around = F.array(*[F.struct((F.col("_a") + i).alias("ra"), (F.col("_c") + j).alias("rc")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    l = blocks.select(F.col("_a").alias("la"), F.col("_c").alias("lc"), F.col("_n").alias("ln"), F.col("_parts").alias("lp"), F.explode(around).alias("_b")).select("*", "_b.*").drop("_b")
+    r = blocks.select(F.col("_a").alias("ra"), F.col("_c").alias("rc"), F.col("_n").alias("rn"), F.col("_parts").alias("rp"))
+    dealt = F.when(F.greatest("ln", "rn") > banded_rows, F.array(*[F.lit(k) for k in range(n_bands)])).otherwise(F.array(F.lit(-1))) if n_bands else F.array(F.lit(-1))
+    each = l.join(r, ["ra", "rc"]).withColumn("li", F.explode(F.sequence(F.lit(0), F.col("lp") - 1))).withColumn("ri", F.explode(F.sequence(F.lit(0), F.col("rp") - 1)))
+    own = (F.col("la") == F.col("ra")) & (F.col("lc") == F.col("rc"))
+    each = each.where(~own | (F.col("li") <= F.col("ri"))).withColumn("alone", own & (F.col("li") == F.col("ri")))
+    return materialized(each.select("la", "lc", "li", "lp", "ra", "rc", "ri", "rp", "alone", F.explode(dealt).alias("band")).withColumn("tile", F.monotonically_increasing_id()))
+
+
 def similar_images(prints: DataFrame, phash_max: int = 16, dhash_max: int = 14, aspect_max: float = 0.04, color_max: int = 24, banded_rows: int = BANDED_ROWS) -> DataFrame:
     """Pairs of look-alike digests from prints (digest, phash, dhash, aspect, colors: array<int>).
 
-    Images meet as rows of an id, the two hashes and a key; shapes and colours are fetched for the pairs that are left. The keys lose
-    nothing. Sizes within aspect_max differ by one class at most, and so do mean colours within color_max; one side is dealt to its own
-    class, the other to it and its neighbours. Blocks over banded_rows are dealt by bands of the dhash too: of a pair within dhash_max
-    bits one band differs in dhash_max / BANDS at most, and both sides are dealt with half of these bits flipped, whichever they are
-    (limits over 24 bits have no bands)."""
+    Images meet as rows of an id and the two hashes; shapes and colours are fetched for the pairs that are left. Nothing is lost: sizes
+    within aspect_max differ by one class at most, and so do mean colours within color_max, so that a block of a class of each meets itself
+    and its neighbours, in parts of a bounded size. In blocks over banded_rows only rows meet that are near in a band of the dhash: of a
+    pair within dhash_max bits one band differs in dhash_max / BANDS at most, and the first of these gives it (limits over 24 bits have
+    no bands)."""
     step = -math.log(1 - aspect_max)
     mean = F.aggregate("colors", F.lit(0), lambda a, x: a + x) / F.size("colors")
-    base = materialized(prints.dropDuplicates(["digest"]).select("digest", "phash", "dhash", "aspect", "colors", F.floor(F.log("aspect") / step).alias("_a"), F.floor(mean / color_max).alias("_c")))
-    light = materialized(base.select(F.monotonically_increasing_id().alias("id"), "digest", "phash", "dhash", "_a", "_c"))
+    base = prints.dropDuplicates(["digest"]).select("digest", "phash", "dhash", "aspect", "colors", F.floor(F.log("aspect") / step).alias("_a"), F.floor(mean / color_max).alias("_c"))
+    base = materialized(base.dropna(subset=["digest", "phash", "dhash", "_a", "_c"]).withColumn("id", F.monotonically_increasing_id()))
+    light = base.select("id", "phash", "dhash", "_a", "_c")
     reach = dhash_max // BANDS
-    big = light.groupBy("_a", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (banded_rows if reach <= MOST_REACH else (1 << 62))).select("_a", "_c", F.lit(True).alias("_big"))
-    big = materialized(big)
-    dealt_bits = [] if big.isEmpty() else bands(light)
-    at = lambda k, v: F.struct(F.lit(k).alias("_band"), v.cast("int").alias("_value"))
-    once = at(-1, F.lit(0))
-
-    def band_keys(k: int, value: Column, masks: Column) -> Column:
-        return F.transform(masks, lambda m: at(k, value.bitwiseXOR(m)))
-
-    def flipped(side: DataFrame, most: int) -> DataFrame:
-        """Rows of big blocks under each band with up to `most` bits of it flipped, others once."""
-        keys = []
-        for k, bits in enumerate(dealt_bits):
-            value = sum((F.shiftleft(F.shiftrightunsigned("dhash", b).bitwiseAND(F.lit(1).cast("long")).cast("int"), j) for j, b in enumerate(bits)), F.lit(0))
-            masks = F.array(*[F.lit(sum(1 << j for j in c)) for n in range(most + 1) for c in combinations(range(len(bits)), n)])
-            keys.append(band_keys(k, value, masks))
-        side = side.join(big, ["_a", "_c"], "left")
-        key = F.when(F.col("_big"), F.concat(*keys)).otherwise(F.array(once)) if keys else F.array(once)
-        return side.select("id", "phash", "dhash", "_a", "_c", F.explode(key).alias("_k")).select("*", "_k.*").drop("_k")
-
-    around = F.array(*[F.struct((F.col("_a") + i).alias("_a"), (F.col("_c") + j).alias("_c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near_by = light.select("id", "phash", "dhash", F.explode(around).alias("_b")).select("id", "phash", "dhash", "_b.*")
-    l, r = flipped(near_by, reach - reach // 2).alias("l"), flipped(light, reach // 2).alias("r")
-    bits = lambda c: F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}")))
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("_a", "_c", "_band", "_value")]
-    met = l.join(r, reduce(Column.__and__, same) & (F.col("l.id") != F.col("r.id")) & (bits("phash") <= phash_max) & (bits("dhash") <= dhash_max))
-    pairs = met.select(F.least("l.id", "r.id").alias("_l"), F.greatest("l.id", "r.id").alias("_r")).distinct()
-    digests = light.select("id", "digest")
-    named = pairs.join(digests.toDF("_l", "a"), "_l").join(digests.toDF("_r", "b"), "_r").select(F.least("a", "b").alias("left_digest"), F.greatest("a", "b").alias("right_digest"))
-    side = lambda s: base.select(*[F.col(c).alias(f"{s}_{c}") for c in ("digest", "phash", "dhash", "aspect", "colors")])
-    whole = named.join(side("left"), "left_digest").join(side("right"), "right_digest")
+    tiles = _tiles(light, banded_rows, BANDS if reach <= MOST_REACH else 0)
+    dealt_bits = [] if tiles.where("band >= 0").isEmpty() else bands(light)
+    whole_bands = [np.uint64(sum(1 << b for b in bits)) for bits in dealt_bits]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True)
+        band, side = int(rows["band"].iloc[0]), rows["side"].to_numpy()
+        l, r = [(p["id"].to_numpy(), p["phash"].to_numpy().view(np.uint64), p["dhash"].to_numpy().view(np.uint64)) for p in (rows[side != 1], rows[side != 0])]
+        near = _near(l[2], r[2], dhash_max) if band < 0 else _near_by_band(l[2], r[2], dhash_max, dealt_bits[band], reach)
+        for i, j in _batched(near):
+            p, d = np.bitwise_count(l[1][i] ^ r[1][j]), l[2][i] ^ r[2][j]
+            ok = p <= phash_max
+            if side[0] == 2:
+                ok &= l[0][i] < r[0][j]
+            for mask in whole_bands[: max(band, 0)]:
+                ok &= np.bitwise_count(d & mask) > reach
+            yield pd.DataFrame({"_l": l[0][i[ok]], "_r": r[0][j[ok]], "phash_bits": p[ok].astype(np.int32), "dhash_bits": np.bitwise_count(d[ok]).astype(np.int32)})
+
+    def dealt(s: str, what: DataFrame, side: Column) -> DataFrame:
+        """The rows of the tiles' left or right parts, by tile."""
+        here = F.broadcast(what.select("tile", "band", side.alias("side"), *[F.col(f"{s}{c}").alias(f"_{c}") for c in "acip"]))  # few: pairs of blocks and parts
+        part = F.pmod(F.xxhash64("id"), F.col("_p")).cast("int") == F.col("_i")
+        return light.join(here, ["_a", "_c"]).where(part).select("tile", "band", "side", "id", "phash", "dhash")
+
+    rows = dealt("l", tiles, F.when(F.col("alone"), 2).otherwise(0)).union(dealt("r", tiles.where(~F.col("alone")), F.lit(1)))
+    tasks = max(1, min(tiles.count(), 8 * light.sparkSession.sparkContext.defaultParallelism))  # a number of its own: rows are few for the work
+    met = rows.repartition(tasks, "tile").groupBy("tile").applyInPandas(run, MET)
+    side = lambda s: base.select(F.col("id").alias(f"_{s[0]}"), *[F.col(c).alias(f"{s}_{c}") for c in ("digest", "aspect", "colors")])
+    whole = met.join(side("left"), "_l").join(side("right"), "_r")
     close = F.abs(F.col("left_aspect") - F.col("right_aspect")) / F.greatest("left_aspect", "right_aspect") <= aspect_max
     diff = F.aggregate(F.zip_with("left_colors", "right_colors", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
-    told = lambda c: F.bit_count(F.col(f"left_{c}").bitwiseXOR(F.col(f"right_{c}"))).alias(f"{c}_bits")
-    return whole.where(close & (diff <= color_max * F.size("left_colors"))).select("left_digest", "right_digest", told("phash"), told("dhash"))
+    digests = [f("left_digest", "right_digest").alias(f"{s}_digest") for f, s in ((F.least, "left"), (F.greatest, "right"))]
+    return whole.where(close & (diff <= color_max * F.size("left_colors"))).select(*digests, "phash_bits", "dhash_bits")
 
 
 def dhash_bits(pixels: Column, width: int = 9, height: int = 8) -> Column:
